@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality_rules, secret_scan, sentencepiece_codec, sharding
+from . import license_scan, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash
 from .common import documents
 
 
@@ -35,6 +35,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "template_spans")
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = simhash.near_duplicate_groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return grouped.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
@@ -45,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_sharding": op4_sharding,
     "op5_license_scan": op5_license_scan,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
