@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash
+from . import decontaminate, license_scan, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash
 from .common import documents
 
 
@@ -40,6 +40,14 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a document; item_id: the smallest of the items that it holds."""
+    docs, benchmark = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contaminated(docs, benchmark).withColumnRenamed("doc_id", "hit")
+    judged = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("hit")), "left")
+    return judged.select("doc_id", F.col("hit").isNotNull().alias("contaminated"), F.get("items", F.lit(0)).alias("item_id"), F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
@@ -51,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_license_scan": op5_license_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
