@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash
+from . import decontaminate, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash
 from .common import documents
 
 
@@ -22,6 +22,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(coded)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "quality", "kept")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(secret_scan.scan_secrets(documents(spark, sf_dir).select("doc_id", "text")))
 
@@ -55,6 +59,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_secret_scan": op3_secret_scan,
     "op4_sharding": op4_sharding,
     "op5_license_scan": op5_license_scan,
