@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash
+from . import chat_format, decontaminate, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash
 from .common import documents
 
 
@@ -57,6 +57,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model is counted on the table's roles; the roles are then recovered without them."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return chat_format.format_conversations(turns, chat_format.count_model(turns)).select("conv_id", "turn", F.col("recovered").alias("role"), "rendered")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_classifier": op2_quality_classifier,
@@ -66,5 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -238,3 +238,17 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
 def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of its component, one row an id.
+
+    A row without an id counts under a number made from its text, above other ids.
+    Of several rows with one id the least row, by its columns in order, stays.
+    """
+    unnamed = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), unnamed))
+    groups = near_duplicate_groups(keyed, "__key", text)
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
+    chosen = keyed.join(stay, "__key", "left_semi")
+    return chosen.groupBy("__key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("x")).select("x.*")
