@@ -38,17 +38,18 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Ar
     """
     new = df.sparkSession.createDataFrame([], schema).schema
     kept = [c for c in df.columns if c not in new.names]
-    out = df.select(*kept).schema
+    out = df.select(*[F.col(f"`{c}`") for c in kept]).schema
     for field in new:
         out = out.add(field)
-    source = df.select(*[F.col(f"`{c}`") for c in kept], text_of(f"`{text}`").alias("__text"))
+    sent = kept if text in kept else [*kept, text]
+    source = df.select(*[F.col(f"`{c}`") for c in sent])
+    at, n, names = sent.index(text), len(kept), out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            made = work(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *new.names])
+            made = work([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=names)
 
     return source.mapInArrow(run, out)
 
