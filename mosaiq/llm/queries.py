@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash
+from . import chat_format, decontaminate, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, substring_dedup
 from .common import documents
 
 
@@ -57,6 +57,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"), labels).drop("text")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.without_repeats(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model is counted on the table's roles; the roles are then recovered without them."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality_rules": op8_quality_rules,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {}
