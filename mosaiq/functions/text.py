@@ -34,7 +34,7 @@ def json_number(text: Column, field: str, low: float, high: float) -> Column:
 
 def truncated(text: Column, most: int) -> Column:
     """At most so many characters, cut at a word and with an ellipsis where something is missing."""
-    head = F.regexp_replace(F.substring(text, 1, most), r"\s+\S*$", "")
+    head = F.regexp_replace(F.substring(text, 1, most), r"\s+\S*\z", "")
     return F.when(F.char_length(text) <= most, text).otherwise(F.concat(head, F.lit("…")))
 
 

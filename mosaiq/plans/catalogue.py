@@ -63,11 +63,11 @@ def burst_trim_points(spark, d):
 s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 2 * 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY owner ORDER BY taken_at, asset_id) AS trip
   FROM (SELECT *, epoch_us(taken_at - lag(taken_at) OVER (PARTITION BY owner ORDER BY taken_at, asset_id)) / 1e6 AS gap FROM k WHERE km >= 50))
 SELECT owner, CAST(trip AS INTEGER) AS trip, CAST(min(taken_at) AS DATE) AS start_date, CAST(max(taken_at) AS DATE) AS end_date, count(*) AS n_assets,
-  round(avg(nullif(lat, 0)), 3) AS lat, round(avg(nullif(lon, 0)), 3) AS lon, CAST(date_diff('day', min(taken_at)::DATE, max(taken_at)::DATE) + 1 AS INTEGER) AS days
+  round(avg(nullif(lat, 0)) + 1e-8, 4) AS lat, round(avg(nullif(lon, 0)) + 1e-8, 4) AS lon, CAST(date_diff('day', min(taken_at)::DATE, max(taken_at)::DATE) + 1 AS INTEGER) AS days
 FROM s GROUP BY owner, trip HAVING date_diff('day', min(taken_at)::DATE, max(taken_at)::DATE) + 1 >= 2""")
 def trips(spark, d):
     found = sessions.trips(assets(spark, d), "taken_at", "lat", "lon", ["owner"], "asset_id", HOME)
-    return found.withColumn("lat", F.round("lat", 3)).withColumn("lon", F.round("lon", 3))
+    return found.withColumn("lat", F.round(F.col("lat") + 1e-8, 4)).withColumn("lon", F.round(F.col("lon") + 1e-8, 4))
 
 
 @query(f"""WITH {ASSETS_SQL} SELECT x.asset_id, x.owner FROM a x WHERE x.tagged OR EXISTS (
