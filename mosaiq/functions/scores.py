@@ -93,3 +93,14 @@ def backoff_hours(failures: Column) -> Column:
 def quota_for(ratio: float, expected: Column) -> Column:
     """A share of the finished video, one at least; none for a ratio of zero."""
     return F.greatest(F.lit(1), F.bround(F.lit(ratio) * expected)).cast("int") if ratio > 0 else F.lit(0)
+
+
+def with_model_score(metadata: Column, model: Column, penalty: float) -> Column:
+    """A photo's metadata score with a model's score in the place that was held for it."""
+    return clamp(metadata / (1.0 - penalty) - 0.15 + 0.3 * model, 0.0, 1.0) * (1.0 - penalty)
+
+
+def normal_weights(*weights: Column) -> list[Column]:
+    """The weights as shares of their sum."""
+    total = sum(weights[1:], weights[0])
+    return [F.when(total > 0, w / F.nullif(total, F.lit(0))).otherwise(w) for w in weights]

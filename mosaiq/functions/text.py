@@ -58,3 +58,8 @@ def slug(text: Column) -> Column:
 
 def place_name(city: Column, country: Column) -> Column:
     return F.concat_ws(", ", F.nullif(F.trim(city), F.lit("")), F.nullif(F.trim(country), F.lit("")))
+
+
+def subject(tagged: Column, label: Column, known: list[str]) -> Column:
+    """people where someone is tagged, else the label if it is one of the known, else unknown."""
+    return F.when(tagged, "people").when(label.isin(*known), label).otherwise("unknown")
