@@ -247,9 +247,9 @@ def avg_run_seconds(spark, d):
     return table(spark, d, "lineitem").join(runs, "l_orderkey").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q")).agg(F.round(F.avg("q"), 4).alias("seconds"))
 
 
-@query("""SELECT c.c_custkey FROM customer c LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS p FROM orders WHERE o_custkey % 3 > 0 GROUP BY 1) o ON c.c_custkey = o.o_custkey WHERE o.o_custkey IS NULL OR p IS DISTINCT FROM '5-LOW'""")
+@query("""SELECT c.c_custkey FROM customer c LEFT JOIN (SELECT o_custkey, max(o_orderpriority) AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON c.c_custkey = o.o_custkey WHERE o.o_custkey IS NULL OR p IS DISTINCT FROM '5-LOW'""")
 def uncached_assets(spark, d):
-    cache = table(spark, d, "orders").where("o_custkey % 3 > 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("sum"))
+    cache = table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderpriority").alias("sum"))
     return history.uncached(table(spark, d, "customer").withColumn("sum", F.lit("5-LOW")), cache, "c_custkey", "sum").select("c_custkey")
 
 
@@ -277,10 +277,11 @@ def backoff_suppressed(spark, d):
     return failure_streaks(spark, d).where(waits).select("owner", "failures")
 
 
-@query(f"""WITH {ASSETS_SQL} SELECT owner, kind, asset_id, score FROM a QUALIFY row_number() OVER (PARTITION BY owner, kind ORDER BY asset_id % 2 DESC, asset_id DESC) = 1""")
+@query(f"""WITH {ASSETS_SQL} SELECT owner, kind, asset_id, score FROM a QUALIFY row_number() OVER (PARTITION BY owner, kind ORDER BY CASE WHEN taken_at >= TIMESTAMP '2024-01-20' THEN 1 ELSE 0 END DESC, asset_id DESC) = 1""")
 def upsert_latest_snapshot(spark, d):
-    a = assets(spark, d).select("owner", "kind", "asset_id", "score")
-    return history.upserted(a.where("asset_id % 2 = 0"), a.where("asset_id % 2 = 1"), ["owner", "kind"], [F.desc("asset_id")])
+    a, late = assets(spark, d), F.col("taken_at") >= F.lit("2024-01-20").cast("timestamp_ntz")
+    old, new = (a.where(c).select("owner", "kind", "asset_id", "score") for c in (~late, late))
+    return history.upserted(old, new, ["owner", "kind"], [F.desc("asset_id")])
 
 
 @query("""SELECT n_nationkey, coalesce(s.name, n_name) AS n_name, n_regionkey FROM nation LEFT JOIN (SELECT s_nationkey, min(s_name) AS name FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON n_nationkey = s_nationkey""")
@@ -289,10 +290,10 @@ def merge_partial(spark, d):
     return history.merged(table(spark, d, "nation"), news, ["n_nationkey"])
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 AND o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus = 'O' END AS applied FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderpriority = '5-LOW' THEN o_orderstatus = 'O' END AS applied FROM orders""")
 def guarded_transition(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return history.transitioned(o, "o_orderkey", o.where("o_custkey % 2 = 0"), "o_orderstatus", "O", "F").select("o_orderkey", "o_orderstatus", "applied")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return history.transitioned(o, "o_orderkey", o.where("o_orderpriority = '5-LOW'"), "o_orderstatus", "O", "F").select("o_orderkey", "o_orderstatus", "applied")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')""")
@@ -344,9 +345,9 @@ def pool_split(spark, d):
     return assets(spark, d).groupBy(pool.alias("pool")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {ASSETS_SQL} SELECT round(lat, 2) AS lat, round(lon, 2) AS lon, min(taken_at) AS first_at FROM a WHERE owner < 20 GROUP BY 1, 2""")
+@query(f"""WITH {ASSETS_SQL} SELECT round(lat, 2) AS lat, round(lon, 2) AS lon, min(taken_at) AS first_at FROM a GROUP BY 1, 2""")
 def distinct_places(spark, d):
-    return assets(spark, d).where("owner < 20").groupBy(F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon")).agg(F.min("taken_at").alias("first_at"))
+    return assets(spark, d).groupBy(F.round("lat", 2).alias("lat"), F.round("lon", 2).alias("lon")).agg(F.min("taken_at").alias("first_at"))
 
 
 # --- similarity
@@ -481,8 +482,8 @@ def period_ends(spark, d):
 
 
 @query("""SELECT a.c_custkey AS id1, b.c_custkey AS id2, CASE WHEN length(a.h) <> length(b.h) THEN 64 ELSE CAST(bit_count(xor(CAST('0x' || a.h AS UBIGINT), CAST('0x' || b.h AS UBIGINT))::UBIGINT::BIT) AS INTEGER) END AS distance
-FROM (SELECT c_custkey, left(md5(c_name), 15 + CAST(c_custkey % 2 AS INTEGER)) AS h FROM customer WHERE c_custkey < 60) a JOIN (SELECT c_custkey, left(md5(c_name), 15 + CAST(c_custkey % 2 AS INTEGER)) AS h FROM customer WHERE c_custkey < 60) b ON b.c_custkey = a.c_custkey + 1 + a.c_custkey % 2""")
+FROM (SELECT c_custkey, left(md5(c_name), 15 + CAST(c_custkey % 2 AS INTEGER)) AS h FROM customer) a JOIN (SELECT c_custkey, left(md5(c_name), 15 + CAST(c_custkey % 2 AS INTEGER)) AS h FROM customer) b ON b.c_custkey = a.c_custkey + 1 + a.c_custkey % 2""")
 def hamming_of_hex(spark, d):
-    h = table(spark, d, "customer").where("c_custkey < 60").select("c_custkey", F.md5("c_name").substr(F.lit(1), (15 + F.col("c_custkey") % 2).cast("int")).alias("h"))
+    h = table(spark, d, "customer").select("c_custkey", F.md5("c_name").substr(F.lit(1), (15 + F.col("c_custkey") % 2).cast("int")).alias("h"))
     other = h.select(F.col("c_custkey").alias("id2"), F.col("h").alias("h2"))
     return h.join(other, F.col("id2") == F.col("c_custkey") + 1 + F.col("c_custkey") % 2).select(F.col("c_custkey").alias("id1"), "id2", hashing.hamming_hex(F.col("h"), F.col("h2")).alias("distance"))

@@ -35,9 +35,9 @@ def segment_scores(spark, d):
 
 
 @query(f"""WITH {ASSETS_SQL}, t AS (SELECT owner, count(*) AS n, count(DISTINCT strftime(taken_at, '%Y-%m-%d')) AS days, sum(duration) AS target FROM a GROUP BY 1)
-SELECT owner, round(CAST(least(greatest(0, 7.5 + days * 2.0 - (n % 30 + 1) * 0.25), target * 0.2) AS DOUBLE), 4) AS overhead, round(CAST(greatest(least(greatest(0, 7.5 + days * 2.0 - (n % 30 + 1) * 0.25), target * 0.3), target * 0.1) AS DOUBLE), 4) AS trip_overhead FROM t WHERE n % 30 > 0""")
+SELECT owner, round(CAST(least(greatest(0, 7.5 + days * 2.0 - (n % 30 + 1) * 0.25 * CAST(n % 30 > 0 AS INTEGER)), target * 0.2) AS DOUBLE), 4) AS overhead, round(CAST(greatest(least(greatest(0, 7.5 + days * 2.0 - (n % 30 + 1) * 0.25 * CAST(n % 30 > 0 AS INTEGER)), target * 0.3), target * 0.1) AS DOUBLE), 4) AS trip_overhead FROM t""")
 def title_overheads(spark, d):
-    t = assets(spark, d).groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.to_date("taken_at")).alias("days"), F.sum("duration").alias("target")).where("n % 30 > 0")
+    t = assets(spark, d).groupBy("owner").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.to_date("taken_at")).alias("days"), F.sum("duration").alias("target"))
     of = lambda trip: F.round(media.title_overhead(3.5, 4.0, F.col("days"), 2.0, F.col("n") % 30, F.col("target"), trip), 4)
     return t.select("owner", of(False).alias("overhead"), of(True).alias("trip_overhead"))
 
@@ -47,11 +47,11 @@ def overruns(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", media.overrun(F.col("l_quantity"), F.lit(30.0)).alias("verdict"))
 
 
-@query("""WITH p AS (SELECT l_orderkey AS video, l_quantity AS t, bool_or(l_linenumber % 2 = 0) AS audio FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1, 2),
+@query("""WITH p AS (SELECT l_orderkey AS video, l_quantity AS t, bool_or(l_linenumber % 2 = 0) AS audio FROM lineitem GROUP BY 1, 2),
 c AS (SELECT a.video, a.t AS "start", b.t AS "end", CAST(a.audio AS INTEGER) + CAST(b.audio AS INTEGER) AS edges FROM p a JOIN p b ON a.video = b.video AND b.t - a.t BETWEEN 2 AND 15 WHERE a.audio OR b.audio)
 SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY video ORDER BY edges DESC, abs("end" - "start" - 5), "start", "end") <= 20""")
 def mixed_boundary_segments(spark, d):
-    p = table(spark, d, "lineitem").where("l_orderkey < 2000").groupBy(F.col("l_orderkey").alias("video"), F.col("l_quantity").alias("t")).agg(F.bool_or(F.col("l_linenumber") % 2 == 0).alias("audio"))
+    p = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("video"), F.col("l_quantity").alias("t")).agg(F.bool_or(F.col("l_linenumber") % 2 == 0).alias("audio"))
     a, b = p.alias("a"), p.alias("b")
     met = a.join(b, (F.col("a.video") == F.col("b.video")) & (F.col("b.t") - F.col("a.t")).between(2, 15) & (F.col("a.audio") | F.col("b.audio")))
     found = met.select("a.video", F.col("a.t").alias("start"), F.col("b.t").alias("end"), (F.col("a.audio").cast("int") + F.col("b.audio").cast("int")).alias("edges"))
@@ -111,11 +111,11 @@ def budget_unified_photos(spark, d):
     return ranking.top_per(photos, ["day"], [F.desc("score"), F.col("asset_id")], 2).select("asset_id", "day")
 
 
-@query(f"""WITH {ASSETS_SQL}, t AS (SELECT owner, CAST(taken_at AS DATE) AS day, min_by(struct_pack(la := lat, lo := lon), (taken_at, asset_id)) AS p FROM a WHERE owner < 30 GROUP BY 1, 2)
-SELECT owner, count(*) AS days, round(max(p.la) - min(p.la), 4) AS lat_span, round(avg(p.la), 4) AS lat, round(avg(p.lo), 4) AS lon FROM t GROUP BY 1""")
+@query(f"""WITH {ASSETS_SQL}, t AS (SELECT owner, CAST(taken_at AS DATE) AS day, min_by(struct_pack(la := lat, lo := lon), (taken_at, asset_id)) AS p FROM a GROUP BY 1, 2)
+SELECT owner, count(*) AS days, round(max(p.la) - min(p.la), 4) AS lat_span, round(avg(p.la) + 1e-8, 4) AS lat, round(avg(p.lo) + 1e-8, 4) AS lon FROM t GROUP BY 1""")
 def map_viewports(spark, d):
-    first = assets(spark, d).where("owner < 30").groupBy("owner", F.to_date("taken_at").alias("day")).agg(F.min_by(F.struct("lat", "lon"), F.struct("taken_at", "asset_id")).alias("p"))
-    return first.groupBy("owner").agg(F.count(F.lit(1)).alias("days"), F.round(F.max("p.lat") - F.min("p.lat"), 4).alias("lat_span"), F.round(F.avg("p.lat"), 4).alias("lat"), F.round(F.avg("p.lon"), 4).alias("lon"))
+    first = assets(spark, d).groupBy("owner", F.to_date("taken_at").alias("day")).agg(F.min_by(F.struct("lat", "lon"), F.struct("taken_at", "asset_id")).alias("p"))
+    return first.groupBy("owner").agg(F.count(F.lit(1)).alias("days"), F.round(F.max("p.lat") - F.min("p.lat"), 4).alias("lat_span"), F.round(F.avg("p.lat") + 1e-8, 4).alias("lat"), F.round(F.avg("p.lon") + 1e-8, 4).alias("lon"))
 
 
 @query(f"""WITH {ASSETS_SQL}, k AS (SELECT owner, asset_id, 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians({HOME[0]} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({HOME[0]})) * pow(sin(radians({HOME[1]} - lon) / 2), 2)))) AS km FROM a)

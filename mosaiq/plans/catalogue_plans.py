@@ -23,10 +23,10 @@ def assign_to_bases(spark, d):
     return p.join(b, "g").groupBy("c_custkey").agg(F.min(F.struct(distance.alias("d"), "base"))["base"].alias("base"))
 
 
-@query("""WITH e AS (SELECT l_orderkey AS v, l_linenumber AS k, l_quantity AS q FROM lineitem WHERE l_orderkey < 1000), x AS (SELECT a.v, a.q AS s, b.q AS e, a.k + b.k AS rank FROM e a JOIN e b ON a.v = b.v AND b.q > a.q)
+@query("""WITH e AS (SELECT l_orderkey AS v, l_linenumber AS k, l_quantity AS q FROM lineitem), x AS (SELECT a.v, a.q AS s, b.q AS e, a.k + b.k AS rank FROM e a JOIN e b ON a.v = b.v AND b.q > a.q)
 SELECT v, s AS "start", e AS "end" FROM x QUALIFY row_number() OVER (PARTITION BY v ORDER BY rank, e - s, s) = 1""")
 def best_placement(spark, d):
-    e = table(spark, d, "lineitem").where("l_orderkey < 1000").select(F.col("l_orderkey").alias("v"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("q"))
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("v"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("q"))
     a, b = e.alias("a"), e.alias("b")
     met = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("b.q") > F.col("a.q"))).select("a.v", F.col("a.q").alias("start"), F.col("b.q").alias("end"), (F.col("a.k") + F.col("b.k")).alias("rank"))
     return ranking.first_per(met, ["v"], [F.col("rank"), F.col("end") - F.col("start"), F.col("start")]).select("v", "start", "end")
@@ -171,16 +171,16 @@ def then_and_now(spark, d):
     return y.select("year", day.alias("then_start"), F.make_date(F.lit(2001), F.lit(6), F.lit(10)).alias("now_start"), F.date_add(F.add_months(day, -12), 1).alias("trailing_start"))
 
 
-@query("""WITH e AS (SELECT l_orderkey AS v, l_quantity AS s, l_quantity + 1 + l_discount * 20 AS e FROM lineitem WHERE l_orderkey < 3000), r AS (SELECT *, max(e + 0.5) OVER (PARTITION BY v ORDER BY s - 0.5, e + 0.5 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
+@query("""WITH e AS (SELECT l_orderkey AS v, l_quantity AS s, l_quantity + 1 + l_discount * 20 AS e FROM lineitem), r AS (SELECT *, max(e + 0.5) OVER (PARTITION BY v ORDER BY s - 0.5, e + 0.5 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e),
 g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s - 0.5 > reach THEN 1 ELSE 0 END) OVER (PARTITION BY v ORDER BY s - 0.5, e + 0.5) AS i FROM r) SELECT v, round(min(s - 0.5), 3) AS "start", round(max(e + 0.5), 3) AS "end" FROM g GROUP BY v, i""")
 def protected_ranges(spark, d):
-    e = table(spark, d, "lineitem").where("l_orderkey < 3000").select(F.col("l_orderkey").alias("v"), F.col("l_quantity").alias("s"), (F.col("l_quantity") + 1 + F.col("l_discount") * 20).alias("e"))
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("v"), F.col("l_quantity").alias("s"), (F.col("l_quantity") + 1 + F.col("l_discount") * 20).alias("e"))
     return intervals.merged(e, "s", "e", ["v"], 0.5).select("v", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-@query("""WITH a AS (SELECT o_orderpriority AS k, o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 2 = 0), x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o_totalprice DESC, o_orderkey) AS n FROM a) SELECT k, o_orderkey FROM x WHERE n = 1""")
+@query("""WITH a AS (SELECT o_orderpriority AS k, o_orderkey, o_totalprice FROM orders), x AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o_totalprice DESC, o_orderkey) AS n FROM a) SELECT k, o_orderkey FROM x WHERE n = 1""")
 def dedup_by_key_best(spark, d):
-    return ranking.first_per(table(spark, d, "orders").where("o_orderkey % 2 = 0").withColumnRenamed("o_orderpriority", "k"), ["k"], [F.desc("o_totalprice"), F.col("o_orderkey")]).select("k", "o_orderkey")
+    return ranking.first_per(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "k"), ["k"], [F.desc("o_totalprice"), F.col("o_orderkey")]).select("k", "o_orderkey")
 
 
 @query()
