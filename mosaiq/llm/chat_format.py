@@ -31,9 +31,9 @@ from .common import text_of
 ROLES = ("system", "user", "assistant")
 BLOCK = 4096
 # The markers of each role, at the start of a segment, any case.
-MARKERS = {"system": ("system", "sys", "instructions"), "user": ("user", "human", "question", "q", "customer"), "assistant": ("assistant", "bot", "ai", "answer", "a", "agent")}
+MARKERS = {"system": ("system", "sys", "instructions"), "user": ("user", "human", "__question", "q", "customer"), "assistant": ("assistant", "bot", "ai", "answer", "a", "agent")}
 MARKER = r"(?i)^\s*(?:\[|<\|?|#+ ?|\*\*)?(" + "|".join(m for ms in MARKERS.values() for m in ms) + r")(?:\|?>|\]|\*\*)?\s*(?::|>|-(?= )|\n)\s*"
-SIZES = {"marker": 4, "length": 16, "lines": 4, "question": 2}
+SIZES = {"__marker": 4, "__length": 16, "__lines": 4, "__question": 2}
 MARKER_BELIEF = 50.0  # how many segments the marker's meaning counts as
 
 
@@ -51,10 +51,10 @@ def with_features(df: DataFrame, key: str = "conv_id", order: str = "turn", text
             "__order": place,
             "__block": F.floor(F.greatest(place, F.lit(0)) / BLOCK),
             "__tie": F.xxhash64(t),
-            "marker": marker,
-            "length": F.least(F.floor(F.log2(F.char_length(t) + 1)), F.lit(15)).cast("int"),
-            "lines": F.least(F.size(F.split(t, "\n")) - 1, F.lit(3)),
-            "question": t.contains("?").cast("int"),
+            "__marker": marker,
+            "__length": F.least(F.floor(F.log2(F.char_length(t) + 1)), F.lit(15)).cast("int"),
+            "__lines": F.least(F.size(F.split(t, "\n")) - 1, F.lit(3)),
+            "__question": t.contains("?").cast("int"),
         }
     )
 
@@ -89,7 +89,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple
 def sorted_blocks(df: DataFrame, more: list[str]) -> DataFrame:
     """__key and __block first, then the features and more; each block together and in order."""
     together = df.repartition("__key", "__block").sortWithinPartitions("__key", "__block", "__order", "__tie")
-    return together.select("__key", "__block", "marker", "length", "lines", "question", *more)
+    return together.select("__key", "__block", "__marker", "__length", "__lines", "__question", *more)
 
 
 class RoleModel:
@@ -101,7 +101,7 @@ class RoleModel:
             for (n, i, j), c in counts.items():
                 if n == name:
                     out[i, j] += c
-            if name == "marker":
+            if name == "__marker":
                 out[:, 0] += MARKER_BELIEF
                 out[np.arange(rows), np.arange(rows) + 1] += MARKER_BELIEF
             return np.log(out / out.sum(axis=1, keepdims=True))
@@ -109,7 +109,7 @@ class RoleModel:
         k = len(ROLES)
         self.next = table("next", k, k)
         self.begin = table("first_role", 1, k)[0]
-        self.features = {name: table(name, k, SIZES[name]) for name in ("marker", "length", "lines", "question")}
+        self.features = {name: table(name, k, SIZES[name]) for name in ("__marker", "__length", "__lines", "__question")}
 
     def emissions(self, table: pa.Table) -> np.ndarray:
         """Rows by roles."""
@@ -131,7 +131,7 @@ def count_model(df: DataFrame, key: str = "conv_id", order: str = "turn", text:
         for table, starts in whole_groups(batches, 2):
             roles = table.column("__role").to_numpy()
             good = roles >= 0
-            for name in ("marker", "length", "lines", "question"):
+            for name in ("__marker", "__length", "__lines", "__question"):
                 add(name, roles[good], table.column(name).to_numpy()[good])
             first = np.zeros(len(roles), bool)
             first[starts[starts < len(roles)]] = True
@@ -210,10 +210,10 @@ def chained(blocks: DataFrame, model: RoleModel) -> DataFrame:
                     if at > a:
                         role = int(backs[at - a - 1][role])
                         before[at] = role
-            yield pa.RecordBatch.from_arrays([table.column("__key").combine_chunks(), table.column("__block").combine_chunks(), pa.array(before, pa.int32()), pa.array(after, pa.int32())], names=["__key", "__block", "before", "after"])
+            yield pa.RecordBatch.from_arrays([table.column("__key").combine_chunks(), table.column("__block").combine_chunks(), pa.array(before, pa.int32()), pa.array(after, pa.int32())], names=["__key", "__block", "__before", "__after"])
 
     together = blocks.repartition("__key").sortWithinPartitions("__key", "__block")
-    return together.select("__key", "__block", "scores").mapInArrow(run, "__key string, __block long, before int, after int")
+    return together.select("__key", "__block", "scores").mapInArrow(run, "__key string, __block long, __before int, __after int")
 
 
 def recover_roles(df: DataFrame, model: RoleModel, key: str = "conv_id", order: str = "turn", text: str = "text", out: str = "recovered") -> DataFrame:
@@ -223,22 +223,22 @@ def recover_roles(df: DataFrame, model: RoleModel, key: str = "conv_id", order:
     def scores(batches):
         for table, starts in whole_groups(batches, 2):
             heads = table.take(pa.array(starts[:-1]))
-            opening = heads.column("opens").to_numpy(zero_copy_only=False)
+            opening = heads.column("__opens").to_numpy(zero_copy_only=False)
             found = transfers(model, model.emissions(table), starts, opening).reshape(len(heads), -1)
             yield pa.RecordBatch.from_arrays([heads.column("__key").combine_chunks(), heads.column("__block").combine_chunks(), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["__key", "__block", "scores"])
 
     firsts = featured.groupBy("__key").agg(F.min("__block").alias("__first"))
-    marked = featured.join(firsts, "__key").withColumn("opens", F.col("__block") == F.col("__first")).drop("__first")
-    ends = chained(sorted_blocks(marked, ["opens"]).mapInArrow(scores, "__key string, __block long, scores array<double>"), model)
+    marked = featured.join(firsts, "__key").withColumn("__opens", F.col("__block") == F.col("__first")).drop("__first")
+    ends = chained(sorted_blocks(marked, ["__opens"]).mapInArrow(scores, "__key string, __block long, scores array<double>"), model)
     ours = df.columns
     located = featured.join(ends, ["__key", "__block"])
-    kept = sorted_blocks(located, ["before", "after", *[c for c in ours if c not in ("marker", "length", "lines", "question", "before", "after", out)]])
+    kept = sorted_blocks(located, ["__before", "__after", *[c for c in ours if c != out]])
     names = kept.columns[8:]
     schema = kept.select(*names).schema.add(out, "string")
 
     def roles(batches):
         for table, starts in whole_groups(batches, 2):
-            found = decoded(model, model.emissions(table), starts, table.column("before").to_numpy()[starts[:-1]], table.column("after").to_numpy()[starts[:-1]])
+            found = decoded(model, model.emissions(table), starts, table.column("__before").to_numpy()[starts[:-1]], table.column("__after").to_numpy()[starts[:-1]])
             named = pa.array([ROLES[r] for r in found.tolist()], pa.string())
             yield from pa.Table.from_arrays([*(table.column(n) for n in names), pa.chunked_array([named])], names=[*names, out]).combine_chunks().to_batches()
 
