@@ -75,9 +75,13 @@ def farthest_days(df: DataFrame, day: str, amount: str, favorite: str, score: st
 
 
 def overnight_stops(df: DataFrame, time: str, lat: str, lon: str, by: list[str], tie: str, radius_km: float = 20.0) -> DataFrame:
-    """Where each run of days of a trip ended: the day's last row's cluster, days next to each other near the run's head merged.
+    """Where a trip's nights were spent, in runs of days.
 
-    Clusters grow in order: a row joins the nearest seed within the radius, else it is a seed.
+    Rows join the nearest seed within the radius in order, else they are seeds. A
+    cluster is a base if it has rows on three days and 30 % of the trip's, or on days
+    more than two apart. A day ends at the first base that its last row is near, else
+    where the next day begins. Days near the head of a run join it, and runs between
+    two stays at one place are taken into it.
     """
     import math
 
@@ -88,24 +92,47 @@ def overnight_stops(df: DataFrame, time: str, lat: str, lon: str, by: list[str],
         h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
         return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(h)))
 
-    def stops(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([time, tie])
+    def bases_of(points) -> list[tuple[float, float]]:
         seeds: list[tuple[float, float]] = []
-        last: dict = {}
-        for t, a, b in zip(rows[time], rows[lat], rows[lon], strict=True):
-            near = min(((km((a, b), s), k) for k, s in enumerate(seeds)), default=(1e9, -1))
+        days: list[dict] = []
+        for day, p in points:
+            near = min(((km(p, s), k) for k, s in enumerate(seeds)), default=(math.inf, -1))
             if near[0] > radius_km:
-                seeds.append((a, b))
-                near = (0.0, len(seeds) - 1)
-            last[pd.Timestamp(t).date()] = seeds[near[1]]
+                near = (0.0, len(seeds))
+                seeds.append(p)
+                days.append({})
+            days[near[1]][day] = True
+        span = (points[-1][0] - points[0][0]).days + 1
+        enough = max(3, math.ceil(0.3 * span))
+        returns = lambda ds: any((y - x).days > 2 for x, y in zip(ds, ds[1:], strict=False))
+        return [s for s, ds in zip(seeds, days, strict=True) if len(ds) >= enough or returns(sorted(ds))]
+
+    def stops(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([time, tie])
+        points = [(pd.Timestamp(t).date(), (a, b)) for t, a, b in zip(rows[time], rows[lat], rows[lon], strict=True)]
+        bases = bases_of(points)
+        first, last = {}, {}
+        for day, p in points:
+            first.setdefault(day, p)
+            last[day] = p
+        dates = sorted(last)
         runs: list[list] = []
-        for d, place in sorted(last.items()):
-            if runs and (d - runs[-1][1]).days == 1 and km(runs[-1][2], place) <= radius_km:
-                runs[-1][1] = d
+        for k, day in enumerate(dates):
+            base = next((b for b in bases if km(b, last[day]) <= radius_km), None)
+            place = base or (first[dates[k + 1]] if k + 1 < len(dates) else last[day])
+            if runs and km(runs[-1][3], place) <= radius_km:
+                runs[-1][1], runs[-1][2] = day, runs[-1][2] + 1
             else:
-                runs.append([d, d, place])
-        first = rows.iloc[0]
-        return pd.DataFrame([[*(first[b] for b in by), k, r[0], r[1], (r[1] - r[0]).days + 1, r[2][0], r[2][1]] for k, r in enumerate(runs)], columns=schema.names)
+                runs.append([day, day, 1, place])
+        k = 0
+        while k < len(runs):
+            again = next((j for j in range(len(runs) - 1, k + 1, -1) if km(runs[k][3], runs[j][3]) <= radius_km), None)
+            if again:
+                runs[k] = [runs[k][0], runs[again][1], sum(r[2] for r in runs[k : again + 1]), runs[k][3]]
+                del runs[k + 1 : again + 1]
+            k += 1
+        head = rows.iloc[0]
+        return pd.DataFrame([[*(head[b] for b in by), n, r[0], r[1], r[2], r[3][0], r[3][1]] for n, r in enumerate(runs)], columns=schema.names)
 
     return df.groupBy(*by).applyInPandas(stops, schema)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mosaiq.functions import scores, text
-from mosaiq.operators import history, intervals, ranking, sessions
+from mosaiq.operators import history, intervals, ranking, selection, sessions
 from mosaiq.plans.adapters import ASSETS_SQL, assets, table
 from mosaiq.plans.catalogue import query
 
@@ -208,3 +208,70 @@ def onset_tempo(spark, d):
 def latest_attempt(spark, d):
     last = history.latest_per(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderkey")])
     return table(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("o_orderstatus", F.lit("none")).alias("last_status"))
+
+
+@query()
+def backfill_relaxation(spark, d):
+    a = assets(spark, d).withColumn("chosen", F.col("favorite") & (F.col("score") > 60)).withColumn("photo", F.col("kind") == "view")
+    return selection.backfilled(a, ["owner"], "chosen", "taken_at", "duration", "favorite", "photo", "score", "asset_id", 90.0)
+
+
+@query()
+def favorites_thinned(spark, d):
+    a = assets(spark, d).where("favorite").withColumn("week", F.trunc(F.to_date("taken_at"), "week"))
+    w = Window.partitionBy("owner")
+    held = (F.col("week") == F.min("week").over(w)) | (F.col("week") == F.max("week").over(w))
+    return selection.thinned_favorites(a.withColumn("held", held), ["owner"], "week", "held", "duration", "score", "asset_id", 40.0)
+
+
+@query()
+def judge_until_stable(spark, d):
+    return selection.judged_until_stable(assets(spark, d).withColumn("s", F.col("score") / 100), ["owner"], "taken_at", "favorite", "s", "asset_id")
+
+
+@query()
+def transition_plan(spark, d):
+    a = assets(spark, d).withColumn("h", F.crc32(F.col("asset_id").cast("string").cast("binary"))).withColumn("title", F.col("kind") == "signup")
+    return selection.transitions(a, ["owner"], "taken_at", "asset_id", "title", "h")
+
+
+@query(f"""WITH {ASSETS_SQL}, n AS (SELECT owner, count(*) AS n FROM a WHERE duration >= 3 GROUP BY 1) SELECT owner, CAST(CASE WHEN n < 150 * 0.5 THEN greatest(n, 5) ELSE 150 END AS BIGINT) AS target FROM n""")
+def adapted_targets(spark, d):
+    n = assets(spark, d).where("duration >= 3").groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("owner", F.when(F.col("n") < 150 * 0.5, F.greatest(F.col("n"), F.lit(5))).otherwise(150).cast("long").alias("target"))
+
+
+@query("""WITH s AS (SELECT DISTINCT c_nationkey AS g, c_mktsegment AS place FROM customer WHERE c_acctbal > 9000) SELECT c_custkey, CASE WHEN place IS NULL THEN 0.25 ELSE 0.0 END AS bonus FROM customer LEFT JOIN s ON c_nationkey = g AND c_mktsegment = place""".replace("0.25 ELSE 0.0 END", "0.25::DOUBLE ELSE 0.0::DOUBLE END"))
+def diversity_bonus(spark, d):
+    c = table(spark, d, "customer")
+    seen = c.where("c_acctbal > 9000").select("c_nationkey", "c_mktsegment").distinct().withColumn("seen", F.lit(True))
+    return c.join(seen, ["c_nationkey", "c_mktsegment"], "left").select("c_custkey", F.when(F.col("seen").isNull(), 0.25).otherwise(0.0).alias("bonus"))
+
+
+@query("""SELECT event_type AS kind, CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 0.8 ELSE 0.2 END::DOUBLE AS weight, count(*) AS n FROM events GROUP BY 1""")
+def event_weights(spark, d):
+    weights = F.create_map(F.lit("purchase"), F.lit(1.0), F.lit("signup"), F.lit(0.8))
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).select("kind", F.coalesce(weights[F.col("kind")], F.lit(0.2)).alias("weight"), "n")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'album' WHEN month(o_orderdate) = 12 THEN 'holiday' WHEN day(o_orderdate) = 1 THEN 'monthly' ELSE 'custom' END AS memory_type,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN 'none' WHEN month(o_orderdate) = 12 THEN 'year' ELSE 'month' END AS dividers, CAST(CASE WHEN month(o_orderdate) = 1 THEN year(o_orderdate) - 1 ELSE year(o_orderdate) END AS BIGINT) AS fire_year FROM orders""")
+def type_inference(spark, d):
+    at, urgent = F.col("o_orderdate"), F.col("o_orderpriority") == "1-URGENT"
+    december = F.month(at) == 12
+    return table(spark, d, "orders").select(
+        "o_orderkey", F.when(urgent, "album").when(december, "holiday").when(F.dayofmonth(at) == 1, "monthly").otherwise("custom").alias("memory_type"),
+        F.when(urgent, "none").when(december, "year").otherwise("month").alias("dividers"), F.when(F.month(at) == 1, F.year(at) - 1).otherwise(F.year(at)).cast("long").alias("fire_year"),
+    )
+
+
+@query("""SELECT c_custkey, left(sha256('v1|' || c_mktsegment || '|' || CAST(CAST(round(c_acctbal, 2) AS DECIMAL(12, 2)) AS VARCHAR)), 8) AS recipe FROM customer""")
+def recipe_hashes(spark, d):
+    parts = F.concat_ws("|", F.lit("v1"), "c_mktsegment", F.round("c_acctbal", 2).cast("decimal(12,2)").cast("string"))
+    return table(spark, d, "customer").select("c_custkey", F.substring(F.sha2(parts, 256), 1, 8).alias("recipe"))
+
+
+@query(r"""SELECT event_id, CAST(regexp_extract('score: ' || json_extract_string(props, '$.k') || ' mood: happy', 'score:\s*(\d+)', 1) AS DOUBLE) AS score, 'happy' AS mood FROM events""")
+def partial_extraction(spark, d):
+    broken = F.concat(F.lit("score: "), F.get_json_object("props", "$.k"), F.lit(" mood: happy"))
+    return table(spark, d, "events").select("event_id", F.regexp_extract(broken, r"score:\s*(\d+)", 1).try_cast("double").alias("score"), F.regexp_extract(broken, r"mood:\s*(\w+)", 1).alias("mood"))

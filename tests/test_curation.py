@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from mosaiq.functions import calendar, geo, hashing, scores, text
-from mosaiq.operators import folds, history, intervals, ranking, sessions, similarity
+from mosaiq.operators import folds, history, intervals, ranking, selection, sessions, similarity
 from mosaiq.plans import catalogue
 from mosaiq.sources import library
 from mosaiq.streaming import live
@@ -157,7 +157,22 @@ def test_folds(spark):
     kinds = spark.createDataFrame([(1, k, c) for k, c in enumerate("aaab")], "g int, k int, c string")
     assert [r["c"] for r in folds.interleaved(kinds, "c", ["g"], ["k"]).orderBy("place").collect()] == ["a", "a", "b", "a"]
     stops = spark.createDataFrame([(1, at(60, d), lat, 2.0, d) for d, lat in ((1, 41.0), (2, 41.01), (3, 45.0), (4, 41.0))], "g int, t timestamp, lat double, lon double, id int")
-    assert [r["nights"] for r in folds.overnight_stops(stops, "t", "lat", "lon", ["g"], "id").orderBy("stop").collect()] == [2, 1, 1]
+    assert [r["nights"] for r in folds.overnight_stops(stops, "t", "lat", "lon", ["g"], "id").orderBy("stop").collect()] == [4]
+    moving = spark.createDataFrame([(1, at(60, d), 41.0 + d, 2.0, d) for d in (1, 2, 3)], "g int, t timestamp, lat double, lon double, id int")
+    assert [(r["nights"], r["lat"]) for r in folds.overnight_stops(moving, "t", "lat", "lon", ["g"], "id").orderBy("stop").collect()] == [(1, 43.0), (2, 44.0)]
+
+
+def test_selections(spark):
+    rows = [(1, k, at(60 * k), 5.0, k == 0, k % 2 == 1, 1.0 - 0.1 * k) for k in range(8)]
+    df = spark.createDataFrame(rows, "g int, id int, t timestamp, d double, f boolean, p boolean, s double").withColumn("chosen", F.col("f"))
+    got = {r["id"]: r["tier"] for r in selection.backfilled(df, ["g"], "chosen", "t", "d", "f", "p", "s", "id", 21.0).collect()}
+    assert got[0] == 0 and sum(5.0 for _ in got) <= 23 and len(got) == 4
+    kept = selection.thinned_favorites(df.withColumn("w", F.col("id") % 2).withColumn("held", F.lit(False)), ["g"], "w", "held", "d", "s", "id", 15.0)
+    assert sorted(r["id"] for r in kept.collect()) == [0, 1, 2]
+    swept = selection.judged_until_stable(df, ["g"], "t", "f", "s", "id", 0.45)
+    assert max(r["id"] for r in swept.collect()) <= 5
+    plan = [r["transition"] for r in selection.transitions(df.withColumn("h", F.lit(0)), ["g"], "t", "id", "f", "h").orderBy("id").collect()]
+    assert plan == ["fade", "fade", "fade", "cut", "fade", "fade", "fade", "cut"]
 
 
 def test_sources(spark, tmp_path):
