@@ -275,3 +275,51 @@ def recipe_hashes(spark, d):
 def partial_extraction(spark, d):
     broken = F.concat(F.lit("score: "), F.get_json_object("props", "$.k"), F.lit(" mood: happy"))
     return table(spark, d, "events").select("event_id", F.regexp_extract(broken, r"score:\s*(\d+)", 1).try_cast("double").alias("score"), F.regexp_extract(broken, r"mood:\s*(\w+)", 1).alias("mood"))
+
+
+@query()
+def smart_select(spark, d):
+    """Slots per day, the best rows of each day, and at most 70 % that aren't favorites."""
+    from mosaiq.operators import folds
+
+    a = assets(spark, d).withColumn("day", F.to_date("taken_at"))
+    best = [F.desc("favorite"), F.desc(F.col("width") * F.col("height")), F.desc("bitrate"), F.desc("duration"), F.col("asset_id")]
+    picked = ranking.top_per(a.join(folds.day_slots(a, "day", ["owner"], 40).select("owner", "day", "slots"), ["owner", "day"]), ["owner", "day"], best, F.col("slots"))
+    sized = picked.withColumn("most", F.floor(0.7 * F.count(F.lit(1)).over(Window.partitionBy("owner"))))
+    return ranking.top_per(sized, ["owner", "favorite"], best[1:], F.when(F.col("favorite"), F.lit(1 << 30)).otherwise(F.col("most"))).select("owner", "asset_id", "day")
+
+
+@query("""WITH b AS (SELECT c_custkey, DATE '1990-01-01' + CAST(c_custkey % 366 AS INTEGER) AS born, c_nationkey FROM customer), u AS (SELECT *, make_date(2001, CAST(month(born) AS INTEGER), CAST(least(day(born), 28) AS INTEGER)) AS last FROM b), n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT c_custkey, last, n FROM u JOIN n ON o_custkey = c_custkey WHERE date_diff('day', last, DATE '2001-08-01') BETWEEN 2 AND 60""")
+def birthday_candidates(spark, d):
+    born = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("c_custkey") % 366).cast("int"))
+    last = F.make_date(F.lit(2001), F.month(born), F.least(F.dayofmonth(born), F.lit(28)))
+    n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "customer").select("c_custkey", last.alias("last")).join(n, "c_custkey").where(F.datediff(F.lit("2001-08-01").cast("date"), "last").between(2, 60))
+
+
+@query(f"""WITH {ASSETS_SQL}, c AS (SELECT asset_id, owner, round(score, 1) AS s, abs(epoch_us(taken_at) / 1e6 - 1705000000) AS off FROM a) SELECT owner, asset_id FROM c QUALIFY row_number() OVER (PARTITION BY owner ORDER BY s DESC, off, asset_id) = 1""")
+def tie_break_best(spark, d):
+    a = assets(spark, d).withColumn("s", F.round("score", 1)).withColumn("off", F.abs(F.unix_micros(F.col("taken_at").cast("timestamp")) / 1e6 - 1705000000))
+    return ranking.first_per(a, ["owner"], [F.desc("s"), F.col("off"), F.col("asset_id")]).select("owner", "asset_id")
+
+
+#: Allowed moods and genres, and what stands for others.
+MOODS, GENRES = ("happy", "calm", "purchase", "view"), ("pop", "click")
+
+
+@query("""SELECT event_id, CASE WHEN event_type IN ('happy', 'calm', 'purchase', 'view') THEN event_type ELSE 'calm' END AS mood, CASE WHEN event_type = 'click' THEN 'click' ELSE '' END AS genres, least(1.0, greatest(0.0, coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50, 0.5))) AS confidence FROM events""")
+def mood_validation(spark, d):
+    body = F.format_string('{"mood": "%s", "genres": ["%s", "noise"], "confidence": %s}', "event_type", "event_type", F.get_json_object("props", "$.k").cast("double") / 50)
+    parsed = F.from_json(body, "mood string, genres array<string>, confidence double").alias("m")
+    m = table(spark, d, "events").select("event_id", parsed)
+    mood = F.when(F.col("m.mood").isin(*MOODS), F.col("m.mood")).otherwise("calm")
+    genres = F.slice(F.filter("m.genres", lambda g: g.isin(*GENRES)), 1, 5)
+    return m.select("event_id", mood.alias("mood"), F.array_join(genres, ",").alias("genres"), scores.clamp(F.coalesce("m.confidence", F.lit(0.5)), 0.0, 1.0).alias("confidence"))
+
+
+@query("""SELECT o_orderkey, lower(replace(o_orderpriority, ' ', '-')) || '-' || strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN day(o_orderdate) > 15 THEN '-to-' || strftime(last_day(o_orderdate::DATE), '%Y-%m-%d') ELSE '' END AS name FROM orders""")
+def file_names(spark, d):
+    at = F.col("o_orderdate")
+    end = F.when(F.dayofmonth(at) > 15, F.concat(F.lit("-to-"), F.date_format(F.last_day(at), "yyyy-MM-dd"))).otherwise("")
+    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lower(F.replace("o_orderpriority", F.lit(" "), F.lit("-"))), F.lit("-"), F.date_format(at, "yyyy-MM-dd"), end).alias("name"))
