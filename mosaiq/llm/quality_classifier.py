@@ -148,20 +148,26 @@ def fit(features: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, ra
     weights, intercept = np.zeros(BUCKETS), 0.0
     if not len(features):
         return weights, intercept
-    sizes = np.array([max(1, len(f)) for f in features])
-    flat = np.concatenate([f if len(f) else np.zeros(1, np.int64) for f in features])
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    share = (1 / sizes)[row]
     balance = np.where(target >= 0.5, 0.5 / max((target >= 0.5).mean(), 1e-3), 0.5 / max((target < 0.5).mean(), 1e-3))
+    blocks = []  # of some documents each, so that what a round computes stays small
+    for at in range(0, len(features), 256):
+        part = features[at : at + 256]
+        sizes = np.array([max(1, len(f)) for f in part])
+        flat = np.concatenate([f if len(f) else np.zeros(1, np.uint16) for f in part]).astype(np.uint16)
+        blocks.append((flat, sizes, target[at : at + 256], balance[at : at + 256]))
     seen, seen0 = np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(rounds):
-        z = np.bincount(row, weights[flat] * share, minlength=len(sizes)) + intercept
-        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) * balance / len(sizes)
-        step = np.bincount(flat, error[row] * share, minlength=BUCKETS) + decay * weights
+        step, step0 = decay * weights, 0.0
+        for flat, sizes, wanted, weight in blocks:
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            z = np.bincount(row, weights[flat], minlength=len(sizes)) / sizes + intercept
+            error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - wanted) * weight / len(features)
+            step += np.bincount(flat, (error / sizes)[row], minlength=BUCKETS)
+            step0 += error.sum()
         seen += step**2
         weights -= rate * step / np.sqrt(seen)
-        seen0 += error.sum() ** 2
-        intercept -= 0.2 * error.sum() / np.sqrt(seen0)
+        seen0 += step0**2
+        intercept -= 0.2 * step0 / np.sqrt(seen0)
     return weights, intercept
 
 
@@ -188,7 +194,7 @@ def train(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.int32()), pa.array(found, pa.binary())], names=["pattern", "features"])
 
     rows = sample.mapInArrow(run, "pattern int, features binary").collect()
-    features = [np.frombuffer(r["features"], dtype=np.uint16).astype(np.int64) for r in rows]
+    features = [np.frombuffer(r["features"], dtype=np.uint16) for r in rows]
     weights, intercept = fit(features, np.array([good.get(r["pattern"], 0.5) for r in rows]))
     return weights, intercept, rates
 

@@ -24,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts
@@ -225,14 +225,25 @@ def component_labels(edges: DataFrame) -> DataFrame:
         before = state
 
 
+#: Numbers from here on stand for fingerprints whose documents all lack an id.
+NAMELESS = 1 << 62
+
+
+def nameless(fp: Column) -> Column:
+    return F.xxhash64(fp).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(NAMELESS)
+
+
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, parts: int = PARTITIONS) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id that links lead to."""
     printed = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").drop("text"))
-    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = component_labels(links(nodes.select("fp"), distance, parts))
-    rooted = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(smallest, "root").select(F.col("fp").alias("of"), "component_id")
+    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node_id", F.coalesce(F.col("first").cast("long"), nameless(F.col("fp"))))
+    ids = nodes.select("fp", "node_id")
+    found = links(nodes.select("fp"), distance, parts)
+    edges = found.join(ids.withColumnsRenamed({"fp": "a", "node_id": "u"}), "a").join(ids.withColumnsRenamed({"fp": "b", "node_id": "v"}), "b")
+    labels = component_labels(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    rooted = nodes.join(labels, F.col("node_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "node_id"))
+    alone = F.col("first").isNull() & (F.col("root") >= NAMELESS)  # all of the component lack an id
+    classes = rooted.select(F.col("fp").alias("of"), F.when(~alone, F.col("root")).alias("component_id"))
     return printed.join(classes, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
 
 
@@ -246,7 +257,7 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     A row without an id counts under a number made from its text, above other ids.
     Of several rows with one id the least row, by its columns in order, stays.
     """
-    unnamed = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    unnamed = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 60) - 1)) + F.lit(1 << 61)
     keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), unnamed))
     groups = near_duplicate_groups(keyed, "__key", text)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WINDOW, GRAM = 20, 8
-CHUNK = 60_000
+CHUNK, SPREAD = 60_000, 1024
 LAST_ID = (1 << 63) - 1
 STEP = 0x9E3779B97F4A7C15
 BACK = pow(STEP, -1, 1 << 64)
@@ -86,8 +86,26 @@ def segments_of(h: np.ndarray, rolling: Rolling, window: int, gram: int) -> tupl
     return grams[least[first]], rolling.runs(sums, first, first + count + window - 1), first, count
 
 
+def combined(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each segment 0, or a number over 0 if an equal one among these stands earlier; such numbers are spread evenly."""
+    order = np.lexsort((start, doc, content, anchor))
+    a, c, d, s = anchor[order], content[order], doc[order], start[order]
+    head = np.ones(len(order), bool)
+    head[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+    first = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+    follows = ~head & ((d != d[first]) | (s != s[first]))
+    spread = np.zeros(len(order), np.int32)
+    spread[order] = np.where(follows, 1 + np.arange(len(order)) % SPREAD, 0)
+    return spread
+
+
 def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, content, doc, start and windows of every segment of every text."""
+    """anchor, content, doc, start, windows and spread of every segment of every text.
+
+    Equal segments of one batch are combined before the shuffle: only the first of
+    them goes to its anchor's partition, the others are covered already and go to
+    any (spread over 0). So copies don't crowd a partition.
+    """
 
     def run(batches):
         rolling = Rolling()
@@ -100,9 +118,10 @@ def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     for part, values in zip(parts, (anchor.view(np.int64), content.view(np.int64), np.full(len(start), doc), start.astype(np.int32), count.astype(np.int32)), strict=True):
                         part.append(values)
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["anchor", "content", "doc", "start", "windows"])
+                columns = [np.concatenate(p) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, combined(*columns[:4]))], names=["anchor", "content", "doc", "start", "windows", "spread"])
 
-    return docs.select("doc", "text").mapInArrow(run, "anchor long, content long, doc long, start int, windows int")
+    return docs.select("doc", "text").mapInArrow(run, "anchor long, content long, doc long, start int, windows int, spread int")
 
 
 def again(found: DataFrame) -> DataFrame:
@@ -112,6 +131,7 @@ def again(found: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        names = ["anchor", "doc", "start", "windows", "covered"]
         held = None  # the last row so far, which waits for the next
         before = (None, None)  # anchor and content of the row before it
         first = (None, None)  # doc and start of the first of its equals
@@ -141,18 +161,23 @@ def again(found: DataFrame) -> DataFrame:
                 if n > 1:
                     before = (anchor[-2], content[-2])
                     first = (first_doc[-2], first_start[-2])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[keep]), pa.array(doc[keep]), pa.array(start[keep]), pa.array(count[keep]), pa.array(covered[keep])], names=["anchor", "doc", "start", "windows", "covered"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, doc, start, count, covered)], names=names)
 
         for batch in batches:
-            if batch.num_rows:
-                rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            follows = rows.pop() > 0
+            if follows.any():
+                anchor, _, doc, start, count = (r[follows] for r in rows)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, doc, start, count, np.ones(len(doc), bool))], names=names)
+                rows = [r[~follows] for r in rows]
+            if len(rows[0]):
                 if held is not None:
                     rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
                 yield from judge(rows, False)
         if held is not None:
             yield from judge(held, True)
 
-    ordered = found.repartition("anchor").sortWithinPartitions("anchor", "content", "doc", "start")
+    ordered = found.repartition("anchor", "spread").sortWithinPartitions("anchor", "content", "doc", "start")
     return ordered.mapInArrow(run, "anchor long, doc long, start int, windows int, covered boolean")
 
 
