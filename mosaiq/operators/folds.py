@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mosaiq.functions import geo
+
 
 def spaced(df: DataFrame, time: str, least: float, by: list[str]) -> DataFrame:
     """Times that lie at least so far after the last one kept; the first of each key stays."""
@@ -137,6 +139,28 @@ def overnight_stops(df: DataFrame, time: str, lat: str, lon: str, by: list[str],
     return df.groupBy(*by).applyInPandas(stops, schema)
 
 
+def place_counts(df: DataFrame, lat: str, lon: str, city: str, by: list[str], order: list[str], km: float = 5.0) -> DataFrame:
+    """places of each key, most rows first (then as they appeared): city, lat, lon and n.
+
+    In order, a row counts for the first place less than km away, else it is a place
+    itself. Rows whose latitude is null or zero have no place; a longitude of null is 0.
+    """
+    kind = "array<struct<city:string,lat:double,lon:double,n:int>>"
+    row = F.struct(*order, F.coalesce(F.col(city), F.lit("Unknown")).alias("__city"), F.col(lat).cast("double").alias("__lat"), F.coalesce(F.col(lon).cast("double"), F.lit(0.0)).alias("__lon"))
+
+    def add(places, r):
+        near = F.transform(places, lambda p: geo.haversine_km(r["__lat"], r["__lon"], p["lat"], p["lon"]) < km)
+        at = F.array_position(near, F.lit(True))
+        counted = F.transform(places, lambda p, k: F.struct(p["city"].alias("city"), p["lat"].alias("lat"), p["lon"].alias("lon"), (p["n"] + (k + 1 == at).cast("int")).alias("n")))
+        fresh = F.array(F.struct(r["__city"].alias("city"), r["__lat"].alias("lat"), r["__lon"].alias("lon"), F.lit(1).alias("n")))
+        return F.when(at > 0, counted).otherwise(F.concat(places, fresh)).cast(kind)
+
+    placed = df.where(F.col(lat).isNotNull() & (F.col(lat) != 0))
+    folded = placed.groupBy(*by).agg(F.array_sort(F.array_agg(row)).alias("places")).withColumn("places", F.aggregate("places", F.array().cast(kind), add))
+    ranked = F.array_sort(F.transform("places", lambda p, k: F.struct((-p["n"]).alias("most"), k.alias("k"), p.alias("place"))))
+    return folded.select(*by, F.transform(ranked, lambda x: x["place"]).alias("places"))
+
+
 def interleaved(df: DataFrame, kind: str, by: list[str], order: list[str]) -> DataFrame:
     """place: the rows in order, but no more than two of a kind in a row while another can be moved forward."""
     schema = StructType([*df.schema.fields]).add("place", "integer")

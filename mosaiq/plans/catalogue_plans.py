@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 
 from mosaiq.functions import scores, text
 from mosaiq.operators import history, intervals, ranking, selection, sessions
-from mosaiq.plans.adapters import ASSETS_SQL, assets, table
+from mosaiq.plans.adapters import ASSETS_SQL, HOME, assets, table
 from mosaiq.plans.catalogue import query
 
 
@@ -98,13 +98,25 @@ def colour_histogram(spark, d):
     return h.orderBy(F.desc("n"), "r", "g").limit(5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {ASSETS_SQL}, o AS (SELECT owner, CAST(taken_at AS DATE) AS day, lat, lon, CASE WHEN lat = 50.8468 THEN 'Home' ELSE 'Quarter ' || (asset_id % 5) END AS city,
+  row_number() OVER (PARTITION BY owner, CAST(taken_at AS DATE) ORDER BY taken_at, asset_id) AS k FROM a),
+f AS (SELECT owner, day, k, [struct_pack(city := city, lat := lat, lon := lon, n := 1)] AS places FROM o WHERE k = 1
+  UNION ALL SELECT owner, day, k, CASE WHEN hit > 0 THEN list_transform(places, lambda p, i: struct_pack(city := p.city, lat := p.lat, lon := p.lon, n := p.n + CASE WHEN i = hit THEN 1 ELSE 0 END))
+    ELSE list_append(places, struct_pack(city := city, lat := lat, lon := lon, n := 1)) END
+  FROM (SELECT o.*, f.places, coalesce(list_position(list_transform(f.places, lambda p:
+      2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(p.lat) - radians(o.lat)) / 2), 2) + cos(radians(o.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - o.lon) / 2), 2)))) < 5.0), true), 0) AS hit
+    FROM f JOIN o ON o.owner = f.owner AND o.day = f.day AND o.k = f.k + 1)),
+l AS (SELECT owner, day, unnest(places) AS p, unnest(range(len(places))) AS i FROM f QUALIFY k = max(k) OVER (PARTITION BY owner, day))
+SELECT owner, day, strftime(day, '%Y-%m-%d') || ': ' || string_agg(p.city || '(' || p.n || ')', ', ' ORDER BY p.n DESC, i) AS summary FROM l GROUP BY owner, day""")
 def daily_place_summary(spark, d):
-    """Per owner and day the places of its rows, first come first served within 5 km, with counts."""
-    from mosaiq.operators.folds import overnight_stops
-
-    a = assets(spark, d).withColumn("day", F.to_date("taken_at"))
-    return overnight_stops(a, "taken_at", "lat", "lon", ["owner", "day"], "asset_id", 5.0).select("owner", "day", "stop", "lat", "lon")
+    """Per owner and day a line of the places of its rows, first come first served within 5 km, with counts."""
+    from mosaiq.operators.folds import place_counts
+
+    city = F.when(F.col("lat") == HOME[0], "Home").otherwise(F.concat(F.lit("Quarter "), (F.col("asset_id") % 5).cast("string")))
+    a = assets(spark, d).withColumn("day", F.to_date("taken_at")).withColumn("city", city)
+    parts = F.transform("places", lambda p: F.concat(p["city"], F.lit("("), p["n"].cast("string"), F.lit(")")))
+    line = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(": "), F.array_join(parts, ", "))
+    return place_counts(a, "lat", "lon", "city", ["owner", "day"], ["taken_at", "asset_id"]).select("owner", "day", line.alias("summary"))
 
 
 @query(f"""WITH {ASSETS_SQL}, s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 14400 THEN 1 ELSE 0 END) OVER (PARTITION BY owner ORDER BY taken_at, asset_id) AS period FROM (SELECT *, epoch_us(taken_at - lag(taken_at) OVER (PARTITION BY owner ORDER BY taken_at, asset_id)) / 1e6 AS gap FROM a)),

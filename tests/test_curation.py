@@ -122,6 +122,14 @@ def test_ranking(spark):
     assert (burst["month"], burst["ratio"]) == ("2026-01", 5.0)
 
 
+def test_place_counts(spark):
+    rows = [(1, "a", 41.38, 2.17, "B"), (2, "a", 50.0, 4.0, "H"), (3, "a", 50.01, 4.0, "X"), (4, "a", None, 4.0, "N"), (5, "a", 0.0, 1.0, "N"), (6, "b", 10.0, None, None), (7, "a", 41.5, 2.17, "C")]
+    df = spark.createDataFrame(rows, "id int, g string, lat double, lon double, city string")
+    counts = lambda d: {r["g"]: [(p["city"], p["n"]) for p in r["places"]] for r in folds.place_counts(d, "lat", "lon", "city", ["g"], ["id"]).collect()}
+    assert counts(df) == {"a": [("H", 2), ("B", 1), ("C", 1)], "b": [("Unknown", 1)]}
+    assert counts(df.limit(0)) == {}
+
+
 def test_history(spark):
     attempts = spark.createDataFrame([(1, "a", "F"), (2, "a", "F"), (3, "a", "C"), (1, "b", "F"), (2, "b", "C"), (3, "b", "F"), (4, "b", "S"), (1, "c", None)], "id int, k string, o string").withColumn("t", F.col("id"))
     streaks = history.failure_streaks(attempts, "k", [F.col("id")], F.coalesce(F.col("o") == "F", F.lit(False)), F.coalesce(F.col("o") == "C", F.lit(False)), "t")
