@@ -8,6 +8,14 @@ probabilities are the labels of a linear scorer over hashed words and word shape
 fitted on the different texts among about fit_most documents taken by a hash of the text. Every document is
 then scored.
 
+One labeller looks for toxic wording: words of a short fixed list, and, where labels
+are given, words and beginnings of words that are TERM_RATIO times as frequent among
+toxic documents as among others. These terms are counted over about fit_most labelled
+documents taken by a hash of the id; at most TERMS_MOST of them, the most frequent,
+are sent to the tasks. Without labels only the fixed list counts, so toxic wording in
+other words isn't seen. A document votes bad at TOXIC_LEAST such words or more that
+are TOXIC_RATE or more of its words; a single mild word doesn't.
+
 Defined results: null or empty text has no features, gets the score of the
 intercept and is rejected (no words); repeated rows get equal scores; rows are
 never dropped by the operator itself.
@@ -16,6 +24,7 @@ never dropped by the operator itself.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,34 +40,53 @@ FIT_MOST, ROUNDS, KEEP = 8_000, 80, 0.5
 # Common function words of the languages at hand.
 COMMON = frozenset(w.encode() for w in "the of and to in is that it for was on with as be by this are from or le la les de des du et en un une que qui pour dans par sur au der die das und ist von zu mit den im für auf el los las y se por con una su al del lo".split())
 SYMBOLS, CAPITALS = b"#*$%&|<>", bytes(range(65, 91))
-LABELLERS = ("symbols", "capitals", "exclamations", "neighbours", "distinct", "lines", "shapes", "common")
+LABELLERS = ("symbols", "capitals", "exclamations", "neighbours", "distinct", "lines", "shapes", "common", "toxic")
 #: Rates of the votes bad, none and good on bad and on good documents, before anything is seen.
-BELIEFS = {"": ((0.3, 0.695, 0.005), (0.005, 0.99, 0.005)), "common": ((0.15, 0.3, 0.55), (0.02, 0.13, 0.85))}
+BELIEFS = {"": ((0.3, 0.695, 0.005), (0.005, 0.99, 0.005)), "common": ((0.15, 0.3, 0.55), (0.02, 0.13, 0.85)), "toxic": ((0.3, 0.6998, 0.0002), (0.0002, 0.9996, 0.0002))}
+#: Labellers whose rates stay at their beliefs: toxic prose is else like good prose, so the others' votes would overrule this one.
+PINNED = np.array([name == "toxic" for name in LABELLERS])
 #: Bits of a word's packed features beside its two buckets.
-IS_COMMON, IS_ODD = 1, 2
+IS_COMMON, IS_ODD, IS_TOXIC = 1, 2, 4
 FORM = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 57 if 48 <= b <= 57 else b for b in range(256))
 RUN = re.compile(rb"(.)\1+", re.DOTALL)
 ODD = re.compile(rb"[^aA9.,;:!?'\"()/@=+_-]")
 EDGES = b".,;:!?"
+# Insults in the languages at hand; the rule for terms from labels; and how many words make a document toxic.
+TOXIC = frozenset("idiot idiots moron morons stupid worthless pathetic scum loser losers trash clown disgusting imbecile retard bastard connard connasse salope ordure crétin abruti débile enculé arschloch vollidiot trottel dummkopf schwachkopf abschaum wichser idiota idiotas imbécil estúpido estúpida gilipollas cabrón pendejo escoria".split())
+PARTS = re.compile(r"\w+")
+PREFIXES, TERM_LEAST, TERM_RATIO, TERMS_MOST = range(3, 8), 4, 20.0, 5_000
+TOXIC_LEAST, TOXIC_RATE = 2, 0.005
+TOXIC_BUCKET = 1
 
 
 def shape(raw: bytes) -> bytes:
     """Letters as a or A, digits as 9, other characters as they are; repeats once, an exclamation mark twice."""
-    form = raw[:64].translate(FORM)
+    form = raw.translate(FORM)
     return RUN.sub(lambda m: b"!!" if m[1] == b"!" else m[1], form)
 
 
 def read_shape(form: bytes) -> int:
     odd = bool(ODD.search(form)) or b"!!" in form
-    return xxhash.xxh32_intdigest(b"\0" + form) % BUCKETS << 2 | IS_ODD * odd
+    return xxhash.xxh32_intdigest(b"\0" + form) % BUCKETS << 3 | IS_ODD * odd
 
 
 SHAPES = Memo(read_shape, 50_000)
 
 
-def read_word(raw: bytes) -> int:
-    """A word's bucket, its shape's bucket and two flags in one number."""
-    return xxhash.xxh32_intdigest(raw) % BUCKETS << 18 | SHAPES[shape(raw)] | IS_COMMON * (raw.strip(EDGES).lower() in COMMON)
+def terms_in(word: str) -> set[str]:
+    """The word's parts in lower case, and their beginnings with a star."""
+    parts = PARTS.findall(word.lower())
+    return {*parts, *(p[:k] + "*" for p in parts for k in PREFIXES if len(p) > k)}
+
+
+def word_reader(terms: frozenset[str] = TOXIC) -> Memo:
+    """Numbers of words: the word's bucket, its shape's bucket and three flags."""
+
+    def read_word(raw: bytes) -> int:
+        toxic = not terms.isdisjoint(terms_in(raw.decode("utf-8", "replace")))
+        return xxhash.xxh32_intdigest(raw) % BUCKETS << 19 | SHAPES[shape(raw)] | IS_COMMON * (raw.strip(EDGES).lower() in COMMON) | IS_TOXIC * toxic
+
+    return Memo(read_word)
 
 
 def packed_words(words: list[bytes], memo: Memo) -> np.ndarray:
@@ -66,9 +94,41 @@ def packed_words(words: list[bytes], memo: Memo) -> np.ndarray:
 
 
 def buckets_of(packed: np.ndarray) -> np.ndarray:
-    """The scorer's features: words, shapes, and one bucket for each word that repeats the one before."""
+    """The scorer's features: words, shapes, one bucket for each word that repeats the one before, and one for half the words of toxic texts."""
     again = np.count_nonzero(packed[1:] == packed[:-1])
-    return np.concatenate([packed >> 18, packed >> 2 & (BUCKETS - 1), np.zeros(again, np.int64)])
+    toxic = np.full(len(packed) // 2 if is_toxic(packed) else 0, TOXIC_BUCKET, np.int64)
+    return np.concatenate([packed >> 19, packed >> 3 & (BUCKETS - 1), np.zeros(again, np.int64), toxic])
+
+
+def is_toxic(packed: np.ndarray) -> bool:
+    n = np.count_nonzero(packed & IS_TOXIC)
+    return bool(n >= TOXIC_LEAST and n >= TOXIC_RATE * len(packed))
+
+
+def toxic_terms(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_most: int = FIT_MOST) -> frozenset[str]:
+    """The fixed words and the terms that tell documents labelled toxic from others; see the module."""
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("__labelled")).agg((F.max("toxic") > 0).alias("toxic"))
+    limit = int(min(1.0, fit_most / max(1, known.count())) * 1_000_000)
+    known = known.where(F.pmod(F.xxhash64("__labelled"), F.lit(1_000_000)) < limit)
+    met = docs.select(F.col(doc_id).alias("__id"), text_of(text).alias("text")).join(known, F.col("__id") == F.col("__labelled")).select("text", "toxic")
+
+    def run(batches):
+        seen: Counter[tuple[str, bool]] = Counter()
+        memo = Memo(terms_in, 50_000)
+        for batch in batches:
+            for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen.update((x, toxic) for x in {"", *(x for w in set(t.split()) for x in memo[w])})
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.bool_()), pa.array(list(seen.values()), pa.int64())], names=["term", "toxic", "n"])
+
+    counted = met.mapInArrow(run, "term string, toxic boolean, n long").groupBy("term").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(name) for name, c in (("bad", F.col("toxic")), ("rest", ~F.col("toxic")))])
+    counted = counted.where(F.col("bad") >= TERM_LEAST).persist()
+    total = counted.where("term = ''").first()
+    if total is None:
+        return TOXIC
+    rare = F.col("bad") / F.lit(float(total["bad"])) >= TERM_RATIO * (F.col("rest") + 0.5) / F.lit(max(1.0, float(total["rest"])))
+    found = counted.where((F.col("term") != "") & rare).orderBy(F.desc("bad"), "term").limit(TERMS_MOST).collect()
+    counted.unpersist()
+    return TOXIC.union(r["term"] for r in found)
 
 
 def votes(raw: bytes, words: list[bytes], packed: np.ndarray) -> list[int]:
@@ -89,14 +149,15 @@ def votes(raw: bytes, words: list[bytes], packed: np.ndarray) -> list[int]:
         -(len(lines) > 2 and 1 - len(set(lines)) / len(lines) >= 0.34),
         -int(np.count_nonzero(packed & IS_ODD) / n >= 0.2),
         (1 if common >= 0.12 else -1 if common < 0.02 else 0) if n >= 25 else 0,
+        -is_toxic(packed),
     ]
 
 
-def vote_patterns(docs: DataFrame, text: str = "text") -> DataFrame:
+def vote_patterns(docs: DataFrame, text: str = "text", terms: frozenset[str] = TOXIC) -> DataFrame:
     """Adds pattern: the labellers' votes as digits in base 3 (vote + 1, the first lowest)."""
 
     def make():
-        memo = Memo(read_word)
+        memo = word_reader(terms)
         base = 3 ** np.arange(len(LABELLERS))
 
         def work(texts: list[str]) -> list[pa.Array]:
@@ -133,6 +194,7 @@ def label_model(counts: dict[int, int], rounds: int = 200, trust: float = 0.3) -
             for v in range(3):
                 rates[y, :, v] += ((weight * share)[:, None] * (digits == v)).sum(axis=0)
             rates[y] /= rates[y].sum(axis=1, keepdims=True)
+            rates[y][PINNED] = beliefs[y][PINNED]
         prior = np.clip((weight * good).sum() / weight.sum(), 0.05, 0.95)
         logs = [np.log(p) + np.log(rates[y][np.arange(len(LABELLERS)), digits]).sum(axis=1) for y, p in enumerate((1 - prior, prior))]
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
@@ -171,9 +233,9 @@ def fit(features: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, ra
     return weights, intercept
 
 
-def train(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST) -> tuple[np.ndarray, float, np.ndarray]:
+def train(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST, terms: frozenset[str] = TOXIC) -> tuple[np.ndarray, float, np.ndarray]:
     """The scorer's weights and intercept, and the labellers' rates."""
-    voted = vote_patterns(docs.select(text_of(text).alias("text")), "text")
+    voted = vote_patterns(docs.select(text_of(text).alias("text")), "text", terms)
     counts = {r["pattern"]: r["count"] for r in voted.groupBy("pattern").count().collect()}
     good, rates = label_model(counts)
     part = min(1.0, fit_most / max(1, sum(counts.values())))
@@ -181,7 +243,7 @@ def train(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST) -> tupl
     sample = docs.select(text_of(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit).distinct()
 
     def run(batches):
-        memo = Memo(read_word)
+        memo = word_reader(terms)
         base = 3 ** np.arange(len(LABELLERS))
         for batch in batches:
             patterns, found = [], []
@@ -199,12 +261,12 @@ def train(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST) -> tupl
     return weights, intercept, rates
 
 
-def scored(docs: DataFrame, weights: np.ndarray, intercept: float, text: str = "text", keep: float = KEEP) -> DataFrame:
+def scored(docs: DataFrame, weights: np.ndarray, intercept: float, text: str = "text", keep: float = KEEP, terms: frozenset[str] = TOXIC) -> DataFrame:
     """Adds quality (the probability of good) and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def make():
-        memo, w = Memo(read_word), shared.value
+        memo, w = word_reader(terms), shared.value
 
         def work(texts: list[str]) -> list[pa.Array]:
             out, kept = [], []
@@ -220,7 +282,8 @@ def scored(docs: DataFrame, weights: np.ndarray, intercept: float, text: str = "
     return map_texts(docs, make, "quality double, kept boolean", text)
 
 
-def classify(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST, keep: float = KEEP) -> DataFrame:
-    """docs with quality and kept; see the module."""
-    weights, intercept, _ = train(docs, text, fit_most)
-    return scored(docs, weights, intercept, text, keep)
+def classify(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST, keep: float = KEEP, labels: DataFrame | None = None) -> DataFrame:
+    """docs with quality and kept; see the module. labels (doc_id, toxic), if given, add to the toxic terms."""
+    terms = TOXIC if labels is None else toxic_terms(docs, labels, text=text, fit_most=fit_most)
+    weights, intercept, _ = train(docs, text, fit_most, terms)
+    return scored(docs, weights, intercept, text, keep, terms)

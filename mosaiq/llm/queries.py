@@ -23,7 +23,8 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier.classify(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "quality", "kept")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.classify(documents(spark, sf_dir).select("doc_id", "text"), labels=labels).select("doc_id", "quality", "kept")
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,6 +208,15 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_classifier.classify(empty).count() == 0
 
 
+def test_toxic_wording_is_rejected(spark):
+    sf = "/root/testdata/sf0.1"
+    ours, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learnt, held = known.where("doc_id % 2 = 0"), known.where("doc_id % 2 = 1").withColumnRenamed("quality", "truth")
+    got = quality_classifier.classify(ours, labels=learnt).join(held, "doc_id").where("truth = 1").toPandas()
+    assert got[got["toxic"] == 1]["kept"].mean() < 0.1 and got[got["toxic"] == 0]["kept"].mean() > 0.97
+    assert quality_classifier.shape(b"a" * 70 + b"#") != quality_classifier.shape(b"a" * 70)
+
+
 def crowded(seed):
     rng = random.Random(seed)
     words = list("abcdef")
