@@ -285,6 +285,13 @@ def test_chat(spark, block, monkeypatch):
     assert sorted((r["k"], r["line"], r["text"]) for r in lines.collect()) == [(1, 0, "User: hi"), (1, 1, "Assistant: yes"), (2, 0, "")]
 
 
+def test_every_marker(spark):
+    turns = [(k, 0, role, f"{m.capitalize()}: some words") for k, (role, m) in enumerate((r, m) for r, ms in chat_format.MARKERS.items() for m in ms)]
+    assert "Question: some words" in {t[3] for t in turns}
+    got = chat_format.rendered(chat_format.recover_roles(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), chat_format.RoleModel({}))).collect()
+    assert len(got) == len(turns) and all(r["rendered"] == f"<|{r['role']}|>\nsome words\n<|end|>\n" for r in got)
+
+
 def plain_viterbi(model, emissions):
     score, back = model.begin + emissions[0], []
     for e in emissions[1:]:
