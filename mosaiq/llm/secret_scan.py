@@ -31,7 +31,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"  # the runs of 16 or more among [0-9a-f]+
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 # Encodings by name, their pattern and alphabet; the first that fits is taken.
 ENCODINGS = (
     ("decimal", "^[0-9]+$", "0123456789"),

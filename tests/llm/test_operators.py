@@ -90,6 +90,18 @@ def test_random_strings_are_told_from_words(spark):
     assert len(flagged & set(range(30))) >= 24 and not flagged - set(range(30))
 
 
+def test_random_values_after_an_equals_sign(spark):
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    heads = ["AUTH=", "client_key=", "AWS_SECRET_ACCESS_KEY=", "https://a.b/c?sig="]
+    keys = [(head, "".join(rng.choice(letters) for _ in range(40))) for head in heads for _ in range(10)]
+    texts = [(k, f"before {head}{key} after") for k, (head, key) in enumerate(keys)]
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redacted(secret_scan.scan_secrets(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    for head in heads:
+        of = [k for k, x in enumerate(keys) if x[0] == head]
+        assert sum(masked[k] == f"before {head}[SECRET] after" for k in of) >= 8
+
+
 def test_sharding(spark, docs, empty, tmp_path):
     many = spark.range(20000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(id % 97 as int))").alias("text"))
     got = sharding.shard_documents(many, 8).toPandas()
