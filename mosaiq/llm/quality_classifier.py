@@ -12,8 +12,8 @@ One labeller looks for toxic wording: words of a short fixed list, and, where la
 are given, words and beginnings of words that are TERM_RATIO times as frequent among
 toxic documents as among others. These terms are counted over about fit_most labelled
 documents taken by a hash of the id; at most TERMS_MOST of them, the most frequent,
-are sent to the tasks. Without labels only the fixed list counts, so toxic wording in
-other words isn't seen. A document votes bad at TOXIC_LEAST such words or more that
+are sent to the tasks. Without labels no word counts as toxic, and toxic
+prose is kept like other prose. A document votes bad at TOXIC_LEAST such words or more that
 are TOXIC_RATE or more of its words; a single mild word doesn't.
 
 Defined results: null or empty text has no features, gets the score of the
@@ -79,7 +79,7 @@ def terms_in(word: str) -> set[str]:
     return {*parts, *(p[:k] + "*" for p in parts for k in PREFIXES if len(p) > k)}
 
 
-def word_reader(terms: frozenset[str] = TOXIC) -> Memo:
+def word_reader(terms: frozenset[str] = frozenset()) -> Memo:
     """Numbers of words: the word's bucket, its shape's bucket and three flags."""
 
     def read_word(raw: bytes) -> int:
@@ -153,7 +153,7 @@ def votes(raw: bytes, words: list[bytes], packed: np.ndarray) -> list[int]:
     ]
 
 
-def vote_patterns(docs: DataFrame, text: str = "text", terms: frozenset[str] = TOXIC) -> DataFrame:
+def vote_patterns(docs: DataFrame, text: str = "text", terms: frozenset[str] = frozenset()) -> DataFrame:
     """Adds pattern: the labellers' votes as digits in base 3 (vote + 1, the first lowest)."""
 
     def make():
@@ -233,7 +233,7 @@ def fit(features: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, ra
     return weights, intercept
 
 
-def train(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST, terms: frozenset[str] = TOXIC) -> tuple[np.ndarray, float, np.ndarray]:
+def train(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST, terms: frozenset[str] = frozenset()) -> tuple[np.ndarray, float, np.ndarray]:
     """The scorer's weights and intercept, and the labellers' rates."""
     voted = vote_patterns(docs.select(text_of(text).alias("text")), "text", terms)
     counts = {r["pattern"]: r["count"] for r in voted.groupBy("pattern").count().collect()}
@@ -261,7 +261,7 @@ def train(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST, terms:
     return weights, intercept, rates
 
 
-def scored(docs: DataFrame, weights: np.ndarray, intercept: float, text: str = "text", keep: float = KEEP, terms: frozenset[str] = TOXIC) -> DataFrame:
+def scored(docs: DataFrame, weights: np.ndarray, intercept: float, text: str = "text", keep: float = KEEP, terms: frozenset[str] = frozenset()) -> DataFrame:
     """Adds quality (the probability of good) and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -283,7 +283,7 @@ def scored(docs: DataFrame, weights: np.ndarray, intercept: float, text: str = "
 
 
 def classify(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST, keep: float = KEEP, labels: DataFrame | None = None) -> DataFrame:
-    """docs with quality and kept; see the module. labels (doc_id, toxic), if given, add to the toxic terms."""
-    terms = TOXIC if labels is None else toxic_terms(docs, labels, text=text, fit_most=fit_most)
+    """docs with quality and kept; see the module. Toxic wording is looked for where labels (doc_id, toxic) are given."""
+    terms = frozenset() if labels is None else toxic_terms(docs, labels, text=text, fit_most=fit_most)
     weights, intercept, _ = train(docs, text, fit_most, terms)
     return scored(docs, weights, intercept, text, keep, terms)
