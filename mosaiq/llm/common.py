@@ -75,16 +75,50 @@ def list_array(values: np.ndarray, counts: list[int], kind: pa.DataType) -> pa.L
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; a local one only where the setting is unset."""
+    """A new folder under spark.checkpoint.dir, which all executors see; unset, a local folder serves a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, and survives the loss of an executor."""
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts the lineage, and survives the loss of an executor.
+
+    instead_of: an earlier result of this function that nothing else reads; its folder is removed once df is written.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        remove(instead_of)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def remove(df: DataFrame) -> None:
+    """Removes the folder of a result of cut, if it is one."""
+    path = df.__dict__.get("_written_to")
+    if path:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def row_keys(doc_id: Column, text: Column) -> list[Column]:
+    """Two 64-bit hashes that tell rows apart by id and text together; a null differs from any value.
+
+    Rows of one id with different texts have different keys; rows alike in both have the same.
+    """
+    null = F.when(text.isNull(), 0).otherwise(1)
+    return [F.xxhash64(doc_id, null, text), F.xxhash64(text, null, F.lit(1), doc_id)]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

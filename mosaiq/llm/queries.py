@@ -59,7 +59,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = substring_dedup.without_repeats(documents(spark, sf_dir))
+    cleaned = substring_dedup.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -1,23 +1,30 @@
 """Repeated passages by FM-indexes, one a shard, and documents without them.
 
-A window is a number of consecutive words. In each window the m-gram of words with
-the smallest hash is its anchor; neighbouring windows with one anchor make a
-segment. Equal windows have equal anchors, so segments are dealt by anchor, and only
-anchors that occur again matter. Of equal segments the first stands for all, and the
-others are covered whole. The different segments of an anchor may share windows:
-their words are indexed in the anchor's shard - a suffix array sorted as deep as a
-window, its Burrows-Wheeler transform, and a wavelet matrix with packed bits - and
+A window is a number of consecutive words. It is repeated if an equal one stands
+earlier: in a row of a smaller doc_id, or before it in the same row. What repeats
+within a row is settled where its text is read. For the rest, in each window the
+m-gram of words with the smallest hash is its anchor; neighbouring windows with one
+anchor make a segment. Equal windows have equal anchors, so segments are dealt by
+anchor, and only anchors that occur again matter. Of equal segments those of the
+smallest id stand for all, and the others are covered whole. The different segments
+of an anchor may share windows: their words are indexed in the anchor's shard - a
+suffix array sorted as deep as a window, its Burrows-Wheeler transform, and a wavelet
+matrix with packed bits; of the suffix array only each suffix's document stays - and
 every window is streamed through it by backward search. The matching statistic of
 each place, up to a window's length, and the interval of suffixes come from that; a
-window is repeated if its interval holds an earlier place.
-
-Memory: rows are streamed in sorted order, indexes are built over at most about CHUNK
-segments, and the segments of anchors with more than CHUNK different ones are dealt
-as single windows by their hash. Texts are shuffled by doc_id, never gathered.
-
-Defined results: null or empty text has no words; a null doc_id counts as the largest;
-rows that share a doc_id are one document, and equal places in them aren't earlier
-than each other; rows are never dropped.
+window is repeated if its interval holds a smaller document.
+
+Memory: rows are streamed in sorted order, indexes are built over at most about twice
+CHUNK segments. Anchors with more than CHUNK different segments aren't indexed: their
+single windows are grouped by a second hash to the smallest document, before the
+shuffle as far as tasks can, and joined back, which splits a frequent window among
+tasks. Texts are shuffled by row, never gathered.
+
+Defined results: null or empty text has no words; a null doc_id counts as the largest
+64-bit number; rows are told apart by id and text, so different texts under one id
+(or none) are judged each by itself and are not earlier than each other, and rows
+alike in both get the same result; rows are never dropped. Other columns stay;
+columns named as the new ones are replaced. Ids are integers.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Memo, cut, free_name
 
 WINDOW, GRAM = 20, 8
 CHUNK, SPREAD = 60_000, 1024
@@ -86,89 +93,124 @@ def segments_of(h: np.ndarray, rolling: Rolling, window: int, gram: int) -> tupl
     return grams[least[first]], rolling.runs(sums, first, first + count + window - 1), first, count
 
 
-def combined(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """For each segment 0, or a number over 0 if an equal one among these stands earlier; such numbers are spread evenly."""
-    order = np.lexsort((start, doc, content, anchor))
-    a, c, d, s = anchor[order], content[order], doc[order], start[order]
+def own_repeats(h: np.ndarray, rolling: Rolling, window: int) -> np.ndarray:
+    """For each window of a text: does an equal one stand before it in the same text?"""
+    n = len(h) - window + 1
+    at = np.arange(n)
+    hashes = rolling.runs(rolling.sums(h), at, at + window)
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    out = np.zeros(n, bool)
+    out[order[1:]] = ordered[1:] == ordered[:-1]
+    return out
+
+
+def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of true flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    return edges[::2], edges[1::2] - edges[::2]
+
+
+KEYS = ["anchor", "content", "doc", "row", "start", "windows"]
+
+
+def combined(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each segment 0, or a number over 0 if an equal one of a smaller doc is among these; such numbers are spread evenly."""
+    order = np.lexsort((doc, content, anchor))
+    a, c, d = anchor[order], content[order], doc[order]
     head = np.ones(len(order), bool)
     head[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
     first = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-    follows = ~head & ((d != d[first]) | (s != s[first]))
     spread = np.zeros(len(order), np.int32)
-    spread[order] = np.where(follows, 1 + np.arange(len(order)) % SPREAD, 0)
+    spread[order] = np.where(d != d[first], 1 + np.arange(len(order)) % SPREAD, 0)
     return spread
 
 
 def segments(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """anchor, content, doc, start, windows and spread of every segment of every text.
+    """The KEYS and spread of every segment of every text (doc, row, text).
 
-    Equal segments of one batch are combined before the shuffle: only the first of
-    them goes to its anchor's partition, the others are covered already and go to
-    any (spread over 0). So copies don't crowd a partition.
+    Equal segments of one batch are combined before the shuffle: only those of the
+    smallest doc go to their anchor's partition, the others are covered already and
+    go to any (spread over 0). So copies don't crowd a partition. Windows that repeat
+    within their text are sent as covered, and segments of such windows alone aren't
+    sent again: what they repeat stands for them.
     """
 
     def run(batches):
         rolling = Rolling()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parts: list[list[np.ndarray]] = [[] for _ in KEYS]
+            own: list[list[np.ndarray]] = [[] for _ in KEYS]
+            for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = (text or "").encode().split()
-                if len(words) >= window:
-                    anchor, content, start, count = segments_of(word_hashes(words), rolling, window, gram)
-                    for part, values in zip(parts, (anchor.view(np.int64), content.view(np.int64), np.full(len(start), doc), start.astype(np.int32), count.astype(np.int32)), strict=True):
+                if len(words) < window:
+                    continue
+                h = word_hashes(words)
+                anchor, content, start, count = segments_of(h, rolling, window, gram)
+                again = own_repeats(h, rolling, window)
+                if again.any():
+                    at, n = runs_of(again)
+                    zero = np.zeros(len(at), np.int64)
+                    for part, values in zip(own, (zero, zero, np.full(len(at), doc), np.full(len(at), row), at.astype(np.int32), n.astype(np.int32)), strict=True):
                         part.append(values)
-            if parts[0]:
-                columns = [np.concatenate(p) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, combined(*columns[:4]))], names=["anchor", "content", "doc", "start", "windows", "spread"])
+                    fresh = np.add.reduceat(~again, start) > 0
+                    anchor, content, start, count = anchor[fresh], content[fresh], start[fresh], count[fresh]
+                for part, values in zip(parts, (anchor.view(np.int64), content.view(np.int64), np.full(len(start), doc), np.full(len(start), row), start.astype(np.int32), count.astype(np.int32)), strict=True):
+                    part.append(values)
+            for found, covered in ((parts, False), (own, True)):
+                if found[0]:
+                    columns = [np.concatenate(p) for p in found]
+                    spread = 1 + np.arange(len(columns[0]), dtype=np.int32) % SPREAD if covered else combined(*columns[:3])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns, spread)], names=[*KEYS, "spread"])
 
-    return docs.select("doc", "text").mapInArrow(run, "anchor long, content long, doc long, start int, windows int, spread int")
+    return docs.select("doc", "row", "text").mapInArrow(run, "anchor long, content long, doc long, row long, start int, windows int, spread int")
 
 
 def again(found: DataFrame) -> DataFrame:
-    """The segments whose anchor occurs again; covered: an equal segment stands earlier.
+    """The segments whose anchor occurs again; covered: an equal segment stands in a smaller doc.
 
-    Rows come sorted, so each is judged by its neighbours and by the first of its equals, batch by batch.
+    Rows come sorted, so each is judged by its neighbours and by the first of its
+    equals, batch by batch; of rows alike in all (copies under one id) one is judged.
     """
 
     def run(batches):
-        names = ["anchor", "doc", "start", "windows", "covered"]
-        held = None  # the last row so far, which waits for the next
-        before = (None, None)  # anchor and content of the row before it
-        first = (None, None)  # doc and start of the first of its equals
+        names = ["anchor", "doc", "row", "start", "windows", "covered"]
+        held: list[np.ndarray] | None = None  # the last row so far, which waits for the next
+        before: tuple | None = None  # anchor, content and first doc of the row before it
 
         def judge(rows: list[np.ndarray], last: bool):
-            nonlocal held, before, first
-            anchor, content, doc, start, count = rows
+            nonlocal held, before
+            alike = np.ones(len(rows[0]), bool)
+            alike[0] = False
+            for r in rows:
+                alike[1:] &= r[1:] == r[:-1]
+            rows = [r[~alike] for r in rows]
+            anchor, content, doc, row, start, count = rows
             n = len(anchor)
             new_anchor = np.ones(n, bool)
             new_anchor[1:] = anchor[1:] != anchor[:-1]
             new = new_anchor.copy()
             new[1:] |= content[1:] != content[:-1]
-            if before[0] is not None and before[0] == anchor[0]:
+            if before is not None and before[0] == anchor[0]:
                 new_anchor[0], new[0] = False, before[1] != content[0]
             head = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            inside = head >= 0
-            first_doc = np.where(inside, doc[np.maximum(head, 0)], first[0] if first[0] is not None else 0)
-            first_start = np.where(inside, start[np.maximum(head, 0)], first[1] if first[1] is not None else 0)
+            first_doc = np.where(head >= 0, doc[np.maximum(head, 0)], before[2] if before is not None else 0)
             next_same = np.zeros(n, bool)
             next_same[:-1] = ~new_anchor[1:]
-            covered = ~new & ((doc != first_doc) | (start != first_start))
-            keep = (~new_anchor | next_same) & (new | covered)
-            end = n if last else n - 1
-            keep[end:] = False
+            keep = ~new_anchor | next_same
             if not last:
+                keep[-1] = False
                 held = [r[-1:] for r in rows]
                 if n > 1:
-                    before = (anchor[-2], content[-2])
-                    first = (first_doc[-2], first_start[-2])
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, doc, start, count, covered)], names=names)
+                    before = (anchor[-2], content[-2], first_doc[-2])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, doc, row, start, count, doc > first_doc)], names=names)
 
         for batch in batches:
-            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
             follows = rows.pop() > 0
             if follows.any():
-                anchor, _, doc, start, count = (r[follows] for r in rows)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, doc, start, count, np.ones(len(doc), bool))], names=names)
+                anchor, _, doc, row, start, count = (r[follows] for r in rows)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, doc, row, start, count, np.ones(len(doc), bool))], names=names)
                 rows = [r[~follows] for r in rows]
             if len(rows[0]):
                 if held is not None:
@@ -177,8 +219,8 @@ def again(found: DataFrame) -> DataFrame:
         if held is not None:
             yield from judge(held, True)
 
-    ordered = found.repartition("anchor", "spread").sortWithinPartitions("anchor", "content", "doc", "start")
-    return ordered.mapInArrow(run, "anchor long, doc long, start int, windows int, covered boolean")
+    ordered = found.repartition("anchor", "spread").sortWithinPartitions("anchor", "content", "doc", "row", "start")
+    return ordered.mapInArrow(run, "anchor long, doc long, row long, start int, windows int, covered boolean")
 
 
 class WaveletMatrix:
@@ -215,9 +257,12 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Over the words of a shard's segments; symbol 0 ends each segment. Patterns up to depth words are found."""
+    """Over the words of a shard's segments; symbol 0 ends each segment. Patterns up to depth words are found.
+
+    of: a number for each place of the text; in the order of the suffixes it takes the place of the suffix array.
+    """
 
-    def __init__(self, text: np.ndarray, size: int, depth: int):
+    def __init__(self, text: np.ndarray, size: int, depth: int, of: np.ndarray):
         n = len(text)
         rank, k = text.astype(np.int64), 1
         order = np.argsort(rank, kind="stable")
@@ -230,7 +275,7 @@ class FmIndex:
             rank = np.zeros(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
             k *= 2
-        self.suffixes = order
+        self.of = of[order]
         self.starts = np.zeros(size + 1, np.int64)
         np.cumsum(np.bincount(text, minlength=size), out=self.starts[1:])
         bwt = text[order - 1]
@@ -262,8 +307,8 @@ class FmIndex:
         return length, lo, hi
 
 
-def repeated_windows(texts: list[str], doc: np.ndarray, start: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
-    """Of the windows of a shard's segments, one after the other: does an equal one stand earlier (smaller doc, or same doc and smaller start)?"""
+def repeated_windows(texts: list[str], doc: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
+    """Of the windows of a shard's segments, one after the other: does an equal one stand in a smaller doc?"""
     ids: dict[bytes, int] = {}
     symbols: list[int] = []
     for t in texts:
@@ -273,109 +318,141 @@ def repeated_windows(texts: list[str], doc: np.ndarray, start: np.ndarray, count
     sizes = count + window  # words and the end
     heads = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(count)), count)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    places = heads[owner] + offset
-    by_place = np.lexsort((start[owner] + offset, doc[owner]))
-    later = np.zeros(len(owner), bool)
-    d, s = doc[owner][by_place], (start[owner] + offset)[by_place]
-    later[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1])
-    rank = np.zeros(len(owner), np.int64)
-    rank[by_place] = np.cumsum(later)
-    index = FmIndex(text, len(ids) + 1, window)
+    places = heads[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    _, rank = np.unique(doc, return_inverse=True)
+    none = len(doc)
+    of = np.full(len(text), none, np.int32)
+    of[places] = rank[owner]
+    index = FmIndex(text, len(ids) + 1, window, of)
     length, lo, hi = index.statistics(text, places + window, window)
     full = np.flatnonzero(length == window)
-    if not len(full):
-        return np.zeros(len(owner), bool)
-    order_of = np.full(len(text), len(owner), np.int64)
-    order_of[places] = rank
-    intervals = np.unique(np.stack([lo[full], hi[full]], axis=1), axis=0)
-    earliest = np.minimum.reduceat(np.append(order_of[index.suffixes], len(owner)), intervals.ravel())[::2]
     out = np.zeros(len(owner), bool)
-    out[full] = earliest[np.searchsorted(intervals[:, 0], lo[full])] < rank[full]
+    if len(full):
+        intervals = np.unique(np.stack([lo[full], hi[full]], axis=1), axis=0)
+        earliest = np.minimum.reduceat(np.append(index.of, none), intervals.ravel())[::2]
+        out[full] = earliest[np.searchsorted(intervals[:, 0], lo[full])] < rank[owner[full]]
     return out
 
 
 def indexed(found: DataFrame, window: int) -> DataFrame:
-    """doc, start and windows of the repeated windows among segments (anchor, part, doc, start, windows, words), shard by shard."""
+    """doc, row, start and windows of the repeated windows among segments (anchor, doc, row, start, windows, words), shard by shard."""
+    names = ["doc", "row", "start", "windows"]
 
     def shard(rows: pa.Table):
-        doc, start, count = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "windows"))
-        flags = repeated_windows(rows.column("words").to_pylist(), doc, start, count, window)
+        doc, row, start, count = (rows.column(c).to_numpy().astype(np.int64) for c in names)
+        flags = repeated_windows(rows.column("words").to_pylist(), doc, count, window)
         owner = np.repeat(np.arange(len(count)), count)
         place = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         head = flags & ~(np.concatenate([[False], flags[:-1]]) & np.concatenate([[False], owner[1:] == owner[:-1]]))
         run = np.cumsum(head)[flags] - 1
-        return pa.RecordBatch.from_arrays([pa.array(doc[owner][head]), pa.array(place[head].astype(np.int32)), pa.array(np.bincount(run, minlength=int(head.sum())).astype(np.int32))], names=["doc", "start", "windows"])
+        sizes = np.bincount(run, minlength=int(head.sum())).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(doc[owner][head]), pa.array(row[owner][head]), pa.array(place[head].astype(np.int32)), pa.array(sizes)], names=names)
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        n = 0
+        held: list[pa.Table] = []
+        n, last = 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            n += batch.num_rows
-            if n >= CHUNK:
-                table = pa.Table.from_batches(held)
-                key = [table.column(c).to_numpy() for c in ("anchor", "part")]
-                ends = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1
+            table = pa.Table.from_batches([batch])
+            keys = [table.column(c).to_numpy() for c in ("anchor", "doc", "row", "start")]
+            alike = np.ones(len(keys[0]), bool)  # copies under one id send the same segments
+            for k, key in enumerate(keys):
+                alike[1:] &= key[1:] == key[:-1]
+                alike[0] &= last is not None and last[k] == key[0]
+            anchor, before = keys[0], last
+            last = tuple(key[-1] for key in keys)
+            if n >= CHUNK:  # a shard ends where an anchor does
+                ends = np.flatnonzero(anchor != before[0])
                 if len(ends):
-                    yield shard(table.slice(0, int(ends[-1])))
-                    held = table.slice(int(ends[-1])).to_batches()
-                    n = sum(b.num_rows for b in held)
-        if held:
-            yield shard(pa.Table.from_batches(held))
+                    cut_at = int(ends[0])
+                    held.append(table.slice(0, cut_at).filter(pa.array(~alike[:cut_at])))
+                    yield shard(pa.concat_tables(held))
+                    table, alike, held, n = table.slice(cut_at), alike[cut_at:], [], 0
+            held.append(table.filter(pa.array(~alike)))
+            n += held[-1].num_rows
+        if n:
+            yield shard(pa.concat_tables(held))
 
-    ordered = found.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return ordered.mapInArrow(run, "doc long, start int, windows int")
+    ordered = found.repartition("anchor").sortWithinPartitions("anchor", "doc", "row", "start")
+    return ordered.mapInArrow(run, "doc long, row long, start int, windows int")
 
 
-def segment_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """anchor, part, doc, start, windows and words of the wanted segments (anchor, doc, start, windows, parts).
+def pieces(docs: DataFrame, wanted: DataFrame, window: int, single: bool) -> DataFrame:
+    """The wanted segments (anchor, doc, row, start, windows) with their words; single: their windows one by one, with a hash for the words.
 
-    With parts over 1 a segment becomes its windows, each dealt by its hash to one of the parts.
+    Rows alike in id and text hold the same segments: a task sends each of the last ones it met once.
     """
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "windows", "parts")).alias("wanted"))  # as many as the document has segments
+    per_row = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("wanted"))  # as many as the row has segments
+    last = ("hash", pa.int64(), "long") if single else ("words", pa.string(), "string")
+    names = ["anchor", "doc", "row", "start", "windows", last[0]]
+
+    def batch_of(out: tuple[list, ...]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), last[1])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     def run(batches):
+        met = Memo(lambda key: False, 50_000)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, text, rows in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, row, text, rows in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if met[doc, row]:
+                    continue
+                met[doc, row] = True
                 words = (text or "").encode().split()
                 for r in rows:
-                    a, n, parts = r["start"], r["windows"], r["parts"]
-                    pieces = [(a, n)] if parts <= 1 else [(a + k, 1) for k in range(n)]
-                    for start, count in pieces:
-                        if start + count + window - 1 <= len(words):
-                            piece = b" ".join(words[start : start + count + window - 1])
-                            part = 0 if parts <= 1 else xxhash.xxh64_intdigest(piece) % parts
-                            for column, value in zip(out, (r["anchor"], part, doc, start, count, piece.decode()), strict=True):
-                                column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["anchor", "part", "doc", "start", "windows", "words"])
+                    a, n = r["start"], r["windows"]
+                    for start, count in [(a + k, 1) for k in range(n)] if single else [(a, n)]:
+                        piece = b" ".join(words[start : start + count + window - 1])
+                        value = xxhash.xxh64_intdigest(piece, 9) - (1 << 63) if single else piece.decode()
+                        for column, x in zip(out, (r["anchor"], doc, row, start, count, value), strict=True):
+                            column.append(x)
+                if len(out[0]) >= 10_000:
+                    yield batch_of(out)
+                    out = ([], [], [], [], [], [])
+            if out[0]:
+                yield batch_of(out)
+
+    return docs.join(per_row, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(run, f"anchor long, doc long, row long, start int, windows int, {last[0]} {last[2]}")
+
 
-    return docs.join(per_doc, "doc").select("doc", "text", "wanted").mapInArrow(run, "anchor long, part long, doc long, start int, windows int, words string")
+def frequent(windows: DataFrame) -> DataFrame:
+    """doc, row, start and windows of those single windows (anchor, hash, doc, row, start, windows) that also stand in a smaller doc."""
+    least = windows.groupBy("anchor", "hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    return windows.join(least, ["anchor", "hash"]).where("doc > least").select("doc", "row", "start", "windows")
 
 
 def covered_runs(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc, start and windows: runs of windows that stand earlier, for keyed (doc, text)."""
+    """doc, row, start and windows: runs of windows that stand earlier, for keyed (doc, row, text)."""
     met = cut(again(segments(keyed, window, gram)))
     firsts = met.where("not covered")
-    many = firsts.groupBy("anchor").count().where(F.col("count") > CHUNK).select("anchor", F.ceil(F.col("count") * window / CHUNK).alias("many"))
-    wanted = firsts.join(many, "anchor", "left").select("anchor", "doc", "start", "windows", F.coalesce("many", F.lit(1)).alias("parts"))
-    fresh = indexed(segment_words(keyed, wanted, window), window)
-    return met.where("covered").select("doc", "start", "windows").union(fresh)
+    many = cut(firsts.groupBy("anchor").count().where(F.col("count") > CHUNK).select("anchor"))
+    fresh = indexed(pieces(keyed, firsts.join(many, "anchor", "left_anti"), window, False), window)
+    runs = met.where("covered").select("doc", "row", "start", "windows").union(fresh)
+    if many.isEmpty():
+        return runs
+    return runs.union(frequent(pieces(keyed, firsts.join(many, "anchor"), window, True)))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text and removed (array<struct<start,end>> in words) of every document."""
-    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("doc"), F.col(text).alias("text"))
-    runs = covered_runs(keyed, window, gram).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))  # as many as the document has segments
+    """docs with n_words, n_removed, kept_text and removed (array<struct<start,end>> in words), but for the text itself."""
+    new = ["n_words", "n_removed", "kept_text", "removed"]
+    ours = [c for c in docs.columns if c not in (*new, text)]
+    order, key = free_name(docs, "doc"), free_name(docs, "row")
+    named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias(order), F.xxhash64(F.col(doc_id).isNull(), text).alias(key), F.col(text).alias(free_name(docs, "said")), *[F.col(f"`{c}`") for c in ours])
+    keyed = named.select(F.col(order).alias("doc"), F.col(key).alias("row"), F.col(named.columns[2]).alias("text"))
+    runs = covered_runs(keyed, window, gram).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))  # as many as the row has segments
+    joined = named.join(runs.withColumnsRenamed({"doc": "__doc", "row": "__row", "runs": "__runs"}), (F.col(order) == F.col("__doc")) & (F.col(key) == F.col("__row")), "left")
+    sent = joined.select(named.columns[2], "__runs", *[F.col(f"`{c}`") for c in ours])
+    schema = sent.select(*[F.col(f"`{c}`") for c in ours]).schema
+    for field in docs.sparkSession.createDataFrame([], "n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>").schema:
+        schema = schema.add(field)
+    names = [*ours, *new]
 
     def run(batches):
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            out: tuple[list, ...] = ([], [], [], [])
+            for text, found in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
                 words = (text or "").encode().split()
                 n = len(words)
                 spans: list[dict] = []
@@ -384,23 +461,20 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 if found:
                     edges = np.zeros(n + 1, np.int32)
                     for r in found:
-                        if r["start"] < n:
-                            edges[r["start"]] += 1
-                            edges[min(n, r["start"] + r["windows"] + window - 1)] -= 1
+                        edges[r["start"]] += 1
+                        edges[r["start"] + r["windows"] + window - 1] -= 1
                     mask = np.cumsum(edges[:-1]) > 0
                     gone = int(np.count_nonzero(mask))
-                    turns = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-                    spans = [{"start": a, "end": b} for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+                    starts, sizes = runs_of(mask)
+                    spans = [{"start": a, "end": a + k} for a, k in zip(starts.tolist(), sizes.tolist(), strict=True)]
                     kept, at = [], 0
                     for s in spans:
                         kept += words[at : s["start"]]
                         at = s["end"]
                     kept += words[at:]
-                for column, value in zip(out, (doc, n, gone, b" ".join(kept).decode(), spans), strict=True):
+                for column, value in zip(out, (n, gone, b" ".join(kept).decode(), spans), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc", "n_words", "n_removed", "kept_text", "removed"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names)
 
-    joined = keyed.join(runs, "doc", "left").select("doc", "text", "runs")
-    cleaned = joined.mapInArrow(run, "doc long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>")
-    return cleaned.select(F.nullif("doc", F.lit(LAST_ID)).alias("doc_id"), "n_words", "n_removed", "kept_text", "removed")
+    return sent.mapInArrow(run, schema)

@@ -77,15 +77,25 @@ def components(ids, links):
 
 
 def repeated_passages(docs, window=20):
-    """docs: (doc_id, text); returns doc_id -> (n_words, n_removed, digest of the kept words)."""
-    words = {i: WORD.findall(t or "") for i, t in sorted(docs)}
-    seen, out = set(), {}
-    for i, w in words.items():
-        gone = set()
+    """docs: rows (doc_id, text), ids may be null or repeated; returns for each row (doc_id, n_words, n_removed, digest of the kept words), sorted.
+
+    A window is repeated if it stands in a row of a smaller id (null: the largest), or before in its own row.
+    """
+    last = (1 << 63) - 1
+    order = lambda i: last if i is None else i
+    words = [WORD.findall(t or "") for _, t in docs]
+    least = {}
+    for (i, _), w in zip(docs, words, strict=True):
         for k in range(len(w) - window + 1):
             key = tuple(w[k : k + window])
-            if key in seen:
+            least[key] = min(order(i), least.get(key, last))
+    out = []
+    for (i, _), w in zip(docs, words, strict=True):
+        gone, own = set(), set()
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            if key in own or least[key] < order(i):
                 gone.update(range(k, k + window))
-            seen.add(key)
-        out[i] = (len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))
-    return out
+            own.add(key)
+        out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return sorted(out, key=lambda r: (order(r[0]), r[1:]))
