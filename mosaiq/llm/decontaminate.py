@@ -3,23 +3,31 @@
 Each word becomes a canonical token: numbers, units after numbers, and capitalised
 words inside a sentence become typed placeholders, other words lose their case and
 outer punctuation. Windows of consecutive tokens are hashed, and the documents'
-windows are joined with the benchmark's. Where a window has placeholders, the
-values that filled them are kept: over one alignment of a document with an item,
-each value of the item must always stand against the same value of the document.
-A document is contaminated when consistent windows cover enough of an item.
-
-Documents only emit windows whose neighbouring pairs of tokens all stand in the
-benchmark; this filter is broadcast while the benchmark's words are at most
-filter_most, and beyond that all windows are joined.
-
-Defined results: null or empty text has no windows, in documents as in items; an
-item shorter than a window is one window; items of equal text count as the one
-with the smallest id; documents with the same doc_id (null included) share a verdict.
+windows are joined with the benchmark's. Where a window has placeholders, the values
+that filled them are kept, without case, outer punctuation and possessive endings.
+Over one alignment of a document with an item each value of the item stands for the
+value of the document that it meets at most places (of several, itself, else the
+least); windows where it meets another one don't count. A document is contaminated
+when the windows that count cover enough of an item.
+
+An item of fewer words than a window is one window; of fewer than MIN_WINDOW words,
+its values must be the document's own, as placeholders alone would meet any number.
+
+Documents send only windows that a bitmap of the benchmark's windows lets pass. The
+bitmap is of bounded size, at most BITS_MOST bits, and lets pass more than it should,
+never less; the join then settles it, so the result doesn't depend on its size.
+
+Defined results: null or empty text has no windows, in documents as in items; items
+of equal text count as the one with the smallest id; rows are judged by id and text,
+so rows of one id (or none) with different texts have verdicts of their own, and
+rows alike in both the same; rows are never dropped by judged. Columns of docs named
+as the new ones are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, cut, row_keys
 
 WINDOW, MIN_WINDOW, MIN_COVER = 8, 4, 0.5
-FILTER_MOST = 4_000_000
+BITS_LEAST, BITS_MOST = 1 << 16, 1 << 27
+ROWS_AT_ONCE = 20_000
 
 # Units that may follow a number.
 UNITS = frozenset("kg g mg km m cm mm mi ft in lb oz l ml s sec min h hr hrs hours hour minutes days day years year % $ € £ usd eur dollars euros cents meters metres miles km/h mph".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 OUTER = re.compile(r"^[^\w$€£%+-]+|[^\w%$€£]+$")
+OWNED = re.compile(r"['’]s$")
 CAPITAL, ENDS, NUMERIC, UNIT = 1, 2, 4, 8
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,111 +84,161 @@ def canonical(packed: np.ndarray) -> np.ndarray:
     return np.where(flag(CAPITAL) & inside & ~flag(NUMERIC), NAME, codes).astype(np.uint64)
 
 
-def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    n = len(codes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.full(n, size, np.uint64)
-    for k in range(size):
-        h = h * STEP + codes[k : k + n]
-    return h
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
 
-def pair_hashes(codes: np.ndarray) -> np.ndarray:
-    return codes[:-1] * STEP + codes[1:]
+def window_hashes(codes: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """By size the hashes of all windows of so many tokens."""
+    out = {}
+    h = np.zeros(len(codes), np.uint64)
+    for size in range(1, min(max(sizes, default=0), len(codes)) + 1):
+        n = len(codes) - size + 1
+        h = h[:n] * STEP + codes[size - 1 : size - 1 + n]
+        if size in sizes:
+            out[size] = mixed(h + np.uint64(size))
+    return out
 
 
 SLOTS = np.array([NUM, NAME, MEASURE], dtype=np.uint64)
 
 
-def windows_of(words: list[bytes], packed: np.ndarray, sizes: list[int], pairs: np.ndarray | None) -> list[tuple[int, int, int, list[bytes]]]:
-    """(size, place, hash, slot values) of the text's windows; pairs: the sorted hashes of the pairs that may stand in one."""
+def slot_value(raw: bytes) -> str:
+    """A word as the value of a placeholder."""
+    return OWNED.sub("", OUTER.sub("", raw.decode("utf-8", "replace"))).lower()
+
+
+def windows_of(words: list[bytes], packed: np.ndarray, sizes: list[int], bits: np.ndarray | None):
+    """(size, place, hash, slots) of the text's windows, where slots are (offset, value); bits: the bitmap of hashes that may pass."""
     codes = canonical(packed)
-    slots = np.isin(codes, SLOTS)
-    out = []
-    if pairs is not None and len(codes) > 1:
-        h = pair_hashes(codes)
-        at = np.searchsorted(pairs, h)
-        good = pairs[np.minimum(at, len(pairs) - 1)] == h if len(pairs) else np.zeros(len(h), bool)
-        bad = np.concatenate([[0], np.cumsum(~good)])
-    for size in sizes:
-        n = len(codes) - size + 1
-        if n <= 0:
-            continue
-        if pairs is not None and size > 1:
-            starts = np.flatnonzero(bad[size - 1 : size - 1 + n] == bad[:n])
-            if not len(starts):
-                continue
-        else:
-            starts = np.arange(n)
-        h = window_hashes(codes, size)[starts].view(np.int64)
-        for s, x in zip(starts.tolist(), h.tolist(), strict=True):
-            out.append((size, s, x, [words[k].decode("utf-8", "replace") for k in range(s, s + size) if slots[k]]))
-    return out
+    at = np.flatnonzero(np.isin(codes, SLOTS))
+    for size, h in window_hashes(codes, sizes).items():
+        starts = np.arange(len(h))
+        if bits is not None:
+            place = h & np.uint64(len(bits) * 64 - 1)
+            starts = np.flatnonzero(bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+        for s, x in zip(starts.tolist(), h[starts].view(np.int64).tolist(), strict=True):
+            of = at[np.searchsorted(at, s) : np.searchsorted(at, s + size)].tolist()
+            yield size, s, x, [{"at": k - s, "value": slot_value(words[k])} for k in of]
 
 
-def window_rows(texts: DataFrame, key: str, sizes: list[int] | None, pairs: np.ndarray | None) -> DataFrame:
-    """key, size, place, hash, slots; sizes None: one size a text, the window's or the text's own."""
-    shared = texts.sparkSession.sparkContext.broadcast((sizes, pairs))
+WINDOWS = [("size", pa.int32()), ("place", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())])))]
+
+
+def window_rows(texts: DataFrame, sizes: list[int] | None = None, bits: np.ndarray | None = None) -> DataFrame:
+    """The keys of texts (all columns but the last, the text) with size, place, hash and slots of its windows.
+
+    sizes None: one size a text, the window's or the text's own.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((sizes, bits))
+    keys = texts.columns[:-1]
 
     def run(batches):
         memo = Memo(read_word)
         wanted, allowed = shared.value
+        rows: list[list] = [[] for _ in WINDOWS]
+        owner: list[int] = []
+
+        def flushed(batch):
+            taken = [batch.column(k).take(pa.array(owner, pa.int64())) for k in range(len(keys))]
+            out = pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, (_, t) in zip(rows, WINDOWS, strict=True))], names=[*keys, *(n for n, _ in WINDOWS)])
+            for c in (*rows, owner):
+                c.clear()
+            return out
+
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, text in enumerate(batch.column(len(keys)).to_pylist()):
                 words = (text or "").encode().split()
+                if not words:
+                    continue
                 packed = np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
-                own = wanted if wanted is not None else [min(WINDOW, len(words))] if len(words) >= MIN_WINDOW else []
-                for size, place, h, slots in windows_of(words, packed, own, allowed):
-                    for column, value in zip(rows, (k, size, place, h, slots), strict=True):
+                for window in windows_of(words, packed, wanted if wanted is not None else [min(WINDOW, len(words))], allowed):
+                    owner.append(k)
+                    for column, value in zip(rows, window, strict=True):
                         column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], names=[key, "size", "place", "hash", "slots"])
-
-    return texts.mapInArrow(run, f"{key} long, size int, place int, hash long, slots array<string>")
-
+                    if len(owner) >= ROWS_AT_ONCE:
+                        yield flushed(batch)
+            if owner:
+                yield flushed(batch)
+
+    schema = texts.select(*keys).schema
+    for field in texts.sparkSession.createDataFrame([], "size int, place int, hash long, slots array<struct<at:int,value:string>>").schema:
+        schema = schema.add(field)
+    return texts.mapInArrow(run, schema)
+
+
+def bitmap(theirs: DataFrame, least: int = BITS_LEAST, most: int = BITS_MOST) -> np.ndarray:
+    """A bit for each hash, by its lowest bits: about 32 a window, within the bounds. Its words are put together by Spark."""
+    n = theirs.count()
+    size = min(most, max(least, 1 << (32 * n).bit_length()))
+    place = F.col("hash").bitwiseAND(F.lit(size - 1))
+    words = theirs.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(size // 64, np.uint64)
+    found = words.toPandas()  # at most size / 64 rows
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
 
-def benchmark_pairs(items: DataFrame) -> np.ndarray:
-    """The sorted hashes of all pairs of neighbouring tokens; the caller has checked the number of words."""
 
-    def run(batches):
-        memo = Memo(read_word)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = text.encode().split()
-                packed = np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(pair_hashes(canonical(packed))).view(np.int64))], names=["pair"])
+def agreeing(windows: list[tuple[int, int, list[tuple[int, str, str]]]], exact: bool) -> tuple[list[int], int | None]:
+    """Of an alignment's windows (item_place, place, values) those that count, as places in the item, and the first place in the document.
 
-    found = items.where("text is not null").select("text").mapInArrow(run, "pair long").distinct().toPandas()["pair"].to_numpy(dtype=np.int64)
-    return np.sort(found.view(np.uint64))
+    values: (place in the item, the item's value, the document's value).
+    """
+    votes: dict[str, Counter[str]] = {}
+    for at, theirs, ours in {v for _, _, values in windows for v in values}:
+        votes.setdefault(theirs, Counter())[ours] += 1
+    stands = {theirs: min(found, key=lambda x: (-found[x], x != theirs, x)) for theirs, found in votes.items()}
+    good = [w for w in windows if all(ours == theirs or (not exact and ours == stands[theirs]) for _, theirs, ours in w[2])]
+    return sorted({w[0] for w in good}), min((w[1] for w in good), default=None)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, filter_most: int = FILTER_MOST) -> DataFrame:
-    """doc_id, item_id, cover (share of the item's windows that stand consistently in the document) and first_word."""
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """key1, key2 (see row_keys), item_id, cover (share of the item's windows that stand in the row and count) and first_word."""
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text")
-    n_words = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
-    theirs = window_rows(items, "item_id", None, None).withColumnsRenamed({"place": "item_place", "slots": "item_slots", "size": "item_size", "hash": "item_hash"}).persist()
+    theirs = cut(window_rows(items).withColumnsRenamed({"place": "item_place", "slots": "item_slots", "size": "item_size"}))
     sizes = sorted(r[0] for r in theirs.select("item_size").distinct().collect())  # at most as many as a window has tokens
-    pairs = benchmark_pairs(items) if n_words <= filter_most else None
-    ours = window_rows(docs.select("doc_id", "text"), "doc_id", sizes, pairs)
-    met = ours.join(theirs, (F.col("size") == F.col("item_size")) & (F.col("hash") == F.col("item_hash")))
-    aligned = met.select("doc_id", "item_id", "item_place", "place", (F.col("place") - F.col("item_place")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("values"))
-    by_shift = aligned.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_place").alias("places"), F.min("place").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
-    consistent = F.size(F.array_distinct(F.transform("values", lambda v: v["item_slots"]))) == F.size("values")
+    key1, key2 = row_keys(F.col(doc_id), F.col(text))
+    ours = window_rows(docs.select(key1.alias("key1"), key2.alias("key2"), F.col(text).alias("text")), sizes, bitmap(theirs)).withColumnRenamed("hash", "met")
+    same = (F.col("met") == F.col("hash")) & (F.col("size") == F.col("item_size")) & (F.size("slots") == F.size("item_slots"))
+    values = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct((F.col("item_place") + z["item_slots"]["at"]).alias("at"), z["item_slots"]["value"].alias("theirs"), z["slots"]["value"].alias("ours")))
+    met = ours.join(theirs, same).select("key1", "key2", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "size", F.struct("item_place", "place", values.alias("values")).alias("window"))
+    aligned = met.groupBy("key1", "key2", "item_id", "shift").agg(F.min("size").alias("size"), F.collect_set("window").alias("windows"))  # at most as many as the item has
+
+    def run(batches):
+        for batch in batches:
+            places, firsts = [], []
+            for size, windows in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                read = [(w["item_place"], w["place"], [(v["at"], v["theirs"], v["ours"]) for v in w["values"]]) for w in windows]
+                found, first = agreeing(read, size < MIN_WINDOW)
+                places.append(found)
+                firsts.append(first)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.list_(pa.int32())), pa.array(firsts, pa.int32())], names=["key1", "key2", "item_id", "places", "first_word"])
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    counted = aligned.select("key1", "key2", "item_id", "size", "windows").mapInArrow(run, f"key1 long, key2 long, item_id {kind}, places array<int>, first_word int")
+    covered = counted.groupBy("key1", "key2", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"), F.min("first_word").alias("first_word"))
     whole = theirs.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
-    covered = by_shift.where(consistent).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"), F.min("first_word").alias("first_word"))
-    return covered.join(F.broadcast(whole) if pairs is not None else whole, "item_id").select("doc_id", "item_id", (F.col("found") / F.col("windows")).alias("cover"), "first_word")
+    return covered.join(whole, "item_id").select("key1", "key2", "item_id", (F.col("found") / F.col("windows")).alias("cover"), "first_word")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """key1, key2, items (array, ascending) and cover of the rows that hold benchmark items; written, so that its size is known to joins."""
+    held = matches(docs, benchmark, doc_id, text).where(F.col("cover") >= min_cover)
+    return cut(held.groupBy("key1", "key2").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("cover").alias("cover")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
-    """doc_id, items (array<long>) and cover of the documents that hold benchmark items; one row a doc_id."""
-    held = matches(docs, benchmark).where(F.col("cover") >= min_cover)
-    return held.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("cover").alias("cover"))
+def judged(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with contaminated, items and cover (null where none is held)."""
+    hits = contaminated(docs, benchmark, min_cover, doc_id, text).withColumnsRenamed({"key1": "__key1", "key2": "__key2"})
+    kept = docs.drop("contaminated", "items", "cover")
+    keys = row_keys(F.col(doc_id), F.col(text))
+    joined = kept.join(hits, (keys[0] == F.col("__key1")) & (keys[1] == F.col("__key2")), "left")
+    return joined.withColumn("contaminated", F.col("__key1").isNotNull()).drop("__key1", "__key2")
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER) -> DataFrame:
-    """docs with contaminated, items and cover."""
-    hits = contaminated(docs, benchmark, min_cover).withColumnRenamed("doc_id", "__hit").withColumn("__found", F.lit(True))
-    joined = docs.drop("items", "cover", "contaminated").join(hits, F.col("doc_id").eqNullSafe(F.col("__hit")), "left")
-    return joined.withColumn("contaminated", F.col("__found").isNotNull()).drop("__hit", "__found")
+def clean(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that hold no item, with their columns as they are."""
+    hits = contaminated(docs, benchmark, min_cover, doc_id, text).select(F.col("key1").alias("__key1"), F.col("key2").alias("__key2"))
+    keys = row_keys(docs[doc_id], docs[text])
+    return docs.join(hits, (keys[0] == F.col("__key1")) & (keys[1] == F.col("__key2")), "left_anti")

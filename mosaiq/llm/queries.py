@@ -47,10 +47,8 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a document; item_id: the smallest of the items that it holds."""
-    docs, benchmark = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contaminated(docs, benchmark).withColumnRenamed("doc_id", "hit")
-    judged = docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("hit")), "left")
-    return judged.select("doc_id", F.col("hit").isNotNull().alias("contaminated"), F.get("items", F.lit(0)).alias("item_id"), F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
+    judged = decontaminate.judged(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return judged.select("doc_id", "contaminated", F.get("items", F.lit(0)).alias("item_id"), F.coalesce(F.size("items"), F.lit(0)).alias("n_items"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
