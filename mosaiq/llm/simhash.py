@@ -1,19 +1,25 @@
 """SimHash fingerprints, and groups of near copies by the generalised pigeonhole principle.
 
-The 64 bits are dealt into partitions, correlated bits together. Two fingerprints
-within distance t of each other are, for any thresholds of the partitions that sum
-to t - partitions + 1, within the threshold of at least one partition. So each
-fingerprint chooses its own thresholds: dynamic programming over the partitions
-minimises the probes plus the candidates that counts of partition prefixes lead to
-expect. It probes the values within each threshold; what is met there is verified
-by its whole distance. Linked fingerprints form components by the smallest id.
-
-Copies share one fingerprint and are one node from the start, so only links between
-different fingerprints are made, each once, from its smaller end.
-
-Defined results: null or empty text has fingerprint zero, linked like any other;
-rows are never dropped, a repeated or null id is a member like any other (nulls are
-never the smallest id unless a component has no other).
+The 64 bits are dealt into partitions, correlated bits together; their number follows
+from the number of fingerprints. Two fingerprints within distance t of each other are,
+for any thresholds of the partitions that sum to t - partitions + 1, within the
+threshold of at least one partition. So each fingerprint chooses its own thresholds:
+dynamic programming over the partitions minimises the probes plus the candidates that
+counts of partition prefixes lead to expect. It probes the values within each
+threshold; what is met there is verified by its whole distance. Linked fingerprints
+form components.
+
+Copies share one fingerprint and are one node from the start. First the fingerprints
+of a bucket (equal in one partition) are verified against the bucket's commonest one,
+which unites large groups of near copies by as many links as they have members. Then
+everything is probed, but a probe of a bucket whose fingerprints all are of the
+probe's own component is left out, and only links between components are kept. So no
+link that could join two components is lost, and a group doesn't emit all its pairs.
+
+Defined results: null or empty text has fingerprint zero, linked like any other; rows
+are never dropped, a repeated or null id is a member like any other; a component's id
+is the smallest of its documents, null if none has one. Sharing an id links nothing.
+Other columns than the text stay; columns named fp or component_id are replaced.
 """
 
 from __future__ import annotations
@@ -27,26 +33,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, free_name, map_texts, remove
 
-SHINGLE, SEED, DISTANCE, PARTITIONS = 4, 42, 4, 3
+SHINGLE, SEED, DISTANCE = 4, 42, 4
+PROBES_A_TASK = 16_384  # fingerprints that a task probes
 PREFIX = 12
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def shingle_hashes(text: str) -> np.ndarray:
+def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     words = text.encode().translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(words) < SHINGLE:
+    if len(words) < size:
         shingles = [b" ".join(words)]
     else:
-        shingles = list(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False)))
+        shingles = list(map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)))
     return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=len(shingles))
 
 
-def fingerprint(text: str) -> int:
-    h = shingle_hashes(text)
+def fingerprint(h: np.ndarray) -> int:
+    """Of the hashes of shingles, repeats included."""
     if not len(h):
         return 0
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -55,10 +62,26 @@ def fingerprint(text: str) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFrame:
     """Adds the fingerprint as a signed 64-bit number."""
-    return map_texts(docs, lambda: lambda texts: [pa.array([fingerprint(t) for t in texts], pa.int64())], f"`{out}` long", text)
+    return map_texts(docs, lambda: lambda texts: [pa.array([fingerprint(shingle_hashes(t)) for t in texts], pa.int64())], f"`{out}` long", text)
 
 
-def bit_groups(nodes: DataFrame, parts: int = PARTITIONS) -> list[list[int]]:
+def even_thresholds(distance: int, parts: int) -> list[int]:
+    total = distance - parts + 1
+    return [total // parts + (k < total % parts) for k in range(parts)]
+
+
+def best_parts(n: int, distance: int = DISTANCE) -> int:
+    """So many partitions that probes and candidates of n fingerprints are fewest, were their bits even."""
+
+    def cost(parts: int) -> float:
+        width = 64 // parts
+        probes = [sum(comb(width, r) for r in range(t + 1)) for t in even_thresholds(distance, parts)]
+        return sum(probes) * (1 + n / 2.0**width)
+
+    return min(range(2, distance + 2), key=cost)
+
+
+def bit_groups(nodes: DataFrame, parts: int) -> list[list[int]]:
     """The 64 bits in so many groups of near equal size, each grown by the bit that correlates most with it.
 
     The sums over all fingerprints are 64 x 64 numbers, added up by each task first.
@@ -168,7 +191,7 @@ def thresholds(prefixes: list[np.ndarray], expected: list[np.ndarray], sizes: li
 
 
 def probe_rows(nodes: DataFrame, groups: list[list[int]], expected: list[np.ndarray], distance: int = DISTANCE) -> DataFrame:
-    """part, value, probe: every value within a fingerprint's threshold of each partition."""
+    """part, value, probe, own: every value within a fingerprint's threshold of each partition, for nodes (fp, comp)."""
     sizes, total = [len(g) for g in groups], distance - len(groups) + 1
     shared = nodes.sparkSession.sparkContext.broadcast(expected)
 
@@ -176,30 +199,48 @@ def probe_rows(nodes: DataFrame, groups: list[list[int]], expected: list[np.ndar
         masks = [[np.array([sum(1 << b for b in flip) for r in range(t + 1) for flip in combinations(range(size), r)], dtype=np.int64) for t in range(min(size, total + len(groups) - 1) + 1)] for size in sizes]
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
-                fps = whole.column(0).slice(start, 4096).to_numpy(zero_copy_only=False)
+                fps, own = (whole.column(k).slice(start, 4096).to_numpy(zero_copy_only=False) for k in range(2))
                 bits = to_bits(fps)
                 values = [projected(bits, g) for g in groups]
                 chosen = thresholds([v & ((1 << PREFIX) - 1) for v in values], shared.value, sizes, total)
                 for p, v in enumerate(values):
                     for t in range(len(masks[p])):
                         of = np.flatnonzero(chosen[:, p] == t)
-                        if len(of):
-                            mask = masks[p][t]
-                            probes = (v[of, None] ^ mask[None, :]).ravel()
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(probes), p, np.int32)), pa.array(probes), pa.array(np.repeat(fps[of], len(mask)))], names=["part", "value", "probe"])
+                        mask = masks[p][t]
+                        for few in np.array_split(of, -(-len(of) * len(mask) // 1_000_000) or 1):
+                            if len(few):
+                                probes = (v[few, None] ^ mask[None, :]).ravel()
+                                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(probes), p, np.int32)), pa.array(probes), pa.array(np.repeat(fps[few], len(mask))), pa.array(np.repeat(own[few], len(mask)))], names=["part", "value", "probe", "own"])
+
+    return nodes.select("fp", "comp").mapInArrow(run, "part int, value long, probe long, own long")
 
-    return nodes.select("fp").mapInArrow(run, "part int, value long, probe long")
 
+def near(a: str, b: str, distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
-def links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTITIONS) -> DataFrame:
-    """a, b: every two fingerprints of nodes (distinct fp) within the distance, a below b, each once."""
-    groups = bit_groups(nodes, parts)
-    index = index_rows(nodes, groups)
+
+def linked(nodes: DataFrame, distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
+    """fp and root of the fingerprints that links lead to another one; nodes: distinct fp and n, how many have it."""
+    n = nodes.count()
+    groups = bit_groups(nodes, parts or best_parts(n, distance))
+    index = cut(index_rows(nodes, groups))
     expected = expected_candidates(prefix_counts(index, groups), groups, distance)
-    probes = probe_rows(nodes, groups, expected, distance)
-    near = (F.col("probe") < F.col("fp")) & (F.bit_count(F.col("probe").bitwiseXOR(F.col("fp"))) <= distance)
-    found = probes.join(index.withColumnsRenamed({"part": "p", "value": "v"}), (F.col("part") == F.col("p")) & (F.col("value") == F.col("v")) & near)
-    return found.select(F.col("probe").alias("a"), F.col("fp").alias("b")).distinct()
+    hubs = index.join(nodes.select("fp", "n"), "fp").groupBy("part", "value").agg(F.max(F.struct("n", "fp"))["fp"].alias("hub"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
+    first = cut(component_labels(index.join(hubs, ["part", "value"]).where((F.col("fp") != F.col("hub")) & near("fp", "hub", distance)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))))
+
+    def with_component(df: DataFrame) -> DataFrame:
+        return df.join(first, F.col("fp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "fp")).drop("node", "root")
+
+    held = with_component(index)
+    spans = held.groupBy("part", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    probes = probe_rows(with_component(nodes).repartition(max(1, n // PROBES_A_TASK), "fp"), groups, expected, distance)
+    foreign = probes.join(spans, ["part", "value"]).where((F.col("lo") != F.col("own")) | (F.col("hi") != F.col("own"))).drop("lo", "hi")
+    met = foreign.join(held, ["part", "value"]).where((F.col("probe") < F.col("fp")) & (F.col("own") != F.col("comp")) & near("probe", "fp", distance))
+    second = cut(component_labels(met.select(F.col("own").alias("a"), F.col("comp").alias("b")).distinct()))
+    both = first.withColumnsRenamed({"node": "fp", "root": "comp"}).unionByName(second.select(F.col("node").alias("fp"), F.col("node").alias("comp"))).distinct()
+    out = both.join(second, F.col("comp") == F.col("node"), "left").select("fp", F.coalesce("root", "comp").alias("root"))
+    remove(index)
+    return out
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
@@ -207,7 +248,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
 
     Each round links a node's larger neighbours to its smallest one and then its
     smaller ones, until nothing changes; the rounds grow with the logarithm of the
-    longest path. Every round is written to the shared folder.
+    longest path. Every round is written to the shared folder, in place of the last.
     """
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("m")).distinct())
     before = None
@@ -218,48 +259,24 @@ def component_labels(edges: DataFrame) -> DataFrame:
         large = large.where("n != m").distinct()
         lows = large.groupBy("n").agg(F.min("m").alias("lo"))
         small = large.join(lows, "n").select(F.col("m").alias("n"), F.col("lo").alias("m")).where("n != m").union(lows.select("n", F.col("lo").alias("m")))
-        now = cut(small.distinct())
+        now = cut(small.distinct(), instead_of=now)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("n", "m").cast("decimal(20,0)"))).first()
         if state == before:
             return now.select(F.col("n").alias("node"), F.col("m").alias("root")).union(now.select(F.col("m").alias("node"), F.col("m").alias("root"))).distinct()
         before = state
 
 
-#: Numbers from here on stand for fingerprints whose documents all lack an id.
-NAMELESS = 1 << 62
-
-
-def nameless(fp: Column) -> Column:
-    return F.xxhash64(fp).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(NAMELESS)
-
-
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, parts: int = PARTITIONS) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id that links lead to."""
-    printed = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text").drop("text"))
-    nodes = printed.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node_id", F.coalesce(F.col("first").cast("long"), nameless(F.col("fp"))))
-    ids = nodes.select("fp", "node_id")
-    found = links(nodes.select("fp"), distance, parts)
-    edges = found.join(ids.withColumnsRenamed({"fp": "a", "node_id": "u"}), "a").join(ids.withColumnsRenamed({"fp": "b", "node_id": "v"}), "b")
-    labels = component_labels(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    rooted = nodes.join(labels, F.col("node_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "node_id"))
-    alone = F.col("first").isNull() & (F.col("root") >= NAMELESS)  # all of the component lack an id
-    classes = rooted.select(F.col("fp").alias("of"), F.when(~alone, F.col("root")).alias("component_id"))
-    return printed.join(classes, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
+    """docs without the text, with fp and component_id, the smallest doc_id that links lead to."""
+    printed = cut(fingerprints(docs.drop("fp", "component_id"), text).drop(text))
+    nodes = cut(printed.groupBy("fp").agg(F.min(F.col(doc_id)).alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = cut(linked(nodes, distance, parts).withColumnRenamed("fp", "of"))
+    named = roots.join(nodes, F.col("of") == F.col("fp")).groupBy("root").agg(F.min("first").alias("least"))
+    members = roots.join(named, "root").select("of", "least")
+    id_of = free_name(printed, "__of")
+    classes = nodes.join(members, F.col("fp") == F.col("of"), "left").select(F.col("fp").alias(id_of), F.coalesce("least", "first").alias("component_id"))
+    return printed.join(classes, F.col("fp") == F.col(id_of)).drop(id_of)
 
 
 def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
-def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, one row an id.
-
-    A row without an id counts under a number made from its text, above other ids.
-    Of several rows with one id the least row, by its columns in order, stays.
-    """
-    unnamed = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 60) - 1)) + F.lit(1 << 61)
-    keyed = docs.withColumn("__key", F.coalesce(F.col(doc_id).cast("long"), unnamed))
-    groups = near_duplicate_groups(keyed, "__key", text)
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__key")).distinct()
-    chosen = keyed.join(stay, "__key", "left_semi")
-    return chosen.groupBy("__key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("x")).select("x.*")
