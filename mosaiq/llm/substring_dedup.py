@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, free_name
+from .common import Memo, cut
 
 WINDOW, GRAM = 20, 8
 CHUNK, SPREAD = 60_000, 1024
@@ -395,7 +395,7 @@ def pieces(docs: DataFrame, wanted: DataFrame, window: int, single: bool) -> Dat
         met = Memo(lambda key: False, 50_000)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc, row, text, rows in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for doc, row, text, rows in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
                 if met[doc, row]:
                     continue
                 met[doc, row] = True
@@ -413,7 +413,8 @@ def pieces(docs: DataFrame, wanted: DataFrame, window: int, single: bool) -> Dat
             if out[0]:
                 yield batch_of(out)
 
-    return docs.join(per_row, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(run, f"anchor long, doc long, row long, start int, windows int, {last[0]} {last[2]}")
+    # the rest isn't read, but with it this is the shuffle of the last join, which Spark then reuses
+    return docs.join(per_row, ["doc", "row"]).select("doc", "row", "text", "rest", "wanted").mapInArrow(run, f"anchor long, doc long, row long, start int, windows int, {last[0]} {last[2]}")
 
 
 def frequent(windows: DataFrame) -> DataFrame:
@@ -423,7 +424,7 @@ def frequent(windows: DataFrame) -> DataFrame:
 
 
 def covered_runs(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc, row, start and windows: runs of windows that stand earlier, for keyed (doc, row, text)."""
+    """doc, row, start and windows: runs of windows that stand earlier, for keyed (doc, row, text, rest)."""
     met = cut(again(segments(keyed, window, gram)))
     firsts = met.where("not covered")
     many = cut(firsts.groupBy("anchor").count().where(F.col("count") > CHUNK).select("anchor"))
@@ -438,13 +439,12 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """docs with n_words, n_removed, kept_text and removed (array<struct<start,end>> in words), but for the text itself."""
     new = ["n_words", "n_removed", "kept_text", "removed"]
     ours = [c for c in docs.columns if c not in (*new, text)]
-    order, key = free_name(docs, "doc"), free_name(docs, "row")
-    named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias(order), F.xxhash64(F.col(doc_id).isNull(), text).alias(key), F.col(text).alias(free_name(docs, "said")), *[F.col(f"`{c}`") for c in ours])
-    keyed = named.select(F.col(order).alias("doc"), F.col(key).alias("row"), F.col(named.columns[2]).alias("text"))
+    order = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
+    key = F.xxhash64(F.col(doc_id).isNull(), text)
+    keyed = docs.select(order.alias("doc"), key.alias("row"), F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in ours]).alias("rest"))
     runs = covered_runs(keyed, window, gram).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))  # as many as the row has segments
-    joined = named.join(runs.withColumnsRenamed({"doc": "__doc", "row": "__row", "runs": "__runs"}), (F.col(order) == F.col("__doc")) & (F.col(key) == F.col("__row")), "left")
-    sent = joined.select(named.columns[2], "__runs", *[F.col(f"`{c}`") for c in ours])
-    schema = sent.select(*[F.col(f"`{c}`") for c in ours]).schema
+    sent = keyed.join(runs, ["doc", "row"], "left").select("text", "runs", "rest")
+    schema = docs.select(*[F.col(f"`{c}`") for c in ours]).schema
     for field in docs.sparkSession.createDataFrame([], "n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>").schema:
         schema = schema.add(field)
     names = [*ours, *new]
@@ -475,6 +475,6 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 for column, value in zip(out, (n, gone, b" ".join(kept).decode(), spans), strict=True):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.column(2).flatten(), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names)
 
     return sent.mapInArrow(run, schema)
