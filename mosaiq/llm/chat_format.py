@@ -5,31 +5,40 @@ the start, the length, the number of lines and a question mark. A hidden Markov
 model over the roles is counted from labelled segments; Viterbi's algorithm recovers
 the roles of others, and each segment is rendered with its role, its marker removed.
 
-Transcripts are cut into blocks of at most BLOCK orders. A first pass reduces each
+Transcripts are cut into blocks: of BLOCK orders each, and where one of these has over
+CROWDED rows, of one order each, which is cut further by the hash of the text and then
+by the row where too many rows share it. A first pass reduces each
 block to its best scores from any role before it to any role at its end (a product
 in the max-plus sense), blocks are chained per transcript, and a second pass decodes
 each block between the roles at its ends. So no task holds a whole transcript; the
 chain holds 12 numbers a block. The result is Viterbi's over the whole transcript.
+The features are written to the shared folder first, so both passes see the same rows.
+
+Roles can be recovered by a model counted from other transcripts: format_by_folds
+counts one model in each half of the transcripts and applies it to the other half.
 
 Defined results: a null key is a transcript of its own per different row; a null
-order comes first; segments of equal order follow by text; null text counts as
-empty; rows are never dropped, repeated rows are repeated segments. Roles other
-than ROLES, or null, don't count when the model is counted.
+order comes first; segments of equal order follow by a hash of the text; null text
+counts as empty; rows are never dropped, repeated rows are repeated segments. Roles
+other than ROLES, or null, don't count when the model is counted. A column named as
+the new ones is replaced; names beginning with two underscores and the operator's
+words (__key, __block, ...) are taken.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
 ROLES = ("system", "user", "assistant")
-BLOCK = 4096
+BLOCK, CROWDED = 4096, 16_384
 # The markers of each role, at the start of a segment, any case.
 MARKERS = {"system": ("system", "sys", "instructions"), "user": ("user", "human", "question", "q", "customer"), "assistant": ("assistant", "bot", "ai", "answer", "a", "agent")}
 MARKER = r"(?i)^\s*(?:\[|<\|?|#+ ?|\*\*)?(" + "|".join(m for ms in MARKERS.values() for m in ms) + r")(?:\|?>|\]|\*\*)?\s*(?::|>|-(?= )|\n)\s*"
@@ -38,58 +47,89 @@ MARKER_BELIEF = 50.0  # how many segments the marker's meaning counts as
 
 
 def with_features(df: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
-    """Adds __key, __block, __order and the features' numbers."""
+    """Adds __key, __block, __part, __order, __tie, __row and the features' numbers; written to the shared folder."""
     t = text_of(text)
     said = F.lower(F.regexp_extract(t, MARKER, 1))
     marker = F.lit(0)
     for k, role in enumerate(ROLES):
         marker = F.when(said.isin(*MARKERS[role]), k + 1).otherwise(marker)
     place = F.coalesce(F.col(order).cast("long"), F.lit(-1))
-    return df.withColumns(
+    named = df.withColumns(
         {
             "__key": F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.concat(F.lit("n"), F.xxhash64(*df.columns).cast("string"))),
             "__order": place,
             "__block": F.floor(F.greatest(place, F.lit(0)) / BLOCK),
             "__tie": F.xxhash64(t),
+            "__row": F.monotonically_increasing_id(),
             "__marker": marker,
             "__length": F.least(F.floor(F.log2(F.char_length(t) + 1)), F.lit(15)).cast("int"),
             "__lines": F.least(F.size(F.split(t, "\n")) - 1, F.lit(3)),
             "__question": t.contains("?").cast("int"),
         }
     )
+    return with_parts(cut(named))
+
+
+def with_parts(named: DataFrame) -> DataFrame:
+    """Adds __part, null in blocks that are not crowded; blocks and parts follow the rows' order."""
+
+    def crowded(df: DataFrame, by: list[str]) -> DataFrame:
+        return cut(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CROWDED))
+
+    blocks = crowded(named, ["__key", "__block"])
+    if blocks.isEmpty():
+        return named.withColumn("__part", F.lit(None).cast("struct<order:long,tie:long,row:long>"))
+    orders = crowded(named.join(blocks.drop("__n"), ["__key", "__block"]), ["__key", "__order"]).withColumnRenamed("__n", "__of_order")
+    width = F.floor(F.lit(2.0**64) / F.ceil(F.col("__of_order") / BLOCK))
+    tie = F.coalesce(F.floor((F.col("__tie").cast("double") + 2.0**63) / width), F.lit(0))
+    parted = named.join(blocks, ["__key", "__block"], "left").join(orders, ["__key", "__order"], "left").withColumn("__range", tie)
+    ties = crowded(parted.where("__of_order is not null"), ["__key", "__order", "__range"]).withColumnRenamed("__n", "__of_tie")
+    row = F.coalesce(F.pmod(F.xxhash64("__row"), F.ceil(F.col("__of_tie") / BLOCK)), F.lit(0))
+    part = F.struct(F.col("__order").alias("order"), F.col("__range").cast("long").alias("tie"), row.cast("long").alias("row"))
+    return parted.join(ties, ["__key", "__order", "__range"], "left").withColumn("__part", F.when(F.col("__n").isNotNull(), part)).drop("__n", "__of_order", "__range", "__of_tie")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of sorted rows (the first columns are the key), with the groups' starts and the end."""
-    held: list[pa.RecordBatch] = []
+    """Tables of whole groups of sorted rows (the first columns are the key), with the groups' starts and the end.
 
-    def starts_of(table: pa.Table) -> np.ndarray:
-        new = np.zeros(table.num_rows, bool)
-        new[:1] = True
-        for k in range(keys):
-            values = table.column(k).combine_chunks().dictionary_encode()
-            codes = (values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values).indices.to_numpy(zero_copy_only=False)
-            new[1:] |= codes[1:] != codes[:-1]
-        return np.flatnonzero(new)
+    Rows wait until their group ends; each is put together with the others once.
+    """
+    held: list[pa.Table] = []
+    starts, n, last = [np.zeros(0, np.int64)], 0, None
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        starts = starts_of(table)
-        if len(starts) > 1:
-            yield table.slice(0, int(starts[-1])), starts  # the last start is their end
-            held = table.slice(int(starts[-1])).combine_chunks().to_batches()
-    if held:
-        table = pa.Table.from_batches(held)
-        yield table, np.append(starts_of(table), table.num_rows)
+        table = pa.Table.from_batches([batch])
+        new = np.zeros(table.num_rows, bool)
+        now = []
+        for k in range(keys):
+            codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+            now.append((batch.column(k)[0].as_py(), batch.column(k)[-1].as_py()))
+        new[0] = last is None or last != [first for first, _ in now]
+        last = [end for _, end in now]
+        begins = np.flatnonzero(new)
+        if len(begins) and n + int(begins[-1]):
+            cut_at = int(begins[-1])
+            held.append(table.slice(0, cut_at))
+            yield pa.concat_tables(held), np.concatenate([*starts, begins[:-1] + n, [n + cut_at]])
+            held, starts, n = [table.slice(cut_at)], [np.zeros(1, np.int64)], table.num_rows - cut_at
+        else:
+            held.append(table)
+            starts.append(begins + n)
+            n += table.num_rows
+    if n:
+        yield pa.concat_tables(held), np.append(np.concatenate(starts), n)
+
+
+FEATURES = ("__marker", "__length", "__lines", "__question")
 
 
 def sorted_blocks(df: DataFrame, more: list[str]) -> DataFrame:
-    """__key and __block first, then the features and more; each block together and in order."""
-    together = df.repartition("__key", "__block").sortWithinPartitions("__key", "__block", "__order", "__tie")
-    return together.select("__key", "__block", "__marker", "__length", "__lines", "__question", *more)
+    """__key, __block and __part first, then the features and more; each block together and in order."""
+    together = df.repartition("__key", "__block", "__part").sortWithinPartitions("__key", "__block", "__part", "__order", "__tie", "__row")
+    return together.select("__key", "__block", F.to_json("__part").alias("__part"), *FEATURES, *more)
 
 
 class RoleModel:
@@ -109,7 +149,7 @@ class RoleModel:
         k = len(ROLES)
         self.next = table("next", k, k)
         self.begin = table("first_role", 1, k)[0]
-        self.features = {name: table(name, k, SIZES[name]) for name in ("__marker", "__length", "__lines", "__question")}
+        self.features = {name: table(name, k, SIZES[name]) for name in FEATURES}
 
     def emissions(self, table: pa.Table) -> np.ndarray:
         """Rows by roles."""
@@ -118,32 +158,52 @@ class RoleModel:
 
 def count_model(df: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text", role: str = "role") -> RoleModel:
     """The model of labelled segments; each task adds up its own counts, which are of bounded number."""
-    known = with_features(df, key, order, text).withColumn("__role", F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.coalesce(F.col(role), F.lit(""))).cast("int") - 1)
+    return counted_models(with_features(df, key, order, text).withColumn("__fold", F.lit(0)), role, 1)[0]
+
+
+def counted_models(featured: DataFrame, role: str, folds: int) -> list[RoleModel]:
+    """For each fold the model of the segments of the other folds (of the only fold: of its own)."""
+    known = featured.withColumn("__role", F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.coalesce(F.col(role), F.lit(""))).cast("int") - 1)
 
     def run(batches):
-        sums: dict[tuple[str, int, int], int] = {}
+        sums: dict[tuple[int, str, int, int], int] = {}
 
-        def add(name: str, i: np.ndarray, j: np.ndarray) -> None:
-            for v, n in zip(*np.unique(i.astype(np.int64) * 1000 + j, return_counts=True), strict=True):
-                place = (name, int(v) // 1000, int(v) % 1000)
+        def add(name: str, fold: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+            for v, n in zip(*np.unique((fold.astype(np.int64) * 1000 + i) * 1000 + j, return_counts=True), strict=True):
+                place = (int(v) // 1_000_000, name, int(v) // 1000 % 1000, int(v) % 1000)
                 sums[place] = sums.get(place, 0) + int(n)
 
-        for table, starts in whole_groups(batches, 2):
-            roles = table.column("__role").to_numpy()
+        for table, starts in whole_groups(batches, 3):
+            roles, fold = table.column("__role").to_numpy(), table.column("__fold").to_numpy()
             good = roles >= 0
-            for name in ("__marker", "__length", "__lines", "__question"):
-                add(name, roles[good], table.column(name).to_numpy()[good])
+            for name in FEATURES:
+                add(name, fold[good], roles[good], table.column(name).to_numpy()[good])
             first = np.zeros(len(roles), bool)
             first[starts[starts < len(roles)]] = True
-            opening = first & good & (table.column("__block").to_numpy() == 0)
-            add("first_role", np.zeros(opening.sum(), np.int64), roles[opening])
+            opening = first & good & table.column("__opens").to_numpy(zero_copy_only=False)
+            add("first_role", fold[opening], np.zeros(opening.sum(), np.int64), roles[opening])
             after = ~first[1:] & good[1:] & good[:-1]
-            add("next", roles[:-1][after], roles[1:][after])
+            add("next", fold[1:][after], roles[:-1][after], roles[1:][after])
         rows = list(sums.items())
-        yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.int32()), pa.array([r[0][2] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], names=["name", "i", "j", "n"])
+        columns = [pa.array([r[0][k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int32(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int64())], names=["fold", "name", "i", "j", "n"])
+
+    counted = sorted_blocks(with_openings(known), ["__role", "__fold", "__opens"]).mapInArrow(run, "fold int, name string, i int, j int, n long").groupBy("fold", "name", "i", "j").agg(F.sum("n").alias("n")).collect()
+    models = []
+    for fold in range(folds):
+        sums: dict[tuple[str, int, int], float] = {}
+        for r in counted:
+            if folds == 1 or r["fold"] != fold:
+                place = (r["name"], r["i"], r["j"])
+                sums[place] = sums.get(place, 0.0) + r["n"]
+        models.append(RoleModel(sums))
+    return models
 
-    counted = sorted_blocks(known, ["__role"]).mapInArrow(run, "name string, i int, j int, n long").groupBy("name", "i", "j").agg(F.sum("n").alias("n"))
-    return RoleModel({(r["name"], r["i"], r["j"]): r["n"] for r in counted.collect()})
+
+def with_openings(featured: DataFrame) -> DataFrame:
+    """Adds __opens: the row's block is the first of its transcript."""
+    firsts = featured.groupBy("__key").agg(F.min(F.struct("__block", "__part")).alias("__first"))
+    return featured.join(firsts, "__key").withColumn("__opens", (F.col("__block") == F.col("__first.__block")) & F.col("__part").eqNullSafe(F.col("__first.__part"))).drop("__first")
 
 
 def by_position(starts: np.ndarray) -> list[np.ndarray]:
@@ -191,7 +251,7 @@ def decoded(model: RoleModel, emissions: np.ndarray, starts: np.ndarray, before:
 
 
 def chained(blocks: DataFrame, model: RoleModel) -> DataFrame:
-    """__key, __block, before and after: the roles around each block on the best path of the whole transcript."""
+    """__key, __block, __part, before and after: the roles around each block on the best path of the whole transcript."""
 
     def run(batches):
         for table, starts in whole_groups(batches, 1):
@@ -210,34 +270,41 @@ def chained(blocks: DataFrame, model: RoleModel) -> DataFrame:
                     if at > a:
                         role = int(backs[at - a - 1][role])
                         before[at] = role
-            yield pa.RecordBatch.from_arrays([table.column("__key").combine_chunks(), table.column("__block").combine_chunks(), pa.array(before, pa.int32()), pa.array(after, pa.int32())], names=["__key", "__block", "__before", "__after"])
+            keys = [table.column(c).combine_chunks() for c in ("__key", "__block", "__part")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(before, pa.int32()), pa.array(after, pa.int32())], names=["__key", "__block", "__part", "__before", "__after"])
 
-    together = blocks.repartition("__key").sortWithinPartitions("__key", "__block")
-    return together.select("__key", "__block", "scores").mapInArrow(run, "__key string, __block long, __before int, __after int")
+    part = F.from_json("__part", "order long, tie long, row long")
+    together = blocks.withColumn("__sort", part).repartition("__key").sortWithinPartitions("__key", "__block", "__sort")
+    return together.select("__key", "__block", "__part", "scores").mapInArrow(run, "__key string, __block long, __part string, __before int, __after int")
 
 
 def recover_roles(df: DataFrame, model: RoleModel, key: str = "conv_id", order: str = "turn", text: str = "text", out: str = "recovered") -> DataFrame:
     """df with the recovered role of each segment."""
-    featured = with_features(df, key, order, text)
+    ours = [c for c in df.columns if c != out]
+    return decode_roles(with_features(df, key, order, text), model, ours, out)
+
+
+def decode_roles(featured: DataFrame, model: RoleModel, ours: list[str], out: str) -> DataFrame:
+    """The columns ours of featured rows with the recovered role."""
 
     def scores(batches):
-        for table, starts in whole_groups(batches, 2):
+        for table, starts in whole_groups(batches, 3):
             heads = table.take(pa.array(starts[:-1]))
             opening = heads.column("__opens").to_numpy(zero_copy_only=False)
             found = transfers(model, model.emissions(table), starts, opening).reshape(len(heads), -1)
-            yield pa.RecordBatch.from_arrays([heads.column("__key").combine_chunks(), heads.column("__block").combine_chunks(), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["__key", "__block", "scores"])
+            keys = [heads.column(c).combine_chunks() for c in ("__key", "__block", "__part")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(found.tolist(), pa.list_(pa.float64()))], names=["__key", "__block", "__part", "scores"])
 
-    firsts = featured.groupBy("__key").agg(F.min("__block").alias("__first"))
-    marked = featured.join(firsts, "__key").withColumn("__opens", F.col("__block") == F.col("__first")).drop("__first")
-    ends = chained(sorted_blocks(marked, ["__opens"]).mapInArrow(scores, "__key string, __block long, scores array<double>"), model)
-    ours = df.columns
-    located = featured.join(ends, ["__key", "__block"])
-    kept = sorted_blocks(located, ["__before", "__after", *[c for c in ours if c != out]])
-    names = kept.columns[8:]
-    schema = kept.select(*names).schema.add(out, "string")
+    blocks = sorted_blocks(with_openings(featured), ["__opens"]).mapInArrow(scores, "__key string, __block long, __part string, scores array<double>")
+    ends = chained(blocks, model).withColumnsRenamed({"__key": "__k", "__block": "__b", "__part": "__p"})
+    here = (F.col("__key") == F.col("__k")) & (F.col("__block") == F.col("__b")) & F.to_json("__part").eqNullSafe(F.col("__p"))
+    located = featured.join(ends, here).drop("__k", "__b", "__p")
+    kept = sorted_blocks(located, ["__before", "__after", *[F.col(f"`{c}`") for c in ours]])
+    names = kept.columns[3 + len(FEATURES) + 2 :]
+    schema = kept.select(*[F.col(f"`{c}`") for c in names]).schema.add(out, "string")
 
     def roles(batches):
-        for table, starts in whole_groups(batches, 2):
+        for table, starts in whole_groups(batches, 3):
             found = decoded(model, model.emissions(table), starts, table.column("__before").to_numpy()[starts[:-1]], table.column("__after").to_numpy()[starts[:-1]])
             named = pa.array([ROLES[r] for r in found.tolist()], pa.string())
             yield from pa.Table.from_arrays([*(table.column(n) for n in names), pa.chunked_array([named])], names=[*names, out]).combine_chunks().to_batches()
@@ -259,3 +326,11 @@ def rendered(df: DataFrame, text: str = "text", role: str = "recovered", out: st
 def format_conversations(df: DataFrame, model: RoleModel) -> DataFrame:
     """conv_id, turn and text of df with recovered roles and canonical turns."""
     return rendered(recover_roles(df.select("conv_id", "turn", "text"), model))
+
+
+def format_by_folds(df: DataFrame, folds: int = 2) -> DataFrame:
+    """conv_id, turn and text of df with roles recovered by models of other transcripts' roles, and canonical turns."""
+    featured = with_features(df.select("conv_id", "turn", "text", "role")).withColumn("__fold", F.pmod(F.xxhash64("__key"), F.lit(folds)).cast("int"))
+    models = counted_models(featured, "role", folds)
+    parts = [decode_roles(featured.where(F.col("__fold") == k), model, ["conv_id", "turn", "text"], "recovered") for k, model in enumerate(models)]
+    return rendered(reduce(DataFrame.union, parts))

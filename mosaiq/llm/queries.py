@@ -62,9 +62,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The model is counted on the table's roles; the roles are then recovered without them."""
+    """Each half of the conversations gets its roles from a model of the other half's; the text alone decides."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return chat_format.format_conversations(turns, chat_format.count_model(turns)).select("conv_id", "turn", F.col("recovered").alias("role"), "rendered")
+    return chat_format.format_by_folds(turns).select("conv_id", "turn", F.col("recovered").alias("role"), "rendered")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -99,3 +99,68 @@ def repeated_passages(docs, window=20):
             own.add(key)
         out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
     return sorted(out, key=lambda r: (order(r[0]), r[1:]))
+
+
+UNITS = set("kg g mg km m cm mm mi ft in lb oz l ml s sec min h hr hrs hours hour minutes days day years year % $ € £ usd eur dollars euros cents meters metres miles km/h mph".split())
+
+
+def canonical(text):
+    """(token, value) of each word; tokens of numbers, names and units are the same for all."""
+    out, number, ended = [], False, True
+    for word in (text or "").split():
+        core = word
+        while core and not (core[0].isalnum() or core[0] in "_$€£%+-"):
+            core = core[1:]
+        while core and not (core[-1].isalnum() or core[-1] in "_$€£%"):
+            core = core[:-1]
+        value = core[:-2] if core[-2:] in ("'s", "’s") else core
+        numeric = bool(re.fullmatch(r"[+-]?[$€£]?\d[\d.,:/]*%?", core))
+        if numeric:
+            token = "<number>"
+        elif core[:1].isupper() and not ended:
+            token = "<name>"
+        elif core.lower() in UNITS and number:
+            token = "<unit>"
+        else:
+            token, value = "=" + core.lower(), None
+        out.append((token, value and value.lower()))
+        number, ended = numeric, word.rstrip("\"')]»”")[-1:] in tuple(".!?:")
+    return out
+
+
+def cover_of(text, item, window=8, least=4):
+    """The share of the item's windows that stand in the text with values that agree, by trying every alignment."""
+    ours, theirs = canonical(text), canonical(item)
+    size = min(window, len(theirs))
+    if not size:
+        return 0.0
+    found = set()
+    for shift in range(-len(theirs), len(ours)):
+        hits = [p for p in range(len(theirs) - size + 1) if 0 <= p + shift <= len(ours) - size and [t for t, _ in theirs[p : p + size]] == [t for t, _ in ours[p + shift : p + shift + size]]]
+        meets = {}
+        for k in {k for p in hits for k in range(p, p + size) if theirs[k][1] is not None}:
+            meets.setdefault(theirs[k][1], []).append(ours[k + shift][1])
+        stands = {a: min(set(bs), key=lambda b: (-bs.count(b), b != a, b)) for a, bs in meets.items()}
+        for p in hits:
+            pairs = [(theirs[k][1], ours[k + shift][1]) for k in range(p, p + size) if theirs[k][1] is not None]
+            if all(a == b or (size >= least and stands[a] == b) for a, b in pairs):
+                found.add(p)
+    return len(found) / (len(theirs) - size + 1)
+
+
+def similar_groups(docs, shingle=5, similarity=0.8):
+    """For each row (doc_id, text) the number of its group: rows whose sets of shingles are similar, and what they lead to."""
+    sets = []
+    for _, t in docs:
+        w = WORD.findall(lower(t or ""))
+        sets.append({" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))})
+    holders = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    links = set()
+    for k, s in enumerate(sets):
+        shared = Counter(j for x in s for j in holders[x] if j < k)
+        links |= {(j, k) for j, n in shared.items() if n >= similarity * (len(s) + len(sets[j]) - n)}
+    roots = components(range(len(docs)), links)
+    return [roots[k] for k in range(len(docs))]

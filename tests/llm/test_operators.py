@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from mosaiq.llm import chat_format, decontaminate, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, substring_dedup
+from mosaiq.llm import chat_format, decontaminate, license_scan, near_copies, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, substring_dedup
 from mosaiq.llm.queries import tokenizer_path
 
 from . import brute
@@ -154,13 +154,24 @@ def test_near_duplicates(docs, empty):
     wanted = brute.components(prints, links)
     assert {i: (r["component_id"], int(r["f"], 16)) for i, r in got.items()} == {i: (wanted[i], prints[i]) for i in prints}
     assert simhash.near_duplicate_groups(empty).count() == 0
-    stay = simhash.one_of_each_group(docs)
-    assert stay.columns == docs.columns and {r["doc_id"] for r in stay.collect()} == set(wanted.values())
+    assert simhash.near_duplicate_groups(docs).columns == [*(c for c in docs.columns if c != "text"), "fp", "component_id"]
 
 
-@pytest.mark.parametrize("parts", [2, 3, 4, 5])
+def test_near_duplicates_of_few_ids(spark):
+    """Null and repeated ids are members like any other; sharing an id links nothing."""
+    texts = [PROSE, PROSE + " extra words at the end of it", "something else entirely that no other row has in it", "", None]
+    given = [(None, texts[0]), (5, texts[0]), (5, texts[2]), (9, texts[2]), (None, texts[3]), (None, texts[4]), (9, texts[1])]
+    got = simhash.near_duplicate_groups(spark.createDataFrame([(*g, "x") for g in given], "doc_id long, text string, fp string")).collect()
+    prints = [brute.fingerprint(t) for _, t in given]
+    roots = brute.components(range(len(given)), [(i, j) for i in range(len(given)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    least = {r: min((given[i][0] for i in roots if roots[i] == r and given[i][0] is not None), default=None) for r in roots.values()}
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    assert sorted(((r["doc_id"], r["fp"] & ((1 << 64) - 1), r["component_id"]) for r in got), key=key) == sorted(((given[i][0], prints[i], least[roots[i]]) for i in roots), key=key)
+
+
+@pytest.mark.parametrize("parts", [None, 2, 3, 4, 5])
 def test_links_of_crowded_fingerprints(spark, parts):
-    rng = random.Random(parts)
+    rng = random.Random(parts or 9)
     prints = set()
     for _ in range(12):
         centre = rng.getrandbits(64)
@@ -168,9 +179,41 @@ def test_links_of_crowded_fingerprints(spark, parts):
             flips = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6)))
             prints.add(centre ^ flips)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    nodes = spark.createDataFrame([(p,) for p in signed], "fp long")
-    found = {(r["a"], r["b"]) for r in simhash.links(nodes, 4, parts).collect()}
-    assert found == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4}
+    nodes = spark.createDataFrame([(p, rng.randint(1, 3)) for p in signed], "fp long, n long")
+    found = dict(simhash.linked(nodes, 4, parts).select("fp", "root").collect())
+    roots = brute.components(signed, [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4])
+    alone = {p for p in signed if list(roots.values()).count(roots[p]) == 1}
+    assert found == {p: r for p, r in roots.items() if p not in alone}
+
+
+def test_partitions_follow_from_the_number():
+    assert [simhash.best_parts(n) for n in (0, 1000, 10**5, 10**6, 10**9, 10**12)] == sorted((simhash.best_parts(n) for n in (0, 1000, 10**5, 10**6, 10**9, 10**12)), reverse=True)
+    assert simhash.best_parts(10) == 5 and simhash.best_parts(10**9) == 2
+
+
+def near_copies_of(rng, n, size, edits):
+    """A text and n copies of it, each with some words replaced."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+    return [" ".join(w if rng.random() > edits * k / n else f"e{rng.randrange(10**6)}" for w in words) for k in range(n + 1)]
+
+
+def test_one_of_each_group_of_near_copies(spark, docs, empty):
+    stay = near_copies.one_of_each_group(docs)
+    groups = brute.similar_groups(rows())
+    assert stay.columns == docs.columns and {r["doc_id"] for r in stay.collect()} == {min(i for (i, _), g in zip(rows(), groups, strict=True) if g == r) for r in set(groups)}
+    assert near_copies.one_of_each_group(empty).count() == 0
+    rng = random.Random(9)
+    texts = [t for n, size, edits in [(30, 120, 0.06), (60, 300, 0.05), (15, 40, 0.05), (200, 80, 0.04)] for t in near_copies_of(rng, n, size, edits)]
+    texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(50)) for _ in range(100)]
+    rng.shuffle(texts)
+    given = [(rng.choice([None, 3, k]), t) for k, t in enumerate(texts)]
+    kept = [(r["doc_id"], r["text"]) for r in near_copies.one_of_each_group(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()]
+    group = dict(zip(texts, brute.similar_groups(given), strict=True))
+    of = [group[t] for _, t in kept]
+    missed = len(of) - len(set(of))
+    assert set(of) == set(group.values())  # each group keeps one
+    assert missed <= 0.1 * (len(texts) - len(set(group.values())))
+    assert not [t for t in texts if t.startswith("u") and t not in {x for _, x in kept}]
 
 
 def test_components_of_long_paths(spark):
@@ -179,26 +222,60 @@ def test_components_of_long_paths(spark):
     assert got == brute.components({x for e in edges for x in e}, edges)
 
 
+def decontaminated(df, bench):
+    return {(r["doc_id"], r["text"]): r for r in decontaminate.judged(df, bench).collect()}
+
+
 def test_decontamination(spark, docs, empty):
-    items = [(1, "In the shop Tom has 5 apples and gives Anna 3 kg of them, so how many apples does Tom have left after that day?"), (2, PROSE), (3, "one two three"), (4, None), (5, ""), (6, PROSE)]
+    items = [(1, "In the shop Tom has 5 apples and gives Anna 3 kg of them, so how many apples does Tom have left after that day?"), (2, PROSE), (3, "one two three"), (4, None), (5, ""), (6, PROSE), (7, "zyzzyva"), (8, "7 kg"), (9, "They need 2 eggs, 2 pears and 2 kg of flour for one cake that Tom bakes")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     texts = [
         (1, "Here it is. In the shop Maria has 12 apples and gives Peter 7 lb of them, so how many apples does Maria have left after that day? Well."),
         (2, "Here it is. In the shop Maria has 12 apples and gives Peter 7 lb of them, so how many apples does Oscar have left after that day? Well."),
-        (3, "noise before " + PROSE + " and noise after"), (4, "nothing of the kind stands in this text at all, not one window"), (5, None), (6, ""), (None, PROSE),
+        (3, "noise before " + PROSE + " and noise after"), (4, "nothing of the kind stands in this text at all, not one window"), (5, None), (6, ""), (None, PROSE), (None, "clean words without an id"), (8, PROSE), (8, "clean words of the same id"),
+        (9, "counts one two three and on"), (10, "one two four three"), (11, "a zyzzyva."), (12, "weighs 7 kg"), (13, "weighs 8 kg"),
+        (14, "In the shop Tom, has 5 apples and gives Anna 3 kg of them, so how many apples does 'Tom' have left after that day?"),
+        (15, "They need 4 eggs, 6 pears and 4 kg of flour for one cake that Ida bakes"),
     ]
-    got = {r["doc_id"]: r for r in decontaminate.judged(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()}
-    assert got[1]["contaminated"] and got[1]["items"] == [1]
-    assert not got[2]["contaminated"] or got[2]["cover"] < got[1]["cover"]
-    assert got[3]["items"] == [2] and got[None]["contaminated"]
-    assert not any(got[k]["contaminated"] for k in (4, 5, 6))
-    assert decontaminate.contaminated(docs, bench).where("doc_id = 7").count() == 1
-    wide = decontaminate.matches(docs, bench, filter_most=0).where("cover >= 0.5").select("doc_id").distinct()
-    assert {r[0] for r in wide.collect()} == {r[0] for r in decontaminate.contaminated(docs, bench).collect()}
+    df = spark.createDataFrame([(*t, "x", "y") for t in texts], "doc_id long, text string, cover string, key1 string")
+    got = decontaminated(df, bench)
+    assert len(got) == len(texts) and all(r["key1"] == "y" for r in got.values())
+    for (i, t), r in got.items():
+        held = {k: brute.cover_of(t, x) for k, x in items if k not in (6,) and x}
+        assert set(r["items"] or []) == {k for k, c in held.items() if c >= 0.5}, (i, held)
+        assert r["contaminated"] == bool(r["items"]) and (not r["contaminated"] or abs(r["cover"] - max(held.values())) < 1e-9)
+    hits = {(i, t[:9]) for (i, t), r in got.items() if r["contaminated"]}
+    assert {i for i, _ in hits} >= {1, 3, 8, 9, 11, 12, 14} and not {i for i, _ in hits} & {4, 6, 10, 13}
+    assert not got[None, texts[7][1]]["contaminated"] and not got[8, texts[9][1]]["contaminated"] and got[None, PROSE]["contaminated"]
+    clean = decontaminate.clean(df, bench)
+    assert clean.columns == df.columns and clean.count() == len(texts) - len(hits)
+    assert decontaminate.judged(docs, bench).where("doc_id = 7 and contaminated").count() == 1
     assert decontaminate.judged(empty, bench).count() == 0
     assert decontaminate.judged(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 27, 64])
+def test_decontamination_against_every_alignment(spark, monkeypatch, most):
+    """Random texts of few words; a bitmap that lets everything pass changes nothing."""
+    rng = random.Random(most)
+    plain = decontaminate.bitmap
+    monkeypatch.setattr(decontaminate, "bitmap", lambda theirs: plain(theirs, min(most, 1 << 16), most))
+    monkeypatch.setattr(decontaminate, "ROWS_AT_ONCE", 50)
+    vocabulary = ["Tom", "Anna", "5", "7", "12%", "kg", "lb", "has", "gives", "many.", "apples,", "(and", "so", "Tom's"]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 14, 20])))) for k in range(25)]
+    texts = []
+    for k in range(60):
+        piece = items[rng.randrange(25)][1].split()
+        piece = [rng.choice(vocabulary) if rng.random() < 0.12 else w for w in piece]
+        texts.append((rng.choice([None, 1, k]), " ".join([rng.choice(vocabulary) for _ in range(rng.randrange(6))] + piece + [rng.choice(vocabulary) for _ in range(rng.randrange(6))])))
+    got = decontaminated(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    first = {}
+    for k, t in items:
+        first.setdefault(t, k)
+    for i, t in texts:
+        assert set(got[i, t]["items"] or []) == {k for x, k in first.items() if brute.cover_of(t, x) >= 0.5}
+
+
 def test_quality_rules(spark, docs, empty):
     labels = spark.createDataFrame([(7, 1, 0), (8, 1, 0), (20, 0, 0), (7, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, labels).collect()}

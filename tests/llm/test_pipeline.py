@@ -22,9 +22,10 @@ def test_stages(spark):
         if name != "sentencepiece":
             assert now.columns == docs.columns
         if name == "simhash near-dedup":
-            prints = {i: brute.fingerprint(t) for i, t in before.items()}
-            links = [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 4]
-            assert after == set(brute.components(prints, links).values())
+            given = sorted(before.items())
+            group = dict(zip((i for i, _ in given), brute.similar_groups(given), strict=True))
+            assert {group[i] for i in after} == set(group.values())
+            assert len(after) - len(set(group.values())) <= 0.1 * (len(before) - len(set(group.values())))
         if name == "secret scans":
             assert sizes[-1] == sizes[-2]
             assert secret_scan.scan_secrets(now).where("size(secret_spans) > 0").count() == 0
