@@ -5,8 +5,9 @@ expectation-maximisation needs is how often each pattern of votes occurs, which
 at most 3 to the number of labellers rows however many documents there are; it
 gives each labeller's accuracy and each pattern's probability of being good. These
 probabilities are the labels of a linear scorer over hashed words and word shapes,
-fitted on the different texts among about fit_most documents taken by a hash of the text. Every document is
-then scored.
+fitted on about fit_most different texts, or fewer so that they have about FIT_WORDS words
+together, taken by a hash of the text: that is what comes to the driver. Every document
+is then scored.
 
 One labeller looks for toxic wording: words of a short fixed list, and, where labels
 are given, words and beginnings of words that are TERM_RATIO times as frequent among
@@ -29,13 +30,13 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, map_texts, text_of
 
 BUCKETS = 1 << 16
-FIT_MOST, ROUNDS, KEEP = 8_000, 80, 0.5
+FIT_MOST, FIT_WORDS, ROUNDS, KEEP = 8_000, 4_000_000, 80, 0.5
 
 # Common function words of the languages at hand.
 COMMON = frozenset(w.encode() for w in "the of and to in is that it for was on with as be by this are from or le la les de des du et en un une que qui pour dans par sur au der die das und ist von zu mit den im für auf el los las y se por con una su al del lo".split())
@@ -59,6 +60,15 @@ TOXIC_LEAST, TOXIC_RATE = 2, 0.005
 TOXIC_BUCKET = 1
 
 
+def hash_bound(n: float, most: float) -> int | None:
+    """Below this number are the 64-bit hashes of about most of n things; None: of all."""
+    return None if most >= n else int(most / n * 2.0**64) - (1 << 63)
+
+
+def below(hashed: Column, bound: int | None) -> Column:
+    return F.lit(True) if bound is None else hashed < F.lit(bound)
+
+
 def shape(raw: bytes) -> bytes:
     """Letters as a or A, digits as 9, other characters as they are; repeats once, an exclamation mark twice."""
     form = raw.translate(FORM)
@@ -108,8 +118,7 @@ def is_toxic(packed: np.ndarray) -> bool:
 def toxic_terms(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fit_most: int = FIT_MOST) -> frozenset[str]:
     """The fixed words and the terms that tell documents labelled toxic from others; see the module."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("__labelled")).agg((F.max("toxic") > 0).alias("toxic"))
-    limit = int(min(1.0, fit_most / max(1, known.count())) * 1_000_000)
-    known = known.where(F.pmod(F.xxhash64("__labelled"), F.lit(1_000_000)) < limit)
+    known = known.where(below(F.xxhash64("__labelled"), hash_bound(known.count(), fit_most)))
     met = docs.select(F.col(doc_id).alias("__id"), text_of(text).alias("text")).join(known, F.col("__id") == F.col("__labelled")).select("text", "toxic")
 
     def run(batches):
@@ -154,23 +163,24 @@ def votes(raw: bytes, words: list[bytes], packed: np.ndarray) -> list[int]:
 
 
 def vote_patterns(docs: DataFrame, text: str = "text", terms: frozenset[str] = frozenset()) -> DataFrame:
-    """Adds pattern: the labellers' votes as digits in base 3 (vote + 1, the first lowest)."""
+    """Adds pattern, the labellers' votes as digits in base 3 (vote + 1, the first lowest), and n_words."""
 
     def make():
         memo = word_reader(terms)
         base = 3 ** np.arange(len(LABELLERS))
 
         def work(texts: list[str]) -> list[pa.Array]:
-            out = []
+            out, sizes = [], []
             for t in texts:
                 raw = t.encode()
                 words = raw.split()
                 out.append(int((np.array(votes(raw, words, packed_words(words, memo))) + 1) @ base))
-            return [pa.array(out, pa.int32())]
+                sizes.append(len(words))
+            return [pa.array(out, pa.int32()), pa.array(sizes, pa.int64())]
 
         return work
 
-    return map_texts(docs, make, "pattern int", text)
+    return map_texts(docs, make, "pattern int, n_words long", text)
 
 
 def label_model(counts: dict[int, int], rounds: int = 200, trust: float = 0.3) -> tuple[dict[int, float], np.ndarray]:
@@ -236,11 +246,13 @@ def fit(features: list[np.ndarray], target: np.ndarray, rounds: int = ROUNDS, ra
 def train(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST, terms: frozenset[str] = frozenset()) -> tuple[np.ndarray, float, np.ndarray]:
     """The scorer's weights and intercept, and the labellers' rates."""
     voted = vote_patterns(docs.select(text_of(text).alias("text")), "text", terms)
-    counts = {r["pattern"]: r["count"] for r in voted.groupBy("pattern").count().collect()}
-    good, rates = label_model(counts)
-    part = min(1.0, fit_most / max(1, sum(counts.values())))
-    limit = int(part * 1_000_000)
-    sample = docs.select(text_of(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit).distinct()
+    different = F.approx_count_distinct(F.xxhash64("text"))  # a sketch of fixed size in each task
+    met = voted.groupBy("pattern").agg(F.count(F.lit(1)).alias("count"), F.sum("n_words").alias("words"), different.alias("texts")).collect()
+    good, rates = label_model({r["pattern"]: r["count"] for r in met})
+    texts = sum(r["texts"] for r in met)
+    a_text = max(1.0, sum(r["words"] for r in met) / max(1, sum(r["count"] for r in met)))
+    bound = hash_bound(texts, min(fit_most, FIT_WORDS / a_text))
+    sample = docs.select(text_of(text).alias("text")).where(below(F.xxhash64("text"), bound)).distinct()
 
     def run(batches):
         memo = word_reader(terms)
