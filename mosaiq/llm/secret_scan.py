@@ -4,14 +4,17 @@ Three kinds of base spans come from patterns. Beside them every long string over
 the characters of the common encodings is a candidate. Its encoding is inferred,
 and three statistics are taken over the values of its characters: chi-squared
 against a uniform alphabet, the runs above and below the middle of the alphabet,
-and the correlation of neighbours. Combined by Fisher's rule they must not speak
-against randomness; and the number of equal pairs of characters must be too small
-for words. The p-values of that last test are held against Benjamini and
-Hochberg's limit in classes of similar length over all candidates of all documents,
-so that long strings, where the tests are strong, aren't weighed with short ones.
+and the correlation of neighbours. They are combined by Fisher's rule; and the
+chi-squared sum is also tested from the other side, that of words, whose letters make
+more equal pairs than a uniform alphabet does. Both p-values are held against
+Benjamini and Hochberg's limit in classes of similar length over all candidates of all
+documents, so that long strings, where the tests are strong, aren't weighed with short
+ones: a candidate is a secret if the control of false discoveries doesn't find it other
+than random, and finds it other than words.
 
 Everything runs as built-in functions. Positions follow from the lengths of the
-matches and of what stands between them.
+matches and of what stands between them, added up by blocks, so that a text with many
+matches takes little more than its share.
 
 Defined results: null text counts as empty and has no spans; repeated rows give
 repeated results; rows are never dropped; with no candidates there are no limits
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import free_name, text_of
 
 # The base kinds in their order, with pattern and least length.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -44,8 +47,8 @@ ENCODINGS = (
     ("base64url", "^[0-9A-Za-z_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 FALSE_RATE = 0.01
-RANDOM_LEVEL = 1e-3
 WORD_PAIRS = 0.067  # the share of equal pairs of letters in prose
+BLOCK = 128
 STEPS, DEEPEST = 20, 60  # p-values are held in steps of a 20th of a power of ten, down to 1e-60
 
 
@@ -57,20 +60,35 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def before(values: Column, start: Column, add) -> Column:
+    """For each value the sum (by add, from start) of the values before it, by blocks, so that the work doesn't grow with the square."""
+    size = F.lit(BLOCK)
+    total = lambda part: F.aggregate(part, start, add)
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda b: total(F.slice(v, b * size + 1, size)))
+    heads = lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, 1, b)))
+
+    def each(v: Column) -> Column:
+        return let(blocks(v), lambda sums: let(heads(sums), lambda h: F.transform(v, lambda _, i: add(F.get(h, F.floor(i / size).cast("int")), total(F.slice(v, F.floor(i / size).cast("int") * size + 1, i % size))))))
+
+    return F.when(F.size(values) > 0, let(values, each)).otherwise(F.array().cast("array<int>"))
+
+
 def match_spans(text: Column, pattern: str, kind: str) -> Column:
     """The pattern's matches as array<struct<start,kind,end,value>>, in code points."""
     none = F.array().cast(SPAN)
-    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.struct(F.char_length(p).alias("gap")))
+    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.char_length(p))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    steps = F.filter(F.arrays_zip(pieces.alias("pieces"), found.alias("found")), lambda x: x["found"].isNotNull())
 
-    def step(a: Column, x: Column) -> Column:
-        start = (a["at"] + x["pieces"]["gap"]).cast("int")
-        end = (start + F.char_length(x["found"])).cast("int")
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), x["found"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
+    def located(x: Column) -> Column:
+        steps = F.transform(x["found"], lambda f, i: F.get(x["gaps"], i) + F.char_length(f))
 
-    spans = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
+        def span(f: Column, i: Column, ends: Column) -> Column:
+            start = F.get(ends, i) + F.get(x["gaps"], i)
+            return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.char_length(f)).alias("end"), f.alias("value"))
+
+        return let(before(steps, F.lit(0), lambda a, b: a + b), lambda ends: F.transform(x["found"], lambda f, i: span(f, i, ends)))
+
+    spans = let(F.struct(pieces.alias("gaps"), found.alias("found")), located).cast(SPAN)
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
@@ -90,7 +108,7 @@ def tail(z: Column) -> Column:
 
 
 def battery(value: Column) -> Column:
-    """struct<n, level, depth>: length, the combined p-value of the tests of randomness, and -20 log10 of the p-value of words."""
+    """struct<n, odd, depth>: length, and the p-values of the tests of randomness (combined) and of words, as -20 log10 of each."""
 
     def by_encoding(k: int) -> Column:
         out = None
@@ -143,8 +161,8 @@ def battery(value: Column) -> Column:
         pairs, equal = n * (n - 1) / 2, (sq - n) / 2
         words = F.greatest(d(WORD_PAIRS), 1.6 / k)
         sd = F.sqrt(pairs * words * (1 - words) + n * pairs * words * words / 12)
-        depth = F.floor(F.least(F.greatest(-F.log10(F.greatest(tail((pairs * words - equal) / sd), d(10.0**-DEEPEST))), d(0)) * STEPS, d(DEEPEST * STEPS)))
-        return F.struct(n.cast("int").alias("n"), level.alias("level"), depth.cast("int").alias("depth"))
+        in_steps = lambda p: F.floor(F.least(F.greatest(-F.log10(F.greatest(p, d(10.0**-DEEPEST))), d(0)) * STEPS, d(DEEPEST * STEPS))).cast("int")
+        return F.struct(n.cast("int").alias("n"), in_steps(level).alias("odd"), in_steps(tail((pairs * words - equal) / sd)).alias("depth"))
 
     inferred = F.struct(value_body.alias("body"), by_encoding(0).alias("alphabet"), by_encoding(1).cast("double").alias("size"))
     read = lambda e: F.struct(F.transform(F.split(e["body"], ""), lambda c: (F.call_function("instr", e["alphabet"], c) - 1).cast("double")).alias("values"), e["size"].alias("size"))
@@ -152,10 +170,10 @@ def battery(value: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start,kind,end,n,level,depth>> of the strings that are tested."""
+    """array<struct<start,kind,end,n,odd,depth>> of the strings that are tested."""
 
     def tested(s: Column) -> Column:
-        return let(battery(s["value"]), lambda b: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), b["n"].alias("n"), b["level"].alias("level"), b["depth"].alias("depth")))
+        return let(battery(s["value"]), lambda b: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), b["n"].alias("n"), b["odd"].alias("odd"), b["depth"].alias("depth")))
 
     return F.transform(match_spans(text, CANDIDATE, "random"), tested)
 
@@ -165,35 +183,38 @@ def length_class(n: Column) -> Column:
     return F.floor(F.log2(n)).cast("int")
 
 
-def limits(docs: DataFrame, text: str = "text", false_rate: float = FALSE_RATE) -> dict[int, int]:
-    """Per class of length the least depth at which the false discovery rate holds; at most one entry a power of two.
+def limits(docs: DataFrame, text: str = "text", false_rate: float = FALSE_RATE) -> dict[tuple[str, int], int]:
+    """Per test (odd, depth) and class of length the least step at which the false discovery rate holds; at most one entry a power of two.
 
-    Counts per class and step come from all candidates; there are at most 1,200 steps a class.
+    Counts per test, class and step come from all candidates; there are at most 1,201 steps a class.
     """
-    each = docs.select(F.explode(candidates(text_of(text))).alias("c")).select(length_class(F.col("c.n")).alias("class"), "c.depth")
-    steps = each.groupBy("class", "depth").agg(F.count(F.lit(1)).alias("count"))
-    of = Window.partitionBy("class")
-    found = steps.withColumn("deeper", F.sum("count").over(of.orderBy(F.desc("depth")))).withColumn("all", F.sum("count").over(of))
-    passed = found.where(F.pow(F.lit(10.0), -F.col("depth") / STEPS) <= false_rate * F.col("deeper") / F.col("all"))
-    return {r["class"]: r["depth"] for r in passed.groupBy("class").agg(F.min("depth").alias("depth")).collect()}
+    tests = F.array(*[F.struct(F.lit(t).alias("test"), F.col(f"c.{t}").alias("step")) for t in ("odd", "depth")])
+    each = docs.select(F.explode(candidates(text_of(text))).alias("c")).select(length_class(F.col("c.n")).alias("class"), F.explode(tests).alias("t")).select("class", "t.test", "t.step")
+    steps = each.groupBy("test", "class", "step").agg(F.count(F.lit(1)).alias("count"))
+    of = Window.partitionBy("test", "class")
+    found = steps.withColumn("deeper", F.sum("count").over(of.orderBy(F.desc("step")))).withColumn("all", F.sum("count").over(of))
+    passed = found.where(F.pow(F.lit(10.0), -F.col("step") / STEPS) <= false_rate * F.col("deeper") / F.col("all"))
+    return {(r["test"], r["class"]): r["step"] for r in passed.groupBy("test", "class").agg(F.min("step").alias("step")).collect()}
 
 
-def scan_secrets(docs: DataFrame, text: str = "text", false_rate: float = FALSE_RATE, level: float = RANDOM_LEVEL) -> DataFrame:
-    """Adds secret_spans: array<struct<start,kind,end>> (kind: place in KINDS), by start, then kind."""
+def scan_secrets(docs: DataFrame, text: str = "text", false_rate: float = FALSE_RATE) -> DataFrame:
+    """Adds secret_spans: array<struct<start,kind,end>> (kind: place in KINDS), by start, then kind; a column of that name is replaced."""
     limit = limits(docs, text, false_rate)
-    allowed = F.lit(DEEPEST * STEPS + 1)
     t = text_of(text)
+    base_name, random_name = free_name(docs, "__base"), free_name(docs, "__random")
 
-    def flagged(c: Column) -> Column:
-        least = allowed
-        for k, depth in sorted(limit.items()):
-            least = F.when(length_class(c["n"]) == k, depth).otherwise(least)
-        return (c["level"] >= level) & (c["depth"] >= least)
+    def reaches(test: str, c: Column) -> Column:
+        least = F.lit(DEEPEST * STEPS + 1)
+        for (name, k), step in sorted(limit.items()):
+            if name == test:
+                least = F.when(length_class(c["n"]) == k, step).otherwise(least)
+        return c[test] >= least
 
     bare = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    found = docs.withColumn("__base", F.transform(base_spans(t), bare)).withColumn("__random", F.transform(F.filter(candidates(t), flagged), bare))
-    added = F.filter("__random", lambda r: ~F.exists("__base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return found.withColumn("secret_spans", F.sort_array(F.concat("__base", added))).drop("__base", "__random")
+    flagged = F.filter(candidates(t), lambda c: ~reaches("odd", c) & reaches("depth", c))
+    found = docs.withColumn(base_name, F.transform(base_spans(t), bare)).withColumn(random_name, F.transform(flagged, bare))
+    added = F.filter(random_name, lambda r: ~F.exists(base_name, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    return found.withColumn("secret_spans", F.sort_array(F.concat(base_name, added))).drop(base_name, random_name)
 
 
 def joined(spans: Column) -> Column:
@@ -213,10 +234,14 @@ def redacted(scanned: DataFrame, text: str = "text", mask: str = "[SECRET]") ->
     """The scanned rows with each span's characters replaced by the mask; overlapping spans are replaced together."""
     t = F.col(text)
 
-    def step(a: Column, s: Column) -> Column:
-        start = F.greatest(s["start"], a["at"])
-        more = F.concat(a["done"], F.substring(t, a["at"] + 1, start - a["at"]), F.when(s["start"] >= a["at"], mask).otherwise(""))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), more.alias("done"))
+    def pieces(spans: Column) -> Column:
+        """What stands before each span and after the last, with masks between."""
+        ends = F.transform(spans, lambda s: s["end"])
+
+        def piece(s: Column, reach: Column) -> Column:
+            return F.concat(F.substring(t, reach + 1, F.greatest(s["start"] - reach, F.lit(0))), F.when(s["start"] >= reach, mask).otherwise(""))
+
+        return let(before(ends, F.lit(0), lambda a, b: F.greatest(a, b)), lambda reach: F.array_append(F.transform(spans, lambda s, i: piece(s, F.get(reach, i))), F.substring(t, F.array_max(ends) + 1, F.char_length(t))))
 
-    whole = F.aggregate("secret_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("done")), step, lambda a: F.concat(a["done"], F.substring(t, a["at"] + 1, F.char_length(t))))
+    whole = F.array_join(let(F.col("secret_spans"), pieces), "")
     return scanned.withColumn(text, F.when(F.size("secret_spans") > 0, whole).otherwise(t)).drop("secret_spans")
