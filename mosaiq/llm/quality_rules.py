@@ -2,8 +2,7 @@
 
 Words and word pairs are hashed into a fixed number of buckets. Two multinomials
 over the buckets are counted: one over all documents, one over trusted documents
-(labelled rows; at most trusted_most of them, taken by a hash of their id, which
-bounds what is broadcast). A document's score is the sum of log(trusted / raw)
+(those that labels call good and not toxic). A document's score is the sum of log(trusted / raw)
 over its words and pairs, divided by their number; it is kept when no base rule
 fails and the score reaches a threshold. The threshold is a fixed parameter, so
 the verdict on a document depends on nothing but its text and the two models.
@@ -29,7 +28,6 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 FEW_WORDS, REPEATED_PERCENT = 20, 30
 PRIOR = 8.0  # occurrences, of which the trusted share is taken as the corpus's
-TRUSTED_MOST = 20_000
 THRESHOLD = -0.09
 
 
@@ -74,9 +72,9 @@ def rule_counts(text: str, raw: bytes, words: list[bytes], h: np.ndarray) -> tup
 def ngram_counts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """bucket, raw, target: how often each bucket stands in all documents and in the trusted ones.
 
-    trusted: one column doc_id, of bounded size; each task adds up its rows first.
+    trusted: one column doc_id; each task adds up its rows first.
     """
-    ids = F.broadcast(trusted.select(F.col("doc_id").alias("__trusted")).distinct())
+    ids = trusted.select(F.col("doc_id").alias("__trusted")).distinct()
     flagged = docs.join(ids, F.col(doc_id) == F.col("__trusted"), "left").select(text_of(text).alias("text"), F.col("__trusted").isNotNull().alias("trusted"))
 
     def run(batches):
@@ -104,10 +102,9 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return np.log((target + PRIOR) / (expected + PRIOR))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED_MOST) -> DataFrame:
-    """At most so many ids of good, non-toxic documents: those whose hashes are smallest."""
-    good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of good, non-toxic documents."""
+    return labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id")
 
 
 def score_rules(docs: DataFrame, ratios: np.ndarray, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -135,7 +132,7 @@ def score_rules(docs: DataFrame, ratios: np.ndarray, text: str = "text", thresho
     return scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted_most: int = TRUSTED_MOST) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with their rule counts, score and verdict; see the module."""
-    ratios = log_ratios(ngram_counts(docs, trusted_ids(labels, trusted_most)))
+    ratios = log_ratios(ngram_counts(docs, trusted_ids(labels)))
     return score_rules(docs, ratios, threshold=threshold)
