@@ -6,8 +6,8 @@ model over the roles is counted from labelled segments; Viterbi's algorithm reco
 the roles of others, and each segment is rendered with its role, its marker removed.
 
 Transcripts are cut into blocks: of BLOCK orders each, and where one of these has over
-CROWDED rows, of one order each, which is cut further by the hash of the text and then
-by the row where too many rows share it. A first pass reduces each
+CROWDED rows, of one order each, which is cut further by ranges of the hash of the text,
+by the hash itself, and by the row, each where too many rows share what is before. A first pass reduces each
 block to its best scores from any role before it to any role at its end (a product
 in the max-plus sense), blocks are chained per transcript, and a second pass decodes
 each block between the roles at its ends. So no task holds a whole transcript; the
@@ -76,17 +76,24 @@ def with_parts(named: DataFrame) -> DataFrame:
     def crowded(df: DataFrame, by: list[str]) -> DataFrame:
         return cut(df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > CROWDED))
 
+    kind = "struct<order:long,range:long,tie:long,row:long>"
     blocks = crowded(named, ["__key", "__block"])
     if blocks.isEmpty():
-        return named.withColumn("__part", F.lit(None).cast("struct<order:long,tie:long,row:long>"))
-    orders = crowded(named.join(blocks.drop("__n"), ["__key", "__block"]), ["__key", "__order"]).withColumnRenamed("__n", "__of_order")
-    width = F.floor(F.lit(2.0**64) / F.ceil(F.col("__of_order") / BLOCK))
-    tie = F.coalesce(F.floor((F.col("__tie").cast("double") + 2.0**63) / width), F.lit(0))
-    parted = named.join(blocks, ["__key", "__block"], "left").join(orders, ["__key", "__order"], "left").withColumn("__range", tie)
-    ties = crowded(parted.where("__of_order is not null"), ["__key", "__order", "__range"]).withColumnRenamed("__n", "__of_tie")
-    row = F.coalesce(F.pmod(F.xxhash64("__row"), F.ceil(F.col("__of_tie") / BLOCK)), F.lit(0))
-    part = F.struct(F.col("__order").alias("order"), F.col("__range").cast("long").alias("tie"), row.cast("long").alias("row"))
-    return parted.join(ties, ["__key", "__order", "__range"], "left").withColumn("__part", F.when(F.col("__n").isNotNull(), part)).drop("__n", "__of_order", "__range", "__of_tie")
+        return named.withColumn("__part", F.lit(None).cast(kind))
+
+    def step(df: DataFrame, by: list[str], among: str, count: str) -> DataFrame:
+        """Adds the count of rows alike in by, where these are crowded and the last step's were."""
+        return df.join(crowded(df.where(F.col(among).isNotNull()), by).withColumnRenamed("__n", count), by, "left")
+
+    part_of = lambda count, hashed: F.floor((hashed.cast("double") + 2.0**63) / F.floor(F.lit(2.0**64) / F.ceil(F.col(count) / BLOCK)))
+    now = step(named.join(blocks, ["__key", "__block"], "left"), ["__key", "__order"], "__n", "__of_order")
+    now = now.withColumn("__range", F.coalesce(part_of("__of_order", F.col("__tie")), F.lit(0)))
+    now = step(now, ["__key", "__order", "__range"], "__of_order", "__of_range")
+    now = step(now, ["__key", "__order", "__tie"], "__of_range", "__of_tie")
+    tie = F.when(F.col("__of_range").isNotNull(), F.col("__tie")).otherwise(0)
+    row = F.coalesce(part_of("__of_tie", F.xxhash64("__row")), F.lit(0))
+    part = F.struct(F.col("__order").alias("order"), F.col("__range").alias("range"), tie.alias("tie"), row.alias("row")).cast(kind)
+    return now.withColumn("__part", F.when(F.col("__n").isNotNull(), part)).drop("__n", "__of_order", "__range", "__of_range", "__of_tie")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -273,7 +280,7 @@ def chained(blocks: DataFrame, model: RoleModel) -> DataFrame:
             keys = [table.column(c).combine_chunks() for c in ("__key", "__block", "__part")]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(before, pa.int32()), pa.array(after, pa.int32())], names=["__key", "__block", "__part", "__before", "__after"])
 
-    part = F.from_json("__part", "order long, tie long, row long")
+    part = F.from_json("__part", "order long, range long, tie long, row long")
     together = blocks.withColumn("__sort", part).repartition("__key").sortWithinPartitions("__key", "__block", "__sort")
     return together.select("__key", "__block", "__part", "scores").mapInArrow(run, "__key string, __block long, __part string, __before int, __after int")
 
