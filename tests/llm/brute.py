@@ -19,11 +19,16 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def secrets(text):
-    text = text or ""
+def secret_spans(text):
+    """(start, kind, end) of the base kinds."""
     spans = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(s[:3] for s in spans)
+
+
+def secrets(text):
+    spans = [(a, k, b, ("assign", "access", "hex")[k]) for a, k, b in secret_spans(text or "")]
     n = Counter(s[3] for s in spans)
     return n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans)))
 
@@ -164,3 +169,56 @@ def similar_groups(docs, shingle=5, similarity=0.8):
         links |= {(j, k) for j, n in shared.items() if n >= similarity * (len(s) + len(sets[j]) - n)}
     roots = components(range(len(docs)), links)
     return [roots[k] for k in range(len(docs))]
+
+
+def license_cover(words, template, counts, least=4, gap=48):
+    """The most counting runs (by their starts in the template) that a chain of matches covers: every maximal match, every chain."""
+    found = []
+    for d in range(len(words)):
+        for t in range(len(template)):
+            if words[d] == template[t] and (d == 0 or t == 0 or words[d - 1] != template[t - 1]):
+                n = 0
+                while d + n < len(words) and t + n < len(template) and words[d + n] == template[t + n]:
+                    n += 1
+                if n >= least:
+                    found.append((d, t, n))
+    found.sort()
+    best = []
+    for d, t, n in found:
+        runs = range(n - least + 1)
+        now = sum(counts[t + k] for k in runs)
+        for (dj, tj, nj), b in zip(found, best, strict=False):
+            fresh = [k for k in runs if d + k > dj + nj - least and t + k > tj + nj - least]
+            if tj < t and fresh and d - dj - nj <= gap:
+                now = max(now, b + sum(counts[t + k] for k in fresh))
+        best.append(now)
+    return max(best, default=0)
+
+
+def label_model(counts, names, beliefs, pinned, rounds=200, trust=0.3):
+    """Expectation-maximisation over patterns of votes, digit by digit."""
+    digits = {p: [p // 3**j % 3 for j in range(len(names))] for p in counts}
+    total = sum(counts.values())
+    prior_rates = [[list(beliefs.get(n, beliefs[""])[y]) for n in names] for y in (0, 1)]
+    good = {p: (0.95, 0.2, 0.05)[min(2, d.count(0))] for p, d in digits.items()}
+    for _ in range(rounds):
+        rates = []
+        for y in (0, 1):
+            rates.append([])
+            for j, name in enumerate(names):
+                row = [prior_rates[y][j][v] * trust * total for v in range(3)]
+                for p, d in digits.items():
+                    row[d[j]] += counts[p] * (good[p] if y else 1 - good[p])
+                rates[y].append(prior_rates[y][j] if name in pinned else [x / sum(row) for x in row])
+        prior = min(0.95, max(0.05, sum(counts[p] * good[p] for p in counts) / total))
+        new = {}
+        for p, d in digits.items():
+            bad_odds, good_odds = 1 - prior, prior
+            for j, v in enumerate(d):
+                bad_odds, good_odds = bad_odds * rates[0][j][v], good_odds * rates[1][j][v]
+            new[p] = good_odds / (good_odds + bad_odds)
+        done = max(abs(new[p] - good[p]) for p in counts) < 1e-6
+        good = new
+        if done:
+            break
+    return good, rates

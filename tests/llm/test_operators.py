@@ -1,6 +1,7 @@
 """Each operator against its plain version, on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -79,6 +80,37 @@ def test_secrets(docs, empty):
     assert masked[7] == PROSE and masked[0] is None
 
 
+def test_spans_of_many_matches(spark):
+    """More matches than a block of sums holds; every span and the masked text against plain versions."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(["password=abcdefghijklmnop ", "0123456789abcdef0123 ", "AKIA" + "Q" * 20 + " ", "é🙂 words, ", "token: 'x' ", "secret=deadbeefdeadbeefdead,"]) for _ in range(n)) for n in (1, 127, 128, 129, 700)]
+    scanned = secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: r["secret_spans"] for r in scanned.collect()}
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redacted(scanned).collect()}
+    for k, t in enumerate(texts):
+        base = [tuple(s) for s in got[k] if s["kind"] < 3]
+        assert base == brute.secret_spans(t)
+        gone = [False] * len(t)
+        for s in got[k]:
+            gone[s["start"] : s["end"]] = [True] * (s["end"] - s["start"])
+        assert masked[k].replace("[SECRET]", "") == "".join(c for c, g in zip(t, gone, strict=True) if not g)
+
+
+def test_false_discoveries_are_held_by_length(spark):
+    """The limits are Benjamini and Hochberg's over the candidates of each class."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice(PROSE.lower().split()) for _ in range(6))[: rng.choice([24, 40])] for _ in range(80)]
+    keys = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.choice([24, 40]))) for _ in range(40)]
+    df = spark.createDataFrame([(k, f" {x} ") for k, x in enumerate(words + keys)], "doc_id long, text string")
+    tested = [r["c"] for r in df.select(F.explode(secret_scan.candidates(F.col("text"))).alias("c")).collect()]
+    limits = secret_scan.limits(df)
+    for test in ("odd", "depth"):
+        for size in {int(np.log2(c["n"])) for c in tested}:
+            steps = [c[test] for c in tested if int(np.log2(c["n"])) == size]
+            good = [s for s in set(steps) if 10.0 ** (-s / 20) <= 0.01 * sum(x >= s for x in steps) / len(steps)]
+            assert limits.get((test, size)) == min(good, default=None)
+
+
 def test_random_strings_are_told_from_words(spark):
     rng = random.Random(5)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -116,14 +148,31 @@ def test_sharding(spark, docs, empty, tmp_path):
     totals, first = sharding.slot_totals(keyed), sharding.first_map(spark, 8)
     second = sharding.rebalanced(first, totals, 8)
     third = sharding.rebalanced(second, totals, 9)
-    for m in (first, second, third):
+    for m in (first, second, third, second):
         sharding.save_map(m, str(tmp_path / "maps"))
+    assert sharding.load_map(spark, str(tmp_path / "maps"), 2).count() == sharding.SLOTS
     a, b = (dict(sharding.load_map(spark, str(tmp_path / "maps"), v).select("virtual_slot", "shard").collect()) for v in (2, 3))
     assert sharding.load_map(spark, str(tmp_path / "maps")).first()["version"] == 3
     size = {r["virtual_slot"]: r["bytes"] for r in totals.collect()}
     assert sum(size.get(s, 0) for s in a if a[s] != b[s]) < 0.13 * sum(size.values()) and set(b.values()) == set(range(9))
 
 
+def test_sharding_columns_and_copies(spark, docs, tmp_path):
+    given = [(i, t) for i, t in rows()] + [(None, PROSE)] * 3000 + [(4, "alike")] * 3000
+    df = spark.createDataFrame([(*g, "x", "y") for g in given], "doc_id long, text string, shard string, row string").repartition(4)
+    got = sharding.shard_documents(df, 8, maps=None).toPandas()
+    plain = sorted((i is None, i or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in given)
+    assert sorted((i != i, 0 if i != i else int(i), s, c) for i, s, c in zip(got["doc_id"], got["size"], got["text_crc32"], strict=True)) == plain
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() - sizes.min() <= got["size"].max() + 500  # thousands of rows alike don't crowd a shard
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+    maps = str(tmp_path / "m")
+    sharding.save_map(sharding.first_map(spark, 8), maps)
+    once = sharding.shard_documents(df, 8, maps=maps).select("version").distinct().collect()
+    again = sharding.shard_documents(df, 9, maps=maps)
+    assert [r[0] for r in once] == [2] and [r[0] for r in again.select("version").distinct().collect()] == [3] and again.select("shard").distinct().count() == 9
+
+
 def test_licenses(docs, empty):
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
     for i, t in rows():
@@ -133,6 +182,36 @@ def test_licenses(docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_labels(spark):
+    """Notices with changes give their label and no other; stock wording gives none."""
+    t = license_scan.TEMPLATES
+    texts = [
+        ("", "This work is licensed under the terms of the Eclipse Public Domain."), ("", "This program is free software: you can redistribute it and/or modify it under the terms of the house."), ("epl", t["epl/2"]), ("", "permission is hereby granted to go home"),
+        ("lgpl", t["lgpl/3"]), ("gpl", t["gpl/3"]), ("gpl", t["gpl/2"]), ("agpl", t["agpl/3"]), ("bsd", t["bsd/2"]), ("bsd", "Copyright me. " + t["bsd/3"].replace("copyright holder", "University")),
+        ("isc", t["isc"]), ("zlib", t["zlib"]), ("mpl", t["mpl/2"]), ("cc by", t["cc by"]), ("mit", "x " * 50 + t["mit"].replace("Software", "Program")), ("apache,mit", t["apache"] + " And " + t["mit"]),
+    ]
+    got = license_scan.scan_licenses(spark.createDataFrame([(k, x) for k, (_, x) in enumerate(texts)], "k long, text string")).orderBy("k").collect()
+    named = [",".join(sorted({license_scan.label_of(s["template"]) for s in r["template_spans"]})) for r in got]
+    assert named == [label for label, _ in texts]
+
+
+def test_license_chains_against_every_match():
+    rng = random.Random(8)
+    for _ in range(40):
+        templates = {f"{x}/{k}": " ".join(rng.choice("abcde") for _ in range(rng.randint(6, 30))) for k, x in enumerate("pqq")}
+        scanner = license_scan.LicenseScanner(templates, {}, 4, 0.5, ())
+        words = []
+        for _ in range(rng.randint(1, 6)):
+            s = rng.choice(list(templates.values())).split()
+            a = rng.randrange(len(s))
+            words += s[a : a + rng.randint(3, 15)] + [rng.choice("abcdez") for _ in range(rng.choice([0, 1, 3, 60]))]
+        got = scanner.chains(scanner.matches(np.array([scanner.ids.get(w.encode(), -1) for w in words])))
+        for k, t in enumerate(templates.values()):
+            counts = np.diff(scanner.counted[k]).tolist()
+            wanted = brute.license_cover(words, t.split(), counts)
+            assert (got[k][0] if k in got else 0) == (wanted / sum(counts) if wanted else 0)
+
+
 def test_suffix_automaton_against_search():
     rng = random.Random(11)
     for _ in range(30):
@@ -143,8 +222,7 @@ def test_suffix_automaton_against_search():
             holds = lambda n, end=end: any(s[k : k + n] == query[end - n : end] for s in sequences for k in range(len(s) - n + 1))
             assert length == max(n for n in range(end + 1) if n == 0 or holds(n))
             if length:
-                firsts = {j: min((k + length - 1 for k in range(len(s) - length + 1) if s[k : k + length] == query[end - length : end]), default=None) for j, s in enumerate(sequences)}
-                assert automaton.ends[state] == {j: e for j, e in firsts.items() if e is not None}
+                assert automaton.ends[state] == {(j, k + length - 1) for j, s in enumerate(sequences) for k in range(len(s) - length + 1) if s[k : k + length] == query[end - length : end]}
 
 
 def test_near_duplicates(docs, empty):
@@ -295,6 +373,31 @@ def test_quality_classifier(spark, docs, empty):
     small = {r["doc_id"]: r for r in quality_classifier.classify(docs).collect()}
     assert len(small) == len(rows()) and not small[0]["kept"] and small[7]["quality"] == small[100]["quality"]
     assert quality_classifier.classify(empty).count() == 0
+    assert small[7]["score"] == "s" and quality_classifier.classify(docs).dtypes.count(("kept", "boolean")) == 1  # the table's own column of this name is replaced
+
+
+def test_samples_of_any_number():
+    for n, most in [(100, 8000), (10**6, 8000), (10**11, 8000), (10**14, 8000.5)]:
+        bound = quality_classifier.hash_bound(n, most)
+        assert bound is None if n <= most else abs((bound + 2**63) / 2**64 * n / most - 1) < 1e-3
+
+
+def test_samples_of_a_table_that_counts_as_huge(spark, docs, monkeypatch):
+    """The sample follows from the number of texts; here the sample's size is asked for as if of few of very many."""
+    taken = []
+    plain = quality_classifier.hash_bound
+    monkeypatch.setattr(quality_classifier, "hash_bound", lambda n, most: taken.append((n, most)) or plain(10**11, 10**11 * 0.7))
+    weights, _, _ = quality_classifier.train(docs)
+    assert weights.any() and len(taken) == 1 and 15 <= taken[0][0] <= 30
+
+
+def test_label_model_against_plain_em():
+    rng = random.Random(3)
+    k = len(quality_classifier.LABELLERS)
+    counts = {sum(rng.choices((0, 1, 2), (1, 6, 1))[0] * 3**j for j in range(k)): rng.randint(1, 500) for _ in range(40)}
+    got, rates = quality_classifier.label_model(counts)
+    want, plain_rates = brute.label_model(counts, quality_classifier.LABELLERS, quality_classifier.BELIEFS, {"toxic"})
+    assert all(abs(got[p] - want[p]) < 1e-6 for p in counts) and np.allclose(rates, plain_rates)
 
 
 def test_toxic_wording_is_rejected(spark):
@@ -385,6 +488,37 @@ def test_chat(spark, block, monkeypatch):
     assert sorted((r["k"], r["line"], r["text"]) for r in lines.collect()) == [(1, 0, "User: hi"), (1, 1, "Assistant: yes"), (2, 0, "")]
 
 
+@pytest.mark.parametrize("block, crowded", [(4096, 16384), (3, 4), (1, 1)])
+def test_roles_of_crowded_blocks(spark, block, crowded, monkeypatch):
+    """Equal and null orders, rows alike, many rows of one order: Viterbi over the rows in their order, however they are cut."""
+    monkeypatch.setattr(chat_format, "BLOCK", block)
+    monkeypatch.setattr(chat_format, "CROWDED", crowded)
+    rng = random.Random(5)
+    given = [(c, rng.choice([None, 0, 1, 2, 7]), rng.choice(["User: ", "Bot: ", ""]) + " ".join("w" * rng.randint(1, 40)) + f" {c}.{k}") for c in range(6) for k in range(rng.randint(1, 60))]
+    given += [(99, 2, "alike")] * 40
+    df = spark.createDataFrame(given, "conv_id long, turn long, text string").repartition(3)
+    model = chat_format.RoleModel({("next", i, j): float(rng.randint(1, 50)) for i in range(3) for j in range(3)})
+    got = chat_format.recover_roles(df, model).collect()
+    assert sorted((r["conv_id"], -1 if r["turn"] is None else r["turn"], r["text"]) for r in got) == sorted((c, -1 if t is None else t, x) for c, t, x in given)
+    role = {r["text"]: chat_format.ROLES.index(r["recovered"]) for r in got}
+    order = F.struct("__order", "__tie", *chat_format.FEATURES, "text")
+    for conv in chat_format.with_features(df.where("conv_id < 99")).groupBy("conv_id").agg(F.sort_array(F.collect_list(order)).alias("rows")).collect():
+        emissions = sum(model.features[n][:, np.array([r[n] for r in conv["rows"]])] for n in chat_format.FEATURES).T
+        _, best = plain_viterbi(model, emissions)
+        path = [role[r["text"]] for r in conv["rows"]]
+        score = model.begin[path[0]] + sum(e[r] for e, r in zip(emissions, path, strict=True)) + sum(model.next[a, b] for a, b in zip(path, path[1:], strict=False))
+        assert np.isclose(score, best)  # paths of equal score may differ
+
+
+def test_models_come_from_other_conversations(spark):
+    turns = spark.createDataFrame([(c, k, ("user", "assistant")[k % 2], "x" * (10 + 500 * (k % 2))) for c in range(40) for k in range(4)], "conv_id long, turn long, role string, text string")
+    got = chat_format.format_by_folds(turns).join(turns, ["conv_id", "turn"]).collect()
+    assert len(got) == 160 and np.mean([r["recovered"] == r["role"] for r in got]) > 0.95
+    one = turns.where("conv_id = 3")  # no other conversation: the model knows nothing of roles
+    assert {r["recovered"] for r in chat_format.format_by_folds(one).collect()} != {"user", "assistant"}
+    assert chat_format.format_by_folds(turns.limit(0)).count() == 0
+
+
 def test_every_marker(spark):
     turns = [(k, 0, role, f"{m.capitalize()}: some words") for k, (role, m) in enumerate((r, m) for r, ms in chat_format.MARKERS.items() for m in ms)]
     assert "Question: some words" in {t[3] for t in turns}
