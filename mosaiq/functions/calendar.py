@@ -100,3 +100,19 @@ def day_start(ts: Column) -> Column:
 def day_end(ts: Column) -> Column:
     """The last microsecond of the day."""
     return F.date_trunc("day", ts) + F.expr("interval 1 day") - F.expr("interval 1 microsecond")
+
+
+def schedule_dates(kind: Column, fire: Column) -> tuple[Column, Column, Column]:
+    """year, month and day that a schedule of a kind means when it fires."""
+    before = F.add_months(fire.cast("date"), -1)
+    monthly = kind == "monthly_highlights"
+    year = F.when(kind.isin("year_in_review", "trip"), F.year(fire) - 1).when(monthly, F.year(before)).when(kind != "on_this_day", F.year(fire))
+    return year, F.when(monthly, F.month(before)), F.when(kind == "on_this_day", fire.cast("date"))
+
+
+def slid_window(length: Column, start: Column, end: Column, size: float) -> Column:
+    """struct window<from, to>: the size around a segment's middle, slid into the file; longer segments and shorter files whole."""
+    high = F.least(length, F.greatest((start + end) / 2 + size / 2, F.lit(size)))
+    whole, short = end - start >= size, length <= size
+    low = F.when(whole, start).when(short, 0.0).otherwise(high - size)
+    return F.struct(low.alias("from"), F.when(whole, end).when(short, length).otherwise(high).alias("to")).alias("window")

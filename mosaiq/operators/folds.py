@@ -6,7 +6,7 @@ Each key's rows meet in one task, so keys are to be videos, trips or owners, not
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -31,26 +31,19 @@ def boundaries(visual: DataFrame, audio: DataFrame, time: str, by: list[str], le
 
 
 def day_slots(df: DataFrame, day: str, by: list[str], target: int) -> DataFrame:
-    """Slots per day: an even base, twice that on days of over 1.5 times the average, as far as supply and the target reach; what is left goes to the largest days."""
+    """Slots per day: an even base, twice that on days of over 1.5 times the average, as far as supply and the target reach; what is left goes to the largest days.
+
+    Both passes hand out in order until nothing is left, so a running sum of what is wished before a day tells what it gets.
+    """
     counts = df.groupBy(*by, day).agg(F.count(F.lit(1)).alias("n"))
-    schema = StructType([*counts.schema.fields]).add("slots", "integer")
-
-    def allot(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(day).reset_index(drop=True)
-        average, base, left = rows["n"].mean(), max(1, target // max(1, len(rows))), target
-        slots = []
-        for n in rows["n"]:
-            wish = min(2 * base if n > 1.5 * average else base, n, left)
-            slots.append(int(wish))
-            left -= wish
-        for k in rows.sort_values(["n", day], ascending=[False, True]).index:
-            more = min(left, rows.at[k, "n"] - slots[k])
-            slots[k] += int(more)
-            left -= more
-        rows["slots"] = pd.Series(slots, dtype="int32")
-        return rows
-
-    return counts.groupBy(*by).applyInPandas(allot, schema)
+    whole = Window.partitionBy(*by)
+    base = F.greatest(F.lit(1), F.floor(F.lit(target) / F.count(F.lit(1)).over(whole)))
+    wished = counts.withColumn("__wish", F.least(F.when(F.col("n") > 1.5 * F.avg("n").over(whole), 2 * base).otherwise(base), F.col("n")))
+    before = lambda c, *order: F.coalesce(F.sum(c).over(whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = wished.withColumn("__slots", F.greatest(F.lit(0), F.least("__wish", target - before("__wish", day)))).withColumn("__room", F.col("n") - F.col("__slots"))
+    left = target - F.sum("__slots").over(whole)
+    more = F.greatest(F.lit(0), F.least("__room", left - before("__room", F.desc("n"), day)))
+    return first.withColumn("slots", (F.col("__slots") + more).cast("int")).drop("__wish", "__slots", "__room")
 
 
 def farthest_days(df: DataFrame, day: str, amount: str, favorite: str, score: str, by: list[str], tie: str, budget: float) -> DataFrame:
@@ -76,67 +69,88 @@ def farthest_days(df: DataFrame, day: str, amount: str, favorite: str, score: st
     return df.groupBy(*by).applyInPandas(choose, schema)
 
 
-def overnight_stops(df: DataFrame, time: str, lat: str, lon: str, by: list[str], tie: str, radius_km: float = 20.0) -> DataFrame:
-    """Where a trip's nights were spent, in runs of days.
+def places_of_days(df: DataFrame, time: str, lat: str, lon: str, by: list[str], tie: str, radius_km: float = 20.0) -> DataFrame:
+    """The places of a trip, in order: place, lat and lon (means), days (array<date>), n, span (days of the trip) and is_base.
 
-    Rows join the nearest seed within the radius in order, else they are seeds. A
-    cluster is a base if it has rows on three days and 30 % of the trip's, or on days
-    more than two apart. A day ends at the first base that its last row is near, else
-    where the next day begins. Days near the head of a run join it, and runs between
-    two stays at one place are taken into it.
+    In order, a row joins the nearest seed within the radius (of ones equally near to a
+    millimetre the first), else it is a seed. A place is a base if it has rows on three days and on
+    30 % of the trip's, or on days more than two apart. A fold over a trip's rows.
     """
-    import math
-
-    schema = df.select(*by).schema.add("stop", "integer").add("start_date", "date").add("end_date", "date").add("nights", "integer").add("lat", "double").add("lon", "double")
-
-    def km(a, b) -> float:
-        p, q = math.radians(a[0]), math.radians(b[0])
-        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
-        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(h)))
-
-    def bases_of(points) -> list[tuple[float, float]]:
-        seeds: list[tuple[float, float]] = []
-        days: list[dict] = []
-        for day, p in points:
-            near = min(((km(p, s), k) for k, s in enumerate(seeds)), default=(math.inf, -1))
-            if near[0] > radius_km:
-                near = (0.0, len(seeds))
-                seeds.append(p)
-                days.append({})
-            days[near[1]][day] = True
-        span = (points[-1][0] - points[0][0]).days + 1
-        enough = max(3, math.ceil(0.3 * span))
-        returns = lambda ds: any((y - x).days > 2 for x, y in zip(ds, ds[1:], strict=False))
-        return [s for s, ds in zip(seeds, days, strict=True) if len(ds) >= enough or returns(sorted(ds))]
-
-    def stops(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([time, tie])
-        points = [(pd.Timestamp(t).date(), (a, b)) for t, a, b in zip(rows[time], rows[lat], rows[lon], strict=True)]
-        bases = bases_of(points)
-        first, last = {}, {}
-        for day, p in points:
-            first.setdefault(day, p)
-            last[day] = p
-        dates = sorted(last)
-        runs: list[list] = []
-        for k, day in enumerate(dates):
-            base = next((b for b in bases if km(b, last[day]) <= radius_km), None)
-            place = base or (first[dates[k + 1]] if k + 1 < len(dates) else last[day])
-            if runs and km(runs[-1][3], place) <= radius_km:
-                runs[-1][1], runs[-1][2] = day, runs[-1][2] + 1
-            else:
-                runs.append([day, day, 1, place])
-        k = 0
-        while k < len(runs):
-            again = next((j for j in range(len(runs) - 1, k + 1, -1) if km(runs[k][3], runs[j][3]) <= radius_km), None)
-            if again:
-                runs[k] = [runs[k][0], runs[again][1], sum(r[2] for r in runs[k : again + 1]), runs[k][3]]
-                del runs[k + 1 : again + 1]
-            k += 1
-        head = rows.iloc[0]
-        return pd.DataFrame([[*(head[b] for b in by), n, r[0], r[1], r[2], r[3][0], r[3][1]] for n, r in enumerate(runs)], columns=schema.names)
-
-    return df.groupBy(*by).applyInPandas(stops, schema)
+    place = "struct<lat:double,lon:double,slat:double,slon:double,n:int,days:array<date>>"
+    kind = f"array<{place}>"
+    row = F.struct(F.col(time).alias("t"), F.col(tie).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+
+    def add(places, r):
+        far = F.transform(places, lambda p, k: F.struct(F.round(geo.haversine_km(r["lat"], r["lon"], p["lat"], p["lon"]), 6).alias("km"), k.alias("k")))
+        best = F.array_min(far)
+        day = F.to_date(r["t"])
+        joined = F.transform(places, lambda p, k: F.when(k == best["k"], F.struct(p["lat"], p["lon"], p["slat"] + r["lat"], p["slon"] + r["lon"], p["n"] + 1, F.array_union(p["days"], F.array(day))).cast(place)).otherwise(p))
+        seed = F.array(F.struct(r["lat"], r["lon"], r["lat"], r["lon"], F.lit(1), F.array(day)).cast(place))
+        return F.when(best["km"] <= radius_km, joined.cast(kind)).otherwise(F.concat(places, seed.cast(kind)))
+
+    folded = df.groupBy(*by).agg(F.array_sort(F.array_agg(row)).alias("rows"))
+    span = F.datediff(F.to_date(F.element_at("rows", -1)["t"]), F.to_date(F.get("rows", F.lit(0))["t"])) + 1
+    placed = folded.select(*by, span.alias("span"), F.posexplode(F.aggregate("rows", F.array().cast(kind), add)).alias("place", "p"))
+    days = F.array_sort("p.days")
+    returns = F.exists(F.sequence(F.lit(1), F.size(days) - 1), lambda k: F.datediff(F.get(days, k), F.get(days, k - 1)) > 2)
+    enough = F.size(days) >= F.greatest(F.lit(3), F.ceil(F.col("span") * 0.3))
+    base = enough | ((F.size(days) > 1) & returns)
+    return placed.select(*by, "place", (F.col("p.slat") / F.col("p.n")).alias("lat"), (F.col("p.slon") / F.col("p.n")).alias("lon"), days.alias("days"), F.col("p.n").alias("n"), "span", base.alias("is_base"))
+
+
+def daily_stops(df: DataFrame, bases: DataFrame, time: str, lat: str, lon: str, by: list[str], tie: str, radius_km: float = 20.0) -> DataFrame:
+    """day, lat and lon of where each day of a trip ended: the first base that has the day and is near its last row, else where the next day begins."""
+    points = df.withColumn("day", F.to_date(time)).groupBy(*by, "day").agg(*[f(F.struct(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")), F.struct(time, tie)).alias(n) for f, n in ((F.min_by, "first"), (F.max_by, "last"))])
+    following = F.coalesce(F.lead("first").over(Window.partitionBy(*by).orderBy("day")), F.col("last"))
+    stops = points.withColumn("else", following)
+    held = bases.where("is_base").select(*by, "place", F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), F.explode("days").alias("day"))
+    near = geo.haversine_km(F.col("last.lat"), F.col("last.lon"), F.col("b_lat"), F.col("b_lon")) <= radius_km
+    met = stops.join(held, [*by, "day"]).where(near).groupBy(*by, "day").agg(F.min_by(F.struct(F.col("b_lat").alias("lat"), F.col("b_lon").alias("lon")), "place").alias("base"))
+    at = F.coalesce("base", "else")
+    return stops.join(met, [*by, "day"], "left").select(*by, "day", at["lat"].alias("lat"), at["lon"].alias("lon"))
+
+
+def merged_stops(stops: DataFrame, by: list[str], radius_km: float = 20.0) -> DataFrame:
+    """stop, start_date, end_date, nights, lat and lon: runs of days (day, lat, lon) near the head of the run, and what lies between two stays at one place taken into it, until nothing changes.
+
+    A fold over a trip's days; a trip has few.
+    """
+    kind = "array<struct<start_date:date,end_date:date,nights:int,lat:double,lon:double>>"
+    near = lambda a, b: geo.haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]) <= radius_km
+    grown = lambda a, end, nights: F.struct(a["start_date"].alias("start_date"), end.alias("end_date"), (a["nights"] + nights).cast("int").alias("nights"), a["lat"].alias("lat"), a["lon"].alias("lon"))
+
+    def consecutive(runs, d):
+        head = F.element_at(runs, -1)
+        start = F.struct(d["day"].alias("start_date"), d["day"].alias("end_date"), F.lit(1).alias("nights"), d["lat"].alias("lat"), d["lon"].alias("lon"))
+        own = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(grown(head, d["day"], F.lit(1))).cast(kind))
+        return F.when((F.size(runs) > 0) & near(F.get(runs, F.size(runs) - 1), d), own).otherwise(F.concat(runs, F.array(start).cast(kind)))
+
+    state = f"struct<runs:{kind},changed:boolean>"
+
+    def taken_in(now, i):
+        """Run i with the first later run at its place that isn't its neighbour, and what lies between, as one."""
+        runs = now["runs"]
+        later = F.filter(F.when(i + 2 < F.size(runs), F.sequence(i + 2, F.size(runs) - 1)).otherwise(F.array().cast("array<int>")), lambda j: near(F.get(runs, i), F.get(runs, j)))
+        j = F.get(later, F.lit(0))
+        nights = F.aggregate(F.slice(runs, i + 2, j - i), F.lit(0), lambda a, r: a + r["nights"])
+        one = F.array(grown(F.get(runs, i), F.get(runs, j)["end_date"], nights)).cast(kind)
+        return F.when(F.size(later) > 0, F.struct(F.concat(F.slice(runs, 1, i), one, F.slice(runs, j + 2, F.size(runs))), F.lit(True)).cast(state)).otherwise(now)
+
+    def one_pass(now, _):
+        places = F.sequence(F.lit(0), F.size(now["runs"]) - 1)
+        return F.when(now["changed"], F.aggregate(places, F.struct(now["runs"], F.lit(False)).cast(state), taken_in)).otherwise(now)
+
+    days = F.array_sort(F.array_agg(F.struct("day", "lat", "lon")))
+    first = stops.groupBy(*by).agg(days.alias("days")).withColumn("runs", F.aggregate("days", F.array().cast(kind), consecutive))
+    begun = F.struct(F.col("runs"), F.lit(True)).cast(state)  # a pass that changes something takes a run away, so there are fewer passes than runs
+    whole = first.withColumn("runs", F.aggregate("runs", begun, one_pass, lambda now: now["runs"]))
+    return whole.select(*by, F.posexplode("runs").alias("stop", "r")).select(*by, "stop", "r.*")
+
+
+def overnight_stops(df: DataFrame, time: str, lat: str, lon: str, by: list[str], tie: str, radius_km: float = 20.0) -> DataFrame:
+    """Where a trip's nights were spent, in runs of days: places, the bases among them, where each day ended, and runs of days merged."""
+    bases = places_of_days(df, time, lat, lon, by, tie, radius_km)
+    return merged_stops(daily_stops(df, bases, time, lat, lon, by, tie, radius_km), by, radius_km)
 
 
 def place_counts(df: DataFrame, lat: str, lon: str, city: str, by: list[str], order: list[str], km: float = 5.0) -> DataFrame:

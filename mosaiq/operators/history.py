@@ -54,3 +54,12 @@ def transitioned(table: DataFrame, key: str, requested: DataFrame, status: str,
 def without_parents(parents: DataFrame, children: DataFrame, key: str, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parents and children after a delete that cascades."""
     return parents.join(gone, key, "left_anti"), children.join(gone, key, "left_anti")
+
+
+def payload_or_null(payload: Column) -> Column:
+    """A struct, or null where all of its fields are; fields are told apart by their JSON, which leaves nulls out."""
+    return F.when(F.to_json(payload) != "{}", payload)
+
+
+def replaced(status: Column, old: str, new: str) -> Column:
+    return F.when(status == old, new).otherwise(status)

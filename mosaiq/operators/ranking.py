@@ -90,3 +90,10 @@ def judged_out(df: DataFrame, score: str, favorite: str, time: str, by: list[str
     weakest = F.col(score) == F.min(score).over(w)
     weak_end = (F.count(F.lit(1)).over(w) > 2) & last & weakest & (F.col(score) < share * F.avg(score).over(w))
     return df.withColumn("__out", ~F.col(favorite) & ((F.col(score) < floor) | weak_end)).where("__out").drop("__out")
+
+
+def dominant(counts: DataFrame, by: list[str], value: str, n: str, first: str, share: float) -> DataFrame:
+    """by and dominant: the most frequent value (of equal ones the first) where it has the share, else null."""
+    total = F.sum(n).over(Window.partitionBy(*by))
+    best = first_per(counts.withColumn("__total", total), by, [F.desc(n), F.col(first)])
+    return best.select(*by, F.when(F.col(n) >= share * F.col("__total"), F.col(value)).alias("dominant"))

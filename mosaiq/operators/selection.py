@@ -8,7 +8,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -58,44 +59,34 @@ def backfilled(df: DataFrame, by: list[str], chosen: str, time: str, amount: str
 
 
 def thinned_favorites(df: DataFrame, by: list[str], week: str, held: str, amount: str, score: str, tie: str, budget: float) -> DataFrame:
-    """Favorites within a budget: the weakest of weeks that aren't held go first, but a week keeps its last one."""
-    schema = StructType([df.schema[c] for c in [*by, tie]])
-
-    def thin(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, tie]).reset_index(drop=True)
-        total, gone = rows[amount].sum(), set()
-        free = rows[~rows[held].astype(bool)]
-        left = free[week].value_counts().to_dict()
-        for k in free.index:
-            if total <= budget:
-                break
-            if left[rows.at[k, week]] > 1:
-                gone.add(k)
-                total -= rows.at[k, amount]
-                left[rows.at[k, week]] -= 1
-        return rows.loc[[k for k in rows.index if k not in gone], [*by, tie]]
-
-    return df.groupBy(*by).applyInPandas(thin, schema)
+    """Favorites within a budget: the weakest of weeks that aren't held go first, but a week keeps its last one.
+
+    The last one of a week is its best, so all but that may go, in order, while what is left is over the budget.
+    """
+    whole, order = Window.partitionBy(*by), [F.col(score), F.col(tie)]
+    place = F.row_number().over(Window.partitionBy(*by, held, week).orderBy(F.desc(score), F.desc(tie)))
+    marked = df.withColumn("__free", ~F.col(held) & (place > 1))
+    gone = F.coalesce(F.sum(F.when(F.col("__free"), F.col(amount)).otherwise(0)).over(whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.withColumn("__left", F.sum(amount).over(whole) - gone).where(~F.col("__free") | (F.col("__left") <= budget)).select(*by, tie)
 
 
 def judged_until_stable(df: DataFrame, by: list[str], time: str, favorite: str, score: str, tie: str, floor: float = 0.3, share: float = 0.6, rounds: int = 10) -> DataFrame:
-    """What is left when rows under the floor, and a weak last row, go again and again; favorites stay."""
-    schema = StructType([df.schema[c] for c in [*by, tie]])
-
-    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([time, tie]).reset_index(drop=True)
-        for _ in range(rounds):
-            free = ~rows[favorite].astype(bool)
-            out = free & (rows[score] < floor)
-            last = rows.index[-1] if len(rows) else None
-            if len(rows) > 2 and free[last] and rows.at[last, score] == rows[score].min() and rows.at[last, score] < share * rows[score].mean():
-                out[last] = True
-            if not out.any():
-                break
-            rows = rows[~out].reset_index(drop=True)
-        return rows[[*by, tie]]
-
-    return df.groupBy(*by).applyInPandas(sweep, schema)
+    """What is left when rows under the floor, and a weak last row, go again and again; favorites stay.
+
+    All rows under the floor go in the first round. After it only last rows go, so what
+    is left is a beginning of the rest, up to the last row that would stay as its end.
+    """
+    whole, order = Window.partitionBy(*by), [F.col(time), F.col(tie)]
+    free = ~F.col(favorite)
+    last = F.row_number().over(whole.orderBy(F.desc(time), F.desc(tie))) == 1
+    weak_end = last & (F.count(F.lit(1)).over(whole) > 2) & (F.col(score) == F.min(score).over(whole)) & (F.col(score) < share * F.avg(score).over(whole))
+    rest = df.withColumn("__out", free & ((F.col(score) < floor) | weak_end)).where("not __out")
+    so_far = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = rest.withColumn("__k", F.row_number().over(whole.orderBy(*order)))
+    goes = free & (F.col("__k") > 2) & (F.col(score) == F.min(score).over(so_far)) & (F.col(score) < share * F.avg(score).over(so_far))
+    marked = numbered.withColumn("__stays", F.when(~goes, F.col("__k")))
+    end = F.greatest(F.max("__stays").over(whole), F.count(F.lit(1)).over(whole) - (rounds - 1))
+    return marked.withColumn("__end", end).where("__k <= __end").select(*by, tie)
 
 
 def transitions(df: DataFrame, by: list[str], order: str, tie: str, title: str, key_hash: str, fades: float = 0.7) -> DataFrame:

@@ -84,3 +84,13 @@ def bursts(df: DataFrame, time: str, hash_bits: str, score: str, by: list[str],
                 named_struct('t', b.t, 'h', b.h, 'id', r.id, 's', r.s), b))
             else concat(a, array(named_struct('t', r.t, 'h', r.h, 'id', r.id, 's', r.s))) end)"""))
     return folded.select(*by, F.explode("kept").alias("k")).select(*by, F.col("k.id").alias(tie), F.col("k.s").alias(score))
+
+
+def same_moment(df: DataFrame, time: str, window_s: float, by: list[str], chosen: Column, tie: str) -> DataFrame:
+    """Adds same_moment: another chosen row lies within so many seconds, both ends included; found in both directions in one sort."""
+    w = Window.partitionBy(*by).orderBy(time, tie)
+    when = F.when(chosen, F.col(time))
+    last = F.last(when, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.first(when, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    near = (seconds_between(last, F.col(time)) <= window_s) | (seconds_between(F.col(time), following) <= window_s)
+    return df.withColumn("same_moment", F.coalesce(near, F.lit(False)))

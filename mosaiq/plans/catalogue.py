@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import calendar, geo, hashing, scores, text
 from mosaiq.operators import history, intervals, ranking, sessions, similarity
+from mosaiq.plans import fold_sql
 from mosaiq.plans.adapters import ASSETS_SQL, HASHES_SQL, HOME, MONTHS_SQL, assets, hashes, monthly_orders, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,10 +86,10 @@ def photo_motion_suppression(spark, d):
     return photos.join(both.select("asset_id"), "asset_id", "left_anti").select("asset_id", "owner")
 
 
-@query()
+@query(fold_sql.BURSTS)
 def burst_dedup(spark, d):
-    a = assets(spark, d).withColumn("bits", F.when(F.col("asset_id") % 11 > 0, F.xxhash64(F.floor(F.col("asset_id") / 5))))
-    return sessions.bursts(a, "taken_at", "bits", "score", ["owner"], "asset_id", 1800, 40)
+    a = assets(spark, d).withColumn("bits", F.when(F.col("asset_id") % 11 > 0, F.conv(F.substring(F.md5(F.floor(F.col("asset_id") / 5).cast("string")), 1, 15), 16, 10).cast("long")))
+    return sessions.bursts(a, "taken_at", "bits", "score", ["owner"], "asset_id", 1800, 30)
 
 
 @query(f"""WITH {ASSETS_SQL}, g AS (SELECT *, count(*) OVER (PARTITION BY owner, date_trunc('hour', taken_at), CAST(duration AS INTEGER)) AS n,
@@ -185,7 +186,7 @@ def even_sample(spark, d):
     return ranking.even_sample(assets(spark, d), 5, ["owner"], [F.col("taken_at"), F.col("asset_id")]).select("asset_id", "owner")
 
 
-@query()
+@query(fold_sql.GREEDY_FIT.format(assets=ASSETS_SQL, source="a", order="favorite DESC, score DESC, asset_id", budget=60))
 def budget_fit_skip(spark, d):
     return ranking.greedy_fit(assets(spark, d), "duration", 60.0, ["owner"], [F.desc("favorite"), F.desc("score"), F.col("asset_id")], "asset_id")
 

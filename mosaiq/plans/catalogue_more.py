@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import calendar, geo, hashing, scores, text
 from mosaiq.operators import folds, history, intervals, ranking, sessions
-from mosaiq.plans import detectors
+from mosaiq.plans import detectors, fold_sql
 from mosaiq.plans.adapters import ASSETS_SQL, HOME, assets, table
 from mosaiq.plans.catalogue import available_years, query
 
@@ -41,35 +41,44 @@ def live_clusters(spark, d):
     return grouped.select("owner", "cluster", "part", "n", "favorite", "head", F.array_join(F.transform("rows", lambda r: r["asset_id"].cast("string")), ",").alias("ids"))
 
 
-@query()
+@query(fold_sql.OVERNIGHT)
 def overnight_bases(spark, d):
     a = assets(spark, d).where(geo.away(F.col("lat"), F.col("lon"), HOME, 50.0))
-    return folds.overnight_stops(a, "taken_at", "lat", "lon", ["owner"], "asset_id")
+    stops = folds.overnight_stops(a, "taken_at", "lat", "lon", ["owner"], "asset_id", 2.0)
+    return stops.withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
 
 
-@query()
+@query(fold_sql.HOME_BASES)
+def home_bases(spark, d):
+    """The places of each owner's days away, within 2 km of their seeds, and which of them are bases."""
+    a = assets(spark, d).where(geo.away(F.col("lat"), F.col("lon"), HOME, 50.0))
+    places = folds.places_of_days(a, "taken_at", "lat", "lon", ["owner"], "asset_id", 2.0)
+    return places.select("owner", "place", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.size("days").alias("n_days"), "n", "span", "is_base")
+
+
+@query(fold_sql.SCENE_CUTS)
 def scene_cuts(spark, d):
     cuts = assets(spark, d).where("score > 60").withColumn("at", F.unix_micros(F.col("taken_at").cast("timestamp")) / 1e6)
     return folds.spaced(cuts, "at", 3600.0, ["owner"])
 
 
-@query()
+@query(fold_sql.BOUNDARY_MERGE)
 def boundary_merge(spark, d):
     a = assets(spark, d).withColumn("at", F.dayofmonth("taken_at") * 10.0 + F.col("duration") / 10).withColumn("len", F.lit(400.0))
     return folds.boundaries(a.where("kind = 'view'"), a.where("kind = 'click'"), "at", ["owner"], "len", 0.2)
 
 
-@query()
+@query(fold_sql.DAY_SLOTS)
 def day_slot_allocation(spark, d):
     return folds.day_slots(assets(spark, d).withColumn("day", F.to_date("taken_at")), "day", ["owner"], 40)
 
 
-@query()
+@query(fold_sql.FARTHEST)
 def farthest_day_select(spark, d):
     return folds.farthest_days(assets(spark, d).withColumn("day", F.to_date("taken_at")), "day", "duration", "favorite", "score", ["owner"], "asset_id", 60.0)
 
 
-@query()
+@query(fold_sql.INTERLEAVED)
 def interleave_types(spark, d):
     return folds.interleaved(assets(spark, d).select("owner", "asset_id", "kind", "taken_at"), "kind", ["owner"], ["taken_at", "asset_id"])
 

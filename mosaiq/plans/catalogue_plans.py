@@ -9,6 +9,7 @@ from pyspark.sql.types import StructType
 
 from mosaiq.functions import scores, text
 from mosaiq.operators import history, intervals, ranking, selection, sessions
+from mosaiq.plans import fold_sql
 from mosaiq.plans.adapters import ASSETS_SQL, HOME, assets, table
 from mosaiq.plans.catalogue import query
 
@@ -222,13 +223,13 @@ def latest_attempt(spark, d):
     return table(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("o_orderstatus", F.lit("none")).alias("last_status"))
 
 
-@query()
+@query(fold_sql.BACKFILLED)
 def backfill_relaxation(spark, d):
     a = assets(spark, d).withColumn("chosen", F.col("favorite") & (F.col("score") > 60)).withColumn("photo", F.col("kind") == "view")
     return selection.backfilled(a, ["owner"], "chosen", "taken_at", "duration", "favorite", "photo", "score", "asset_id", 90.0)
 
 
-@query()
+@query(fold_sql.FAVORITES_THINNED)
 def favorites_thinned(spark, d):
     a = assets(spark, d).where("favorite").withColumn("week", F.trunc(F.to_date("taken_at"), "week"))
     w = Window.partitionBy("owner")
@@ -236,14 +237,14 @@ def favorites_thinned(spark, d):
     return selection.thinned_favorites(a.withColumn("held", held), ["owner"], "week", "held", "duration", "score", "asset_id", 40.0)
 
 
-@query()
+@query(fold_sql.JUDGED)
 def judge_until_stable(spark, d):
     return selection.judged_until_stable(assets(spark, d).withColumn("s", F.col("score") / 100), ["owner"], "taken_at", "favorite", "s", "asset_id")
 
 
-@query()
+@query(fold_sql.TRANSITIONS)
 def transition_plan(spark, d):
-    a = assets(spark, d).withColumn("h", F.crc32(F.col("asset_id").cast("string").cast("binary"))).withColumn("title", F.col("kind") == "signup")
+    a = assets(spark, d).withColumn("h", F.conv(F.substring(F.md5(F.col("asset_id").cast("string")), 1, 8), 16, 10).cast("long")).withColumn("title", F.col("kind") == "signup")
     return selection.transitions(a, ["owner"], "taken_at", "asset_id", "title", "h")
 
 
@@ -289,7 +290,7 @@ def partial_extraction(spark, d):
     return table(spark, d, "events").select("event_id", F.regexp_extract(broken, r"score:\s*(\d+)", 1).try_cast("double").alias("score"), F.regexp_extract(broken, r"mood:\s*(\w+)", 1).alias("mood"))
 
 
-@query()
+@query(fold_sql.SMART_SELECT)
 def smart_select(spark, d):
     """Slots per day, the best rows of each day, and at most 70 % that aren't favorites."""
     from mosaiq.operators import folds

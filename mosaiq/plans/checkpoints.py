@@ -6,13 +6,21 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; unset, a local folder serves a local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written under spark.checkpoint.dir (a local folder only where that is unset) and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """df written to the shared folder and read again."""
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import calendar
+from mosaiq.operators.history import latest_per
 
 #: The wire form of an asset; readers take it as it is and never infer.
 ASSET_SCHEMA = """
@@ -96,3 +97,25 @@ def inventory(spark: SparkSession, path: str, by_depth: int = 1) -> DataFrame:
 def sidecar(df: DataFrame) -> DataFrame:
     """One JSON object a row, nulls left out."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def bucket(assets: DataFrame, key: str, size: str = "month") -> DataFrame:
+    """The rows of one bucket of a timeline: a month (yyyy-MM) or a day (yyyy-MM-dd)."""
+    form = {"month": "yyyy-MM", "day": "yyyy-MM-dd"}[size]
+    return assets.where(F.date_format("file_created_at", form) == key)
+
+
+def people(assets: DataFrame) -> DataFrame:
+    """person, name and n: how many rows each person is on."""
+    return assets.select(F.explode("people").alias("p")).groupBy(F.col("p.id").alias("person"), F.col("p.name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def usable_snapshots(manifest: DataFrame, fingerprint: str, now: Column, first: Column, last: Column, tie: str, days: int = 7) -> DataFrame:
+    """Of each fingerprint the newest of the snapshots (stored, lo, hi) that aren't too old and hold the whole range."""
+    fresh = manifest.where(F.datediff(now, "stored").between(0, days) & (F.col("lo") <= first) & (F.col("hi") >= last))
+    return latest_per(fresh, [fingerprint], [F.desc("stored"), F.col(tie)])
+
+
+def rows_in_turn(df: DataFrame):
+    """Rows one by one, a partition at a time, for callers that stop early."""
+    return df.toLocalIterator(prefetchPartitions=True)
