@@ -5,8 +5,9 @@ Each key's rows meet in one task, so keys are to be videos, trips or owners, not
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -46,22 +47,22 @@ def day_slots(df: DataFrame, day: str, by: list[str], target: int) -> DataFrame:
     return first.withColumn("slots", (F.col("__slots") + more).cast("int")).drop("__wish", "__slots", "__room")
 
 
-def farthest_days(df: DataFrame, day: str, amount: str, favorite: str, score: str, by: list[str], tie: str, budget: float) -> DataFrame:
-    """Again and again the row whose day is farthest from the days chosen (then favorites, then scores), while it fits."""
+def farthest_days(df: DataFrame, time: str, amount: str, favorite: str, score: str, by: list[str], tie: str, budget: str) -> DataFrame:
+    """Again and again the row that is most days (rounded) from the rows chosen (then favorites, then scores), while it fits the key's budget (a column)."""
     schema = df.select(*by, tie).schema.add("place", "integer")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([favorite, score, tie], ascending=[False, False, True]).reset_index(drop=True)
-        days = pd.to_datetime(rows[day]).astype("datetime64[s]").astype("int64") // 86400
-        distance = pd.Series(1e9, index=rows.index)
-        left, chosen = budget, []
-        open_rows = set(rows.index[rows[amount] <= left])
-        while open_rows:
-            best = min(open_rows, key=lambda k: (-distance[k], k))
+        seconds = pd.to_datetime(rows[time]).astype("datetime64[us]").astype("int64").to_numpy() / 1e6
+        amounts = rows[amount].to_numpy()
+        near, open_rows = np.full(len(rows), np.inf), np.ones(len(rows), bool)
+        left, chosen = rows[budget].iloc[0], []
+        while (fits := np.flatnonzero(open_rows & (amounts <= left))).size:
+            best = fits[np.argmax(np.rint(near[fits] / 86400))]  # of equally far ones the first
             chosen.append(best)
-            left -= rows.at[best, amount]
-            distance = distance.combine((days - days[best]).abs(), min)
-            open_rows = {k for k in open_rows if k != best and rows.at[k, amount] <= left}
+            open_rows[best] = False
+            left -= amounts[best]
+            near = np.minimum(near, np.abs(seconds - seconds[best]))
         out = rows.loc[chosen, [*by, tie]].copy()
         out["place"] = pd.Series(range(1, len(chosen) + 1), index=out.index, dtype="int32")
         return out
@@ -69,6 +70,20 @@ def farthest_days(df: DataFrame, day: str, amount: str, favorite: str, score: st
     return df.groupBy(*by).applyInPandas(choose, schema)
 
 
+def tempo(energy: Column, step_s: float = 0.1, low: int = 2, high: int = 40) -> Column:
+    """Beats a minute of an energy curve (array<double>), by the lag at which its rises match themselves best; null for a flat or short one."""
+    n = F.size(energy)
+    rises = F.transform(energy, lambda e, k: F.greatest(e - F.get(energy, F.greatest(k - 1, F.lit(0))), F.lit(0.0)))
+
+    def best(up: Column) -> Column:
+        mean = F.aggregate(up, F.lit(0.0), lambda s, x: s + x) / n
+        match = lambda lag: F.aggregate(F.sequence(lag, n - 1), F.lit(0.0), lambda s, k: s + (F.get(up, k) - mean) * (F.get(up, k - lag) - mean))
+        lags = F.transform(F.sequence(F.lit(low), F.least(F.lit(high), n - 1) - 1), lambda lag: F.struct((-F.round(match(lag), 6)).alias("s"), lag.alias("lag")))
+        return F.when((n - 1 > low) & (F.array_max(up) > 0), F.round(60 / (F.array_min(lags)["lag"] * step_s), 1))
+
+    return F.transform(F.array(rises), best)[0]
+
+
 def places_of_days(df: DataFrame, time: str, lat: str, lon: str, by: list[str], tie: str, radius_km: float = 20.0) -> DataFrame:
     """The places of a trip, in order: place, lat and lon (means), days (array<date>), n, span (days of the trip) and is_base.
 

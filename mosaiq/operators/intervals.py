@@ -58,3 +58,19 @@ def sliding_segments(df: DataFrame, length: str, size: float, overlap: float, ta
 def nearest(points: Column, target: Column) -> Column:
     """The point of an array that is nearest to the target; the smaller of two equally near."""
     return F.array_min(F.transform(points, lambda p: F.struct(F.abs(p - target).alias("d"), p.alias("p"))))["p"]
+
+
+def between_points(points: DataFrame, time: str, audio: str, by: list[str], least: float, most: float) -> DataFrame:
+    """start and end of pairs of cut points so far apart, and kind: 1 between audio points, 2 with one, 3 without."""
+    a, b = points.alias("a"), points.alias("b")
+    apart = F.col(f"b.{time}") - F.col(f"a.{time}")
+    met = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by] + [apart.between(least, most)])
+    edges = F.col(f"a.{audio}").cast("int") + F.col(f"b.{audio}").cast("int")
+    return met.select(*[F.col(f"a.{k}").alias(k) for k in by], F.col(f"a.{time}").alias("start"), F.col(f"b.{time}").alias("end"), (3 - edges).alias("kind"))
+
+
+def by_precedence(segments: DataFrame, by: list[str], best: float, most: int) -> DataFrame:
+    """Of each key the segments of its best kind; of those with one audio edge the most whose length is nearest to the best."""
+    kept = segments.withColumn("__kind", F.min("kind").over(Window.partitionBy(*by))).where("kind = __kind").drop("__kind")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.abs(F.col("end") - F.col("start") - best), "start", "end"))
+    return kept.withColumn("__n", place).where((F.col("kind") != 2) | (F.col("__n") <= most)).drop("__n")

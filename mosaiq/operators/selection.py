@@ -8,10 +8,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mosaiq.functions import calendar
+from mosaiq.operators import folds, ranking, sessions
+from mosaiq.operators.checkpoints import written
+
 
 @dataclass(frozen=True)
 class Tier:
@@ -109,3 +113,113 @@ def transitions(df: DataFrame, by: list[str], order: str, tie: str, title: str,
         return out
 
     return df.groupBy(*by).applyInPandas(plan, schema)
+
+
+def finalized(timelines: DataFrame, target: float, title: float, ending: float, divider: float, soft: float, fade: float = 0.5, rate: float = 0.7) -> DataFrame:
+    """policy, dividers, title_budget, content_budget and soft_max of timelines (content, clips, eligible, trip) after their clips are chosen.
+
+    Trips take as many dividers as a fifth of the target holds beside the titles;
+    others take all, if the whole stays within the soft limit, or none. Fades overlap
+    at a rate of all boundaries and so give time back.
+    """
+    ends, c = title + ending, F.col
+    asked = F.when(c("trip"), F.least(c("eligible"), F.lit(int(max(0.0, target * 0.2 - ends) // divider)))).otherwise(c("eligible"))
+    overlap = lambda n: (c("clips") + 2 + n - 1) * fade * rate
+    limit = F.greatest(F.lit(soft), target + c("eligible") * divider)
+    whole = c("content") + ends + c("eligible") * divider - overlap(asked) <= limit
+    chosen = F.when(c("trip"), asked).when(whole, c("eligible")).otherwise(0)
+    policy = F.when(c("trip"), "capped").when(whole, "all").otherwise("none")
+    budget = F.greatest(F.lit(0.0), target - ends - chosen * divider) + overlap(chosen)
+    return timelines.withColumns({
+        "policy": policy, "dividers": chosen.cast("long"), "title_budget": F.round(ends + chosen * divider, 4), "content_budget": F.round(budget, 4),
+        "soft_max": F.round(F.when(c("trip"), target + chosen * divider).otherwise(limit), 4),
+    })
+
+
+def fitted_protected(df: DataFrame, by: list[str], time: str, amount: str, favorite: str, score: str, tie: str, budget: float, short_days: int, share: float = 0.7) -> DataFrame:
+    """Rows that are protected but don't all fit: favorites first, with all of the budget in a short span and a share of it in a longer one, then the rest; each spread over days."""
+    whole = Window.partitionBy(*by)
+    both = F.bool_or(F.col(favorite)).over(whole) & F.bool_or(~F.col(favorite)).over(whole)
+    span = F.floor((F.max(F.unix_micros(F.col(time).cast("timestamp"))).over(whole) - F.min(F.unix_micros(F.col(time).cast("timestamp"))).over(whole)) / 86_400_000_000)
+    marked = df.withColumn("__both", both).withColumn("__budget", F.lit(float(budget)) * F.when(both & (span > short_days), share).otherwise(1.0))
+    spread = lambda rows: folds.farthest_days(rows, time, amount, favorite, score, by, tie, "__budget")
+    first = spread(marked.where(F.col(favorite) | ~F.col("__both")))
+    spent = first.join(df.select(*by, tie, amount), [*by, tie]).groupBy(*by).agg(F.sum(amount).alias("__spent"))
+    others = marked.where(~F.col(favorite) & F.col("__both")).join(spent, by, "left").withColumn("__budget", budget - F.coalesce("__spent", F.lit(0.0)))
+    return first.unionByName(spread(others))
+
+
+def photo_rounds(df: DataFrame, by: list[str], day: str, amount: str, score: str, tie: str, videos: str, seconds: str, budget: float, most: float = 0.5, a_day: int = 2) -> DataFrame:
+    """Photos beside videos (their number and seconds stand in each row): the best of each day, the second best, then the best of all; no more than so many a day, and than a share of all unless videos are scarce."""
+    schema = StructType([df.schema[c] for c in [*by, tie]])
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([score, tie], ascending=[False, True]).reset_index(drop=True)
+        nth = rows.groupby(day).cumcount()
+        by_day = rows.sort_values([day, tie]).index
+        turns = [(k, False) for n in (0, 1) for k in by_day if nth[k] == n] + [(k, True) for k in rows.index]
+        n_videos, held = rows[videos].iloc[0], rows[seconds].iloc[0]
+        free, room = n_videos == 0 or held < budget * 0.5, max(0.0, budget - held)
+        chosen: dict[int, None] = {}
+        used, days = 0.0, {}
+        for k, last in turns:
+            size, on = rows.at[k, amount], rows.at[k, day]
+            fits = used + size <= room and (free or (len(chosen) + 1) / (n_videos + len(chosen) + 1) <= most)
+            if k not in chosen and fits and not (last and days.get(on, 0) >= a_day):
+                chosen[k] = None
+                used += size
+                days[on] = days.get(on, 0) + 1
+        return rows.loc[list(chosen), [*by, tie]]
+
+    return df.groupBy(*by).applyInPandas(fill, schema)
+
+
+def favorites_first(df: DataFrame, by: list[str], time: str, period: Column, amount: str, favorite: str, score: str, tie: str, count: int, clip_s: float = 5.0, over: float = 1.25) -> DataFrame:
+    """by, tie and reason of a selection that starts with the favorites.
+
+    Favorites as far as they fit (weeks with many, the first and the last are held);
+    the two best others of weeks without any, from the first favorite in steps of seven
+    days; places that are left by score, less a tenth a row of the week; and the best
+    row of each period that has none.
+    """
+    w = df.withColumn("__week", calendar.monday_week(F.col(time))).withColumn("__period", period)
+    best = [F.desc(score), F.col(tie)]
+    stars, others = w.where(F.col(favorite)), w.where(~F.col(favorite))
+    each = stars.groupBy(*by, "__week").agg(F.count(F.lit(1)).alias("__n"))
+    of = Window.partitionBy(*by)
+    held = (F.col("__n") >= 1.5 * F.avg("__n").over(of)) | (F.col("__week") == F.min("__week").over(of)) | (F.col("__week") == F.max("__week").over(of))
+    weeks = each.select(*by, "__week", held.alias("__held"))
+    kept = thinned_favorites(stars.join(weeks, [*by, "__week"]), by, "__week", "__held", amount, score, tie, count * clip_s * over)
+    columns = [*by, tie, "__week", "__period"]
+    first = written(stars.join(kept, [*by, tie], "left_semi").select(*columns, F.lit("favorite").alias("reason")))
+
+    seven = F.expr("interval 7 days")
+    span = stars.groupBy(*by).agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
+    stepped = span.select(*by, F.explode(F.sequence("lo", "hi", seven)).alias("at")).select(*by, calendar.monday_week(F.col("at")).alias("__week")).distinct()
+    empty = stepped.join(first, [*by, "__week"], "left_anti")
+    second = written(ranking.top_per(others.join(empty, [*by, "__week"]), [*by, "__week"], best, 2).select(*columns, F.lit("week").alias("reason")))
+
+    so_far = first.unionByName(second)
+    in_week = so_far.groupBy(*by, "__week").agg(F.count(F.lit(1)).alias("__in_week"))
+    in_all = so_far.groupBy(*by).agg(F.count(F.lit(1)).alias("__in_all"))
+    open_rows = others.join(second, [*by, tie], "left_anti").join(in_week, [*by, "__week"], "left").join(in_all, by, "left")
+    worth = F.round(F.col(score) / 100 - 0.1 * F.coalesce("__in_week", F.lit(0)), 6)
+    third = ranking.top_per(open_rows, by, [F.desc(worth), F.col(tie)], count - F.coalesce("__in_all", F.lit(0))).select(*columns, F.lit("slot").alias("reason"))
+
+    chosen = written(so_far.unionByName(third))
+    bare = w.join(chosen, [*by, "__period"], "left_anti")
+    fourth = ranking.top_per(bare, [*by, "__period"], best, 1).select(*columns, F.lit("coverage").alias("reason"))
+    return chosen.unionByName(fourth).select(*by, tie, "reason")
+
+
+def refined(df: DataFrame, by: list[str], time: str, amount: str, favorite: str, score: str, tie: str, photo: Column, clips: int, seconds: float, moment_s: float, others: float, photos: float) -> DataFrame:
+    """by, tie and place of a whole selection: favorites first, fitted to the time, one a moment, then the shares of other rows and of photos, in order of time."""
+    wide = favorites_first(df, by, time, F.to_date(time), amount, favorite, score, tie, int(clips * 1.2))
+    pool = df.join(wide.select(*by, tie), [*by, tie], "left_semi").withColumn("__budget", F.lit(float(seconds)))
+    fitted = folds.farthest_days(pool, time, amount, favorite, score, by, tie, "__budget")
+    kept = sessions.best_per_moment(df.join(fitted, [*by, tie], "left_semi"), time, moment_s, by, favorite, score, tie)
+    of = Window.partitionBy(*by)
+    most = F.greatest(F.floor(others * F.count(F.lit(1)).over(of)), clips - F.count_if(F.col(favorite)).over(of))
+    few = ranking.top_per(kept.withColumn("__most", most), [*by, favorite], [F.desc(score), F.col(tie)], F.when(F.col(favorite), F.lit(1 << 30)).otherwise(F.col("__most")))
+    capped = ranking.ratio_cap(few.withColumn("__photo", photo), F.col("__photo"), photos, by, [F.desc(favorite), F.desc(score), F.col(tie)])
+    return capped.select(*by, tie, F.row_number().over(of.orderBy(time, tie)).alias("place"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions.hashing import hamming_long
-from mosaiq.plans.checkpoints import written
+from mosaiq.operators.checkpoints import written
 
 
 def similar_pairs(df: DataFrame, key: str, bits: str, distance: int, gate: Column | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from mosaiq.functions import calendar, hashing
 from mosaiq.operators import history, ranking, sessions, similarity
 from mosaiq.plans.adapters import ASSETS_SQL, HASHES_SQL, assets, hashes, table
 from mosaiq.plans.catalogue import query
-from mosaiq.plans.checkpoints import shared_dir
+from mosaiq.operators.checkpoints import shared_dir
 from mosaiq.sources import library
 
 # --- scans of the library

@@ -75,7 +75,7 @@ def day_slot_allocation(spark, d):
 
 @query(fold_sql.FARTHEST)
 def farthest_day_select(spark, d):
-    return folds.farthest_days(assets(spark, d).withColumn("day", F.to_date("taken_at")), "day", "duration", "favorite", "score", ["owner"], "asset_id", 60.0)
+    return folds.farthest_days(assets(spark, d).withColumn("budget", F.lit(60.0)), "taken_at", "duration", "favorite", "score", ["owner"], "asset_id", "budget")
 
 
 @query(fold_sql.INTERLEAVED)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from mosaiq.functions import scores, text
 from mosaiq.operators import history, intervals, ranking, selection, sessions
@@ -196,27 +194,6 @@ def dedup_by_key_best(spark, d):
     return ranking.first_per(table(spark, d, "orders").withColumnRenamed("o_orderpriority", "k"), ["k"], [F.desc("o_totalprice"), F.col("o_orderkey")]).select("k", "o_orderkey")
 
 
-@query()
-def onset_tempo(spark, d):
-    """Beats a minute of each owner's values as an energy curve, by the best lag of the rises' correlation with themselves."""
-    import numpy as np
-
-    a = assets(spark, d).select("owner", "asset_id", "score")
-
-    def tempo(rows: pd.DataFrame) -> pd.DataFrame:
-        energy = rows.sort_values("asset_id")["score"].to_numpy()
-        onset = np.diff(energy, prepend=energy[:1]).clip(min=0)
-        onset = onset - onset.mean()
-        low, high = 2, min(40, len(onset) - 1)
-        best = None
-        if onset.any() and high > low:
-            lags = [float((onset[k:] * onset[: len(onset) - k]).sum()) for k in range(low, high)]
-            best = round(60 * 10 / (low + int(np.argmax(lags))), 1)
-        return pd.DataFrame({"owner": [rows["owner"].iloc[0]], "bpm": [best]})
-
-    return a.groupBy("owner").applyInPandas(tempo, StructType([a.schema["owner"]]).add("bpm", "double"))
-
-
 @query("""WITH l AS (SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) SELECT c_custkey, coalesce(o_orderstatus, 'none') AS last_status FROM customer LEFT JOIN l ON o_custkey = c_custkey""")
 def latest_attempt(spark, d):
     last = history.latest_per(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderkey")])

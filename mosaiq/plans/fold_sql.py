@@ -32,10 +32,10 @@ picked AS (SELECT d.*, slots FROM d JOIN slots USING (owner, day) QUALIFY row_nu
 sized AS (SELECT *, floor(0.7 * count(*) OVER (PARTITION BY owner)) AS most FROM picked)
 SELECT owner, asset_id, day FROM sized QUALIFY favorite OR row_number() OVER (PARTITION BY owner, favorite ORDER BY width * height DESC, bitrate DESC, duration DESC, asset_id) <= most"""
 
-FARTHEST = f"""WITH RECURSIVE {ASSETS_SQL}, d AS (SELECT *, CAST(taken_at AS DATE) AS day FROM a),
-f AS (SELECT owner, [asset_id] AS ids, [day] AS days, 60.0 - duration AS rest, 1 AS place, asset_id FROM d WHERE duration <= 60 QUALIFY row_number() OVER (PARTITION BY owner ORDER BY favorite DESC, score DESC, asset_id) = 1
-  UNION ALL SELECT f.owner, list_append(f.ids, d.asset_id), list_append(f.days, d.day), f.rest - d.duration, f.place + 1, d.asset_id FROM f JOIN d ON d.owner = f.owner AND d.duration <= f.rest AND NOT list_contains(f.ids, d.asset_id)
-  QUALIFY row_number() OVER (PARTITION BY d.owner ORDER BY list_min(list_transform(f.days, lambda x: abs(date_diff('day', x, d.day)))) DESC, d.favorite DESC, d.score DESC, d.asset_id) = 1)
+FARTHEST = f"""WITH RECURSIVE {ASSETS_SQL}, d AS (SELECT *, epoch_us(taken_at) / 1e6 AS t FROM a),
+f AS (SELECT owner, [asset_id] AS ids, [t] AS times, 60.0 - duration AS rest, 1 AS place, asset_id FROM d WHERE duration <= 60 QUALIFY row_number() OVER (PARTITION BY owner ORDER BY favorite DESC, score DESC, asset_id) = 1
+  UNION ALL SELECT f.owner, list_append(f.ids, d.asset_id), list_append(f.times, d.t), f.rest - d.duration, f.place + 1, d.asset_id FROM f JOIN d ON d.owner = f.owner AND d.duration <= f.rest AND NOT list_contains(f.ids, d.asset_id)
+  QUALIFY row_number() OVER (PARTITION BY d.owner ORDER BY round_even(list_min(list_transform(f.times, lambda x: abs(x - d.t))) / 86400, 0) DESC, d.favorite DESC, d.score DESC, d.asset_id) = 1)
 SELECT owner, asset_id, CAST(place AS INTEGER) AS place FROM f"""
 
 INTERLEAVED = f"""WITH RECURSIVE {ASSETS_SQL}, l AS (SELECT owner, list(struct_pack(id := asset_id, kind := kind) ORDER BY taken_at, asset_id) AS rows FROM a GROUP BY owner),
