@@ -84,10 +84,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+COMPACT_BYTES = 4 << 20
+
+
+def cut(df: DataFrame, instead_of: DataFrame | None = None, compact: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, and survives the loss of an executor.
 
     instead_of: an earlier result of this function that nothing else reads; its folder is removed once df is written.
+    compact: for tables of ids and numbers, which may be small in many files: read in parts of about COMPACT_BYTES
+    at least, so that a small one is one part and needs no shuffle.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
@@ -95,10 +100,17 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     if instead_of is not None:
         remove(instead_of)
     out = spark.read.schema(df.schema).parquet(path)
+    if compact:
+        out = out.coalesce(1 + written_bytes(spark, path) // COMPACT_BYTES)
     out._written_to = path
     return out
 
 
+def written_bytes(spark: SparkSession, path: str) -> int:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
 def remove(df: DataFrame) -> None:
     """Removes the folder of a result of cut, if it is one."""
     path = df.__dict__.get("_written_to")

@@ -223,10 +223,10 @@ def linked(nodes: DataFrame, distance: int = DISTANCE, parts: int | None = None)
     """fp and root of the fingerprints that links lead to another one; nodes: distinct fp and n, how many have it."""
     n = nodes.count()
     groups = bit_groups(nodes, parts or best_parts(n, distance))
-    index = cut(index_rows(nodes, groups))
+    index = cut(index_rows(nodes, groups), compact=True)
     expected = expected_candidates(prefix_counts(index, groups), groups, distance)
     hubs = index.join(nodes.select("fp", "n"), "fp").groupBy("part", "value").agg(F.max(F.struct("n", "fp"))["fp"].alias("hub"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
-    first = cut(component_labels(index.join(hubs, ["part", "value"]).where((F.col("fp") != F.col("hub")) & near("fp", "hub", distance)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))))
+    first = cut(component_labels(index.join(hubs, ["part", "value"]).where((F.col("fp") != F.col("hub")) & near("fp", "hub", distance)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))), compact=True)
 
     def with_component(df: DataFrame) -> DataFrame:
         return df.join(first, F.col("fp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "fp")).drop("node", "root")
@@ -236,7 +236,7 @@ def linked(nodes: DataFrame, distance: int = DISTANCE, parts: int | None = None)
     probes = probe_rows(with_component(nodes).repartition(max(1, n // PROBES_A_TASK), "fp"), groups, expected, distance)
     foreign = probes.join(spans, ["part", "value"]).where((F.col("lo") != F.col("own")) | (F.col("hi") != F.col("own"))).drop("lo", "hi")
     met = foreign.join(held, ["part", "value"]).where((F.col("probe") < F.col("fp")) & (F.col("own") != F.col("comp")) & near("probe", "fp", distance))
-    second = cut(component_labels(met.select(F.col("own").alias("a"), F.col("comp").alias("b")).distinct()))
+    second = cut(component_labels(met.select(F.col("own").alias("a"), F.col("comp").alias("b")).distinct()), compact=True)
     both = first.withColumnsRenamed({"node": "fp", "root": "comp"}).unionByName(second.select(F.col("node").alias("fp"), F.col("node").alias("comp"))).distinct()
     out = both.join(second, F.col("comp") == F.col("node"), "left").select("fp", F.coalesce("root", "comp").alias("root"))
     remove(index)
@@ -250,7 +250,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
     smaller ones, until nothing changes; the rounds grow with the logarithm of the
     longest path. Every round is written to the shared folder, in place of the last.
     """
-    now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("m")).distinct())
+    now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("m")).distinct(), compact=True)
     before = None
     while True:
         both = now.union(now.select(F.col("m").alias("n"), F.col("n").alias("m")))
@@ -259,7 +259,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
         large = large.where("n != m").distinct()
         lows = large.groupBy("n").agg(F.min("m").alias("lo"))
         small = large.join(lows, "n").select(F.col("m").alias("n"), F.col("lo").alias("m")).where("n != m").union(lows.select("n", F.col("lo").alias("m")))
-        now = cut(small.distinct(), instead_of=now)
+        now = cut(small.distinct(), instead_of=now, compact=True)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("n", "m").cast("decimal(20,0)"))).first()
         if state == before:
             return now.select(F.col("n").alias("node"), F.col("m").alias("root")).union(now.select(F.col("m").alias("node"), F.col("m").alias("root"))).distinct()
@@ -269,8 +269,8 @@ def component_labels(edges: DataFrame) -> DataFrame:
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
     """docs without the text, with fp and component_id, the smallest doc_id that links lead to."""
     printed = cut(fingerprints(docs.drop("fp", "component_id"), text).drop(text))
-    nodes = cut(printed.groupBy("fp").agg(F.min(F.col(doc_id)).alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = cut(linked(nodes, distance, parts).withColumnRenamed("fp", "of"))
+    nodes = cut(printed.groupBy("fp").agg(F.min(F.col(doc_id)).alias("first"), F.count(F.lit(1)).alias("n")), compact=True)
+    roots = cut(linked(nodes, distance, parts).withColumnRenamed("fp", "of"), compact=True)
     named = roots.join(nodes, F.col("of") == F.col("fp")).groupBy("root").agg(F.min("first").alias("least"))
     members = roots.join(named, "root").select("of", "least")
     id_of = free_name(printed, "__of")
