@@ -36,6 +36,17 @@ def chunk_candidates(df: DataFrame, key: str, chunks: Column, distance: int, bit
     return a.join(b, on).select(F.col(f"a.{key}").alias("id1"), F.col(f"b.{key}").alias("id2"), near.alias("distance")).distinct()
 
 
+def similar_groups(df: DataFrame, key: str, bits: str, distance: int) -> DataFrame:
+    """key and component (its smallest key) of rows whose hashes are linked within the distance.
+
+    Rows of one hash are one node, so copies make no pairs with each other.
+    """
+    nodes = written(df.groupBy(bits).agg(F.min(key).alias("__first")))
+    linked = components(nodes, "__first", similar_pairs(nodes, "__first", bits, distance))
+    named = nodes.join(linked, "__first").select(F.col(bits).alias("__bits"), "component")
+    return df.join(named, F.col(bits).eqNullSafe(F.col("__bits"))).select(key, "component")
+
+
 def components(nodes: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     """key and component, the smallest key that pairs (id1, id2) lead to; nodes without pairs are their own.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mosaiq.functions import calendar, geo, hashing, scores, text
@@ -96,8 +96,6 @@ def burst_dedup(spark, d):
   row_number() OVER (PARTITION BY owner, date_trunc('hour', taken_at), CAST(duration AS INTEGER) ORDER BY width * height DESC, bitrate DESC, asset_id) AS place FROM a)
 SELECT asset_id, place > 1 AS lower_quality FROM g WHERE n > 1""")
 def exact_duplicates(spark, d):
-    from pyspark.sql import Window
-
     key = [F.col("owner"), F.date_trunc("hour", "taken_at"), F.col("duration").cast("int")]
     w = Window.partitionBy(*key)
     marked = assets(spark, d).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc(F.col("width") * F.col("height")), F.desc("bitrate"), "asset_id")))
@@ -112,8 +110,6 @@ def exact_duplicates(spark, d):
 r AS (SELECT *, coalesce(sum(duration) OVER (PARTITION BY owner, week ORDER BY favorite DESC, score DESC, asset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
 SELECT asset_id, week, round(quota, 6) AS quota FROM r WHERE before < quota""")
 def density_bucket_quota(spark, d):
-    from pyspark.sql import Window
-
     a = assets(spark, d).withColumn("week", calendar.iso_week(F.col("taken_at")))
     n = lambda *by: F.count(F.lit(1)).over(Window.partitionBy(*by))
     quota = a.withColumn("quota", n("owner", "week") * 120.0 / n("owner"))
@@ -136,7 +132,7 @@ QUALIFY row_number() OVER (PARTITION BY z.day ORDER BY score DESC, asset_id) <=
 def top_per_day_with_event_cap(spark, d):
     a = assets(spark, d).withColumn("day", F.to_date("taken_at"))
     counts = a.groupBy("day").agg(F.count(F.lit(1)).alias("c"))
-    mean = counts.agg(F.avg("c")).first()[0] or 0.0
+    mean = F.avg("c").over(Window.partitionBy(F.lit(0)))  # over as many rows as there are days
     caps = counts.select("day", F.when(F.col("c") > 1.02 * mean, 12).otherwise(4).alias("cap"))
     return ranking.top_per(a.join(caps, "day"), ["day"], [F.desc("score"), F.col("asset_id")], F.col("cap")).select("asset_id", "day")
 
@@ -202,8 +198,6 @@ def judge_sweep(spark, d):
 r AS (SELECT d.*, coalesce(good, whole) AS bar, greatest(1, round_even(0.1 * n, 0)) AS most, row_number() OVER (PARTITION BY d.source, lang ORDER BY n_chars DESC, doc_id) AS place FROM documents d JOIN q USING (source))
 SELECT doc_id, lang FROM r WHERE lang = 'en' OR (lang = 'de' AND n_chars >= bar) OR (lang = 'fr' AND place <= most) OR (lang = 'es' AND n_chars >= bar AND place <= most)""")
 def subject_quota(spark, d):
-    from pyspark.sql import Window
-
     docs = table(spark, d, "documents")
     bars = docs.groupBy("source").agg(F.coalesce(F.percentile(F.when(F.col("lang") == "en", F.col("n_chars")), 0.5), F.percentile("n_chars", 0.5)).alias("bar"), F.count(F.lit(1)).alias("n"))
     ranked = docs.join(bars, "source").withColumn("place", F.row_number().over(Window.partitionBy("source", "lang").orderBy(F.desc("n_chars"), "doc_id")))
@@ -371,7 +365,7 @@ r(node, seen) AS (SELECT vec_id, vec_id FROM h UNION SELECT r.node, e.v FROM r J
 SELECT node AS vec_id, min(seen) AS component FROM r GROUP BY 1""")
 def duplicate_components(spark, d):
     h = hashes(spark, d)
-    return similarity.components(h, "vec_id", similarity.similar_pairs(h, "vec_id", "bits", 18))
+    return similarity.similar_groups(h, "vec_id", "bits", 18)
 
 
 # --- intervals

@@ -229,7 +229,7 @@ SELECT vec_id, component, size, best, vec_id <> best AS excluded, CAST(bit_count
 def thumbnail_clusters(spark, d):
     """Clusters of alike thumbnails: the representative (favorites, then pixels), who is left out for it, and the distance to it."""
     h = hashes(spark, d)
-    linked = similarity.components(h, "vec_id", similarity.similar_pairs(h, "vec_id", "bits", 18))
+    linked = similarity.similar_groups(h, "vec_id", "bits", 18)
     k = h.join(linked, "vec_id").withColumns({"favorite": F.col("vec_id") % 7 == 0, "pixels": F.col("vec_id") % 5})
     best = k.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.min_by(F.struct("vec_id", "bits"), F.struct(~F.col("favorite"), -F.col("pixels"), "vec_id")).alias("b"))
     return k.join(best, "component").select("vec_id", "component", "size", F.col("b.vec_id").alias("best"), (F.col("vec_id") != F.col("b.vec_id")).alias("excluded"), hashing.hamming_long(F.col("bits"), F.col("b.bits")).cast("int").alias("distance"))
