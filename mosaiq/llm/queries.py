@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, substring_dedup
+from . import chat_format, decontaminate, importance_sampling, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, spelling_variants, substring_dedup
 from .common import documents
 
 
@@ -67,6 +67,16 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_by_folds(turns).select("conv_id", "turn", F.col("recovered").alias("role"), "rendered")
 
 
+def op11_importance_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    table = importance_sampling.gains(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), docs)
+    return importance_sampling.draw(importance_sampling.scored(docs, table).drop("text")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_classifier": op2_quality_classifier,
@@ -78,5 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_importance_sampling": op11_importance_sampling,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 ORACLE_SQL: dict[str, str] = {}
