@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, importance_sampling, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, spelling_variants, substring_dedup
+from . import chat_format, decontaminate, importance_sampling, language_model, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, spelling_variants, substring_dedup
 from .common import documents
 
 
@@ -77,6 +77,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.scored_by_held_out(documents(spark, sf_dir).select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_quality_classifier": op2_quality_classifier,
@@ -90,5 +95,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op11_importance_sampling": op11_importance_sampling,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_language_model": op13_language_model,
 }
 ORACLE_SQL: dict[str, str] = {}
