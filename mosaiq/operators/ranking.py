@@ -66,8 +66,8 @@ def even_sample(df: DataFrame, k: int, by: list[str], order: list[Column]) -> Da
     return numbered.where((F.col("__n") <= k) | F.array_contains(wanted, F.col("__at"))).drop("__n", "__at")
 
 
-def greedy_fit(df: DataFrame, amount: str, budget: float, by: list[str], order: list[Column], tie: str) -> DataFrame:
-    """Rows in order that still fit the budget; one that doesn't is skipped and later, smaller ones may follow.
+def greedy_fit(df: DataFrame, amount: str, budget: Column | float, by: list[str], order: list[Column], tie: str) -> DataFrame:
+    """Rows in order that still fit the budget (the same in all rows of a key); one that doesn't is skipped and later, smaller ones may follow.
 
     A fold in the order of the rows, per key; each key's rows meet in one task.
     """
@@ -76,10 +76,10 @@ def greedy_fit(df: DataFrame, amount: str, budget: float, by: list[str], order:
     first = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<bigint>").alias("ids"))
 
     def step(a: Column, r: Column) -> Column:
-        fits = a["used"] + r["amount"] <= budget
+        fits = a["used"] + r["amount"] <= F.col("__budget")
         return F.struct(F.when(fits, a["used"] + r["amount"]).otherwise(a["used"]).alias("used"), F.when(fits, F.concat(a["ids"], F.array(r["id"].cast("bigint")))).otherwise(a["ids"]).alias("ids"))
 
-    folded = ranked.groupBy(*by).agg(F.array_sort(F.array_agg(row)).alias("rows")).select(*by, F.aggregate("rows", first, step, lambda a: a["ids"]).alias("ids"))
+    folded = ranked.groupBy(*by).agg(F.array_sort(F.array_agg(row)).alias("rows"), F.max(budget if isinstance(budget, Column) else F.lit(float(budget))).alias("__budget")).select(*by, F.aggregate("rows", first, step, lambda a: a["ids"]).alias("ids"))
     return folded.select(*by, F.explode("ids").alias(tie))
 
 

@@ -5,8 +5,6 @@ These choices depend on all earlier ones, so each key's rows meet in one task as
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,51 +15,6 @@ from mosaiq.operators import folds, ranking, sessions
 from mosaiq.operators.checkpoints import written
 
 
-@dataclass(frozen=True)
-class Tier:
-    """What a selection must hold while it is filled; later tiers ask for less."""
-
-    others: float  # most that aren't favorites, as a share of the selection
-    photos: float  # most photos, as a share
-    apart_s: float  # least time between rows
-    over_s: float  # how far the budget may be passed
-
-
-#: From strict to lenient: the ratio of favorites goes first, then photos, the distance in time, all photos, the budget.
-TIERS = (Tier(0.70, 0.50, 300, 0), Tier(1.0, 0.50, 300, 0), Tier(1.0, 0.70, 300, 0), Tier(1.0, 0.70, 0, 0), Tier(1.0, 1.0, 0, 0), Tier(1.0, 1.0, 0, 2))
-
-
-def backfilled(df: DataFrame, by: list[str], chosen: str, time: str, amount: str, favorite: str, photo: str, score: str, tie: str, budget: float, tiers: tuple[Tier, ...] = TIERS) -> DataFrame:
-    """by, tie and tier of the selection: chosen rows (tier 0), and rows added by the best score as the tiers allow, until the budget is met."""
-    schema = StructType([df.schema[c] for c in [*by, tie]]).add("tier", "integer")
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, tie], ascending=[False, True]).reset_index(drop=True)
-        seconds = pd.to_datetime(rows[time]).astype("datetime64[us]").astype("int64") / 1e6
-        tier_of = {k: 0 for k in rows.index if rows.at[k, chosen]}
-        used = sum(rows.at[k, amount] for k in tier_of)
-        counts = {"others": sum(not rows.at[k, favorite] for k in tier_of), "photos": sum(bool(rows.at[k, photo]) for k in tier_of)}
-        times = [seconds[k] for k in tier_of]
-        for n, tier in enumerate(tiers, 1):
-            for k in rows.index:
-                if k in tier_of or used >= budget or used + rows.at[k, amount] > budget + tier.over_s:
-                    continue
-                size = len(tier_of) + 1
-                others, photos = counts["others"] + (not rows.at[k, favorite]), counts["photos"] + bool(rows.at[k, photo])
-                if others > max(1, int(size * tier.others)) or photos > max(1, int(size * tier.photos)):
-                    continue
-                if tier.apart_s and any(abs(seconds[k] - t) <= tier.apart_s for t in times):
-                    continue
-                tier_of[k], used = n, used + rows.at[k, amount]
-                counts = {"others": others, "photos": photos}
-                times.append(seconds[k])
-        out = rows.loc[list(tier_of), [*by, tie]].copy()
-        out["tier"] = pd.Series(tier_of, dtype="int32")
-        return out
-
-    return df.groupBy(*by).applyInPandas(fill, schema)
-
-
 def thinned_favorites(df: DataFrame, by: list[str], week: str, held: str, amount: str, score: str, tie: str, budget: float) -> DataFrame:
     """Favorites within a budget: the weakest of weeks that aren't held go first, but a week keeps its last one.
 
@@ -174,15 +127,15 @@ def photo_rounds(df: DataFrame, by: list[str], day: str, amount: str, score: str
     return df.groupBy(*by).applyInPandas(fill, schema)
 
 
-def favorites_first(df: DataFrame, by: list[str], time: str, period: Column, amount: str, favorite: str, score: str, tie: str, count: int, clip_s: float = 5.0, over: float = 1.25) -> DataFrame:
+def favorites_first(df: DataFrame, by: list[str], time: str, period: Column, amount: str, favorite: str, score: str, tie: str, count: int, clip_s: float = 5.0, over: float = 1.25, event: Column | None = None, event_rows: int = 3, unit: float = 100.0) -> DataFrame:
     """by, tie and reason of a selection that starts with the favorites.
 
     Favorites as far as they fit (weeks with many, the first and the last are held);
     the two best others of weeks without any, from the first favorite in steps of seven
-    days; places that are left by score, less a tenth a row of the week; and the best
-    row of each period that has none.
+    days; places that are left by score (in units), less a tenth a row of the week; and the best
+    row of each period that has none (event_rows of it where the condition event holds).
     """
-    w = df.withColumn("__week", calendar.monday_week(F.col(time))).withColumn("__period", period)
+    w = df.withColumn("__week", calendar.monday_week(F.col(time))).withColumn("__period", period).withColumn("__take", F.lit(1) if event is None else F.when(event, event_rows).otherwise(1))
     best = [F.desc(score), F.col(tie)]
     stars, others = w.where(F.col(favorite)), w.where(~F.col(favorite))
     each = stars.groupBy(*by, "__week").agg(F.count(F.lit(1)).alias("__n"))
@@ -203,23 +156,10 @@ def favorites_first(df: DataFrame, by: list[str], time: str, period: Column, amo
     in_week = so_far.groupBy(*by, "__week").agg(F.count(F.lit(1)).alias("__in_week"))
     in_all = so_far.groupBy(*by).agg(F.count(F.lit(1)).alias("__in_all"))
     open_rows = others.join(second, [*by, tie], "left_anti").join(in_week, [*by, "__week"], "left").join(in_all, by, "left")
-    worth = F.round(F.col(score) / 100 - 0.1 * F.coalesce("__in_week", F.lit(0)), 6)
+    worth = F.round(F.col(score) / unit - 0.1 * F.coalesce("__in_week", F.lit(0)), 6)
     third = ranking.top_per(open_rows, by, [F.desc(worth), F.col(tie)], count - F.coalesce("__in_all", F.lit(0))).select(*columns, F.lit("slot").alias("reason"))
 
     chosen = written(so_far.unionByName(third))
     bare = w.join(chosen, [*by, "__period"], "left_anti")
-    fourth = ranking.top_per(bare, [*by, "__period"], best, 1).select(*columns, F.lit("coverage").alias("reason"))
+    fourth = ranking.top_per(bare, [*by, "__period"], best, F.col("__take")).select(*columns, F.lit("coverage").alias("reason"))
     return chosen.unionByName(fourth).select(*by, tie, "reason")
-
-
-def refined(df: DataFrame, by: list[str], time: str, amount: str, favorite: str, score: str, tie: str, photo: Column, clips: int, seconds: float, moment_s: float, others: float, photos: float) -> DataFrame:
-    """by, tie and place of a whole selection: favorites first, fitted to the time, one a moment, then the shares of other rows and of photos, in order of time."""
-    wide = favorites_first(df, by, time, F.to_date(time), amount, favorite, score, tie, int(clips * 1.2))
-    pool = df.join(wide.select(*by, tie), [*by, tie], "left_semi").withColumn("__budget", F.lit(float(seconds)))
-    fitted = folds.farthest_days(pool, time, amount, favorite, score, by, tie, "__budget")
-    kept = sessions.best_per_moment(df.join(fitted, [*by, tie], "left_semi"), time, moment_s, by, favorite, score, tie)
-    of = Window.partitionBy(*by)
-    most = F.greatest(F.floor(others * F.count(F.lit(1)).over(of)), clips - F.count_if(F.col(favorite)).over(of))
-    few = ranking.top_per(kept.withColumn("__most", most), [*by, favorite], [F.desc(score), F.col(tie)], F.when(F.col(favorite), F.lit(1 << 30)).otherwise(F.col("__most")))
-    capped = ranking.ratio_cap(few.withColumn("__photo", photo), F.col("__photo"), photos, by, [F.desc(favorite), F.desc(score), F.col(tie)])
-    return capped.select(*by, tie, F.row_number().over(of.orderBy(time, tie)).alias("place"))

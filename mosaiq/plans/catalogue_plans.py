@@ -200,12 +200,6 @@ def latest_attempt(spark, d):
     return table(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("o_orderstatus", F.lit("none")).alias("last_status"))
 
 
-@query(fold_sql.BACKFILLED)
-def backfill_relaxation(spark, d):
-    a = assets(spark, d).withColumn("chosen", F.col("favorite") & (F.col("score") > 60)).withColumn("photo", F.col("kind") == "view")
-    return selection.backfilled(a, ["owner"], "chosen", "taken_at", "duration", "favorite", "photo", "score", "asset_id", 90.0)
-
-
 @query(fold_sql.FAVORITES_THINNED)
 def favorites_thinned(spark, d):
     a = assets(spark, d).where("favorite").withColumn("week", F.trunc(F.to_date("taken_at"), "week"))

@@ -164,7 +164,7 @@ def budget_photo_rounds(spark, d):
 
 # --- whole selections
 
-FIRST = """w AS (SELECT *, strftime(taken_at, '%Y-W%W') AS week, CAST(taken_at AS DATE) AS day FROM {source}), fw AS (SELECT owner, week, count(*) AS n FROM w WHERE favorite GROUP BY 1, 2),
+STARRED = """w AS (SELECT *, strftime(taken_at, '%Y-W%W') AS week, CAST(taken_at AS DATE) AS day FROM {source}), fw AS (SELECT owner, week, count(*) AS n FROM w WHERE favorite GROUP BY 1, 2),
 fp AS (SELECT owner, week, n >= 1.5 * avg(n) OVER (PARTITION BY owner) OR week = min(week) OVER (PARTITION BY owner) OR week = max(week) OVER (PARTITION BY owner) AS held FROM fw),
 fm AS (SELECT w.*, NOT held AND row_number() OVER (PARTITION BY w.owner, held, week ORDER BY score DESC, asset_id DESC) > 1 AS free FROM w JOIN fp USING (owner, week) WHERE favorite),
 fg AS (SELECT *, sum(duration) OVER (PARTITION BY owner) - coalesce(sum(CASE WHEN free THEN duration ELSE 0 END) OVER (PARTITION BY owner ORDER BY score, asset_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM fm),
@@ -173,36 +173,20 @@ wk AS (SELECT DISTINCT owner, strftime(lo + INTERVAL 7 DAY * i, '%Y-W%W') AS wee
 s2 AS (SELECT w.owner, asset_id, w.week, 'week' AS reason FROM w JOIN wk USING (owner, week) WHERE NOT favorite AND NOT EXISTS (SELECT 1 FROM s1 WHERE s1.owner = w.owner AND s1.week = w.week) QUALIFY row_number() OVER (PARTITION BY w.owner, w.week ORDER BY score DESC, asset_id) <= 2),
 s12 AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2), nw AS (SELECT owner, week, count(*) AS n FROM s12 GROUP BY 1, 2), no AS (SELECT owner, count(*) AS n FROM s12 GROUP BY 1),
 s3 AS (SELECT w.owner, asset_id, w.week, 'slot' AS reason FROM w LEFT JOIN nw ON nw.owner = w.owner AND nw.week = w.week LEFT JOIN no ON no.owner = w.owner WHERE NOT favorite AND asset_id NOT IN (SELECT asset_id FROM s2)
-  QUALIFY row_number() OVER (PARTITION BY w.owner ORDER BY round(score / 100 - 0.1 * coalesce(nw.n, 0), 6) DESC, asset_id) <= {count} - coalesce(no.n, 0)),
-s123 AS (SELECT * FROM s12 UNION ALL SELECT * FROM s3),
+  QUALIFY row_number() OVER (PARTITION BY w.owner ORDER BY round(score / {unit} - 0.1 * coalesce(nw.n, 0), 6) DESC, asset_id) <= {count} - coalesce(no.n, 0)),
+s123 AS (SELECT * FROM s12 UNION ALL SELECT * FROM s3)"""
+FIRST = STARRED + """,
 s4 AS (SELECT w.owner, asset_id, w.week, 'coverage' AS reason FROM w WHERE asset_id NOT IN (SELECT asset_id FROM s123) AND NOT EXISTS (SELECT 1 FROM s123 JOIN w x USING (asset_id) WHERE x.owner = w.owner AND x.day = w.day) QUALIFY row_number() OVER (PARTITION BY w.owner, w.day ORDER BY score DESC, asset_id) = 1),
 chosen AS (SELECT owner, asset_id, reason FROM s123 UNION ALL SELECT owner, asset_id, reason FROM s4)"""
 
 
-@query(f"""WITH {ASSETS_SQL}, {FIRST.format(source="a", count=20)} SELECT * FROM chosen""")
+@query(f"""WITH {ASSETS_SQL}, {FIRST.format(source="a", count=20, unit=100)} SELECT * FROM chosen""")
 def favorites_first(spark, d):
     """Favorites as far as they fit, weeks without any, remaining places spread over weeks, and a row for each day without one."""
     a = assets(spark, d)
     return selection.favorites_first(a, ["owner"], "taken_at", F.to_date("taken_at"), "duration", "favorite", "score", "asset_id", 20)
 
 
-@query(f"""WITH RECURSIVE {ASSETS_SQL}, capped AS (SELECT * FROM a WHERE kind <> 'signup' OR asset_id IN (SELECT asset_id FROM a WHERE kind = 'signup' QUALIFY row_number() OVER (PARTITION BY owner, CAST(taken_at AS DATE) ORDER BY score DESC, asset_id) <= 2)),
-{FIRST.format(source="capped", count=14)}, pool AS (SELECT a.*, epoch_us(taken_at) / 1e6 AS t, 60.0::DOUBLE AS budget FROM a JOIN chosen USING (asset_id)), {SPREAD.format(name="fit", source="pool")},
-kept AS (SELECT a.* FROM a JOIN fit ON fit.asset_id = a.asset_id), gaps AS (SELECT *, epoch_us(taken_at - lag(taken_at) OVER (PARTITION BY owner ORDER BY taken_at, asset_id)) / 1e6 AS gap FROM kept),
-mo AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 600 THEN 1 ELSE 0 END) OVER (PARTITION BY owner ORDER BY taken_at, asset_id) AS moment FROM gaps), one AS (SELECT * FROM mo QUALIFY row_number() OVER (PARTITION BY owner, moment ORDER BY favorite DESC, score DESC, asset_id) = 1),
-lim AS (SELECT *, greatest(floor(0.7 * count(*) OVER (PARTITION BY owner)), 12 - count(*) FILTER (WHERE favorite) OVER (PARTITION BY owner)) AS most, row_number() OVER (PARTITION BY owner, favorite ORDER BY score DESC, asset_id) AS place FROM one),
-few AS (SELECT * FROM lim WHERE favorite OR place <= most),
-ph AS (SELECT *, count(*) FILTER (WHERE kind <> 'signup') OVER (PARTITION BY owner) AS others, row_number() OVER (PARTITION BY owner, kind = 'signup' ORDER BY favorite DESC, score DESC, asset_id) AS nth FROM few)
-SELECT owner, asset_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY taken_at, asset_id) AS INTEGER) AS place FROM ph WHERE kind <> 'signup' OR nth <= floor(others * 0.3 / 0.7)""")
-def refined_selection(spark, d):
-    """A whole selection: photos a day, favorites first, fitted to the time, one a moment, then the shares of other rows and of photos, in order of capture."""
-    a = assets(spark, d)
-    photo = F.col("kind") == "signup"
-    best = [F.desc("score"), F.col("asset_id")]
-    capped = a.where(~photo).unionByName(ranking.top_per(a.where(photo).withColumn("day", F.to_date("taken_at")), ["owner", "day"], best, 2).drop("day"))
-    return selection.refined(capped, ["owner"], "taken_at", "duration", "favorite", "score", "asset_id", photo, clips=12, seconds=60.0, moment_s=600, others=0.7, photos=0.3)
-
-
 @query(f"""WITH {ASSETS_SQL}, n AS (SELECT owner, score, row_number() OVER (PARTITION BY owner ORDER BY asset_id) AS k, count(*) OVER (PARTITION BY owner) AS n FROM a), o AS (SELECT owner, k, n, greatest(score - coalesce(lag(score) OVER (PARTITION BY owner ORDER BY k), score), 0) AS up FROM n),
 c AS (SELECT owner, k, n, up - avg(up) OVER (PARTITION BY owner) AS x, max(up) OVER (PARTITION BY owner) AS top FROM o), l AS (SELECT unnest(range(2, 40)) AS lag),
 s AS (SELECT y.owner, lag, round(sum(y.x * z.x), 6) AS s FROM c y JOIN l ON lag < least(40, y.n - 1) JOIN c z ON z.owner = y.owner AND z.k = y.k - lag WHERE y.top > 0 GROUP BY 1, 2),

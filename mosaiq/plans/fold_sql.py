@@ -67,19 +67,6 @@ f AS (SELECT owner, 0 AS k, 0.0::DOUBLE AS used, -1::BIGINT AS asset_id, false A
   UNION ALL SELECT o.owner, o.k, CASE WHEN f.used + o.duration <= {budget} THEN f.used + o.duration ELSE f.used END, o.asset_id, f.used + o.duration <= {budget} FROM f JOIN o ON o.owner = f.owner AND o.k = f.k + 1)
 SELECT owner, asset_id FROM f WHERE fits"""
 
-#: Each row once a tier, from strict to lenient.
-BACKFILLED = f"""WITH RECURSIVE {ASSETS_SQL}, tiers(tier, others, photos, apart, over) AS (VALUES (1, 0.7::DOUBLE, 0.5::DOUBLE, 300, 0), (2, 1.0, 0.5, 300, 0), (3, 1.0, 0.7, 300, 0), (4, 1.0, 0.7, 0, 0), (5, 1.0, 1.0, 0, 0), (6, 1.0, 1.0, 0, 2)),
-r AS (SELECT owner, asset_id, duration, epoch_us(taken_at) / 1e6 AS t, favorite, kind = 'view' AS photo, favorite AND score > 60 AS chosen, row_number() OVER (PARTITION BY owner ORDER BY score DESC, asset_id) AS k, count(*) OVER (PARTITION BY owner) AS n FROM a),
-o AS (SELECT r.*, tiers.*, (tier - 1) * n + k AS step FROM r, tiers),
-f AS (SELECT owner, 0::BIGINT AS step, sum(CASE WHEN chosen THEN duration ELSE 0 END) AS used, count(*) FILTER (WHERE chosen AND NOT favorite) AS others, count(*) FILTER (WHERE chosen AND photo) AS photos,
-    coalesce(list(struct_pack(id := asset_id, t := t, tier := 0) ORDER BY k) FILTER (WHERE chosen), []) AS held FROM r GROUP BY owner
-  UNION ALL SELECT owner, step, CASE WHEN adds THEN used + duration ELSE used END, CASE WHEN adds THEN more_others ELSE others END, CASE WHEN adds THEN more_photos ELSE photos END, CASE WHEN adds THEN list_append(held, struct_pack(id := asset_id, t := t, tier := tier)) ELSE held END
-  FROM (SELECT *, NOT list_contains(list_transform(held, lambda h: h.id), asset_id) AND used < 90 AND used + duration <= 90 + over AND more_others <= greatest(1, floor((len(held) + 1) * share_others + 1e-9)) AND more_photos <= greatest(1, floor((len(held) + 1) * share_photos + 1e-9))
-      AND (apart = 0 OR NOT list_bool_or(list_append(list_transform(held, lambda h: abs(t - h.t) <= apart), false))) AS adds
-    FROM (SELECT f.owner, o.step, f.used, f.others, f.photos, f.held, o.asset_id, o.duration, o.t, o.tier, o.over, o.apart, o.others AS share_others, o.photos AS share_photos, f.others + (NOT o.favorite)::INT AS more_others, f.photos + o.photo::INT AS more_photos FROM f JOIN o ON o.owner = f.owner AND o.step = f.step + 1))),
-e AS (SELECT owner, unnest(held) AS h FROM f QUALIFY step = max(step) OVER (PARTITION BY owner))
-SELECT owner, h.id AS asset_id, CAST(h.tier AS INTEGER) AS tier FROM e"""
-
 BURSTS = f"""WITH RECURSIVE {ASSETS_SQL}, b AS (SELECT owner, asset_id, score, epoch_us(taken_at) AS t, CASE WHEN asset_id % 11 > 0 THEN ('0x' || substr(md5(CAST(asset_id // 5 AS VARCHAR)), 1, 15))::BIGINT END AS h, row_number() OVER (PARTITION BY owner ORDER BY taken_at, asset_id) AS k FROM a),
 f AS (SELECT owner, 0::BIGINT AS k, []::STRUCT(t BIGINT, h BIGINT, id BIGINT, s DOUBLE)[] AS held FROM b GROUP BY owner
   UNION ALL SELECT owner, k, CASE WHEN h IS NULL OR hit = 0 THEN list_append(held, struct_pack(t := CASE WHEN h IS NULL THEN NULL ELSE t END, h := h, id := asset_id, s := score))
