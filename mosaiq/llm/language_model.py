@@ -5,9 +5,8 @@ in a Huffman tree over the frequent words of the training documents; others take
 a tree over bytes for each byte and for the word's stop. So every text has a code, and log10 of its probability is the
 sum over its decisions; `bits_per_byte` sets that against the bytes of words and separators.
 
-For each decision four predictors give a probability: the place in the tree alone (exact counts), and that place hashed
-with the word before, with the two before, and with the second before (within bytes: the one, two or three bytes
-before). Their counts come from all training documents: each task adds up tables of a fixed size, and their sums become
+For each decision three predictors give a probability: the place in the tree alone (exact counts), and that place hashed
+with the word before, and with the second before (within bytes: the two and the three bytes before). Their counts come from all training documents: each task adds up tables of a fixed size, and their sums become
 one byte a slot. A mixer adds the predictors' log-odds with weights that the code's level and the predictors' evidence
 gate, and learns from each decision; an adaptive table then refines the mixed probability by how such probabilities came
 true before. Both start anew every `LANE` symbols of a text, so a batch is computed side by side, step by step, and a
@@ -39,16 +38,16 @@ from pyspark.sql import types as T
 
 from .common import cut, free_name, text_of
 
-WORDS = 1 << 18
+WORDS = 1 << 17
 SLOT_BITS = 20
 LANE = 512
 #: Symbols after which the mixer learns.
 TURN = 8
-HASHED = 3
+HASHED = 2
 SEGMENT = 1 << 16
-DECISIONS = 6_000_000
+DECISIONS = 2_000_000
 #: Weights of the mixer before it has learned, its rate, and the rate of the refining table.
-START, RATE, REFINE_RATE = (0.55, 0.30, 0.20, 0.10), 0.02, 0.02
+START, RATE, REFINE_RATE = (0.55, 0.35, 0.25), 0.02, 0.02
 STEPS = 24  # of the refining table, half a unit of log-odds each
 
 
@@ -56,7 +55,7 @@ def tokens_of(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def token_counts(docs: DataFrame, most: int = 500_000) -> DataFrame:
+def token_counts(docs: DataFrame, most: int = 400_000) -> DataFrame:
     """(token, n) of the words and ends ("") of docs; a task sends its counts on when it holds `most` words."""
 
     def batch_of(total: dict[bytes, int]) -> pa.RecordBatch:
@@ -104,7 +103,8 @@ def huffman(weights: list[int]) -> np.ndarray:
 def paths(up: np.ndarray, first_node: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each leaf's code: its length, and for all leaves together the inner nodes (from first_node) and bits, from the root."""
     leaves = (len(up) + 1) // 2
-    at, ups = np.arange(leaves), []
+    up = up.astype(np.int32)
+    at, ups = np.arange(leaves, dtype=np.int32), []
     while (alive := at < len(up) - 1).any():
         ups.append(np.where(alive, up[at], -1))
         at = np.where(alive, up[at] >> 1, len(up) - 1)
@@ -162,7 +162,7 @@ class Sent:
 
 
 class Symbols:
-    """The symbols of a batch of texts, and the hashes of the three contexts of each."""
+    """The symbols of a batch of texts, and the hashes of the two contexts of each."""
 
     def __init__(self, code: Code, texts: list[str]):
         numbers, self.lengths, self.rare = [], [], []
@@ -197,15 +197,14 @@ class Symbols:
         back = [np.where(place >= k, mark[np.maximum(np.arange(len(token)) - k, 0)], 0).astype(np.uint32) for k in (1, 2)]
         of_token = np.repeat(np.arange(len(token)), sizes)
         inside = (np.arange(total) - begins[of_token]).astype(np.int32)
-        one, two = back[0][of_token], back[1][of_token]
-        contexts = [mix32(one, 1), mix32(one ^ mix32(two, 7), 2), mix32(two, 3)]
+        contexts = [mix32(back[0], 1)[of_token], mix32(back[1], 3)[of_token]]
         spelled = np.flatnonzero(inside)
         if len(spelled):
             before, known, near = np.zeros(len(spelled), dtype=np.uint32), inside[spelled], symbol.astype(np.uint32)
-            for k in range(HASHED):
-                last = np.where(known > k + 1, near[spelled - (k + 1)], 0).astype(np.uint32)
-                before = mix32(before ^ last, 11 + k)
-                contexts[k][spelled] = before
+            for k in range(HASHED + 1):
+                before = mix32(before ^ np.where(known > k + 1, near[spelled - (k + 1)], 0).astype(np.uint32), 11 + k)
+                if k:
+                    contexts[k - 1][spelled] = before
         self.contexts = contexts
         text_of_symbol = np.add.reduceat(sizes, first) if len(token) else np.empty(0, dtype=np.int64)
         self.symbols = text_of_symbol  # of each text
@@ -266,7 +265,7 @@ def context_counts(docs: DataFrame, sent: Sent) -> DataFrame:
         total = np.zeros((HASHED, 2 * slots), dtype=np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for part in groups(np.array([len(t) + 8 for t in texts]), 4_000_000):
+            for part in groups(np.array([len(t) + 8 for t in texts]), 2_000_000):
                 symbols = Symbols(code, texts[part])
                 for some in groups(code.sizes[symbols.symbol], DECISIONS):
                     found = Decisions(code, symbols, np.arange(some.start, some.stop))
@@ -421,7 +420,7 @@ def score(docs: DataFrame, counts: DataFrame, fitted: dict, doc_id: str = "doc_i
         logs = np.array([math.log10((c + 1) / smoothed) for c in code.counts[:-1]] + [0.0])
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            for part in groups(np.array([len(t) + 8 for t in texts]), 8_000_000):
+            for part in groups(np.array([len(t) + 8 for t in texts]), 4_000_000):
                 some = texts[part]
                 symbols, bits = text_scores(code, tables, some)
                 first = np.cumsum([0, *symbols.lengths])[:-1]
