@@ -5,6 +5,9 @@ Each key's rows meet in one task, so keys are to be videos, trips or owners, not
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -48,21 +51,39 @@ def day_slots(df: DataFrame, day: str, by: list[str], target: int) -> DataFrame:
 
 
 def farthest_days(df: DataFrame, time: str, amount: str, favorite: str, score: str, by: list[str], tie: str, budget: str) -> DataFrame:
-    """Again and again the row that is most days (rounded) from the rows chosen (then favorites, then scores), while it fits the key's budget (a column)."""
+    """Again and again the row that is most days (rounded) from the rows chosen (then favorites, then scores), while it fits the key's budget (a column).
+
+    Chosen times part a key's rows into gaps. A heap holds the best row of each gap; choosing it
+    parts its gap in two, and one that no longer fits gives way to the next of its gap, so a row is looked at about log n times.
+    """
     schema = df.select(*by, tie).schema.add("place", "integer")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([favorite, score, tie], ascending=[False, False, True]).reset_index(drop=True)
         seconds = pd.to_datetime(rows[time]).astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-        amounts = rows[amount].to_numpy()
-        near, open_rows = np.full(len(rows), np.inf), np.ones(len(rows), bool)
-        left, chosen = rows[budget].iloc[0], []
-        while (fits := np.flatnonzero(open_rows & (amounts <= left))).size:
-            best = fits[np.argmax(np.rint(near[fits] / 86400))]  # of equally far ones the first
-            chosen.append(best)
-            open_rows[best] = False
+        order = np.argsort(seconds, kind="stable")  # a row's rank is its number in rows, the smaller the better
+        at, amounts = seconds[order], rows[amount].to_numpy()[order]
+        left, chosen, heap = rows[budget].iloc[0], [], []
+
+        def offer(low: int, high: int, before: float, after: float) -> None:
+            """Puts the best row that fits of order[low:high] on the heap."""
+            fits = low + np.flatnonzero(amounts[low:high] <= left)
+            if fits.size:
+                days = np.rint(np.minimum(at[fits] - before, after - at[fits]) / 86400)
+                far = fits[days == days.max()]
+                best = far[np.argmin(order[far])]
+                heapq.heappush(heap, (-days.max(), order[best], best, low, high, before, after))
+
+        offer(0, len(rows), -np.inf, np.inf)
+        while heap:
+            _, rank, best, low, high, before, after = heapq.heappop(heap)
+            if amounts[best] > left:
+                offer(low, high, before, after)
+                continue
+            chosen.append(rank)
             left -= amounts[best]
-            near = np.minimum(near, np.abs(seconds - seconds[best]))
+            offer(low, best, before, at[best])
+            offer(best + 1, high, at[best], after)
         out = rows.loc[chosen, [*by, tie]].copy()
         out["place"] = pd.Series(range(1, len(chosen) + 1), index=out.index, dtype="int32")
         return out
@@ -191,19 +212,24 @@ def place_counts(df: DataFrame, lat: str, lon: str, city: str, by: list[str], or
 
 
 def interleaved(df: DataFrame, kind: str, by: list[str], order: list[str]) -> DataFrame:
-    """place: the rows in order, but no more than two of a kind in a row while another can be moved forward."""
+    """place: the rows in order, but no more than two of a kind in a row while another can be moved forward.
+
+    Each kind's rows wait in a queue of their own, and the next row is the earliest of all queues, or of the other queues after two of a kind.
+    """
     schema = StructType([*df.schema.fields]).add("place", "integer")
 
-    def swap(rows: pd.DataFrame) -> pd.DataFrame:
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order).reset_index(drop=True)
-        kinds, places = rows[kind].tolist(), list(range(len(rows)))
-        for k in range(2, len(places)):
-            if kinds[places[k]] == kinds[places[k - 1]] == kinds[places[k - 2]]:
-                other = next((j for j in range(k + 1, len(places)) if kinds[places[j]] != kinds[places[k]]), None)
-                if other is not None:
-                    places.insert(k, places.pop(other))
+        queues = [deque(q) for q in rows.groupby(kind, sort=False, dropna=False).indices.values()]
+        places, last, run = [], None, 0
+        for _ in range(len(rows)):
+            ready = [q for q in queues if q]
+            others = [q for q in ready if q is not last] if run >= 2 else ready
+            queue = min(others or ready, key=lambda q: q[0])
+            run, last = run + 1 if queue is last else 1, queue
+            places.append(queue.popleft())
         out = rows.iloc[places].copy()
         out["place"] = pd.Series(range(len(places)), index=out.index, dtype="int32")
         return out
 
-    return df.groupBy(*by).applyInPandas(swap, schema)
+    return df.groupBy(*by).applyInPandas(merge, schema)

@@ -73,11 +73,12 @@ def greedy_fit(df: DataFrame, amount: str, budget: Column | float, by: list[str]
     """
     ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     row = F.struct("__n", F.col(amount).cast("double").alias("amount"), F.col(tie).alias("id"))
-    first = F.struct(F.lit(0.0).alias("used"), F.array().cast("array<bigint>").alias("ids"))
+    kind = f"array<{df.schema[tie].dataType.simpleString()}>"
+    first = F.struct(F.lit(0.0).alias("used"), F.array().cast(kind).alias("ids"))
 
     def step(a: Column, r: Column) -> Column:
         fits = a["used"] + r["amount"] <= F.col("__budget")
-        return F.struct(F.when(fits, a["used"] + r["amount"]).otherwise(a["used"]).alias("used"), F.when(fits, F.concat(a["ids"], F.array(r["id"].cast("bigint")))).otherwise(a["ids"]).alias("ids"))
+        return F.struct(F.when(fits, a["used"] + r["amount"]).otherwise(a["used"]).alias("used"), F.when(fits, F.concat(a["ids"], F.array(r["id"]))).otherwise(a["ids"]).alias("ids"))
 
     folded = ranked.groupBy(*by).agg(F.array_sort(F.array_agg(row)).alias("rows"), F.max(budget if isinstance(budget, Column) else F.lit(float(budget))).alias("__budget")).select(*by, F.aggregate("rows", first, step, lambda a: a["ids"]).alias("ids"))
     return folded.select(*by, F.explode("ids").alias(tie))

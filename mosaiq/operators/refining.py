@@ -6,6 +6,7 @@ folds over them (`aggregate`), so no Python runs but in `folds.farthest_days`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -272,3 +273,40 @@ def refined(df: DataFrame, n: Names, wishes: Wishes, stops: DataFrame | None = N
     filled = backfilled(whole, n, "__chosen", wishes, "__few")
     timed = filled.drop("place").join(raw.select(*n.keys(), n.time), n.keys())
     return timed.select(*n.keys(), "tier", F.row_number().over(Window.partitionBy(*n.by).orderBy(n.time, n.tie)).alias("place"))
+
+
+def reviewed(df: DataFrame, n: Names, select: Callable[[DataFrame], DataFrame], seen: str, real: str, floor: float = 0.3, share: float = 0.6, passes: int = 10) -> DataFrame:
+    """keys of a selection after all its rows were looked at and judged.
+
+    select gives the keys of a selection from a pool. Rows of it that have not been seen take their real score and the
+    pool is selected from again, `passes` times at most; then rows under the floor, and a last row that is the weakest and
+    under a share of the mean, leave the pool (favorites stay), and all of it begins anew, `passes` times at most. The selection
+    after the last judgement is final. A selection of one row is not judged, and a pool is not emptied. Each round is written, and a key takes part until it is stable.
+    """
+    of, last_pass = Window.partitionBy(*n.by), max(1, passes)
+    pool = written(df.withColumns({"__judged": F.lit(0), "__looked": F.lit(0), "__final": F.lit(False)}))
+    stable: DataFrame | None = None
+    while stable is None or pool.head(1):
+        picked = select(pool.drop("__judged", "__looked", "__final")).select(*n.keys(), F.lit(True).alias("__in"))
+        rows = pool.join(picked, n.keys(), "left").withColumn("__in", F.coalesce("__in", F.lit(False)))
+        among = lambda c: F.when(F.col("__in"), c)
+        size, new = F.count_if("__in").over(of), F.col("__in") & ~F.col(seen)
+        look = ~F.col("__final") & (F.count_if(new).over(of) > 0) & (F.col("__looked") < last_pass)
+        end = F.struct(n.time, n.tie)
+        weakest = (F.col(n.score) == F.min(among(F.col(n.score))).over(of)) & (F.col(n.score) < share * F.avg(among(F.col(n.score))).over(of))
+        weak_end = (size > 2) & (end == F.max(among(end)).over(of)) & weakest
+        fails = F.col("__in") & ~F.col(n.favorite) & ((F.col(n.score) < floor) | weak_end)
+        first = rows.withColumns({"__new": new, "__look": look, "__fails": fails, "__size": size})
+        failing, whole = F.count_if("__fails").over(of), F.count(F.lit(1)).over(of)
+        drops = ~F.col("__final") & ~F.col("__look") & (F.col("__size") >= 2) & (failing > 0) & (failing < whole)
+        round_ = written(first.withColumn("__drops", drops))
+        going = F.col("__look") | F.col("__drops")
+        ended = round_.where(~going & F.col("__in")).select(*n.keys())
+        stable = ended if stable is None else stable.unionByName(ended)
+        now = F.col("__look") & F.col("__new")
+        pool = round_.where(going & ~(F.col("__drops") & F.col("__fails"))).select(*[c for c in df.columns if c not in (n.score, seen)],
+            F.when(now, F.col(real)).otherwise(F.col(n.score)).alias(n.score), (F.col(seen) | now).alias(seen),
+            (F.col("__judged") + F.col("__drops").cast("int")).alias("__judged"), F.when(F.col("__look"), F.col("__looked") + 1).otherwise(0).alias("__looked"),
+            (F.col("__drops") & (F.col("__judged") + 1 >= last_pass)).alias("__final"),
+        )
+    return stable

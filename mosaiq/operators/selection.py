@@ -47,25 +47,19 @@ def judged_until_stable(df: DataFrame, by: list[str], time: str, favorite: str,
 
 
 def transitions(df: DataFrame, by: list[str], order: str, tie: str, title: str, key_hash: str, fades: float = 0.7) -> DataFrame:
-    """fade or cut after each row: fades after titles, else by a hash of the row at a rate, with at most three fades or two cuts in a row."""
-    schema = StructType([df.schema[c] for c in [*by, tie]]).add("transition", "string")
-
-    def plan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([order, tie]).reset_index(drop=True)
-        kinds: list[str] = []
-        for is_title, h in zip(rows[title], rows[key_hash], strict=True):
-            kind = "fade" if is_title or (int(h) % 1000) / 1000 < fades else "cut"
-            if not is_title:
-                if kinds[-3:] == ["fade"] * 3:
-                    kind = "cut"
-                elif kinds[-2:] == ["cut"] * 2:
-                    kind = "fade"
-            kinds.append(kind)
-        out = rows[[*by, tie]].copy()
-        out["transition"] = kinds
-        return out
-
-    return df.groupBy(*by).applyInPandas(plan, schema)
+    """fade or cut after each row: fades after titles, else by a hash of the row at a rate, with at most three fades or two cuts in a row.
+
+    A fold over a key's rows whose state is the letters so far.
+    """
+    row = F.struct(F.col(order).alias("o"), F.col(tie).alias("id"), F.col(title).alias("title"), ((F.col(key_hash) % 1000) / 1000 < fades).alias("fades"))
+
+    def letter(past: Column, r: Column) -> Column:
+        asked = F.when(r["fades"], "f").otherwise("c")
+        return F.concat(past, F.when(r["title"], "f").when(past.endswith("fff"), "c").when(past.endswith("cc"), "f").otherwise(asked))
+
+    folded = df.groupBy(*by).agg(F.array_sort(F.array_agg(row)).alias("rows")).withColumn("plan", F.aggregate("rows", F.lit(""), letter))
+    each = F.transform("rows", lambda r, k: F.struct(r["id"].alias("id"), F.substring(F.col("plan"), k + 1, F.lit(1)).alias("kind")))
+    return folded.select(*by, F.explode(each).alias("x")).select(*by, F.col("x.id").alias(tie), F.when(F.col("x.kind") == "f", "fade").otherwise("cut").alias("transition"))
 
 
 def finalized(timelines: DataFrame, target: float, title: float, ending: float, divider: float, soft: float, fade: float = 0.5, rate: float = 0.7) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions import geo
-from mosaiq.operators import folds, refining
+from mosaiq.operators import folds, ranking, refining
 from mosaiq.plans import fold_sql, refining_sql
 from mosaiq.plans.adapters import ASSETS_SQL, HOME, assets
 from mosaiq.plans.catalogue import query
@@ -79,3 +79,24 @@ def refined_trips(spark, d):
     """A whole selection of each trip, with its overnight stops in place of periods."""
     rows, stops = trips_and_stops(spark, d)
     return refining.refined(rows, NAMES, refining.Wishes(12, 60.0, photos=0.3), stops)
+
+
+#: A step is a look at what is new in the best twelve rows, or a judgement of them.
+REVIEWED = f"""WITH RECURSIVE {ASSETS_SQL}, v AS (SELECT owner, asset_id, epoch_us(taken_at) AS t, favorite, score / 100 AS real, asset_id % 3 = 0 AS seen, CASE WHEN asset_id % 3 = 0 THEN score / 100 ELSE 0.55 END AS s FROM a),
+f AS (SELECT owner, list(struct_pack(id := asset_id, t := t, fav := favorite, real := real, seen := seen, s := s)) AS rows, 0 AS judged, 0 AS looked, false AS final, false AS done, []::BIGINT[] AS ids FROM v GROUP BY owner
+  UNION ALL SELECT owner, CASE WHEN look THEN list_transform(rows, lambda r: CASE WHEN list_contains(top_ids, r.id) AND NOT r.seen THEN struct_pack(id := r.id, t := r.t, fav := r.fav, real := r.real, seen := true, s := r.real) ELSE r END)
+      WHEN drops THEN list_filter(rows, lambda r: NOT list_contains(bad, r.id)) ELSE rows END, judged + drops::INT, CASE WHEN look THEN looked + 1 ELSE 0 END, drops AND judged + 1 >= 10, NOT look AND NOT drops, top_ids
+  FROM (SELECT *, NOT final AND NOT look AND len(top_ids) >= 2 AND len(bad) > 0 AND len(bad) < len(rows) AS drops
+    FROM (SELECT *, NOT final AND looked < 10 AND len(list_filter(top, lambda r: NOT r.seen)) > 0 AS look, list_transform(top, lambda r: r.id) AS top_ids,
+        list_transform(list_filter(top, lambda r: NOT r.fav AND (r.s < 0.3 OR (len(top) > 2 AND r.t = ending.t AND r.id = ending.id AND r.s = lo AND r.s < 0.6 * mean))), lambda r: r.id) AS bad
+      FROM (SELECT *, list_max(list_transform(top, lambda r: struct_pack(t := r.t, id := r.id))) AS ending, list_min(list_transform(top, lambda r: r.s)) AS lo, list_avg(list_transform(top, lambda r: r.s)) AS mean
+        FROM (SELECT *, list_transform(list_sort(list_transform(rows, lambda r: struct_pack(k := -r.s, id := r.id, r := r)))[1:12], lambda x: x.r) AS top FROM f WHERE NOT done)))))
+SELECT owner, unnest(ids) AS asset_id FROM f WHERE done"""
+
+
+@query(REVIEWED)
+def review_until_stable(spark, d):
+    """The best twelve rows of each owner after what is new among them was looked at, and what fails was dropped and replaced, until nothing changes."""
+    a = assets(spark, d).withColumns({"real": F.col("score") / 100, "seen": F.col("asset_id") % 3 == 0})
+    known = a.withColumn("score", F.when(F.col("seen"), F.col("real")).otherwise(0.55))
+    return refining.reviewed(known, NAMES, lambda pool: ranking.top_per(pool, ["owner"], [F.desc("score"), F.col("asset_id")], 12), "seen", "real")
