@@ -3,7 +3,7 @@
 The segments of a transcript (turns or lines) have features: a speaker marker at
 the start, the length, the number of lines and a question mark. A hidden Markov
 model over the roles is counted from labelled segments; Viterbi's algorithm recovers
-the roles of others, and each segment is rendered with its role, its marker removed.
+the roles of others, and each segment is rendered with its role; a marker of that role is removed.
 
 Transcripts are cut into blocks: of BLOCK orders each, and where one of these has over
 CROWDED rows, of one order each, which is cut further by ranges of the hash of the text,
@@ -32,7 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_of
@@ -41,18 +41,26 @@ ROLES = ("system", "user", "assistant")
 BLOCK, CROWDED = 4096, 16_384
 # The markers of each role, at the start of a segment, any case.
 MARKERS = {"system": ("system", "sys", "instructions"), "user": ("user", "human", "question", "q", "customer"), "assistant": ("assistant", "bot", "ai", "answer", "a", "agent")}
-MARKER = r"(?i)^\s*(?:\[|<\|?|#+ ?|\*\*)?(" + "|".join(m for ms in MARKERS.values() for m in ms) + r")(?:\|?>|\]|\*\*)?\s*(?::|>|-(?= )|\n)\s*"
+ALL, LONG = ("|".join(m for ms in MARKERS.values() for m in ms if len(m) >= least) for least in (1, 3))
+OPEN, CLOSE, AFTER = r"(?:\[|<\|?|#+ ?|\*\*)", r"(?:\|?>|\]|\*\*)", r"(?::|>|-(?= )|\n)"
+#: A marker that stands bare, or has one or two letters, counts with a colon only: "A" may be a line, "Agent - ..." a sentence.
+MARKER = rf"(?i)^\s*(?={OPEN}(?:{LONG}){CLOSE}?\s*{AFTER}|{OPEN}?(?:{ALL}){CLOSE}?[ \t]*:){OPEN}?({ALL}){CLOSE}?\s*{AFTER}\s*"
 SIZES = {"__marker": 4, "__length": 16, "__lines": 4, "__question": 2}
 MARKER_BELIEF = 50.0  # how many segments the marker's meaning counts as
 
 
+def marked_as(text: Column) -> Column:
+    """The role of the text's speaker marker, null without one."""
+    said = F.lower(F.regexp_extract(text, MARKER, 1))
+    return F.coalesce(*[F.when(said.isin(*names), role) for role, names in MARKERS.items()])
+
+
 def with_features(df: DataFrame, key: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
     """Adds __key, __block, __part, __order, __tie, __row and the features' numbers; written to the shared folder."""
     t = text_of(text)
-    said = F.lower(F.regexp_extract(t, MARKER, 1))
     marker = F.lit(0)
     for k, role in enumerate(ROLES):
-        marker = F.when(said.isin(*MARKERS[role]), k + 1).otherwise(marker)
+        marker = F.when(marked_as(t).eqNullSafe(role), k + 1).otherwise(marker)
     place = F.coalesce(F.col(order).cast("long"), F.lit(-1))
     named = df.withColumns(
         {
@@ -325,8 +333,9 @@ def transcript_lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def rendered(df: DataFrame, text: str = "text", role: str = "recovered", out: str = "rendered") -> DataFrame:
-    """Adds the turn in its canonical form, the speaker marker removed."""
-    body = F.trim(F.regexp_replace(text_of(text), MARKER, ""))
+    """Adds the turn in its canonical form; a speaker marker of the turn's role is removed, all else of the text stays."""
+    whole = text_of(text)
+    body = F.when(marked_as(whole).eqNullSafe(F.col(role)), F.regexp_replace(whole, MARKER, "")).otherwise(whole)
     return df.withColumn(out, F.concat(F.lit("<|"), F.col(role), F.lit("|>\n"), body, F.lit("\n<|end|>\n")))
 
 

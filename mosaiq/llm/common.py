@@ -134,3 +134,32 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+BITS_LEAST, BITS_MOST = 1 << 16, 1 << 27
+
+
+def bitmap(hashes: DataFrame, least: int = BITS_LEAST, most: int = BITS_MOST) -> np.ndarray:
+    """A bit for each hash, by its lowest bits: about 32 a row, within the bounds. Its words are put together by Spark."""
+    n = hashes.count()
+    size = min(most, max(least, 1 << (32 * n).bit_length()))
+    place = F.col("hash").bitwiseAND(F.lit(size - 1))
+    words = hashes.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(size // 64, np.uint64)
+    found = words.toPandas()  # at most size / 64 rows
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    return out
+
+
+def passing(df: DataFrame, key: Column, bits: np.ndarray) -> DataFrame:
+    """The rows of df whose key's hash the bitmap lets pass: all that it was made of, and few others. A null key passes where its hash does."""
+    shared, hashed = df.sparkSession.sparkContext.broadcast(bits), free_name(df, "hashed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            place = batch.column(0).to_numpy().view(np.uint64) & np.uint64(len(table) * 64 - 1)
+            held = table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(held.astype(bool)))
+
+    return df.select(F.xxhash64(key).alias(hashed), "*").mapInArrow(run, df.schema)

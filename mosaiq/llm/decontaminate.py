@@ -15,7 +15,9 @@ its values must be the document's own, as placeholders alone would meet any numb
 
 Documents send only windows that a bitmap of the benchmark's windows lets pass. The
 bitmap is of bounded size, at most BITS_MOST bits, and lets pass more than it should,
-never less; the join then settles it, so the result doesn't depend on its size.
+never less; the join then settles it, so the result doesn't depend on its size. A row
+meets an item by one of the item's rarest windows (all but those that it may lack),
+and only such pairs are looked at with all windows.
 
 Defined results: null or empty text has no windows, in documents as in items; items
 of equal text count as the one with the smallest id; rows are judged by id and text,
@@ -32,13 +34,12 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, row_keys
+from .common import Memo, bitmap, cut, free_name, row_keys
 
 WINDOW, MIN_WINDOW, MIN_COVER = 8, 4, 0.5
-BITS_LEAST, BITS_MOST = 1 << 16, 1 << 27
 ROWS_AT_ONCE = 20_000
 
 # Units that may follow a number.
@@ -168,18 +169,6 @@ def window_rows(texts: DataFrame, sizes: list[int] | None = None, bits: np.ndarr
     return texts.mapInArrow(run, schema)
 
 
-def bitmap(theirs: DataFrame, least: int = BITS_LEAST, most: int = BITS_MOST) -> np.ndarray:
-    """A bit for each hash, by its lowest bits: about 32 a window, within the bounds. Its words are put together by Spark."""
-    n = theirs.count()
-    size = min(most, max(least, 1 << (32 * n).bit_length()))
-    place = F.col("hash").bitwiseAND(F.lit(size - 1))
-    words = theirs.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(size // 64, np.uint64)
-    found = words.toPandas()  # at most size / 64 rows
-    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(np.uint64)
-    return out
-
-
 def agreeing(windows: list[tuple[int, int, list[tuple[int, str, str]]]], exact: bool) -> tuple[list[int], int | None]:
     """Of an alignment's windows (item_place, place, values) those that count, as places in the item, and the first place in the document.
 
@@ -193,16 +182,35 @@ def agreeing(windows: list[tuple[int, int, list[tuple[int, str, str]]]], exact:
     return sorted({w[0] for w in good}), min((w[1] for w in good), default=None)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """key1, key2 (see row_keys), item_id, cover (share of the item's windows that stand in the row and count) and first_word."""
+def probing(theirs: DataFrame, min_cover: float) -> DataFrame:
+    """The windows of each item, the rarest first, of which a row must have one to reach the cover: all but those that it may lack, and one."""
+    shared = theirs.groupBy("hash", "item_size").agg(F.countDistinct("item_id").alias("holders"))
+    of = Window.partitionBy("item_id")
+    n = F.count(F.lit(1)).over(of)
+    place = F.row_number().over(of.orderBy("holders", "hash", "item_place"))
+    counted = theirs.select("item_id", "item_place", "hash", "item_size", F.size("item_slots").alias("n_slots")).join(shared, ["hash", "item_size"])
+    lacked = n - F.greatest(F.lit(1), F.ceil(n * min_cover - 1e-9))
+    return counted.withColumns({"lacked": lacked, "rarest": place}).where("rarest <= lacked + 1").select("item_id", "hash", "item_size", "n_slots").distinct()
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", min_cover: float = 0.0) -> DataFrame:
+    """key1, key2 (see row_keys), item_id, cover (share of the item's windows that stand in the row and count) and first_word.
+
+    Pairs under min_cover may be missing: rows and items meet by the items' rarest windows first, and only pairs that do are
+    joined by all windows, so that wording that all items share doesn't pair all rows with all items.
+    """
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text")
     theirs = cut(window_rows(items).withColumnsRenamed({"place": "item_place", "slots": "item_slots", "size": "item_size"}))
     sizes = sorted(r[0] for r in theirs.select("item_size").distinct().collect())  # at most as many as a window has tokens
     key1, key2 = row_keys(F.col(doc_id), F.col(text))
-    ours = window_rows(docs.select(key1.alias("key1"), key2.alias("key2"), F.col(text).alias("text")), sizes, bitmap(theirs)).withColumnRenamed("hash", "met")
-    same = (F.col("met") == F.col("hash")) & (F.col("size") == F.col("item_size")) & (F.size("slots") == F.size("item_slots"))
+    ours = cut(window_rows(docs.select(key1.alias("key1"), key2.alias("key2"), F.col(text).alias("text")), sizes, bitmap(theirs)).withColumnRenamed("hash", "met"))
+    probes = probing(theirs, min_cover)
+    meets = (F.col("met") == F.col("hash")) & (F.col("size") == F.col("item_size")) & (F.size("slots") == F.col("n_slots"))
+    pairs = ours.join(probes, meets).select("key1", "key2", "item_id").distinct()
+    sought = pairs.join(theirs, "item_id").withColumnsRenamed({"key1": "row1", "key2": "row2"})
+    same = (F.col("key1") == F.col("row1")) & (F.col("key2") == F.col("row2")) & (F.col("met") == F.col("hash")) & (F.col("size") == F.col("item_size")) & (F.size("slots") == F.size("item_slots"))
     values = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct((F.col("item_place") + z["item_slots"]["at"]).alias("at"), z["item_slots"]["value"].alias("theirs"), z["slots"]["value"].alias("ours")))
-    met = ours.join(theirs, same).select("key1", "key2", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "size", F.struct("item_place", "place", values.alias("values")).alias("window"))
+    met = ours.join(sought, same).select("key1", "key2", "item_id", (F.col("place") - F.col("item_place")).alias("shift"), "size", F.struct("item_place", "place", values.alias("values")).alias("window"))
     aligned = met.groupBy("key1", "key2", "item_id", "shift").agg(F.min("size").alias("size"), F.collect_set("window").alias("windows"))  # at most as many as the item has
 
     def run(batches):
@@ -224,21 +232,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """key1, key2, items (array, ascending) and cover of the rows that hold benchmark items; written, so that its size is known to joins."""
-    held = matches(docs, benchmark, doc_id, text).where(F.col("cover") >= min_cover)
+    held = matches(docs, benchmark, doc_id, text, min_cover).where(F.col("cover") >= min_cover)
     return cut(held.groupBy("key1", "key2").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("cover").alias("cover")))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with contaminated, items and cover (null where none is held)."""
-    hits = contaminated(docs, benchmark, min_cover, doc_id, text).withColumnsRenamed({"key1": "__key1", "key2": "__key2"})
     kept = docs.drop("contaminated", "items", "cover")
+    own = [free_name(kept, n) for n in ("key1", "key2")]
+    hits = contaminated(docs, benchmark, min_cover, doc_id, text).withColumnsRenamed({"key1": own[0], "key2": own[1]})
     keys = row_keys(F.col(doc_id), F.col(text))
-    joined = kept.join(hits, (keys[0] == F.col("__key1")) & (keys[1] == F.col("__key2")), "left")
-    return joined.withColumn("contaminated", F.col("__key1").isNotNull()).drop("__key1", "__key2")
+    joined = kept.join(hits, (keys[0] == F.col(own[0])) & (keys[1] == F.col(own[1])), "left")
+    return joined.withColumn("contaminated", F.col(own[0]).isNotNull()).drop(*own)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, min_cover: float = MIN_COVER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that hold no item, with their columns as they are."""
-    hits = contaminated(docs, benchmark, min_cover, doc_id, text).select(F.col("key1").alias("__key1"), F.col("key2").alias("__key2"))
+    own = [free_name(docs, n) for n in ("key1", "key2")]
+    hits = contaminated(docs, benchmark, min_cover, doc_id, text).select(F.col("key1").alias(own[0]), F.col("key2").alias(own[1]))
     keys = row_keys(docs[doc_id], docs[text])
-    return docs.join(hits, (keys[0] == F.col("__key1")) & (keys[1] == F.col("__key2")), "left_anti")
+    return docs.join(hits, (keys[0] == F.col(own[0])) & (keys[1] == F.col(own[1])), "left_anti")

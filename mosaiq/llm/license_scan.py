@@ -180,27 +180,43 @@ class LicenseScanner:
         by: dict[int, list[tuple[int, int, int]]] = {}
         for template, t, d, n in matches:
             by.setdefault(template, []).append((d, t, n))
-        out = {}
-        for template, found in by.items():
-            found.sort()
-            count, best, less = self.counted[template], [], self.min_match - 1
-            longest, low = max(n for _, _, n in found), 0
-            for k, (d, t, n) in enumerate(found):
-                while found[low][0] < d - GAP - longest:
-                    low += 1
-                covered, start = count[t + n - less] - count[t], d
-                for j in range(k - 1, low - 1, -1):
-                    dj, tj, nj = found[j]
-                    over = max(0, dj + nj - less - d, tj + nj - less - t)  # runs that the match before has
-                    if tj < t and over < n - less and d - dj - nj <= GAP:
-                        whole = best[j][0] + count[t + n - less] - count[t + over]
-                        if whole > covered:
-                            covered, start = whole, best[j][1]
-                best.append((covered, start, d + n))
-            covered, start, end = max(best, key=lambda x: (x[0], -x[1], -x[2]))
-            if covered:
-                out[template] = (float(covered / count[-1]), start, end)
-        return out
+        best = {template: self.best_chain(template, sorted(found)) for template, found in by.items()}
+        return {template: chain for template, chain in best.items() if chain}
+
+    def best_chain(self, template: int, found: list[tuple[int, int, int]]) -> tuple[float, int, int] | None:
+        """The chain of sorted matches (document, template, words) that covers most: its share and span; null if it covers nothing."""
+        count, best, less = self.counted[template], [], self.min_match - 1
+        longest, low = max((n for _, _, n in found), default=0), 0
+        for k, (d, t, n) in enumerate(found):
+            while found[low][0] < d - GAP - longest:
+                low += 1
+            covered, start = count[t + n - less] - count[t], d
+            for j in range(k - 1, low - 1, -1):
+                dj, tj, nj = found[j]
+                over = max(0, dj + nj - less - d, tj + nj - less - t)  # runs that the match before has
+                if tj < t and over < n - less and d - dj - nj <= GAP:
+                    whole = best[j][0] + count[t + n - less] - count[t + over]
+                    if whole > covered:
+                        covered, start = whole, best[j][1]
+            best.append((covered, start, d + n))
+        covered, start, end = max(best, key=lambda x: (x[0], -x[1], -x[2]), default=(0, 0, 0))
+        return (float(covered / count[-1]), start, end) if covered else None
+
+    def spans(self, matches: list[tuple[int, int, int, int]], chained: dict[int, tuple[float, int, int]]) -> list[tuple[int, int, int, float]]:
+        """(template, start, end, share) of all chains that cover enough: the best one of each template, then of what lies before and after it."""
+        out = []
+        for template, whole in chained.items():
+            found = sorted((d, t, n) for x, t, d, n in matches if x == template)
+            parts = [(found, whole)]
+            while parts:
+                rest, chain = parts.pop()
+                if chain is None or chain[0] < self.min_cover:
+                    continue
+                share, start, end = chain
+                out.append((template, start, end, share))
+                for side in ([m for m in rest if m[0] + m[2] <= start], [m for m in rest if m[0] >= end]):
+                    parts.append((side, self.best_chain(template, side)))
+        return sorted(out)
 
     def base_places(self, ids: np.ndarray) -> list[tuple[int, str]]:
         out = []
@@ -218,8 +234,9 @@ class LicenseScanner:
         ids = np.array(list(map(self.ids.get, words, [-1] * len(words))), dtype=np.int32)
         places = self.base_places(ids)
         base = {label for _, label in places}
-        chained = self.chains(self.matches(ids))
-        spans = [(self.names[t], start, end, share) for t, (share, start, end) in sorted(chained.items()) if share >= self.min_cover]
+        matches = self.matches(ids)
+        chained = self.chains(matches)
+        spans = [(self.names[t], start, end, share) for t, start, end, share in self.spans(matches, chained)]
         labels = base | {label_of(name) for name, *_ in spans}
         score = max((share for share, _, _ in chained.values()), default=0.0)
         return len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), score, spans

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_of
+from .common import bitmap, map_texts, passing, text_of
 
 BUCKETS = 1 << 16
 WINDOW = 8
@@ -72,24 +72,24 @@ def rule_counts(text: str, raw: bytes, words: list[bytes], h: np.ndarray) -> tup
 def ngram_counts(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """bucket, raw, target: how often each bucket stands in all documents and in the trusted ones.
 
-    trusted: one column doc_id; each task adds up its rows first.
+    trusted: one column doc_id; each task adds up its rows first. All rows are counted where they are; only rows whose id
+    a bitmap of the trusted ids lets pass go to the join that tells which are trusted.
     """
-    ids = trusted.select(F.col("doc_id").alias("__trusted")).distinct()
-    flagged = docs.join(ids, F.col(doc_id) == F.col("__trusted"), "left").select(text_of(text).alias("text"), F.col("__trusted").isNotNull().alias("trusted"))
+    given = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
+    ids = trusted.select("doc_id").where("doc_id is not null").distinct()
+    held = passing(given.where("doc_id is not null"), F.col("doc_id"), bitmap(ids.select(F.xxhash64("doc_id").alias("hash")))).join(ids, "doc_id", "left_semi")
 
     def run(batches):
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for doc, ok in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = np.bincount(buckets(word_hashes(doc.encode().split())), minlength=BUCKETS)
-                raw += n
-                if ok:
-                    target += n
-        (at,) = np.nonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
-
-    counted = flagged.mapInArrow(run, "bucket long, raw long, target long")
-    return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+            for doc in batch.column(0).to_pylist():
+                total += np.bincount(buckets(word_hashes(doc.encode().split())), minlength=BUCKETS)
+        (at,) = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    raw, target = (df.select("text").mapInArrow(run, "bucket long, n long") for df in (given, held))
+    both = raw.select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("target")).unionByName(target.select("bucket", F.lit(0).cast("long").alias("raw"), F.col("n").alias("target")))
+    return both.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:

@@ -37,7 +37,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "template_spans")
+    return license_scan.scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

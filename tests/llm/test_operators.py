@@ -552,3 +552,61 @@ def test_blocks_chain_to_viterbi():
         assert np.isclose(total.max(), best)
         before = np.array([-1] + [path[c - 1] for c in cuts[1:-1]])
         assert chat_format.decoded(model, emissions, cuts, before, np.array([path[c - 1] for c in cuts[1:]])).tolist() == path
+
+
+def test_turns_lose_no_text_but_a_marker_of_their_role(spark):
+    """Bare letters, headings, dashes and markers of another role are text."""
+    texts = ["A\nB\nC", "Q", "a - b", "Agent - the man from before", "Ai", "agent\nof change", "System: it has been down since nine, what now?", "AI is a field", "user-friendly", "[assistant] note", "Question of the day", "  two spaces  ", "answer - yes"]
+    for role in chat_format.ROLES:
+        df = spark.createDataFrame([(t, role) for t in [*texts, "User: hi", "**assistant**: yes", "### System\nBe brief", "q: why", None]], "text string, recovered string")
+        got = {r["text"]: r["rendered"] for r in chat_format.rendered(df).collect()}
+        body = {t: x.removeprefix(f"<|{role}|>\n").removesuffix("\n<|end|>\n") for t, x in got.items()}
+        for t in texts:
+            cut_off = t.removeprefix("System: ") if role == "system" else t
+            assert body[t] == cut_off
+        assert body["User: hi"] == ("hi" if role == "user" else "User: hi") and body["q: why"] == ("why" if role == "user" else "q: why") and body[None] == ""
+        assert body["**assistant**: yes"] == ("yes" if role == "assistant" else "**assistant**: yes") and body["### System\nBe brief"] == ("Be brief" if role == "system" else "### System\nBe brief")
+    marked = chat_format.with_features(spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "conv_id long, turn long, text string")).where("__marker > 0")
+    assert [r["text"] for r in marked.collect()] == ["System: it has been down since nine, what now?"]
+
+
+def test_stock_wording_does_not_pair_all_rows_with_all_items(spark):
+    """All items and half of the rows begin alike; the pairs that are looked at follow the rows, and verdicts are those of every alignment."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    stock = "please read the following text and then answer this question"
+    items = [(k, f"{stock} {' '.join(word() for _ in range(14))}") for k in range(30)]
+    texts = [(k, f"{stock} {' '.join(word() for _ in range(20))}") for k in range(120)] + [(200 + k, f"so {items[k][1]} and {word()}") for k in range(5)] + [(300, stock)]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    assert decontaminate.matches(df, bench, min_cover=0.5).count() == 5 and decontaminate.matches(df, bench).count() == 126 * 30
+    got = decontaminated(df.withColumns({"__key1": F.lit("own"), "__key2": F.lit(1)}), bench)
+    for (i, t), r in got.items():
+        held = sorted(k for k, item in items if brute.cover_of(t, item) >= decontaminate.MIN_COVER)
+        assert (r["items"] or []) == held and r["__key1"] == "own" and r["contaminated"] == (200 <= i < 300)
+    assert {r["doc_id"] for r in decontaminate.clean(df.withColumn("__key1", F.lit("own")), bench).collect()} == {i for i, _ in texts if not 200 <= i < 300}
+
+
+def test_all_whole_licenses_of_a_text(spark):
+    t = license_scan.TEMPLATES
+    n = len(license_scan.words_of(t["mit"]))
+    texts = [t["mit"] + " " + "between them " * 30 + t["mit"] + " and " + t["isc"], " ".join([t["mit"]] * 3)]
+    got = license_scan.scan_licenses(spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k long, text string")).orderBy("k").collect()
+    mit = [[(s["first_word"], s["end_word"]) for s in r["template_spans"] if s["template"] == "mit"] for r in got]
+    assert mit == [[(0, n), (n + 60, 2 * n + 60)], [(0, n), (n, 2 * n), (2 * n, 3 * n)]]
+    assert {license_scan.label_of(s["template"]) for s in got[0]["template_spans"]} == {"mit", "isc"}
+
+
+def test_ratio_counts_of_trusted_rows(spark):
+    """Counts of all rows and of trusted ones, with null and repeated ids, labels without documents, and the operator's own names as columns."""
+    texts = [(k, f"word{k % 3} other") for k in range(50)] + [(None, "lone word"), (7, "again")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"__trusted": F.lit("x"), "hashed": F.lit(1)}).repartition(3)
+    ids = [7, 8, 9, 9, 1000, None]
+    got = {r["bucket"]: (r["raw"], r["target"]) for r in quality_rules.ngram_counts(df, spark.createDataFrame([(i,) for i in ids], "doc_id long")).collect()}
+    want = {}
+    for i, t in texts:
+        for b in quality_rules.buckets(quality_rules.word_hashes(t.encode().split())).tolist():
+            raw, target = want.get(b, (0, 0))
+            want[b] = (raw + 1, target + (i in (7, 8, 9)))
+    assert got == want
+    labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality_rules.quality_rules(df, labels).where("__trusted = 'x'").count() == 52
