@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from mosaiq.functions import geo
 
@@ -71,19 +77,46 @@ def neighbours(df: DataFrame, tagged: Column, time: str, window_s: float, by: li
 def bursts(df: DataFrame, time: str, hash_bits: str, score: str, by: list[str], tie: str, window_s: float = 300, most_bits: int = 8) -> DataFrame:
     """Of each burst the best row: rows within a window of the burst's first row whose hash is near the first's.
 
-    A burst's window starts at its first row, so rows are folded in order; islands
-    without a gap of more than the window are folded apart from each other.
+    Rows without a hash stand alone. Islands without a gap of more than the window are dealt to tasks and streamed in
+    order; a queue holds the bursts that are open, and those whose window is over leave it, so a row meets open bursts only.
     """
     islands = moments(df, time, window_s, by, tie, "__island")
-    row = F.struct(F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.col(tie).alias("id"), F.col(hash_bits).alias("h"), F.col(score).cast("double").alias("s"))
-    folded = islands.groupBy(*by, "__island").agg(F.array_sort(F.array_agg(row)).alias("rows")).withColumn("kept", F.expr(f"""
-        aggregate(rows, cast(array() as array<struct<t:bigint,h:bigint,id:bigint,s:double>>), (a, r) -> case
-            when r.h is null then concat(a, array(named_struct('t', cast(null as bigint), 'h', r.h, 'id', r.id, 's', r.s)))
-            when exists(a, b -> b.h is not null and r.t - b.t <= {int(window_s * 1e6)} and bit_count(b.h ^ r.h) <= {most_bits})
-            then transform(a, (b, i) -> if(i = array_position(transform(a, b -> b.h is not null and r.t - b.t <= {int(window_s * 1e6)} and bit_count(b.h ^ r.h) <= {most_bits}), true) - 1 and r.s > b.s,
-                named_struct('t', b.t, 'h', b.h, 'id', r.id, 's', r.s), b))
-            else concat(a, array(named_struct('t', r.t, 'h', r.h, 'id', r.id, 's', r.s))) end)"""))
-    return folded.select(*by, F.explode("kept").alias("k")).select(*by, F.col("k.id").alias(tie), F.col("k.s").alias(score))
+    keys = [F.hash(*by, "__island").alias("__key"), F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(-(1 << 62))).alias("__t")]
+    sent = islands.select(*by, "__island", *keys, F.col(hash_bits).alias("__h"), F.col(score).cast("double").alias(score), F.col(tie).alias(tie))
+    order = [*by, "__island", "__t", tie]
+    schema = StructType([*[df.schema[c] for c in by], df.schema[tie]]).add(score, "double")
+    window, n = int(window_s * 1e6), len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_bursts = None, deque()  # bursts are [time, hash, row]
+        for batch in batches:
+            done: list[tuple] = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, island, _, t, h, s, i in zip(*columns, strict=True):
+                if (key, island) != now:
+                    done += [b[2] for b in open_bursts]
+                    open_bursts.clear()
+                    now = (key, island)
+                while open_bursts and t - open_bursts[0][0] > window:
+                    done.append(open_bursts.popleft()[2])
+                row = (*key, i, s)
+                if h is None:
+                    done.append(row)
+                    continue
+                held = next((b for b in open_bursts if ((b[1] ^ h) & 0xFFFFFFFFFFFFFFFF).bit_count() <= most_bits), None)
+                if held is None:
+                    open_bursts.append([t, h, row])
+                elif s is not None and (held[2][-1] is None or s > held[2][-1]):
+                    held[2] = row
+            yield from rows_of(done)
+        yield from rows_of([b[2] for b in open_bursts])
+
+    def rows_of(done: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if done:
+            kinds = to_arrow_schema(schema)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], type=kinds.field(k).type) for k in range(n + 2)], schema=kinds)
+
+    return sent.repartition("__key").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def same_moment(df: DataFrame, time: str, window_s: float, by: list[str], chosen: Column, tie: str) -> DataFrame:

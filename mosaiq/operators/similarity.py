@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +12,41 @@ from mosaiq.functions.hashing import hamming_long
 from mosaiq.operators.checkpoints import written
 
 
+def parts_of(distance: int, rows: int, width: int = 64) -> list[tuple[int, int, int]]:
+    """(low bit, bits, radius) of the parts by which hashes within the distance are found, at the least cost for so many rows.
+
+    Hashes within the distance differ in a part by its radius at most, if the radii and one a part add up to one more than the
+    distance. Many parts are short and meet many rows by chance; few parts are long, and all values within their radius are
+    probed. The cost of a row is its probes and the rows that they meet.
+    """
+
+    def cut(parts: int) -> list[tuple[int, int, int]]:
+        edges, shares = [width * k // parts for k in range(parts + 1)], [(distance + 1 + k) // parts for k in range(parts)]
+        return [(low, high - low, share - 1) for low, high, share in zip(edges[:-1], edges[1:], shares, strict=True)]
+
+    def cost(parts: int) -> float:
+        return sum(sum(comb(bits, d) for d in range(radius + 1)) * (1 + rows / 2.0**bits) for _, bits, radius in cut(parts))
+
+    return cut(min(range(1, min(width, distance + 1) + 1), key=cost))
+
+
 def similar_pairs(df: DataFrame, key: str, bits: str, distance: int, gate: Column | None = None) -> DataFrame:
-    """id1 < id2 within the distance, exactly.
+    """id1 < id2 within the distance, exactly: a join on parts of the hashes, where one side has its parts and the other
+    all values within their radii (see parts_of), and a check of the distance.
 
-    The 64 bits are cut into distance + 1 runs; two hashes within the distance agree
-    on one of them, so the join is an equality of runs and a check of the distance.
     gate: one more condition on columns of a and b.
     """
-    parts = distance + 1
-    edges = [64 * k // parts for k in range(parts + 1)]
-    runs = F.array(*[F.shiftrightunsigned(F.col(bits), low).bitwiseAND(F.lit((1 << (high - low)) - 1 if high - low < 64 else -1)) for low, high in zip(edges[:-1], edges[1:], strict=True)])
-    indexed = df.select("*", F.posexplode(runs).alias("__part", "__run"))
-    a, b = indexed.alias("a"), indexed.alias("b")
+    of = parts_of(distance, df.count())
+    part = lambda low, n: F.shiftrightunsigned(F.col(bits), low).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1))
+
+    def values(low: int, n: int, radius: int) -> Column:
+        """All values of the part within the radius of its own."""
+        flips = [sum(1 << b for b in some) for d in range(radius + 1) for some in combinations(range(n), d)]
+        return F.transform(F.array(*[F.lit(f).cast("long") for f in flips]), lambda f: part(low, n).bitwiseXOR(f))
+
+    indexed = df.select("*", F.posexplode(F.array(*[part(low, n) for low, n, _ in of])).alias("__part", "__run"))
+    probing = df.select("*", F.posexplode(F.array(*[values(*p) for p in of])).alias("__part", "__runs")).select("*", F.explode("__runs").alias("__run")).drop("__runs")
+    a, b = indexed.alias("a"), probing.alias("b")
     near = hamming_long(F.col(f"a.{bits}"), F.col(f"b.{bits}"))
     on = (F.col("a.__part") == F.col("b.__part")) & (F.col("a.__run") == F.col("b.__run")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (near <= distance)
     found = a.join(b, on if gate is None else on & gate)
