@@ -35,7 +35,7 @@ def trailing_burst(df: DataFrame, period: str, count: str, by: list[str], thresh
     return df.withColumn("average", F.avg(count).over(w)).withColumn("ratio", F.col(count) / F.col("average")).where(F.col("ratio") > threshold)
 
 
-def evict_to_budget(df: DataFrame, size: str, budget: int, order: list[Column], by: list[str]) -> DataFrame:
+def evict_to_budget(df: DataFrame, size: str, budget: Column | int, order: list[Column], by: list[str]) -> DataFrame:
     """The oldest rows that go until what is left fits the budget."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum(size).over(Window.partitionBy(*by))

@@ -62,6 +62,36 @@ def transitions(df: DataFrame, by: list[str], order: str, tie: str, title: str,
     return folded.select(*by, F.explode(each).alias("x")).select(*by, F.col("x.id").alias(tie), F.when(F.col("x.kind") == "f", "fade").otherwise("cut").alias("transition"))
 
 
+def planned(timelines: DataFrame, target: Column, title: float, ending: float, divider: float, clip_s: float = 5.0, fade: float = 0.5, rate: float = 0.7, share: float = 0.2, least_ending: float = 2.0, grace: float = 10.0) -> DataFrame:
+    """The plan of timelines (trip, months: whether dividers mark months in order, eligible) before their clips are chosen.
+
+    Titles get a share of the target: the opening first, the ending if two seconds are left for it, then as many dividers as
+    fit. Trips, and dividers of months, are settled only after the selection (policy pending): a trip keeps no time for its dividers,
+    months keep theirs. Fades overlap at a rate of all boundaries and so give time back, which may hold further clips,
+    so that is taken again until it stays, eight times at most.
+    """
+    t = F.greatest(target.cast("double"), F.lit(0.0))
+    opening = F.least(F.lit(float(title)), t * share)
+    left = t * share - opening
+    closing = F.when(left >= least_ending, F.least(F.lit(float(ending)), left)).otherwise(0.0)
+    fit = F.least(F.col("eligible"), F.floor((left - closing) / divider)) if divider > 0 else F.lit(0)
+    reserved = F.when(F.col("trip"), 0).otherwise(fit)
+    pending = F.col("trip") | F.col("months")
+    budget = opening + closing + reserved * divider
+    cards = (opening > 0).cast("int") + reserved + (closing > 0).cast("int")
+    sized = timelines.withColumns({
+        "title": opening, "ending": closing, "reserved": reserved.cast("long"), "__cards": cards, "__base": F.greatest(t - budget, F.lit(0.0)), "title_budget": budget,
+        "policy": F.when(pending, "pending").otherwise("capped"), "max_dividers": F.when(pending, 0).otherwise(reserved).cast("long"), "soft_max": F.when(pending, t + F.least(F.lit(float(grace)), t * share)),
+    })
+
+    def again(overlap: Column, _: Column) -> Column:
+        clips = F.greatest(F.lit(1), F.ceil((F.col("__base") + overlap) / max(0.1, clip_s)))
+        return F.greatest(clips + F.col("__cards") - 1, F.lit(0)) * fade * rate
+
+    overlap = F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(0.0), again)  # once it stays, further turns change nothing
+    return sized.withColumn("overlap", overlap).withColumn("content_budget", F.col("__base") + F.col("overlap")).drop("__cards", "__base")
+
+
 def finalized(timelines: DataFrame, target: float, title: float, ending: float, divider: float, soft: float, fade: float = 0.5, rate: float = 0.7) -> DataFrame:
     """policy, dividers, title_budget, content_budget and soft_max of timelines (content, clips, eligible, trip) after their clips are chosen.
 
