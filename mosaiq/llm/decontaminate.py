@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, bitmap, cut, free_name, row_keys
+from .common import Memo, bitmap, cut, free_name, passing, row_keys
 
 WINDOW, MIN_WINDOW, MIN_COVER = 8, 4, 0.5
 ROWS_AT_ONCE = 20_000
@@ -196,17 +196,21 @@ def probing(theirs: DataFrame, min_cover: float) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", min_cover: float = 0.0) -> DataFrame:
     """key1, key2 (see row_keys), item_id, cover (share of the item's windows that stand in the row and count) and first_word.
 
-    Pairs under min_cover may be missing: rows and items meet by the items' rarest windows first, and only pairs that do are
-    joined by all windows, so that wording that all items share doesn't pair all rows with all items.
+    Pairs under min_cover may be missing: rows and items meet by the items' rarest windows first, and only rows that do
+    send all their windows, to those items, so that wording that all items share doesn't pair all rows with all items.
     """
     items = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text")
     theirs = cut(window_rows(items).withColumnsRenamed({"place": "item_place", "slots": "item_slots", "size": "item_size"}))
     sizes = sorted(r[0] for r in theirs.select("item_size").distinct().collect())  # at most as many as a window has tokens
     key1, key2 = row_keys(F.col(doc_id), F.col(text))
-    ours = cut(window_rows(docs.select(key1.alias("key1"), key2.alias("key2"), F.col(text).alias("text")), sizes, bitmap(theirs)).withColumnRenamed("hash", "met"))
-    probes = probing(theirs, min_cover)
+    texts = docs.select(key1.alias("key1"), key2.alias("key2"), F.col(text).alias("text"))
+    probes = cut(probing(theirs, min_cover))
+    probed = window_rows(texts, sizes, bitmap(probes)).withColumnRenamed("hash", "met")
     meets = (F.col("met") == F.col("hash")) & (F.col("size") == F.col("item_size")) & (F.size("slots") == F.col("n_slots"))
-    pairs = ours.join(probes, meets).select("key1", "key2", "item_id").distinct()
+    pairs = cut(probed.join(probes, meets).select("key1", "key2", "item_id").distinct())
+    rows = pairs.select("key1", "key2").distinct()
+    paired = passing(texts, F.col("key1"), bitmap(rows.select(F.xxhash64("key1").alias("hash")))).join(rows, ["key1", "key2"], "left_semi")
+    ours = window_rows(paired.select("key1", "key2", "text"), sizes, bitmap(theirs)).withColumnRenamed("hash", "met")
     sought = pairs.join(theirs, "item_id").withColumnsRenamed({"key1": "row1", "key2": "row2"})
     same = (F.col("key1") == F.col("row1")) & (F.col("key2") == F.col("row2")) & (F.col("met") == F.col("hash")) & (F.col("size") == F.col("item_size")) & (F.size("slots") == F.size("item_slots"))
     values = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct((F.col("item_place") + z["item_slots"]["at"]).alias("at"), z["item_slots"]["value"].alias("theirs"), z["slots"]["value"].alias("ours")))
