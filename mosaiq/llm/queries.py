@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, importance_sampling, language_model, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, spelling_variants, substring_dedup
+from . import chat_format, decontaminate, importance_sampling, language_model, license_scan, oracles, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, spelling_variants, substring_dedup
 from .common import documents
 
 
@@ -97,4 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_spelling_variants": op12_spelling_variants,
     "op13_language_model": op13_language_model,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_importance_sampling": oracles.IMPORTANCE, "op12_spelling_variants": oracles.VARIANTS}
