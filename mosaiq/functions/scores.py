@@ -104,3 +104,15 @@ def normal_weights(*weights: Column) -> list[Column]:
     """The weights as shares of their sum."""
     total = sum(weights[1:], weights[0])
     return [F.when(total > 0, w / F.nullif(total, F.lit(0))).otherwise(w) for w in weights]
+
+
+def moment_order(total: Column, parts: list[Column], start: Column, end: Column, length: Column, tie: Column) -> Column:
+    """struct by which moments of a video are ordered, the best first: the total, how far its parts differ, and the distance from the video's middle; then the tie.
+
+    Moments of one total go by the larger variance of their parts.
+    """
+    mean = sum(parts[1:], parts[0]) / len(parts)
+    variance = sum(((p - mean) * (p - mean) for p in parts[1:]), (parts[0] - mean) * (parts[0] - mean)) / len(parts)
+    middle = length / 2
+    away = F.abs((start + end) / 2 - middle) / F.greatest(middle, F.lit(0.001))
+    return F.struct((-total).alias("total"), (-F.round(variance, 9)).alias("variance"), F.round(away, 9).alias("away"), tie.alias("tie"))

@@ -63,3 +63,46 @@ def place_name(city: Column, country: Column) -> Column:
 def subject(tagged: Column, label: Column, known: list[str]) -> Column:
     """people where someone is tagged, else the label if it is one of the known, else unknown."""
     return F.when(tagged, "people").when(label.isin(*known), label).otherwise("unknown")
+
+
+#: Words for emotions that come as numbers, by the least number of each.
+EMOTIONS = ((0.8, "joyful"), (0.6, "happy"), (0.4, "calm"), (0.2, "neutral"))
+MOST_SUBJECTS = 10
+
+
+def emotion_of(value: Column) -> Column:
+    """The word for an emotion between 0 and 1."""
+    word = F.lit("subdued")
+    for least, name in reversed(EMOTIONS):
+        word = F.when(value >= least, name).otherwise(word)
+    return F.when(value.isNotNull(), word)
+
+
+def partial_analysis(text: Column) -> Column:
+    """struct of what can be read of an analysis in broken JSON: description, emotion, interestingness, quality, setting, category, subjects, confidence.
+
+    Fields that aren't there are null, the emotion is empty; confidence is 0.6 where a description or an emotion was found, else 0.4.
+    """
+    found = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    word = lambda name: found(rf'"{name}"\s*:\s*"([^"]+)"')
+    number = lambda name: found(rf'"{name}"\s*:\s*([\d.]+)').try_cast("double")
+    said = F.replace(F.replace(found(r'"description"\s*:\s*"([^"\\]*(?:\\.[^"\\]*)*)"'), F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit(" "))
+    emotion = F.coalesce(word("emotion"), emotion_of(number("emotion")), F.lit(""))
+    listed = F.transform(F.split(found(r'"subjects"\s*:\s*\[([^\]]*)\]'), ","), lambda x: F.regexp_replace(F.trim(x), "^[\"']+|[\"']+$", ""))
+    subjects = F.slice(F.filter(listed, lambda x: x != ""), 1, MOST_SUBJECTS)
+    sure = F.when(said.isNotNull() | (emotion != ""), 0.6).otherwise(0.4)
+    return F.struct(said.alias("description"), emotion.alias("emotion"), number("interestingness").alias("interestingness"), number("quality").alias("quality"), word("setting").alias("setting"), word("category").alias("category"), subjects.alias("subjects"), sure.alias("confidence"))
+
+
+def recipe_hash(kind: Column, start: Column, end: Column, seconds: Column, clips: Column, extras: Column | None = None) -> Column:
+    """Eight digits of a hash of what decides an edit: the same clips (array<struct<id,start,end>>, in order) and settings give the same.
+
+    The JSON that is hashed has sorted names, no spaces, and times rounded to hundredths; nulls are empty. extras: map<string,string>.
+    """
+    quoted = lambda c: F.to_json(F.array(F.coalesce(c.cast("string"), F.lit("")))).substr(F.lit(2), F.lit(1 << 20))  # noqa: E731  ends with ]
+    word = lambda c: F.regexp_replace(quoted(c), r"\]$", "")
+    clip = F.transform(clips, lambda x: F.concat(F.lit("["), word(x["id"]), F.lit(","), F.round(x["start"], 2).cast("string"), F.lit(","), F.round(x["end"], 2).cast("string"), F.lit("]")))
+    entries = F.array_sort(F.map_entries(extras)) if extras is not None else F.array().cast("array<struct<key:string,value:string>>")
+    named = F.array_join(F.transform(entries, lambda e: F.concat(word(e["key"]), F.lit(":"), word(e["value"]))), ",")
+    parts = [F.lit('{"clips":['), F.array_join(clip, ","), F.lit('],"date_end":'), word(end), F.lit(',"date_start":'), word(start), F.lit(',"extras":{'), named, F.lit('},"memory_type":'), word(kind), F.lit(',"target_duration":'), F.round(seconds, 2).cast("string"), F.lit("}")]
+    return F.substring(F.sha2(F.concat(*parts), 256), 1, 8)

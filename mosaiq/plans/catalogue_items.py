@@ -164,10 +164,10 @@ def analysis_depth(spark, d):
     return ranking.top_per(a, ["owner"], [F.desc("favorite"), F.desc("score"), F.col("asset_id")], F.when(F.col("misses") <= 55, 1 << 30).otherwise(30)).select("asset_id")
 
 
-@query("""SELECT o_orderkey, o_totalprice, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END AS status FROM orders WHERE o_orderkey % 37 = 5""")
+@query("""SELECT o_orderkey, o_totalprice, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus END AS status FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey % 37 = 5)""")
 def lookup_batch(spark, d):
-    """Rows of a list of ids, and a column of one model only."""
-    wanted = spark.range(0, 1).select(F.explode(F.sequence(F.lit(5), F.lit(10_000_000), F.lit(37))).alias("o_orderkey"))
+    """Rows of a list of ids (another table's), and a column of one model only."""
+    wanted = table(spark, d, "lineitem").where("l_partkey % 37 = 5").select(F.col("l_orderkey").alias("o_orderkey"))
     status = F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderstatus"))
     return table(spark, d, "orders").join(wanted, "o_orderkey", "left_semi").select("o_orderkey", "o_totalprice", status.alias("status"))
 

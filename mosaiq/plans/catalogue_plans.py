@@ -249,18 +249,6 @@ def type_inference(spark, d):
     )
 
 
-@query("""SELECT c_custkey, left(sha256('v1|' || c_mktsegment || '|' || CAST(CAST(round(c_acctbal, 2) AS DECIMAL(12, 2)) AS VARCHAR)), 8) AS recipe FROM customer""")
-def recipe_hashes(spark, d):
-    parts = F.concat_ws("|", F.lit("v1"), "c_mktsegment", F.round("c_acctbal", 2).cast("decimal(12,2)").cast("string"))
-    return table(spark, d, "customer").select("c_custkey", F.substring(F.sha2(parts, 256), 1, 8).alias("recipe"))
-
-
-@query(r"""SELECT event_id, CAST(regexp_extract('score: ' || json_extract_string(props, '$.k') || ' mood: happy', 'score:\s*(\d+)', 1) AS DOUBLE) AS score, 'happy' AS mood FROM events""")
-def partial_extraction(spark, d):
-    broken = F.concat(F.lit("score: "), F.get_json_object("props", "$.k"), F.lit(" mood: happy"))
-    return table(spark, d, "events").select("event_id", F.regexp_extract(broken, r"score:\s*(\d+)", 1).try_cast("double").alias("score"), F.regexp_extract(broken, r"mood:\s*(\w+)", 1).alias("mood"))
-
-
 @query(fold_sql.SMART_SELECT)
 def smart_select(spark, d):
     """Slots per day, the best rows of each day, and at most 70 % that aren't favorites."""
@@ -282,12 +270,6 @@ def birthday_candidates(spark, d):
     return table(spark, d, "customer").select("c_custkey", last.alias("last")).join(n, "c_custkey").where(F.datediff(F.lit("2001-08-01").cast("date"), "last").between(2, 60))
 
 
-@query(f"""WITH {ASSETS_SQL}, c AS (SELECT asset_id, owner, round(score, 1) AS s, abs(epoch_us(taken_at) / 1e6 - 1705000000) AS off FROM a) SELECT owner, asset_id FROM c QUALIFY row_number() OVER (PARTITION BY owner ORDER BY s DESC, off, asset_id) = 1""")
-def tie_break_best(spark, d):
-    a = assets(spark, d).withColumn("s", F.round("score", 1)).withColumn("off", F.abs(F.unix_micros(F.col("taken_at").cast("timestamp")) / 1e6 - 1705000000))
-    return ranking.first_per(a, ["owner"], [F.desc("s"), F.col("off"), F.col("asset_id")]).select("owner", "asset_id")
-
-
 #: Allowed moods and genres, and what stands for others.
 MOODS, GENRES = ("happy", "calm", "purchase", "view"), ("pop", "click")
 
