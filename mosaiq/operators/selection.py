@@ -46,6 +46,21 @@ def judged_until_stable(df: DataFrame, by: list[str], time: str, favorite: str,
     return marked.withColumn("__end", end).where("__k <= __end").select(*by, tie)
 
 
+def smart(df: DataFrame, by: list[str], time: str, favorite: str, quality: list[Column], tie: str, target: int, only: Column | None = None, favorites: bool = True, others: float = 1.0) -> DataFrame:
+    """df's rows of a selection spread over days, with place in order of time: slots for each day, and of each day the favorites (if they go first), then the best.
+
+    only: a condition that rows must hold, such as HDR. others: where favorites go first, the most that the rest may be, as a share of what was picked; the best stay.
+    """
+    dated = (df if only is None else df.where(only)).withColumn("__day", F.to_date(time))
+    slots = folds.day_slots(dated, "__day", by, target).select(*by, "__day", "slots")
+    best = [*quality, F.col(tie)]
+    picked = ranking.top_per(dated.join(slots, [*by, "__day"]), [*by, "__day"], [F.desc(favorite), *best] if favorites else best, F.col("slots"))
+    if favorites and others < 1:
+        sized = picked.withColumn("__most", F.floor(others * F.count(F.lit(1)).over(Window.partitionBy(*by))))
+        picked = ranking.top_per(sized, [*by, favorite], best, F.when(F.col(favorite), F.lit(1 << 30)).otherwise(F.col("__most")))
+    return picked.select(*df.columns, F.row_number().over(Window.partitionBy(*by).orderBy(time, tie)).alias("place"))
+
+
 def transitions(df: DataFrame, by: list[str], order: str, tie: str, title: str, key_hash: str, fades: float = 0.7) -> DataFrame:
     """fade or cut after each row: fades after titles, else by a hash of the row at a rate, with at most three fades or two cuts in a row.
 

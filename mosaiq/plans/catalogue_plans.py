@@ -249,18 +249,6 @@ def type_inference(spark, d):
     )
 
 
-@query(fold_sql.SMART_SELECT)
-def smart_select(spark, d):
-    """Slots per day, the best rows of each day, and at most 70 % that aren't favorites."""
-    from mosaiq.operators import folds
-
-    a = assets(spark, d).withColumn("day", F.to_date("taken_at"))
-    best = [F.desc("favorite"), F.desc(F.col("width") * F.col("height")), F.desc("bitrate"), F.desc("duration"), F.col("asset_id")]
-    picked = ranking.top_per(a.join(folds.day_slots(a, "day", ["owner"], 40).select("owner", "day", "slots"), ["owner", "day"]), ["owner", "day"], best, F.col("slots"))
-    sized = picked.withColumn("most", F.floor(0.7 * F.count(F.lit(1)).over(Window.partitionBy("owner"))))
-    return ranking.top_per(sized, ["owner", "favorite"], best[1:], F.when(F.col("favorite"), F.lit(1 << 30)).otherwise(F.col("most"))).select("owner", "asset_id", "day")
-
-
 @query("""WITH b AS (SELECT c_custkey, DATE '1990-01-01' + CAST(c_custkey % 366 AS INTEGER) AS born, c_nationkey FROM customer), u AS (SELECT *, make_date(2001, CAST(month(born) AS INTEGER), CAST(least(day(born), 28) AS INTEGER)) AS last FROM b), n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
 SELECT c_custkey, last, n FROM u JOIN n ON o_custkey = c_custkey WHERE date_diff('day', last, DATE '2001-08-01') BETWEEN 2 AND 60""")
 def birthday_candidates(spark, d):

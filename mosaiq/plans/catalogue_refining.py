@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.functions import geo
-from mosaiq.operators import folds, ranking, refining
+from mosaiq.operators import folds, ranking, refining, selection
 from mosaiq.plans import fold_sql, refining_sql
 from mosaiq.plans.adapters import ASSETS_SQL, HOME, assets
 from mosaiq.plans.catalogue import query
@@ -100,3 +100,19 @@ def review_until_stable(spark, d):
     a = assets(spark, d).withColumns({"real": F.col("score") / 100, "seen": F.col("asset_id") % 3 == 0})
     known = a.withColumn("score", F.when(F.col("seen"), F.col("real")).otherwise(0.55))
     return refining.reviewed(known, NAMES, lambda pool: ranking.top_per(pool, ["owner"], [F.desc("score"), F.col("asset_id")], 12), "seen", "real")
+
+
+def quality():
+    return [F.desc(F.col("width") * F.col("height")), F.desc("bitrate"), F.desc("duration")]
+
+
+@query(fold_sql.SMART_SELECT)
+def smart_select(spark, d):
+    """Forty rows spread over days, favorites first, at most 70 % others, in order of time."""
+    return selection.smart(assets(spark, d), ["owner"], "taken_at", "favorite", quality(), "asset_id", 40, others=0.7).select("owner", "asset_id", "place")
+
+
+@query(fold_sql.SMART_SELECT_HDR)
+def smart_select_hdr(spark, d):
+    """The same among rows of one kind only, whether favorites or not."""
+    return selection.smart(assets(spark, d), ["owner"], "taken_at", "favorite", quality(), "asset_id", 40, F.col("tagged"), favorites=False).select("owner", "asset_id", "place")

@@ -27,10 +27,15 @@ two AS (SELECT *, 40 - sum(s) OVER (PARTITION BY owner) AS rest, coalesce(sum(n
 slots AS (SELECT owner, day, n, CAST(s + greatest(0, least(n - s, rest - before)) AS INTEGER) AS slots FROM two)"""
 DAY_SLOTS = f"WITH {ASSETS_SQL}, {SLOTS} SELECT * FROM slots"
 
+BEST = "width * height DESC, bitrate DESC, duration DESC, asset_id"
 SMART_SELECT = f"""WITH {ASSETS_SQL}, {SLOTS}, d AS (SELECT a.*, CAST(taken_at AS DATE) AS day FROM a),
-picked AS (SELECT d.*, slots FROM d JOIN slots USING (owner, day) QUALIFY row_number() OVER (PARTITION BY d.owner, d.day ORDER BY favorite DESC, width * height DESC, bitrate DESC, duration DESC, asset_id) <= slots),
-sized AS (SELECT *, floor(0.7 * count(*) OVER (PARTITION BY owner)) AS most FROM picked)
-SELECT owner, asset_id, day FROM sized QUALIFY favorite OR row_number() OVER (PARTITION BY owner, favorite ORDER BY width * height DESC, bitrate DESC, duration DESC, asset_id) <= most"""
+picked AS (SELECT d.*, slots FROM d JOIN slots USING (owner, day) QUALIFY row_number() OVER (PARTITION BY d.owner, d.day ORDER BY favorite DESC, {BEST}) <= slots),
+sized AS (SELECT *, floor(0.7 * count(*) OVER (PARTITION BY owner)) AS most FROM picked), kept AS (SELECT * FROM sized QUALIFY favorite OR row_number() OVER (PARTITION BY owner, favorite ORDER BY {BEST}) <= most)
+SELECT owner, asset_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY taken_at, asset_id) AS INTEGER) AS place FROM kept"""
+#: Only rows that hold a condition, favorites like others.
+SMART_SELECT_HDR = f"""WITH {ASSETS_SQL.replace("a AS (", "whole AS (", 1)}, a AS (SELECT * FROM whole WHERE tagged), {SLOTS}, d AS (SELECT a.*, CAST(taken_at AS DATE) AS day FROM a),
+picked AS (SELECT d.* FROM d JOIN slots USING (owner, day) QUALIFY row_number() OVER (PARTITION BY d.owner, d.day ORDER BY {BEST}) <= slots)
+SELECT owner, asset_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY taken_at, asset_id) AS INTEGER) AS place FROM picked"""
 
 FARTHEST = f"""WITH RECURSIVE {ASSETS_SQL}, d AS (SELECT *, epoch_us(taken_at) / 1e6 AS t FROM a),
 f AS (SELECT owner, [asset_id] AS ids, [t] AS times, 60.0 - duration AS rest, 1 AS place, asset_id FROM d WHERE duration <= 60 QUALIFY row_number() OVER (PARTITION BY owner ORDER BY favorite DESC, score DESC, asset_id) = 1
