@@ -232,12 +232,6 @@ def diversity_bonus(spark, d):
     return c.join(seen, ["c_nationkey", "c_mktsegment"], "left").select("c_custkey", F.when(F.col("seen").isNull(), 0.25).otherwise(0.0).alias("bonus"))
 
 
-@query("""SELECT event_type AS kind, CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 0.8 ELSE 0.2 END::DOUBLE AS weight, count(*) AS n FROM events GROUP BY 1""")
-def event_weights(spark, d):
-    weights = F.create_map(F.lit("purchase"), F.lit(1.0), F.lit("signup"), F.lit(0.8))
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).select("kind", F.coalesce(weights[F.col("kind")], F.lit(0.2)).alias("weight"), "n")
-
-
 @query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'album' WHEN month(o_orderdate) = 12 THEN 'holiday' WHEN day(o_orderdate) = 1 THEN 'monthly' ELSE 'custom' END AS memory_type,
   CASE WHEN o_orderpriority = '1-URGENT' THEN 'none' WHEN month(o_orderdate) = 12 THEN 'year' ELSE 'month' END AS dividers, CAST(CASE WHEN month(o_orderdate) = 1 THEN year(o_orderdate) - 1 ELSE year(o_orderdate) END AS BIGINT) AS fire_year FROM orders""")
 def type_inference(spark, d):
@@ -256,24 +250,3 @@ def birthday_candidates(spark, d):
     last = F.make_date(F.lit(2001), F.month(born), F.least(F.dayofmonth(born), F.lit(28)))
     n = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
     return table(spark, d, "customer").select("c_custkey", last.alias("last")).join(n, "c_custkey").where(F.datediff(F.lit("2001-08-01").cast("date"), "last").between(2, 60))
-
-
-#: Allowed moods and genres, and what stands for others.
-MOODS, GENRES = ("happy", "calm", "purchase", "view"), ("pop", "click")
-
-
-@query("""SELECT event_id, CASE WHEN event_type IN ('happy', 'calm', 'purchase', 'view') THEN event_type ELSE 'calm' END AS mood, CASE WHEN event_type = 'click' THEN 'click' ELSE '' END AS genres, least(1.0, greatest(0.0, coalesce(CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50, 0.5))) AS confidence FROM events""")
-def mood_validation(spark, d):
-    body = F.format_string('{"mood": "%s", "genres": ["%s", "noise"], "confidence": %s}', "event_type", "event_type", F.get_json_object("props", "$.k").cast("double") / 50)
-    parsed = F.from_json(body, "mood string, genres array<string>, confidence double").alias("m")
-    m = table(spark, d, "events").select("event_id", parsed)
-    mood = F.when(F.col("m.mood").isin(*MOODS), F.col("m.mood")).otherwise("calm")
-    genres = F.slice(F.filter("m.genres", lambda g: g.isin(*GENRES)), 1, 5)
-    return m.select("event_id", mood.alias("mood"), F.array_join(genres, ",").alias("genres"), scores.clamp(F.coalesce("m.confidence", F.lit(0.5)), 0.0, 1.0).alias("confidence"))
-
-
-@query("""SELECT o_orderkey, lower(replace(o_orderpriority, ' ', '-')) || '-' || strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN day(o_orderdate) > 15 THEN '-to-' || strftime(last_day(o_orderdate::DATE), '%Y-%m-%d') ELSE '' END AS name FROM orders""")
-def file_names(spark, d):
-    at = F.col("o_orderdate")
-    end = F.when(F.dayofmonth(at) > 15, F.concat(F.lit("-to-"), F.date_format(F.last_day(at), "yyyy-MM-dd"))).otherwise("")
-    return table(spark, d, "orders").select("o_orderkey", F.concat(F.lower(F.replace("o_orderpriority", F.lit(" "), F.lit("-"))), F.lit("-"), F.date_format(at, "yyyy-MM-dd"), end).alias("name"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mosaiq.functions import scores, text
+from mosaiq.functions import labels, scores, text
 from mosaiq.operators import ranking
 from mosaiq.operators.checkpoints import shared_dir
 from mosaiq.plans.adapters import ASSETS_SQL, assets, table
@@ -57,3 +57,46 @@ def folder_inventory(spark, d):
     rows = table(spark, d, "events").select(F.col("event_type").alias("kind"), F.col("event_id").cast("string").alias("line"))
     rows.repartition("kind").write.partitionBy("kind").text(path)
     return library.inventory(spark, path)
+
+
+SOUNDS = [*labels.SOUND_WEIGHTS, "Doorbell", "Siren"]
+SOUNDS_SQL = ", ".join(f"({k}, '{name}', {labels.SOUND_WEIGHTS.get(name, labels.OTHER_SOUND)}::DOUBLE, {str(name in labels.PROTECTED_SOUNDS).lower()})" for k, name in enumerate(SOUNDS))
+
+
+@query(f"""WITH w(k, kind, weight, protected) AS (VALUES {SOUNDS_SQL}) SELECT l_orderkey AS video, round(sum(weight * l_quantity), 4) AS interest, round(coalesce(sum(CASE WHEN protected THEN l_quantity END), 0), 4) AS protected_seconds, CAST(count(DISTINCT kind) AS BIGINT) AS kinds
+FROM lineitem JOIN w ON k = l_partkey % {len(SOUNDS)} GROUP BY 1""")
+def event_weights(spark, d):
+    """The interest of each video's sounds by their lengths, and how much of them no cut should fall into."""
+    kind = F.get(F.array(*[F.lit(s) for s in SOUNDS]), (F.col("l_partkey") % len(SOUNDS)).cast("int"))
+    sounds = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("video"), kind.alias("kind"), F.col("l_quantity").cast("double").alias("seconds"))
+    kept = F.sum(F.when(labels.is_protected(F.col("kind")), F.col("seconds")))
+    return sounds.groupBy("video").agg(F.round(F.sum(labels.sound_weight(F.col("kind")) * F.col("seconds")), 4).alias("interest"), F.round(F.coalesce(kept, F.lit(0.0)), 4).alias("protected_seconds"), F.countDistinct("kind").alias("kinds"))
+
+
+@query(r"""WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) SELECT event_id, CASE k % 3 WHEN 0 THEN 'happy' WHEN 1 THEN 'tender' ELSE 'calm' END AS primary_mood, CASE WHEN k % 2 = 0 THEN 'sad' END AS secondary_mood, CASE WHEN k % 4 = 1 THEN 'high' ELSE 'medium' END AS energy_level,
+  CASE WHEN k % 5 = 0 THEN 'ambient' ELSE 'jazz,pop' END AS genres, CASE WHEN k % 7 = 0 THEN 0.7 ELSE greatest(0.0, least(1.0, k / 50.0)) END::DOUBLE AS confidence FROM k""")
+def mood_validation(spark, d):
+    """Moods from answers in JSON, some in fences, held to the lists of what may be."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    pick = lambda n, *words: F.get(F.array(*[F.lit(w) for w in words]), k % n)
+    sure = F.when(k % 7 == 0, F.lit('"much"')).otherwise((k / 50).cast("string"))
+    genres = F.when(k % 5 == 0, F.lit('["noise"]')).otherwise(F.lit('[" Jazz", "noise", "POP", "noise", "noise", "rock"]'))
+    body = F.concat(F.lit('{"primary_mood": "'), pick(3, " HAPPY ", "tender", "grumpy"), F.lit('", "secondary_mood": "'), pick(2, "Sad", "odd"), F.lit('", "energy_level": "'), pick(4, "x", "High", "", "medium"), F.lit('", "genre_suggestions": '), genres, F.lit(', "confidence": '), sure, F.lit("}"))
+    answer = F.when(k % 2 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\nthat is it"))).otherwise(body)
+    m = table(spark, d, "events").select("event_id", labels.mood(answer).alias("m"))
+    return m.select("event_id", "m.primary_mood", "m.secondary_mood", "m.energy_level", F.array_join("m.genres", ",").alias("genres"), "m.confidence")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, o_custkey AS p, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_custkey % 500 AS INTEGER) AS e, ['multi_person', 'trip', 'season', 'monthly_highlights', 'on_this_day', 'custom'][o_orderkey % 6 + 1] AS kind, o_orderkey % 5 AS n FROM orders),
+y AS (SELECT *, CASE WHEN month(s) = 1 AND day(s) = 1 AND month(e) = 12 AND day(e) = 31 AND year(s) = year(e) THEN CAST(year(s) AS VARCHAR) WHEN year(s) = year(e) AND month(s) = month(e) THEN lower(strftime(s, '%B')) || '_' || year(s) WHEN year(s) = year(e) THEN lower(strftime(s, '%b')) || '-' || lower(strftime(e, '%b')) || '_' || year(s)
+  ELSE strftime(s, '%Y%m%d') || '-' || strftime(e, '%Y%m%d') END AS range FROM x),
+z AS (SELECT *, CASE WHEN kind = 'multi_person' AND n > 0 THEN array_to_string(['ann', 'bob', 'cy'][1:n], '_') || CASE WHEN n > 3 THEN '_and_others' ELSE '' END WHEN kind = 'trip' THEN 'trip' WHEN n > 0 THEN 'ann' WHEN p % 2 = 0 THEN 'zoe' ELSE 'everyone' END AS who,
+  CASE kind WHEN 'trip' THEN CASE WHEN p % 3 = 0 THEN 'rio_de_janeiro' ELSE range END WHEN 'season' THEN CASE WHEN p % 2 = 0 THEN 'summer_' || year(s) ELSE CAST(year(s) AS VARCHAR) END WHEN 'monthly_highlights' THEN lower(strftime(s, '%B')) || '_' || year(s) WHEN 'on_this_day' THEN lower(strftime(s, '%B')) || '_' || day(s) ELSE range END AS "when" FROM y)
+SELECT k AS o_orderkey, who || '_' || "when" || '_memories.mp4' AS name FROM z""")
+def file_names(spark, d):
+    """Names of files by kind, people, place and range."""
+    p, start, k = F.col("o_custkey"), F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    kind = F.get(F.array(*[F.lit(x) for x in ("multi_person", "trip", "season", "monthly_highlights", "on_this_day", "custom")]), (k % 6).cast("int"))
+    names = F.slice(F.array(*[F.lit(x) for x in ("Ann", "Bob", "Cy", "Di")]), 1, (k % 5).cast("int"))
+    name = labels.file_name(kind, names, F.when(p % 2 == 0, "Zoe"), start, F.date_add(start, (p % 500).cast("int")), F.year(start), F.month(start), F.when(p % 2 == 0, "summer"), F.when(p % 3 == 0, " Rio de Janeiro!"))
+    return table(spark, d, "orders").select("o_orderkey", name.alias("name"))

@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.functions import tempo, text
+from mosaiq.functions import labels, tempo, text
 from mosaiq.operators import selection, sessions, similarity
 from mosaiq.plans import detectors
 from mosaiq.sources import thumbnails
@@ -144,3 +144,31 @@ def test_recipe_hashes(spark):
     assert a not in (make(clips(("y", 2.0, 3.0), ("x", 0.0, 1.0))), make(clips(("x", 0.0, 1.02), ("y", 2.0, 3.0))), make(clips(("x", 0.0, 1.0), ("y", 2.0, 3.0)), "album"))
     maps = [F.create_map(*[F.lit(v) for kv in pairs for v in kv]) for pairs in ((("b", "1"), ("a", "2")), (("a", "2"), ("b", "1")))]
     assert make(clips(("x", 0.0, 1.0)), extras=maps[0]) == make(clips(("x", 0.0, 1.0)), extras=maps[1]) != make(clips(("x", 0.0, 1.0)))
+
+
+def test_moods_are_held_to_their_lists(spark):
+    read = lambda t: one(spark, labels.mood(F.lit(t))).asDict()
+    plain = {"primary_mood": "calm", "secondary_mood": None, "energy_level": "medium", "tempo_suggestion": "medium", "color_palette": "neutral", "genres": ["ambient"], "description": "", "confidence": 0.7}
+    assert read("no json") == plain and read("{}") == plain
+    got = read('```json\n{"primary_mood": " Happy", "secondary_mood": "evil", "color_palette": "WARM", "genre_suggestions": ["x", "x", "x", "x", "folk", "jazz"], "confidence": 7, "description": "a\\u0007b"}\n```')
+    assert got == plain | {"primary_mood": "happy", "color_palette": "warm", "genres": ["folk"], "confidence": 1.0, "description": "ab"}
+    assert read('{"genre_suggestions": "jazz", "confidence": "high"}') == plain
+
+
+def test_names_of_files(spark):
+    def name(kind, names=(), person=None, start=None, end=None, year=None, month=None, season=None, location=None):
+        values = [F.lit(kind), F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.lit(person).cast("string"), F.lit(start).cast("date"), F.lit(end).cast("date"), F.lit(year).cast("int"), F.lit(month).cast("int"), F.lit(season).cast("string"), F.lit(location).cast("string")]
+        return one(spark, labels.file_name(*values)).removesuffix("_memories.mp4")
+
+    assert name("multi_person", ["Sam", "Noah"], start="2026-03-01", end="2026-03-31") == "sam_noah_march_2026"
+    assert name("multi_person", ["A", "B", "C", "D"], year=2020) == "a_b_c_and_others_2020"
+    assert name("season", ["Noah"], year=2025, season="summer") == "noah_summer_2025" and name("season", year=2025) == "everyone_2025"
+    assert name("year_in_review", person="Sam", start="2025-01-01", end="2025-12-31") == "sam_2025"
+    assert name("trip", location="São Paulo, Brasil") == "trip_s_o_paulo_brasil" and name("trip", start="2025-12-30", end="2026-01-02") == "trip_20251230-20260102"
+    assert name("monthly_highlights", year=2024, month=2) == "everyone_february_2024" and name("on_this_day", start="2024-02-03") == "everyone_february_3"
+    assert name("custom", start="2024-03-01", end="2024-05-02") == "everyone_mar-may_2024" and name("custom") == "everyone"
+
+
+def test_sounds(spark):
+    assert one(spark, labels.sound_weight(F.lit("Giggle"))) == 0.95 and one(spark, labels.sound_weight(F.lit("Doorbell"))) == 0.2 and one(spark, labels.sound_weight(F.lit(None).cast("string"))) == 0.2
+    assert one(spark, labels.is_protected(F.lit("Speech"))) and not one(spark, labels.is_protected(F.lit("Rain"))) and one(spark, labels.is_protected(F.lit(None).cast("string"))) is False
