@@ -89,8 +89,8 @@ def end_of_period(start: Column, period: Column) -> Column:
 
 
 def anniversary(day: Column, year: Column) -> Column:
-    """The day's return in a year; 29 February becomes 28 in common years."""
-    return F.coalesce(F.try_to_timestamp(F.concat_ws("-", year.cast("string"), F.date_format(day, "MM-dd")), F.lit("yyyy-MM-dd")).cast("date"), F.make_date(year, F.lit(2), F.lit(28)))
+    """The day's return in a year; 29 February becomes 28 in common years, null stays null."""
+    return F.when(day.isNotNull(), F.make_date(year, F.month(day), F.least(F.dayofmonth(day), F.dayofmonth(F.last_day(F.make_date(year, F.month(day), F.lit(1)))))))
 
 
 def day_start(ts: Column) -> Column:

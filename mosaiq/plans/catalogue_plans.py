@@ -232,17 +232,6 @@ def diversity_bonus(spark, d):
     return c.join(seen, ["c_nationkey", "c_mktsegment"], "left").select("c_custkey", F.when(F.col("seen").isNull(), 0.25).otherwise(0.0).alias("bonus"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'album' WHEN month(o_orderdate) = 12 THEN 'holiday' WHEN day(o_orderdate) = 1 THEN 'monthly' ELSE 'custom' END AS memory_type,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN 'none' WHEN month(o_orderdate) = 12 THEN 'year' ELSE 'month' END AS dividers, CAST(CASE WHEN month(o_orderdate) = 1 THEN year(o_orderdate) - 1 ELSE year(o_orderdate) END AS BIGINT) AS fire_year FROM orders""")
-def type_inference(spark, d):
-    at, urgent = F.col("o_orderdate"), F.col("o_orderpriority") == "1-URGENT"
-    december = F.month(at) == 12
-    return table(spark, d, "orders").select(
-        "o_orderkey", F.when(urgent, "album").when(december, "holiday").when(F.dayofmonth(at) == 1, "monthly").otherwise("custom").alias("memory_type"),
-        F.when(urgent, "none").when(december, "year").otherwise("month").alias("dividers"), F.when(F.month(at) == 1, F.year(at) - 1).otherwise(F.year(at)).cast("long").alias("fire_year"),
-    )
-
-
 @query("""WITH b AS (SELECT c_custkey, DATE '1990-01-01' + CAST(c_custkey % 366 AS INTEGER) AS born, c_nationkey FROM customer), u AS (SELECT *, make_date(2001, CAST(month(born) AS INTEGER), CAST(least(day(born), 28) AS INTEGER)) AS last FROM b), n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
 SELECT c_custkey, last, n FROM u JOIN n ON o_custkey = c_custkey WHERE date_diff('day', last, DATE '2001-08-01') BETWEEN 2 AND 60""")
 def birthday_candidates(spark, d):

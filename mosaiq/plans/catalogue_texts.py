@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mosaiq.functions import labels, scores, text
+from mosaiq.functions import labels, ranges, scores, text
 from mosaiq.operators import ranking
 from mosaiq.operators.checkpoints import shared_dir
 from mosaiq.plans.adapters import ASSETS_SQL, assets, table
@@ -100,3 +100,29 @@ def file_names(spark, d):
     names = F.slice(F.array(*[F.lit(x) for x in ("Ann", "Bob", "Cy", "Di")]), 1, (k % 5).cast("int"))
     name = labels.file_name(kind, names, F.when(p % 2 == 0, "Zoe"), start, F.date_add(start, (p % 500).cast("int")), F.year(start), F.month(start), F.when(p % 2 == 0, "summer"), F.when(p % 3 == 0, " Rio de Janeiro!"))
     return table(spark, d, "orders").select("o_orderkey", name.alias("name"))
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, o_custkey AS p, CAST(o_orderdate AS DATE) AS d, year(o_orderdate) AS y, CASE WHEN o_orderkey % 3 > 0 THEN month(o_orderdate) END AS m, ['spring', 'Autumn', 'winter', 'summer', 'wet'][o_custkey % 5 + 1] AS season,
+  [NULL, NULL, 'season', 'monthly_highlights', 'person_spotlight', 'trip', 'on_this_day'][o_orderkey % 7 + 1] AS given, o_custkey % 4 = 0 AS person, o_custkey % 6 = 0 AS south, o_orderkey % 5 = 0 AS hand, o_orderkey % 11 = 0 AS album FROM orders),
+t AS (SELECT *, CASE WHEN given IS NOT NULL OR album THEN given WHEN m IS NOT NULL THEN 'monthly_highlights' WHEN NOT person THEN 'year_in_review' END AS kind, make_date(1992, 2, 29) AS born FROM x),
+s AS (SELECT *, CASE WHEN south THEN ['fall', 'spring', 'summer', 'winter', NULL][p % 5 + 1] ELSE ['spring', 'fall', 'winter', 'summer', NULL][p % 5 + 1] END AS northern FROM t),
+r AS (SELECT *, CASE northern WHEN 'spring' THEN 3 WHEN 'summer' THEN 6 WHEN 'fall' THEN 9 WHEN 'winter' THEN 12 END AS m1 FROM s),
+o AS (SELECT *, CASE WHEN kind = 'season' THEN make_date(y, m1, 1) WHEN m IS NOT NULL THEN make_date(y, m, 1) WHEN kind IS DISTINCT FROM 'monthly_highlights' THEN make_date(y, 1, 1) END AS lo,
+  CASE WHEN kind = 'season' THEN last_day(CAST(make_date(y, m1, 1) + INTERVAL 2 MONTH AS DATE)) WHEN m IS NOT NULL THEN last_day(make_date(y, m, 1)) WHEN kind IS DISTINCT FROM 'monthly_highlights' THEN make_date(y, 12, 31) END AS hi FROM r),
+b AS (SELECT *, make_date(y, 2, CASE WHEN y % 4 = 0 THEN 29 ELSE 28 END) AS b1, make_date(y + 1, 2, CASE WHEN (y + 1) % 4 = 0 THEN 29 ELSE 28 END) - 1 AS b2 FROM o),
+f AS (SELECT k, kind, CASE WHEN kind IS NULL THEN CASE WHEN hand THEN d WHEN person THEN b1 ELSE make_date(y, 1, 1) END WHEN lo IS NOT NULL THEN CASE WHEN hand THEN d WHEN kind = 'person_spotlight' AND person THEN b1 ELSE lo END END AS "start",
+  CASE WHEN kind IS NULL THEN CASE WHEN hand THEN CAST(d + INTERVAL 6 MONTH AS DATE) - 1 WHEN person THEN b2 ELSE make_date(y, 12, 31) END WHEN lo IS NOT NULL THEN CASE WHEN hand THEN CAST(d + INTERVAL 6 MONTH AS DATE) - 1 WHEN kind = 'person_spotlight' AND person THEN b2 ELSE hi END END AS "end" FROM b),
+g AS (SELECT *, (year("end") - year("start")) * 12 + month("end") - month("start") + 1 AS span FROM f)
+SELECT k AS o_orderkey, kind AS memory_type, "start", "end", CASE WHEN kind IN ('monthly_highlights', 'trip') THEN 'none' WHEN kind = 'on_this_day' THEN 'year' WHEN span IS NULL THEN 'month' WHEN span <= 3 THEN 'none' WHEN year("start") <> year("end") THEN 'year' ELSE 'month' END AS dividers FROM g""")
+def type_inference(spark, d):
+    """What requests mean: the type, the range by its precedence, and the dividers."""
+    o, k, p, day = table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
+    pick = lambda by, *words: F.get(F.array(*[F.lit(w).cast("string") for w in words]), by.cast("int"))
+    year, month, season = F.year(day), F.when(k % 3 > 0, F.month(day)), pick(p % 5, "spring", "Autumn", "winter", "summer", "wet")
+    birthday, album = F.when(p % 4 == 0, "1992-02-29"), F.when(k % 11 == 0, "album")
+    given = pick(k % 7, None, None, "season", "monthly_highlights", "person_spotlight", "trip", "on_this_day")
+    none = F.lit(None).cast("string")
+    kind = ranges.inferred_type(given, year, month, p % 4 == 0, none, none, album)
+    days = ranges.resolved(F.col("kind"), year, month, season, birthday, F.when(k % 5 == 0, F.date_format(day, "yyyy-MM-dd")), none, F.lit("6m"), p % 6 == 0)
+    r = o.withColumn("kind", kind).withColumn("r", days)
+    return r.select("o_orderkey", F.col("kind").alias("memory_type"), "r.start", "r.end", ranges.divider_mode(F.col("kind"), F.col("r.start"), F.col("r.end")).alias("dividers"))

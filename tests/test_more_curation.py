@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.functions import labels, tempo, text
+from mosaiq.functions import calendar, labels, ranges, tempo, text
 from mosaiq.operators import selection, sessions, similarity
 from mosaiq.plans import detectors
 from mosaiq.sources import thumbnails
@@ -172,3 +172,23 @@ def test_names_of_files(spark):
 def test_sounds(spark):
     assert one(spark, labels.sound_weight(F.lit("Giggle"))) == 0.95 and one(spark, labels.sound_weight(F.lit("Doorbell"))) == 0.2 and one(spark, labels.sound_weight(F.lit(None).cast("string"))) == 0.2
     assert one(spark, labels.is_protected(F.lit("Speech"))) and not one(spark, labels.is_protected(F.lit("Rain"))) and one(spark, labels.is_protected(F.lit(None).cast("string"))) is False
+
+
+def test_requests(spark):
+    def asked(kind=None, year=None, month=None, season=None, birthday=None, start=None, end=None, period=None, south=False, person=False, album=None):
+        c = lambda v, t: F.lit(v).cast(t)
+        named = ranges.inferred_type(c(kind, "string"), c(year, "int"), c(month, "int"), F.lit(person), c(season, "string"), c(birthday, "string"), c(album, "string"))
+        found = ranges.resolved(named, c(year, "int"), c(month, "int"), c(season, "string"), c(birthday, "string"), c(start, "string"), c(end, "string"), c(period, "string"), F.lit(south))
+        r = spark.range(1).select(named.alias("kind"), found.alias("r")).select("kind", "r.start", "r.end", ranges.divider_mode(F.col("kind"), F.col("r.start"), F.col("r.end")).alias("mode")).first()
+        return r["kind"], r["start"] and f"{r['start']}/{r['end']}", r["mode"]
+
+    assert asked(year=2025, month=7) == ("monthly_highlights", "2025-07-01/2025-07-31", "none")
+    assert asked(year=2025) == ("year_in_review", "2025-01-01/2025-12-31", "month")
+    assert asked(year=2025, person=True) == (None, "2025-01-01/2025-12-31", "month") and asked(year=2025, month=7, album="x")[0] is None
+    assert asked(year=2024, birthday="1990-02-07") == (None, "2024-02-07/2025-02-06", "year")
+    assert asked("season", 2024, season="winter") == ("season", "2024-12-01/2025-02-28", "none") and asked("season", 2024, season="Autumn")[1] == "2024-09-01/2024-11-30"
+    assert asked("season", 2023, season="summer", south=True)[1] == "2023-12-01/2024-02-29" and asked("season", 2023, season="wet")[1] is None and asked("season", season="summer")[1] is None
+    assert asked("person_spotlight", 2023, birthday="29/02/1992")[1] == "2023-02-28/2024-02-28" and asked("person_spotlight", 2023, month=3)[1] == "2023-03-01/2023-03-31"
+    assert asked("trip", 2023, start="2023-05-02", end="2023-05-09") == ("trip", "2023-05-02/2023-05-09", "none") and asked(start="2023-05-02", period="1y") == (None, "2023-05-02/2024-05-01", "year")
+    assert asked("monthly_highlights", 2023)[1] is None and asked("on_this_day", 2023)[2] == "year" and asked() == (None, None, "month") and asked(start="2023-05-02")[1] is None
+    assert one(spark, calendar.anniversary(F.lit(None).cast("date"), F.lit(2001))) is None and str(one(spark, calendar.anniversary(F.lit("1992-02-29").cast("date"), F.lit(2001)))) == "2001-02-28"
