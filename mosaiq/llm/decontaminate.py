@@ -59,8 +59,25 @@ def code_of(token: str) -> int:
 NUM, NAME, MEASURE = (code_of(f"\0{kind}") for kind in ("number", "name", "unit"))
 
 
+UNIT_BYTES = frozenset(unit.encode() for unit in UNITS)
+
+
 def read_word(raw: bytes) -> int:
-    """A word's code and flags in one number."""
+    """A word's code and flags in one number: ASCII letters with at most one mark after them by their bytes, others by their text."""
+    body, mark = (raw, b"") if raw.isalpha() else (raw[:-1], raw[-1:])
+    if not (body.isalpha() and mark in (b"", b".", b",", b"!", b"?", b":", b";")):
+        return read_text(raw)
+    low = body.lower()
+    flags = ENDS if mark in (b".", b"!", b"?", b":") else 0
+    if low in UNIT_BYTES:
+        flags |= UNIT
+    if body[:1].isupper():
+        flags |= CAPITAL
+    return (xxhash.xxh64_intdigest(low, 7) >> 5 or 1) << 4 | flags
+
+
+def read_text(raw: bytes) -> int:
+    """The same for any word."""
     word = raw.decode("utf-8", "replace")
     core = OUTER.sub("", word)
     flags = ENDS if word.rstrip("\"')]»”")[-1:] in ".!?:" else 0

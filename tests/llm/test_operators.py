@@ -610,3 +610,11 @@ def test_ratio_counts_of_trusted_rows(spark):
     assert got == want
     labels = spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality_rules.quality_rules(df, labels).where("__trusted = 'x'").count() == 52
+
+
+def test_words_read_by_bytes_and_by_text():
+    rng = random.Random(19)
+    for _ in range(5000):
+        word = "".join(rng.choice(["a", "B", "kg", "min", "é", "7", "$", "'", "-"]) for _ in range(rng.choice([0, 1, 1, 2, 5]))) + rng.choice(["", "", ".", ",", "!", "?", ":", ";", ")", '"', "..", "%"])
+        raw = word.encode()
+        assert not raw or decontaminate.read_word(raw) == decontaminate.read_text(raw)
