@@ -60,19 +60,22 @@ NUM, NAME, MEASURE = (code_of(f"\0{kind}") for kind in ("number", "name", "unit"
 
 
 UNIT_BYTES = frozenset(unit.encode() for unit in UNITS)
+MARKS = {b".": ENDS, b"!": ENDS, b"?": ENDS, b":": ENDS, b",": 0, b";": 0}
 
 
 def read_word(raw: bytes) -> int:
     """A word's code and flags in one number: ASCII letters with at most one mark after them by their bytes, others by their text."""
-    body, mark = (raw, b"") if raw.isalpha() else (raw[:-1], raw[-1:])
-    if not (body.isalpha() and mark in (b"", b".", b",", b"!", b"?", b":", b";")):
-        return read_text(raw)
-    low = body.lower()
-    flags = ENDS if mark in (b".", b"!", b"?", b":") else 0
+    if raw.isalpha():
+        low, flags = raw.lower(), 0
+    else:
+        body, flags = raw[:-1], MARKS.get(raw[-1:])
+        if flags is None or not body.isalpha():
+            return read_text(raw)
+        low = body.lower()
+    if raw[0] < 97:
+        flags |= CAPITAL
     if low in UNIT_BYTES:
         flags |= UNIT
-    if body[:1].isupper():
-        flags |= CAPITAL
     return (xxhash.xxh64_intdigest(low, 7) >> 5 or 1) << 4 | flags
 
 
