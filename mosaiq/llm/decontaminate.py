@@ -59,29 +59,28 @@ def code_of(token: str) -> int:
 NUM, NAME, MEASURE = (code_of(f"\0{kind}") for kind in ("number", "name", "unit"))
 
 
-UNIT_BYTES = frozenset(unit.encode() for unit in UNITS)
-MARKS = {b".": ENDS, b"!": ENDS, b"?": ENDS, b":": ENDS, b",": 0, b";": 0}
+MARKS = {".": ENDS, "!": ENDS, "?": ENDS, ":": ENDS, ",": 0, ";": 0}
 
 
 def read_word(raw: bytes) -> int:
-    """A word's code and flags in one number: ASCII letters with at most one mark after them by their bytes, others by their text."""
-    if raw.isalpha():
-        low, flags = raw.lower(), 0
+    """A word's code and flags in one number; letters with at most one mark after them need no patterns."""
+    word = raw.decode("utf-8", "replace")
+    if word.isalpha():
+        core, flags = word, 0
     else:
-        body, flags = raw[:-1], MARKS.get(raw[-1:])
-        if flags is None or not body.isalpha():
-            return read_text(raw)
-        low = body.lower()
-    if raw[0] < 97:
-        flags |= CAPITAL
-    if low in UNIT_BYTES:
+        core, flags = word[:-1], MARKS.get(word[-1:])
+        if flags is None or not core.isalpha():
+            return read_any(word)
+    low = core.lower()
+    if low in UNITS:
         flags |= UNIT
-    return (xxhash.xxh64_intdigest(low, 7) >> 5 or 1) << 4 | flags
+    if core[0].isupper():
+        flags |= CAPITAL
+    return (xxhash.xxh64_intdigest(low.encode(), 7) >> 5 or 1) << 4 | flags
 
 
-def read_text(raw: bytes) -> int:
+def read_any(word: str) -> int:
     """The same for any word."""
-    word = raw.decode("utf-8", "replace")
     core = OUTER.sub("", word)
     flags = ENDS if word.rstrip("\"')]»”")[-1:] in ".!?:" else 0
     if NUMBER.fullmatch(core):
