@@ -60,6 +60,37 @@ def nearest(points: Column, target: Column) -> Column:
     return F.array_min(F.transform(points, lambda p: F.struct(F.abs(p - target).alias("d"), p.alias("p"))))["p"]
 
 
+def nearest_of_length(points: DataFrame, time: str, starts: DataFrame, start: str, length: int, tie: str, by: list[str]) -> DataFrame:
+    """by and time (as __ and the name), distance and tie of the nearest interval of each different time: of the intervals that hold it, or else of the nearest ones before and after it, the one with the smallest tie.
+
+    Times and starts are whole numbers, and all intervals are of one length. A time or a start that is null is at no distance from all.
+    Intervals of one start count once, and a start meets the times that it holds; the neighbours come from windows, so nothing is paired with all.
+    """
+    keys = [f"__{b}" for b in by]
+    different = points.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(time).alias("__t")).distinct()
+    first = starts.groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(start).alias("__lo")).agg(F.min(tie).alias(tie))
+    known = first.where("__lo is not null")
+    held = known.select(*keys, F.explode(F.sequence("__lo", F.col("__lo") + length)).alias("__t"), tie).groupBy(*keys, "__t").agg(F.min(tie).alias("__in"))
+    everywhere = first.groupBy(*keys).agg(F.min(F.when(F.col("__lo").isNull(), F.col(tie))).alias("__always"), F.min(tie).alias("__any"))
+    met = different.join(held, [*keys, "__t"], "left").join(everywhere, keys)
+
+    none = F.lit(None).cast("long")
+    marks = met.select(*keys, "__t", none.alias("__start"), none.alias("__end"), F.lit(None).cast(starts.schema[tie].dataType).alias(tie), "__in", "__always", "__any", F.lit(1).alias("__point"))
+    for edge in ("__start", "__end"):
+        at = F.col("__lo") + (length if edge == "__end" else 0)
+        marks = marks.unionByName(known.select(*keys, at.alias("__t"), at.alias(edge), tie, F.lit(0).alias("__point")), allowMissingColumns=True)
+    whole = Window.partitionBy(*keys)
+    neighbour = lambda edge: F.when(F.col(edge).isNotNull(), F.struct(F.col(edge).alias("at"), F.col(tie).alias(tie)))
+    before = F.last(neighbour("__end"), ignorenulls=True).over(whole.orderBy(F.asc_nulls_first("__t"), "__point").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(neighbour("__start"), ignorenulls=True).over(whole.orderBy(F.desc_nulls_first("__t"), "__point").rowsBetween(Window.unboundedPreceding, 0))
+    option = lambda holds, distance, name: F.when(holds, F.struct(distance.cast("long").alias("distance"), name.alias(tie)))
+    beside = marks.withColumns({"__b": before, "__a": after}).where("__point = 1")
+    zero = [option(F.col(c).isNotNull(), F.lit(0), F.col(c)) for c in ("__in", "__always")] + [option(F.col("__t").isNull(), F.lit(0), F.col("__any"))]
+    apart = [option(F.col("__b").isNotNull(), F.col("__t") - F.col("__b.at"), F.col(f"__b.{tie}")), option(F.col("__a").isNotNull(), F.col("__a.at") - F.col("__t"), F.col(f"__a.{tie}"))]
+    best = F.array_min(F.array_compact(F.array(*zero, *[F.when(F.coalesce(x["distance"] > 0, F.lit(False)), x) for x in apart])))
+    return beside.withColumn("__best", best).select(*keys, "__t", F.col("__best.distance").alias("distance"), F.col(f"__best.{tie}").alias(tie))
+
+
 def between_points(points: DataFrame, time: str, audio: str, by: list[str], least: float, most: float) -> DataFrame:
     """start and end of pairs of cut points so far apart, and kind: 1 between audio points, 2 with one, 3 without."""
     a, b = points.alias("a"), points.alias("b")

@@ -18,8 +18,8 @@ SELECT c_custkey, base FROM j QUALIFY row_number() OVER (PARTITION BY c_custkey
 def assign_to_bases(spark, d):
     b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("base"), F.col("s_nationkey").alias("g"), F.floor(F.col("s_acctbal") / 100).alias("lo"))
     p = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("g"), F.floor(F.col("c_acctbal") / 100).alias("t"))
-    distance = F.greatest(F.col("lo") - F.col("t"), F.col("t") - F.col("lo") - 20, F.lit(0))
-    return p.join(b, "g").groupBy("c_custkey").agg(F.min(F.struct(distance.alias("d"), "base"))["base"].alias("base"))
+    placed = p.join(intervals.nearest_of_length(p, "t", b, "lo", 20, "base", ["g"]), (p["g"] == F.col("__g")) & p["t"].eqNullSafe(F.col("__t")))
+    return placed.groupBy("c_custkey").agg(F.min(F.struct("distance", "base"))["base"].alias("base"))
 
 
 @query("""WITH e AS (SELECT l_orderkey AS v, l_linenumber AS k, l_quantity AS q FROM lineitem), x AS (SELECT a.v, a.q AS s, b.q AS e, a.k + b.k AS rank FROM e a JOIN e b ON a.v = b.v AND b.q > a.q)

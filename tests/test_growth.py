@@ -2,7 +2,10 @@
 
 import random
 
-from mosaiq.operators import similarity
+import duckdb
+
+from mosaiq.operators import intervals, similarity
+from mosaiq.plans import catalogue, catalogue_items, catalogue_plans
 
 
 def test_blocks_find_all_pairs_and_the_groups(spark, monkeypatch):
@@ -24,3 +27,23 @@ def test_blocks_find_all_pairs_and_the_groups(spark, monkeypatch):
     assert dict(similarity.similar_groups(df.where("bits is not null"), "id", "bits", 18).collect()) == dict(enumerate(root))
     links = similarity.compared_blocks(df, "id", "bits", 18, len(values), forest=True).count()
     assert links <= similarity.compared_blocks(df, "id", "bits", 18, len(values), forest=False).count()
+
+
+def test_nearest_interval_against_all_pairs(spark):
+    """Each point meets its neighbours only, with nulls, ties and several keys."""
+    rng = random.Random(4)
+    pick = lambda: rng.choice([None, *range(-40, 120, 3)]) if rng.random() < 0.9 else rng.randrange(1000)
+    bases = [(k, rng.randrange(6), pick()) for k in range(60)]
+    points = [(k, rng.randrange(7), pick()) for k in range(300)]
+    b, p = spark.createDataFrame(bases, "base long, g int, lo long"), spark.createDataFrame(points, "id long, g int, t long")
+    got = {(r["__g"], r["__t"]): (r["distance"], r["base"]) for r in intervals.nearest_of_length(p, "t", b, "lo", 20, "base", ["g"]).collect()}
+    far = lambda lo, t: 0 if lo is None or t is None else max(lo - t, t - lo - 20, 0)
+    assert got == {(g, t): min((far(lo, t), base) for base, h, lo in bases if h == g) for _, g, t in points if any(h == g for _, h, _ in bases)}
+
+
+def test_bases_are_not_paired_with_all_customers(spark, tmp_path):
+    spark.range(500).selectExpr("id s_suppkey", "0 s_nationkey", "cast(id as double) s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(700).selectExpr("id c_custkey", "0 c_nationkey", "cast(id * 9 as double) c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    plan = catalogue_plans.assign_to_bases(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "eqNullSafe" in plan or "<=>" in plan
+    assert catalogue_plans.assign_to_bases(spark, str(tmp_path)).count() == 700
