@@ -34,8 +34,9 @@ def hash_chunks(h: Column) -> Column:
 def average_hash(pixels: Column) -> Column:
     """16 hex digits of 64 grey values: bit i is set where value i is over the mean, the first bit lowest."""
     mean = F.aggregate(pixels, F.lit(0.0), lambda a, x: a + x) / F.size(pixels)
-    bits = F.transform(F.array(pixels), lambda p: F.aggregate(F.transform(p, lambda x, i: F.when(x > mean, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))[0]
-    return F.lower(F.lpad(F.hex(bits), 16, "0"))
+    bit = lambda x, i, m: F.when(x > m, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    of = F.transform(F.array(F.struct(pixels.alias("p"), mean.alias("mean"))), lambda o: F.aggregate(F.transform(o["p"], lambda x, i: bit(x, i, o["mean"])), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
+    return F.lower(F.lpad(F.hex(of[0]), 16, "0"))
 
 
 def sign_bits(vector: Column) -> Column:

@@ -240,7 +240,7 @@ b AS (SELECT vec_id, list_reduce(list_prepend(0::HUGEINT, list_transform(range(1
 SELECT vec_id, lpad(lower(to_hex(bits)), 16, '0') AS hash FROM b""")
 def average_hashes(spark, d):
     """Grey values are made of the first 64 numbers of a vector."""
-    grey = F.transform(F.slice("embedding", 1, 64), lambda x: F.round((x.cast("double") + 1) * 100))
+    grey = F.transform(F.slice("embedding", 1, 64), lambda x: F.round((x + F.lit(1).cast("float")) * F.lit(100).cast("float")).cast("double"))
     return table(spark, d, "embeddings").select("vec_id", hashing.average_hash(grey).alias("hash"))
 
 

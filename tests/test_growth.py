@@ -47,3 +47,13 @@ def test_bases_are_not_paired_with_all_customers(spark, tmp_path):
     plan = catalogue_plans.assign_to_bases(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "eqNullSafe" in plan or "<=>" in plan
     assert catalogue_plans.assign_to_bases(spark, str(tmp_path)).count() == 700
+
+
+def test_average_hash_by_float_arithmetic(spark, tmp_path):
+    """A grey value is rounded from a float, as in the SQL; 0.90499997 and one are 1.905 as floats, and 190.5 a hundred times."""
+    x = 0.9049999713897705
+    vectors = [[x] + [0.9] * 63, [x] * 64]
+    spark.createDataFrame([(k, v, 0) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, catalogue_items.average_hashes(spark, str(tmp_path)).collect())) == sorted(con.execute(catalogue.SQL["average_hashes"]).fetchall())
