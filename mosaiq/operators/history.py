@@ -18,11 +18,16 @@ def uncached(assets: DataFrame, cache: DataFrame, key: str, checksum: str) -> Da
 
 
 def failure_streaks(attempts: DataFrame, key: str, order: list[Column], failed: Column, completed: Column, time: str) -> DataFrame:
-    """Failures per key since its last success, and when the last one was; keys without any are left out."""
-    w = Window.partitionBy(key).orderBy(*order)
-    done = F.last(F.when(completed, F.struct(*[F.lit(1).alias("x")])), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    since = attempts.withColumn("__failed", failed).withColumn("__done", done.isNotNull()).where("not __done and __failed")
-    return since.groupBy(key).agg(F.count(F.lit(1)).alias("failures"), F.max(time).alias("last_failed_at"))
+    """Failures per key since its last success, and when the last one was; keys without any are left out.
+
+    The last success of each key is found first, so a key's rows are not gone through again for each of them.
+    order: columns that ascend.
+    """
+    at = F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)])
+    marked = attempts.select(key, F.col(time).alias("__time"), at.alias("__at"), failed.alias("__failed"), completed.alias("__completed"))
+    done = marked.where("__completed").groupBy(F.col(key).alias("__key")).agg(F.max("__at").alias("__done"))
+    since = marked.where("__failed").join(done, F.col(key).eqNullSafe(F.col("__key")), "left").where(F.col("__done").isNull() | (F.col("__at") > F.col("__done")))
+    return since.groupBy(key).agg(F.count(F.lit(1)).alias("failures"), F.max("__time").alias("last_failed_at"))
 
 
 def upserted(table: DataFrame, rows: DataFrame, key: list[str], version: list[Column]) -> DataFrame:

@@ -3,8 +3,10 @@
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
-from mosaiq.operators import intervals, similarity
+from mosaiq.functions import labels
+from mosaiq.operators import history, intervals, similarity
 from mosaiq.plans import catalogue, catalogue_items, catalogue_plans
 
 
@@ -57,3 +59,16 @@ def test_average_hash_by_float_arithmetic(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert sorted(map(tuple, catalogue_items.average_hashes(spark, str(tmp_path)).collect())) == sorted(con.execute(catalogue.SQL["average_hashes"]).fetchall())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_streaks_do_not_look_ahead_from_each_row(spark):
+    """A frame to the end of a key is gone through anew for each of its rows."""
+    rows = [(k, i, o) for k, all_ in enumerate(["FFCF", "FCC", "FF", "C", "xFx"]) for i, o in enumerate(all_)] + [(None, 1, "F"), (None, 2, "C"), (None, 3, "F")]
+    df = spark.createDataFrame(rows, "k int, i int, o string")
+    got = history.failure_streaks(df, "k", [F.col("i")], F.col("o") == "F", F.col("o") == "C", "i")
+    assert {tuple(r) for r in got.collect()} == {(0, 1, 3), (2, 2, 1), (4, 1, 1), (None, 1, 3)}
+    assert "unboundedfollowing" not in plan_of(got)
