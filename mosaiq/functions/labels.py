@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mosaiq.functions.boundaries import let
+
 # The interest of each class of sound; a class that is not named has OTHER_SOUND.
 SOUND_WEIGHTS = {
     "Laughter": 1.0, "Giggle": 0.95, "Chuckle, chortle": 0.9, "Baby laughter": 1.0, "Belly laugh": 1.0, "Snicker": 0.9, "Child speech, kid speaking": 0.85,
@@ -41,13 +43,18 @@ def mood(answer: Column) -> Column:
     cannot be read at all is calm, medium and neutral.
     """
     fenced = F.regexp_extract(answer, r"(?s)```(?:json)?(.*?)(?:```|$)", 1)
-    read = F.from_json(F.trim(F.when(answer.contains("```"), fenced).otherwise(answer)), MOOD_JSON)
-    word = lambda name: F.lower(F.trim(read[name]))
-    held = lambda name, known, other: F.when(word(name).isin(*known), word(name)).otherwise(other)
-    listed = F.slice(F.from_json(read["genre_suggestions"], "array<string>"), 1, MOST_GENRES)
-    known = F.filter(F.transform(listed, lambda g: F.lower(F.trim(g))), lambda g: g.isin(*GENRES))
-    genres = F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("ambient")))
-    number = read["confidence"].try_cast("double")
+    texts = F.from_json(F.trim(F.when(answer.contains("```"), fenced).otherwise(answer)), MOOD_JSON)
+    words = ("primary_mood", "secondary_mood", *CHOICES)
+    fields = lambda r: F.struct(*[F.lower(F.trim(r[w])).alias(w) for w in words], F.from_json(r["genre_suggestions"], "array<string>").alias("genres"), r["description"].alias("description"), r["confidence"].try_cast("double").alias("confidence"))
+    return let(let(texts, fields), _held)
+
+
+def _held(read: Column) -> Column:
+    """What may be of the lower-cased words, genres, description and confidence that were read; each is read once."""
+    held = lambda name, known, other: F.when(read[name].isin(*known), read[name]).otherwise(other)
+    known = F.filter(F.transform(F.slice(read["genres"], 1, MOST_GENRES), lambda g: F.lower(F.trim(g))), lambda g: g.isin(*GENRES))
+    genres = let(known, lambda some: F.when(F.size(some) > 0, some).otherwise(F.array(F.lit("ambient"))))
+    number = read["confidence"]
     sure = F.when(number.isNull(), 0.7).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
     said = F.regexp_replace(F.substring(F.coalesce(read["description"], F.lit("")), 1, LONGEST), r"[\p{Cc}&&[^\n\t]]", "")
     choices = [held(name, known, other).alias(name) for name, (known, other) in CHOICES.items()]

@@ -72,3 +72,10 @@ def test_streaks_do_not_look_ahead_from_each_row(spark):
     got = history.failure_streaks(df, "k", [F.col("i")], F.col("o") == "F", F.col("o") == "C", "i")
     assert {tuple(r) for r in got.collect()} == {(0, 1, 3), (2, 2, 1), (4, 1, 1), (None, 1, 3)}
     assert "unboundedfollowing" not in plan_of(got)
+
+
+def test_answers_are_read_once(spark):
+    df = spark.createDataFrame([('{"primary_mood": "Sad", "genre_suggestions": ["JAZZ"], "confidence": 2}',)], "a string")
+    m = df.select(labels.mood(F.col("a")).alias("m")).select("m.primary_mood", "m.energy_level", "m.genres", "m.confidence")
+    assert tuple(m.first()) == ("sad", "medium", ["jazz"], 1.0)
+    assert plan_of(m).count("from_json") + plan_of(m).count("jsontostructs") <= 2
