@@ -27,8 +27,9 @@ SELECT v, s AS "start", e AS "end" FROM x QUALIFY row_number() OVER (PARTITION B
 def best_placement(spark, d):
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("v"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("q"))
     a, b = e.alias("a"), e.alias("b")
-    met = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("b.q") > F.col("a.q"))).select("a.v", F.col("a.q").alias("start"), F.col("b.q").alias("end"), (F.col("a.k") + F.col("b.k")).alias("rank"))
-    return ranking.first_per(met, ["v"], [F.col("rank"), F.col("end") - F.col("start"), F.col("start")]).select("v", "start", "end")
+    met = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("b.q") > F.col("a.q")))
+    best = F.struct((F.col("a.k") + F.col("b.k")).alias("rank"), (F.col("b.q") - F.col("a.q")).alias("span"), F.col("a.q").alias("start"), F.col("b.q").alias("end"))
+    return met.groupBy(F.col("a.v").alias("v")).agg(F.min(best).alias("best")).select("v", "best.start", "best.end")
 
 
 @query("""SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY abs(date_diff('day', o_orderdate::DATE, DATE '1998-06-15')), o_orderkey) = 1""")

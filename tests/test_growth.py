@@ -79,3 +79,11 @@ def test_answers_are_read_once(spark):
     m = df.select(labels.mood(F.col("a")).alias("m")).select("m.primary_mood", "m.energy_level", "m.genres", "m.confidence")
     assert tuple(m.first()) == ("sad", "medium", ["jazz"], 1.0)
     assert plan_of(m).count("from_json") + plan_of(m).count("jsontostructs") <= 2
+
+
+def test_placements_take_no_window(spark, tmp_path):
+    rows = [(1, 1, 5.0), (1, 2, 3.0), (1, 3, 9.0), (2, 1, 4.0), (2, 2, 4.0), (3, 2, 1.0), (3, 1, 2.0), (3, 1, 7.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    best = catalogue_plans.best_placement(spark, str(tmp_path))
+    assert {tuple(r) for r in best.collect()} == {(1, 3.0, 5.0), (3, 2.0, 7.0)}
+    assert "Window" not in plan_of(best)
