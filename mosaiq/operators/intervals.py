@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 def merged(df: DataFrame, start: str, end: str, by: list[str], buffer: float = 0.0) -> DataFrame:
     """Unions of intervals, each widened by the buffer; intervals that touch become one."""
     wide = df.select(*by, (F.col(start) - buffer).alias("start"), (F.col(end) + buffer).alias("end"))
-    w = Window.partitionBy(*by).orderBy("start", "end")
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    island = wide.withColumn("__new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*by, "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
+    heads = wide.withColumns({"__reach": reach, "__last": F.max("end").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))}).where(F.col("__reach").isNull() | (F.col("start") > F.col("__reach")))
+    following = F.lead("__reach").over(w)  # what an island reaches is known to the head of the next one
+    return heads.select(*by, "start", F.when(F.lead(F.lit(1)).over(w).isNull(), F.col("__last")).otherwise(following).alias("end"))
 
 
 def gaps(df: DataFrame, start: str, end: str, by: list[str]) -> DataFrame:

@@ -87,3 +87,10 @@ def test_placements_take_no_window(spark, tmp_path):
     best = catalogue_plans.best_placement(spark, str(tmp_path))
     assert {tuple(r) for r in best.collect()} == {(1, 3.0, 5.0), (3, 2.0, 7.0)}
     assert "Window" not in plan_of(best)
+
+
+def test_merged_intervals_need_no_groups(spark):
+    rows = [(1, 0.0, 2.0), (1, 1.0, 5.0), (1, 1.5, 3.0), (1, 5.0, 6.0), (1, 7.0, 7.0), (1, None, 9.0), (2, 1.0, 1.0), (3, 4.0, 8.0), (3, 5.0, 6.0)]
+    got = intervals.merged(spark.createDataFrame(rows, "k int, s double, e double"), "s", "e", ["k"])
+    assert {tuple(r) for r in got.collect()} == {(1, 0.0, 6.0), (1, 7.0, 9.0), (2, 1.0, 1.0), (3, 4.0, 8.0)}
+    assert "Aggregate" not in plan_of(got)
