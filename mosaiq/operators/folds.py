@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -50,45 +52,81 @@ def day_slots(df: DataFrame, day: str, by: list[str], target: int) -> DataFrame:
     return first.withColumn("slots", (F.col("__slots") + more).cast("int")).drop("__wish", "__slots", "__room")
 
 
-def farthest_days(df: DataFrame, time: str, amount: str, favorite: str, score: str, by: list[str], tie: str, budget: str) -> DataFrame:
+def farthest_of(at: np.ndarray, amounts: np.ndarray, left: float) -> list[int]:
+    """Places, in the order of the choice, of the rows that farthest_days chooses of one key; rows are in the order of their worth.
+
+    Chosen times part the rows into gaps. A heap holds the best row of each gap; choosing it parts its gap in two, and one
+    that no longer fits gives way to the next of its gap, so a row is looked at about log n times.
+    """
+    order = np.argsort(at, kind="stable")  # a row's rank is its place, the smaller the better
+    at, amounts = at[order], amounts[order]
+    chosen, heap = [], []
+
+    def offer(low: int, high: int, before: float, after: float) -> None:
+        """Puts the best row that fits of order[low:high] on the heap."""
+        fits = low + np.flatnonzero(amounts[low:high] <= left)
+        if fits.size:
+            days = np.rint(np.minimum(at[fits] - before, after - at[fits]) / 86400)
+            far = fits[days == days.max()]
+            best = far[np.argmin(order[far])]
+            heapq.heappush(heap, (-days.max(), order[best], best, low, high, before, after))
+
+    offer(0, len(at), -np.inf, np.inf)
+    while heap:
+        _, rank, best, low, high, before, after = heapq.heappop(heap)
+        if amounts[best] > left:
+            offer(low, high, before, after)
+            continue
+        chosen.append(int(rank))
+        left -= amounts[best]
+        offer(low, best, before, at[best])
+        offer(best + 1, high, at[best], after)
+    return chosen
+
+
+def farthest_days(df: DataFrame, time: str, amount: str, favorite: str, score: str, by: list[str], tie: str, budget: str, second: str | None = None, whole: str | None = None) -> DataFrame:
     """Again and again the row that is most days (rounded) from the rows chosen (then favorites, then scores), while it fits the key's budget (a column).
 
-    Chosen times part a key's rows into gaps. A heap holds the best row of each gap; choosing it
-    parts its gap in two, and one that no longer fits gives way to the next of its gap, so a row is looked at about log n times.
+    second: rows where it holds are chosen after the others, among themselves, from what those left of a budget (the column whole).
+    Rows are sorted by key and worth, and a task goes through them in batches; it holds one key at a time.
     """
     schema = df.select(*by, tie).schema.add("place", "integer")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([favorite, score, tie], ascending=[False, False, True]).reset_index(drop=True)
-        seconds = pd.to_datetime(rows[time]).astype("datetime64[us]").astype("int64").to_numpy() / 1e6
-        order = np.argsort(seconds, kind="stable")  # a row's rank is its number in rows, the smaller the better
-        at, amounts = seconds[order], rows[amount].to_numpy()[order]
-        left, chosen, heap = rows[budget].iloc[0], [], []
-
-        def offer(low: int, high: int, before: float, after: float) -> None:
-            """Puts the best row that fits of order[low:high] on the heap."""
-            fits = low + np.flatnonzero(amounts[low:high] <= left)
-            if fits.size:
-                days = np.rint(np.minimum(at[fits] - before, after - at[fits]) / 86400)
-                far = fits[days == days.max()]
-                best = far[np.argmin(order[far])]
-                heapq.heappush(heap, (-days.max(), order[best], best, low, high, before, after))
-
-        offer(0, len(rows), -np.inf, np.inf)
-        while heap:
-            _, rank, best, low, high, before, after = heapq.heappop(heap)
-            if amounts[best] > left:
-                offer(low, high, before, after)
-                continue
-            chosen.append(rank)
-            left -= amounts[best]
-            offer(low, best, before, at[best])
-            offer(best + 1, high, at[best], after)
-        out = rows.loc[chosen, [*by, tie]].copy()
-        out["place"] = pd.Series(range(1, len(chosen) + 1), index=out.index, dtype="int32")
-        return out
-
-    return df.groupBy(*by).applyInPandas(choose, schema)
+    number = F.nanvl(F.col(score), F.lit(None).cast(df.schema[score].dataType)) if df.schema[score].dataType.typeName() in ("double", "float") else F.col(score)
+    w = Window.partitionBy(*by).orderBy(F.desc_nulls_last(favorite), number.desc_nulls_last(), F.asc_nulls_last(tie))
+    seconds = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(-(1 << 63))) / 1e6
+    values = [F.row_number().over(w).alias("__rank"), seconds.alias("__at"), F.col(amount).cast("double").alias("__amount"), F.col(budget).cast("double").alias("__left"), (F.col(second) if second else F.lit(False)).alias("__second"), F.col(whole or budget).cast("double").alias("__whole")]
+    n = len(by) + 1
+
+    def choose(rows: pa.Table) -> list:
+        at, amounts, left, later, most = (rows.column(c).to_numpy() for c in ("__at", "__amount", "__left", "__second", "__whole"))
+        one, other = np.flatnonzero(~later), np.flatnonzero(later)
+        first = farthest_of(at[one], amounts[one], left[0]) if len(one) else []
+        more = farthest_of(at[other], amounts[other], most[0] - sum(amounts[one[first]])) if len(other) else []
+        found = pa.array([*one[first], *other[more]], pa.int64())
+        places = pa.array([*range(1, len(first) + 1), *range(1, len(more) + 1)], pa.int32())
+        return [*[rows.column(k).take(found) for k in range(n)], places]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = [*by, tie, "place"], []
+
+        def out(groups: list[list]) -> Iterator[pa.RecordBatch]:
+            if groups:
+                yield from pa.Table.from_arrays([pa.chunked_array([c for g in groups for c in (g[k].chunks if isinstance(g[k], pa.ChunkedArray) else [g[k]])]) for k in range(n + 1)], names=names).combine_chunks().to_batches()
+
+        for batch in batches:
+            starts = np.flatnonzero(batch.column(n).to_numpy() == 1)
+            edges, groups = [0, *starts, batch.num_rows], []
+            for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if k and held:
+                    groups.append(choose(pa.Table.from_batches(held)))
+                    held = []
+                if high > low:
+                    held.append(batch.slice(low, high - low))
+            yield from out(groups)
+        if held:
+            yield from out([choose(pa.Table.from_batches(held))])
+
+    return df.select(*by, tie, *values).mapInArrow(run, schema)
 
 
 def tempo(energy: Column, step_s: float = 0.1, low: int = 2, high: int = 40) -> Column:

@@ -133,12 +133,9 @@ def fitted_protected(df: DataFrame, by: list[str], time: str, amount: str, favor
     whole = Window.partitionBy(*by)
     both = F.bool_or(F.col(favorite)).over(whole) & F.bool_or(~F.col(favorite)).over(whole)
     span = F.floor((F.max(F.unix_micros(F.col(time).cast("timestamp"))).over(whole) - F.min(F.unix_micros(F.col(time).cast("timestamp"))).over(whole)) / 86_400_000_000)
-    marked = df.withColumn("__both", both).withColumn("__budget", F.lit(float(budget)) * F.when(both & (span > short_days), share).otherwise(1.0))
-    spread = lambda rows: folds.farthest_days(rows, time, amount, favorite, score, by, tie, "__budget")
-    first = spread(marked.where(F.col(favorite) | ~F.col("__both")))
-    spent = first.join(df.select(*by, tie, amount), [*by, tie]).groupBy(*by).agg(F.sum(amount).alias("__spent"))
-    others = marked.where(~F.col(favorite) & F.col("__both")).join(spent, by, "left").withColumn("__budget", budget - F.coalesce("__spent", F.lit(0.0)))
-    return first.unionByName(spread(others))
+    marked = df.withColumns({"__both": both, "__budget": F.lit(float(budget)) * F.when(both & (span > short_days), share).otherwise(1.0), "__whole": F.lit(float(budget))})
+    rows = marked.where(F.col(favorite).isNotNull() | ~F.col("__both")).withColumn("__second", ~F.coalesce(F.col(favorite), F.lit(False)) & F.col("__both"))
+    return folds.farthest_days(rows, time, amount, favorite, score, by, tie, "__budget", "__second", "__whole")
 
 
 def photo_rounds(df: DataFrame, by: list[str], day: str, amount: str, score: str, tie: str, videos: str, seconds: str, budget: float, most: float = 0.5, a_day: int = 2) -> DataFrame:

@@ -1,12 +1,13 @@
 """Steps that once grew faster than their input, on small cases."""
 
 import random
+from datetime import datetime, timedelta
 
 import duckdb
 from pyspark.sql import functions as F
 
 from mosaiq.functions import labels
-from mosaiq.operators import history, intervals, similarity
+from mosaiq.operators import history, intervals, selection, similarity
 from mosaiq.plans import catalogue, catalogue_items, catalogue_plans
 
 
@@ -94,3 +95,17 @@ def test_merged_intervals_need_no_groups(spark):
     got = intervals.merged(spark.createDataFrame(rows, "k int, s double, e double"), "s", "e", ["k"])
     assert {tuple(r) for r in got.collect()} == {(1, 0.0, 6.0), (1, 7.0, 9.0), (2, 1.0, 1.0), (3, 4.0, 8.0)}
     assert "Aggregate" not in plan_of(got)
+
+
+def test_protected_rows_are_spread_in_one_pass(spark):
+    """Favorites and the rest of a key are chosen in one pass over sorted rows, whatever the batches; no row without a mark where there are both."""
+    at = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    rows = [(1, 1, at(0), 4.0, True, 1.0), (1, 2, at(40), 4.0, True, 2.0), (1, 3, at(1), 3.0, False, 9.0), (1, 4, at(30), 3.0, False, 1.0), (1, 5, at(2), 1.0, None, 9.0), (2, 6, at(3), 9.0, False, 3.0), (2, 7, at(5), 9.0, False, None), (3, 8, at(1), 99.0, True, 1.0)]
+    df = spark.createDataFrame(rows, "g int, id int, t timestamp, d double, f boolean, s double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    got = selection.fitted_protected(df, ["g"], "t", "d", "f", "s", "id", 10.0, 14)
+    try:
+        assert {tuple(r) for r in got.collect()} == {(1, 2, 1), (1, 3, 1), (1, 4, 2), (2, 6, 1)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert plan_of(got).count("MapInArrow") == 1 and "FlatMapGroupsInPandas" not in plan_of(got)
