@@ -8,12 +8,12 @@ similarity 0.8 share one of BANDS bands of ROWS_A_BAND values with probability 0
 Whatever shares a component or a band is a bucket.
 
 Each bucket's texts are verified against a few of them, its hubs, those that share
-most buckets with others: exactly, by the sets of shingles. Buckets that found a link
-and still hold several components go on with twice as many other hubs, which are met
-by the texts outside the bucket's largest component only, until no link is found. So
-a large group takes pairs in proportion to its size, and links between two texts that
-are hubs of no common bucket are found by way of others or not at all; the recall is
-measured in the tests.
+most buckets with others: exactly, by the sets of shingles. Buckets that still hold
+several components go on with twice as many other hubs, whether they found a link or
+not, until every text was a hub or the bucket is one component. Texts of one component
+are not compared, so a large group takes pairs in proportion to its size, and every two
+texts of a bucket are linked, led to each other by links, or were compared. The
+recall of the buckets is measured in the tests.
 
 Defined results: texts are compared in lower case by words; texts of fewer words than
 a shingle are one shingle, and those without words (null, empty) are alike. Of equal
@@ -127,18 +127,16 @@ def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
         open_rows = rows.join(largest_components(rows), "bucket")
         hubs = cut(top_of_buckets(open_rows.where("weight > 0"), hubs_now), compact=True)
         alike = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size")
-        outside = (F.col("comp") != F.col("main")) if links is not None else F.lit(True)
-        met_hub = open_rows.where(outside).join(hubs, "bucket").where((F.col("comp") != F.col("hub_comp")) & alike)
-        pairs = met_hub.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.first("comp").alias("u"), F.first("hub_comp").alias("v"), F.collect_set("bucket").alias("buckets"))  # a text has at most BANDS + 1
-        found = cut(verified(pairs, sets, similarity), compact=True)
-        if found.isEmpty():
+        met_hub = open_rows.join(hubs, "bucket").where((F.col("comp") != F.col("hub_comp")) & alike)
+        pairs = met_hub.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.first("comp").alias("u"), F.first("hub_comp").alias("v"))
+        if hubs.isEmpty():  # all texts of all buckets with several components were hubs
             break
+        found = cut(verified(pairs, sets, similarity), compact=True)
         new = found.select("a", "b")
         links = cut(new if links is None else links.union(new), instead_of=links, compact=True)
         merged = cut(component_labels(found.select(F.col("u").alias("a"), F.col("v").alias("b"))), compact=True)  # of components, which carry the links of earlier rounds
-        fruitful = found.select(F.explode("buckets").alias("bucket")).distinct()
         used = hubs.select("bucket", F.col("hub").alias("node"), F.lit(True).alias("used"))
-        going = open_rows.join(fruitful, "bucket").join(used, ["bucket", "node"], "left").join(merged.withColumnRenamed("node", "of"), F.col("comp") == F.col("of"), "left")
+        going = open_rows.join(used, ["bucket", "node"], "left").join(merged.withColumnRenamed("node", "of"), F.col("comp") == F.col("of"), "left")
         rows = cut(going.select("bucket", "node", "size", F.when(F.col("used"), 0).otherwise(F.col("weight")).alias("weight"), F.coalesce("root", "comp").alias("comp")), instead_of=rows, compact=True)
         hubs_now *= 2
     for done in (nodes, prints, roots, met, rows, wanted, sets):
