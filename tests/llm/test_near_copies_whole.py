@@ -8,7 +8,7 @@ def test_bucket_whose_hubs_find_nothing(spark, monkeypatch):
     """All texts share one bucket only; a and b are alike, and the hubs that come first are like none of the others."""
     word = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
     texts = [word(k, 60) for k in range(6)]
-    pair = word(9, 60)
+    pair = word(10, 60)  # its digests come after those of three others, which are hubs first
     rows = [*texts, pair, pair + " more"]
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     given = near_copies.sketched
