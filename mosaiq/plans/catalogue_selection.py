@@ -105,8 +105,9 @@ def audio_safe_segments(spark, d):
     merged = intervals.merged(gaps, "s", "e", ["video"]).groupBy("video").agg(F.array_sort(F.array_agg(F.struct("start", "end"))).alias("gaps"))
     x = lines.select(F.col("l_orderkey").alias("video"), F.col("l_linenumber").alias("k"), (F.col("l_quantity") * 0.8 + F.col("l_linenumber")).alias("s"), (F.col("l_quantity") * 0.8 + F.col("l_linenumber") * 3 + 4).alias("e"))
     g, s, e = F.col("gaps"), F.col("s"), F.col("e")
-    found = x.join(merged, "video").withColumn("a", boundaries.adjusted(g, s, e, F.lit(60.0), 2.0, F.lit(8.0)))
-    counts = [F.size(boundaries.edge_options(g, t, later)).alias(name) for t, later, name in ((s, True, "start_options"), (e, False, "end_options"))]
+    placements = F.transform(F.array(F.lit(0)), lambda _: boundaries.options_of(g, s, e))[0]  # one expression, so that both uses share it
+    found = x.join(merged, "video").withColumn("o", placements).withColumn("a", boundaries.adjusted(g, s, e, F.lit(60.0), 2.0, F.lit(8.0), F.col("o")))
+    counts = [F.size(f"o.{side}").alias(name) for side, name in (("first", "start_options"), ("last", "end_options"))]
     return found.select("video", "k", *counts, F.round("a.start", 4).alias("start"), F.round("a.end", 4).alias("end"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.functions import labels
 from mosaiq.operators import history, intervals, selection, similarity
-from mosaiq.plans import catalogue, catalogue_items, catalogue_plans
+from mosaiq.plans import catalogue, catalogue_items, catalogue_plans, catalogue_selection
 
 
 def test_blocks_find_all_pairs_and_the_groups(spark, monkeypatch):
@@ -109,3 +109,10 @@ def test_protected_rows_are_spread_in_one_pass(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert plan_of(got).count("MapInArrow") == 1 and "FlatMapGroupsInPandas" not in plan_of(got)
+
+
+def test_placements_of_edges_are_found_once(spark, tmp_path):
+    """Their counts and the moved segment share one list of each edge's placements."""
+    spark.createDataFrame([(1, 1, 5.0, 0.02), (1, 2, 9.0, 0.1)], "l_orderkey long, l_linenumber int, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = plan_of(catalogue_selection.audio_safe_segments(spark, str(tmp_path)))
+    assert plan.count("array_distinct") == 2
