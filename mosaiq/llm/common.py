@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_AT_ONCE = 500
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -29,12 +30,21 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str, text: str = "text") -> DataFrame:
+def in_parts(batches: Iterator[pa.RecordBatch], most: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows: whole texts as Python strings and their words take a multiple of an Arrow batch."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
+
+
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str, text: str = "text", after: Callable[[], None] | None = None) -> DataFrame:
     """Runs a function over batches of texts and puts its columns after those of df (null: empty text).
 
     make is called once a task and returns the function, so that models and caches
-    live as long as the task; schema names the new columns. Columns of df with the
-    same names are replaced.
+    live as long as the task; after, if given, is called when the task's rows are done,
+    to empty what is kept beyond it (Python workers serve many tasks). At most ROWS_AT_ONCE
+    texts are Python strings at a time. schema names the new columns. Columns of df with
+    the same names are replaced.
     """
     new = df.sparkSession.createDataFrame([], schema).schema
     kept = [c for c in df.columns if c not in new.names]
@@ -47,26 +57,40 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Ar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            made = work([t or "" for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=names)
+        try:
+            for batch in in_parts(batches):
+                made = work([t or "" for t in batch.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=names)
+        finally:
+            if after is not None:
+                after()
 
     return source.mapInArrow(run, out)
 
 
 class Memo(dict):
-    """A dict that computes what is missing and starts anew when it is full, so its memory is bounded."""
+    """A dict that computes what is missing and holds at most `most` values, so its memory is bounded.
+
+    It fills one half while the other keeps what was met before; a full half takes the other's place, so frequent keys stay.
+    """
 
     def __init__(self, compute: Callable, most: int = 400_000):
         super().__init__()
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.before = compute, most, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        if len(self) >= max(1, self.most // 2):
+            self.before = None  # gone before the copy is made
+            self.before = self.copy()
             self.clear()
-        value = self[key] = self.compute(key)
+        value = self.before[key] if key in self.before else self.compute(key)
+        self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
 
 def list_array(values: np.ndarray, counts: list[int], kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, bitmap, cut, free_name, passing, row_keys
+from .common import Memo, bitmap, cut, free_name, in_parts, passing, row_keys
 
 WINDOW, MIN_WINDOW, MIN_COVER = 8, 4, 0.5
 ROWS_AT_ONCE = 20_000
@@ -155,7 +155,7 @@ def window_rows(texts: DataFrame, sizes: list[int] | None = None, bits: np.ndarr
     keys = texts.columns[:-1]
 
     def run(batches):
-        memo = Memo(read_word)
+        memo = Memo(read_word, 200_000)
         wanted, allowed = shared.value
         rows: list[list] = [[] for _ in WINDOWS]
         owner: list[int] = []
@@ -167,7 +167,7 @@ def window_rows(texts: DataFrame, sizes: list[int] | None = None, bits: np.ndarr
                 c.clear()
             return out
 
-        for batch in batches:
+        for batch in in_parts(batches):
             for k, text in enumerate(batch.column(len(keys)).to_pylist()):
                 words = (text or "").encode().split()
                 if not words:

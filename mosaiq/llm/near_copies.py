@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, free_name, map_texts, remove
+from .common import Memo, cut, free_name, in_parts, map_texts, remove
 from .simhash import component_labels, fingerprint, linked, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -68,7 +68,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         met = Memo(lambda key: False, 50_000)
-        for batch in batches:
+        for batch in in_parts(batches):
             nodes, sets = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not met[node]:

@@ -33,9 +33,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts, text_of
+from .common import Memo, in_parts, map_texts, text_of
 
-BUCKETS = 1 << 16
+BUCKETS, WORDS_KEPT = 1 << 16, 200_000
 FIT_MOST, FIT_WORDS, ROUNDS, KEEP = 8_000, 4_000_000, 80, 0.5
 
 # Common function words of the languages at hand.
@@ -96,7 +96,7 @@ def word_reader(terms: frozenset[str] = frozenset()) -> Memo:
         toxic = not terms.isdisjoint(terms_in(raw.decode("utf-8", "replace")))
         return xxhash.xxh32_intdigest(raw) % BUCKETS << 19 | SHAPES[shape(raw)] | IS_COMMON * (raw.strip(EDGES).lower() in COMMON) | IS_TOXIC * toxic
 
-    return Memo(read_word)
+    return Memo(read_word, WORDS_KEPT)
 
 
 def packed_words(words: list[bytes], memo: Memo) -> np.ndarray:
@@ -124,7 +124,7 @@ def toxic_terms(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     def run(batches):
         seen: Counter[tuple[str, bool]] = Counter()
         memo = Memo(terms_in, 50_000)
-        for batch in batches:
+        for batch in in_parts(batches):
             for t, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen.update((x, toxic) for x in {"", *(x for w in set(t.split()) for x in memo[w])})
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.bool_()), pa.array(list(seen.values()), pa.int64())], names=["term", "toxic", "n"])
@@ -257,7 +257,7 @@ def train(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST, terms:
     def run(batches):
         memo = word_reader(terms)
         base = 3 ** np.arange(len(LABELLERS))
-        for batch in batches:
+        for batch in in_parts(batches):
             patterns, found = [], []
             for t in batch.column(0).to_pylist():
                 raw = t.encode()

@@ -6,7 +6,8 @@ backtracking over Aho-Corasick matches: the longest piece that is compatible wit
 the piece before it is taken, and a bitfield keeps the positions that turned out
 to lead nowhere. Two pieces are compatible when merging their characters anew,
 by the model's scores, gives the same two pieces; verdicts and short segments
-are memoised in bounded tables.
+are memoised in bounded tables, which a task empties when it ends, as its Python worker
+lives on.
 
 Defined results: null text counts as empty, and an empty text has no ids; rows
 are never dropped, repeated rows give repeated results; columns other than the
@@ -84,9 +85,9 @@ class BacktrackingCodec:
         # No piece goes from a word character to another kind of character, but for the loose ones; so segments end there.
         loose = "_" + "".join(sorted({a for p in self.id_of for a, b in zip(p, p[1:], strict=False) if a.isalnum() and not b.isalnum()}))
         self.split = re.compile(rf"\n|{SPACE}*(?:[^\w{SPACE}\n]+|[{loose}]+)*[^\W{loose}]*")
-        self.compatible = Memo(self._compatible, 2_000_000)
-        self.short = Memo(self._segment_bytes, 600_000)
-        self.words = Memo(self._word_bytes, 600_000)
+        self.compatible = Memo(self._compatible, 500_000)
+        self.short = Memo(self._segment_bytes, 100_000)
+        self.words = Memo(self._word_bytes, 400_000)
         self.raw = [np.int32(i).tobytes() for i in range(size)]
 
     def merged(self, text: str) -> list[str]:
@@ -153,11 +154,22 @@ class BacktrackingCodec:
 
     def _spaced_bytes(self, text: str) -> bytes:
         """Of a text whose spaces are written as in the pieces."""
-        return b"".join([self.short[s] if len(s) <= LONGEST_KEPT else self._segment_bytes(s) for s in self.split.findall(text)])
+        words, short = self.words, self.short
+        return b"".join([self._segment_bytes(s) if len(s) > LONGEST_KEPT else words[s[1:]] if s[:1] == SPACE else short[s] for s in self.split.findall(text)])
 
     def _word_bytes(self, word: str) -> bytes:
-        """Of what stands between two single spaces, the one before it included; a line break stands for that space."""
-        return self._spaced_bytes(word if word[:1] == "\n" else SPACE + word)
+        """Of what stands between two single spaces, the one before it included; a line break stands for that space.
+
+        Segments that begin with a space are kept here only, as the words they would be.
+        """
+        text = word if word[:1] == "\n" else SPACE + word
+        whole = self.split.match(text)
+        return self._segment_bytes(text) if whole.end() == len(text) else self._spaced_bytes(text)
+
+    def forget(self) -> None:
+        """Empties the tables."""
+        for table in (self.compatible, self.short, self.words):
+            table.forget()
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
@@ -195,7 +207,7 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> D
 
         return work
 
-    return map_texts(df, make, f"`{ids}` array<int>", text)
+    return map_texts(df, make, f"`{ids}` array<int>", text, lambda: codec(model).forget())
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -227,7 +239,7 @@ def encode_decode(df: DataFrame, model: str, text: str = "text", ids: str = "ids
 
         return work
 
-    return map_texts(df, make, f"`{ids}` array<int>, `{decoded}` string", text)
+    return map_texts(df, make, f"`{ids}` array<int>, `{decoded}` string", text, lambda: codec(model).forget())
 
 
 def digests(df: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
