@@ -202,9 +202,9 @@ def backfilled(df: DataFrame, n: Names, chosen: str, wishes: Wishes, scarce: str
     )
     rows = df.groupBy(*n.by).agg(F.array_sort(F.array_agg(row)).alias("rows"), F.bool_or(is_scarce).alias("__scarce"), F.first(limit).alias("__cap"))
     r, budget = F.col("rows"), wishes.seconds + wishes.overrun
-    held = F.filter(r, lambda x: x["chosen"])
+    rows, held = rows.withColumn("__held", F.filter(r, lambda x: x["chosen"])), F.col("__held")
     count = lambda pick: F.size(F.filter(held, pick)).cast("int")
-    near = F.transform(r, lambda x: F.array_min(F.transform(held, lambda h: F.abs(h["t"] - x["t"]))))
+    near = F.transform(r, lambda x: F.when(~x["chosen"], F.array_min(F.transform(F.col("__held"), lambda h: F.abs(h["t"] - x["t"])))))
     begun = F.struct(
         F.aggregate(held, F.lit(0.0), lambda a, h: a + h["amount"]).alias("used"), F.size(held).alias("n"), count(lambda h: h["photo"]).alias("photos"), count(lambda h: ~h["star"]).alias("others"), F.col("__cap").alias("cap"),
         near.alias("near"), F.transform(r, lambda x: F.when(x["chosen"], 0)).alias("tier"), F.transform(r, lambda x: F.when(x["chosen"], 0)).alias("place"), F.lit(True).alias("open"),
@@ -215,22 +215,24 @@ def backfilled(df: DataFrame, n: Names, chosen: str, wishes: Wishes, scarce: str
         more = F.when(now["cap"] < MORE_PHOTOS, MORE_PHOTOS).otherwise(now["cap"])
         stars = now["n"] - now["others"]
         most = F.greatest(F.floor(size * wishes.others), F.greatest(F.lit(0), wishes.clips - stars)) if wishes.others < 1 else F.lit(1 << 30)
+        within = lambda cap: cap.isNull() | ((now["photos"] + 1) / size <= cap + 1e-9)
+        limits = F.struct(
+            (room + 1e-6).alias("room"), (room + OVERRUN_S + 1e-6).alias("over"), within(now["cap"]).alias("photo"), within(more).alias("more"), (now["others"] + 1 <= most).alias("other"),
+        )
 
-        def judged(x: Column, k: Column) -> Column:
-            """The tier that admits the row, and what ranks it within; null if none does."""
+        def judged(x: Column, k: Column, limit: Column) -> Column:
+            """The tier that admits the row, and what ranks it within; null if none does. Lambdas are interpreted: what is the same for all rows is in limit, and a row's tier is asked for once."""
             distance = F.get(now["near"], k)
-            fits = (x["amount"] > 0) & (x["amount"] <= room + 1e-6)
             apart = F.coalesce(distance > wishes.moment_s, F.lit(True)) if wishes.moment_s > 0 else F.lit(True)
-            within = lambda cap: ~x["photo"] | cap.isNull() | ((now["photos"] + 1) / size <= cap + 1e-9)
-            strict = x["star"] | (now["others"] + 1 <= most)
             tier = (
-                F.when(F.get(now["tier"], k).isNotNull(), F.lit(None).cast("int"))
-                .when(fits & apart & within(now["cap"]) & strict, 1).when(fits & apart & within(now["cap"]), 2)
-                .when(fits & apart & within(more), 3).when(fits & within(more), 4).when(fits, 5)
-                .when((x["amount"] > 0) & (x["amount"] <= room + OVERRUN_S + 1e-6), 6)
+                F.when(x["amount"] > limit["room"], 6)
+                .when((~x["photo"] | limit["photo"]) & apart, F.when(x["star"] | limit["other"], 1).otherwise(2))
+                .when(~x["photo"] | limit["more"], F.when(apart, 3).otherwise(4))
+                .otherwise(5)
             )
             video = F.col("__scarce") & ~x["photo"]
-            return F.when(tier.isNotNull(), F.struct(tier.alias("tier"), (~x["star"]).alias("a"), (~video).alias("b"), (-F.coalesce(distance, F.lit(0.0))).alias("c"), (-x["score"]).alias("d"), k.alias("k")))
+            admitted = F.get(now["tier"], k).isNull() & (x["amount"] > 0) & (x["amount"] <= limit["over"])
+            return F.when(admitted, F.struct(tier.alias("tier"), (~x["star"]).alias("a"), (~video).alias("b"), (-F.coalesce(distance, F.lit(0.0))).alias("c"), (-x["score"]).alias("d"), k.alias("k")))
 
         def taken(best: Column) -> Column:
             x = F.get(r, best["k"])
@@ -244,9 +246,9 @@ def backfilled(df: DataFrame, n: Names, chosen: str, wishes: Wishes, scarce: str
             ended = F.struct(*[now[c].alias(c) for c in ("used", "n", "photos", "others", "cap", "near", "tier", "place")], F.lit(False).alias("open")).cast(kind)
             return F.when(best.isNull(), ended).otherwise(after)
 
-        return F.when(~now["open"] | (room <= 0), now).otherwise(let(F.array_min(F.transform(r, judged)), taken))
+        return F.when(~now["open"] | (room <= 0), now).otherwise(let(let(limits, lambda limit: F.array_min(F.transform(r, lambda x, k: judged(x, k, limit)))), taken))
 
-    turns = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(r)))
+    turns = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(r) - F.size(held)))
     done = rows.withColumn("__end", F.aggregate(turns, begun, step))
     every = F.arrays_zip(F.transform(r, lambda x: x["id"]).alias("id"), F.col("__end.tier").alias("tier"), F.col("__end.place").alias("place"))
     out = done.select(*n.by, F.explode(every).alias("x")).where("x.tier is not null")

@@ -170,3 +170,18 @@ def test_farthest_days_against_a_scan(spark):
             want.append(best)
             left -= best[3]
         assert got[g] == [r[1] for r in want]
+
+
+def test_backfill_asks_once_a_step_for_what_rows_share(spark):
+    """Lambdas are interpreted, so what stands twice in the fold runs twice for every row: the time that is left and the distance were asked for in up to twelve places."""
+    df = spark.createDataFrame([row("a", f=True), row("b", 60)], SCHEMA).withColumns({"c": F.col("id") == "a", "few": F.lit(False)})
+    plan = refining.backfilled(df, N, "c", Wishes(12, 77.0), "few")._jdf.queryExecution().analyzed().toString()
+    assert plan.count("77.0 - ") <= 3
+    assert plan.count("> 600.0") <= 2
+
+
+def test_tiers_where_amounts_or_times_are_missing(spark):
+    """Rows of no amount or none known are never added, rows without a time are near nothing; chosen rows alone stay as they are."""
+    rows = [row("a", f=True), row("none", 100, d=None), row("nothing", 200, d=0.0), (1, "timeless", None, 5.0, False, False, False, 0.5), row("near", 5)]
+    assert fill(spark, rows, "a", Wishes(12, 11.0)) == {"a": 0, "timeless": 1}
+    assert fill(spark, [row("a", f=True), row("b", 60)], "ab", Wishes(12, 100.0)) == {"a": 0, "b": 0}
