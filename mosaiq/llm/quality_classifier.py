@@ -69,13 +69,13 @@ def below(hashed: Column, bound: int | None) -> Column:
     return F.lit(True) if bound is None else hashed < F.lit(bound)
 
 
-def shape(raw: bytes) -> bytes:
-    """Letters as a or A, digits as 9, other characters as they are; repeats once, an exclamation mark twice."""
-    form = raw.translate(FORM)
+def shape(form: bytes) -> bytes:
+    """Of a word's characters by FORM (letters as a or A, digits as 9, others as they are): repeats once, an exclamation mark twice."""
     return RUN.sub(lambda m: b"!!" if m[1] == b"!" else m[1], form)
 
 
 def read_shape(form: bytes) -> int:
+    form = shape(form)
     odd = bool(ODD.search(form)) or b"!!" in form
     return xxhash.xxh32_intdigest(b"\0" + form) % BUCKETS << 3 | IS_ODD * odd
 
@@ -89,12 +89,22 @@ def terms_in(word: str) -> set[str]:
     return {*parts, *(p[:k] + "*" for p in parts for k in PREFIXES if len(p) > k)}
 
 
+def has_term(parts: list[str], terms: frozenset[str], heads: frozenset[str]) -> bool:
+    """Whether terms_in of a word of these parts meets terms; heads: the first letters of those with a star."""
+    for p in parts:
+        if p in terms or (p[: PREFIXES[0]] in heads and any(p[:k] + "*" in terms for k in PREFIXES if len(p) > k)):
+            return True
+    return False
+
+
 def word_reader(terms: frozenset[str] = frozenset()) -> Memo:
     """Numbers of words: the word's bucket, its shape's bucket and three flags."""
+    heads = frozenset(t[: PREFIXES[0]] for t in terms if t.endswith("*"))
 
     def read_word(raw: bytes) -> int:
-        toxic = not terms.isdisjoint(terms_in(raw.decode("utf-8", "replace")))
-        return xxhash.xxh32_intdigest(raw) % BUCKETS << 19 | SHAPES[shape(raw)] | IS_COMMON * (raw.strip(EDGES).lower() in COMMON) | IS_TOXIC * toxic
+        core = raw.strip(EDGES).lower()
+        parts = [core.decode()] if core.isalpha() else PARTS.findall(raw.decode("utf-8", "replace").lower())  # of bytes, isalpha knows A-Z only
+        return xxhash.xxh32_intdigest(raw) % BUCKETS << 19 | SHAPES[raw.translate(FORM)] | IS_COMMON * (core in COMMON) | IS_TOXIC * has_term(parts, terms, heads)
 
     return Memo(read_word, WORDS_KEPT)
 
