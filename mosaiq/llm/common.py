@@ -175,15 +175,18 @@ def bitmap(hashes: DataFrame, least: int = BITS_LEAST, most: int = BITS_MOST) ->
     return out
 
 
+def held(hashes: pa.Array, bits: np.ndarray) -> pa.Array:
+    """Which of the hashes the bitmap lets pass."""
+    place = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(len(bits) * 64 - 1)
+    return pa.array((bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool))
+
+
 def passing(df: DataFrame, key: Column, bits: np.ndarray) -> DataFrame:
     """The rows of df whose key's hash the bitmap lets pass: all that it was made of, and few others. A null key passes where its hash does."""
     shared, hashed = df.sparkSession.sparkContext.broadcast(bits), free_name(df, "hashed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            place = batch.column(0).to_numpy().view(np.uint64) & np.uint64(len(table) * 64 - 1)
-            held = table[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(pa.array(held.astype(bool)))
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(held(batch.column(0), shared.value))
 
     return df.select(F.xxhash64(key).alias(hashed), "*").mapInArrow(run, df.schema)

@@ -7,12 +7,20 @@ candidates, and bands of minimal hashes of the shingle sets are the others: text
 similarity 0.8 share one of BANDS bands of ROWS_A_BAND values with probability 0.995.
 Whatever shares a component or a band is a bucket.
 
-Each bucket's texts are verified against a few of them, its hubs, those that share
-most buckets with others: exactly, by the sets of shingles. Buckets that still hold
-several components go on with twice as many other hubs, whether they found a link or
-not, until every text was a hub or the bucket is one component. Texts of one component
+Buckets of more than SMALL texts are not compared as they are. Two sets of a and b shingles
+that are similar enough share t / (1 + t) of a + b; so, with the shingles of all in one order,
+the rarest first, they share one of the first a - t / (1 + t) (a + b) + 1 of a's (and of b's).
+Texts of large buckets meet by these shingles, with b as small as any text of their
+buckets. No pair of a bucket that is similar enough is lost, and a text whose own words are too many to
+be like any other meets none, however large its bucket is.
+
+What shares a small bucket or such a shingle is verified against one of them first, its
+hub, the one that meets most others: exactly, by the sets of shingles. Where several components are
+left, all texts outside the largest one are compared with all of other components once
+they are few against the round's hubs (FINISH for each but one); until then four times as many other
+hubs are taken each round. Texts of one component
 are not compared, so a large group takes pairs in proportion to its size, and every two
-texts of a bucket are linked, led to each other by links, or were compared. The
+texts of a bucket are linked, led to each other by links, were compared or share too few shingles. The
 recall of the buckets is measured in the tests.
 
 Defined results: texts are compared in lower case by words; texts of fewer words than
@@ -29,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, free_name, in_parts, map_texts, remove
+from .common import Memo, bitmap, cut, free_name, held, in_parts, map_texts, remove
 from .simhash import component_labels, fingerprint, linked, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS_A_BAND, HUBS = 10, 4, 1
+SMALL, FINISH = 4, 8
 FACTORS = np.random.default_rng(6).integers(1 << 62, 1 << 63, BANDS * ROWS_A_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -63,12 +72,17 @@ def sketched(docs: DataFrame, text: str) -> DataFrame:
     return map_texts(docs, lambda: work, "fp long, bands array<long>, size int", text)
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """node and set (array<long>) of texts (node, text), one a node; a task sends each of the last nodes it met once."""
+def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (node, and more) with set (array<long>) of texts (node, text), one a node; a task sends each of the last nodes it met once.
+
+    A bitmap leaves out most texts that are not wanted, so that whole texts are not shuffled.
+    """
+    bits = texts.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("node").alias("hash"))))
 
     def run(batches):
         met = Memo(lambda key: False, 50_000)
         for batch in in_parts(batches):
+            batch = batch.filter(held(batch.column(2), bits.value))
             nodes, sets = [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not met[node]:
@@ -78,7 +92,8 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                     sets.append((np.unique(h) if len(h) else np.zeros(1, np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    return texts.select("node", "text").mapInArrow(run, "node string, set array<long>").groupBy("node").agg(F.first("set").alias("set"))
+    sets = texts.select("node", "text", F.xxhash64("node").alias("hash")).mapInArrow(run, "node string, set array<long>")
+    return sets.groupBy("node").agg(F.first("set").alias("set")).join(wanted, "node")
 
 
 def top_of_buckets(rows: DataFrame, most: int) -> DataFrame:
@@ -90,10 +105,24 @@ def top_of_buckets(rows: DataFrame, most: int) -> DataFrame:
     return best.select("bucket", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("size").alias("hub_size"))
 
 
-def largest_components(rows: DataFrame) -> DataFrame:
-    """bucket and main: the component with most texts of each bucket that has several."""
+def with_main(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that have several components, with main, the one of most texts, and rest, how many texts are outside it."""
     sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp"))["comp"].alias("main")).where("comps > 1").drop("comps")
+    several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp"))["comp"].alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
+    return rows.join(several.where("comps > 1").drop("comps"), "bucket")
+
+
+def by_rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """bucket, node and size: the shingles by which texts meet all that are similar enough and have least shingles or more; sets: id, node, set and least."""
+    items = sets.select("id", F.explode("set").alias("item"))
+    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = items.join(counts, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("shared"))
+    sized = sets.select("id", "node", F.size("set").alias("size"), "least")
+    other = F.greatest(F.col("least"), similarity * F.col("size"))
+    first = F.floor(F.col("size") - similarity / (1 + similarity) * (F.col("size") + other) + 1e-6) + 1
+    taken = (first - (F.col("size") - F.size("shared"))).cast("int")  # those that no other text has come first
+    met = shared.join(sized, "id").withColumn("taken", taken).where("taken > 0")
+    return met.select(F.explode(F.expr("slice(shared.item, 1, taken)")).alias("bucket"), "node", "size")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -116,30 +145,37 @@ def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     roots = cut(linked(prints).withColumnRenamed("fp", "of"), compact=True)
     by_print = nodes.join(roots, F.col("fp") == F.col("of"), "left").select("node", "size", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("bucket"))
     every = by_print.union(nodes.select("node", "size", F.explode("bands").alias("bucket")))
-    crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
+    crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("of"), F.min("size").alias("least")).where("of > 1")
     met = cut(every.join(crowded, "bucket"), compact=True)
-    weights = met.groupBy("node").agg(F.sum("of").alias("weight"))
-    rows = cut(met.join(weights, "node").select("bucket", "node", "size", "weight", F.col("node").alias("comp")), compact=True)
-    wanted = cut(weights.select("node"), compact=True)
-    sets = cut(shingle_sets(texts.join(wanted, "node", "left_semi")))
+    wanted = cut(met.groupBy("node").agg(F.min(F.when(F.col("of") > SMALL, F.col("least"))).alias("least")), compact=True)
+    sets = cut(shingle_sets(texts, wanted).withColumn("id", F.monotonically_increasing_id()))
+    small = met.where(F.col("of") <= SMALL).select("bucket", "node", "size")
+    keyed = cut(small.union(by_rare_shingles(sets.where("least is not null"), similarity)), compact=True)
+    several = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
+    meeting = cut(keyed.join(several, "bucket"), compact=True)
+    weights = meeting.groupBy("node").agg(F.sum("of").alias("weight"))
+    rows = cut(meeting.join(weights, "node").select("bucket", "node", "size", "weight", F.col("node").alias("comp")), compact=True)
     links, hubs_now = None, HUBS
     while True:
-        open_rows = rows.join(largest_components(rows), "bucket")
-        hubs = cut(top_of_buckets(open_rows.where("weight > 0"), hubs_now), compact=True)
+        open_rows = cut(with_main(rows), instead_of=rows, compact=True)
+        last = F.col("rest") <= 1 + FINISH * (hubs_now - 1)
+        outside = open_rows.where(last & (F.col("comp") != F.col("main")) & (F.col("weight") > 0))
+        hubs = outside.select("bucket", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("size").alias("hub_size"))
+        hubs = cut(hubs.union(top_of_buckets(open_rows.where(~last & (F.col("weight") > 0)), hubs_now)), compact=True)
+        if hubs.isEmpty():  # every bucket is one component, or all its texts outside of one were compared
+            break
         alike = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size")
         met_hub = open_rows.join(hubs, "bucket").where((F.col("comp") != F.col("hub_comp")) & alike)
-        pairs = met_hub.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.first("comp").alias("u"), F.first("hub_comp").alias("v"))
-        if hubs.isEmpty():  # all texts of all buckets with several components were hubs
-            break
-        found = cut(verified(pairs, sets, similarity), compact=True)
+        pairs = met_hub.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.first(F.struct("comp", "hub_comp")).alias("of"))
+        found = cut(verified(pairs.select("a", "b", F.col("of.comp").alias("u"), F.col("of.hub_comp").alias("v")), sets.select("node", "set"), similarity), compact=True)
         new = found.select("a", "b")
         links = cut(new if links is None else links.union(new), instead_of=links, compact=True)
         merged = cut(component_labels(found.select(F.col("u").alias("a"), F.col("v").alias("b"))), compact=True)  # of components, which carry the links of earlier rounds
         used = hubs.select("bucket", F.col("hub").alias("node"), F.lit(True).alias("used"))
-        going = open_rows.join(used, ["bucket", "node"], "left").join(merged.withColumnRenamed("node", "of"), F.col("comp") == F.col("of"), "left")
-        rows = cut(going.select("bucket", "node", "size", F.when(F.col("used"), 0).otherwise(F.col("weight")).alias("weight"), F.coalesce("root", "comp").alias("comp")), instead_of=rows, compact=True)
-        hubs_now *= 2
-    for done in (nodes, prints, roots, met, rows, wanted, sets):
+        going = open_rows.where(~last).join(used, ["bucket", "node"], "left").join(merged.withColumnRenamed("node", "of"), F.col("comp") == F.col("of"), "left")
+        rows = cut(going.select("bucket", "node", "size", F.when(F.col("used"), 0).otherwise(F.col("weight")).alias("weight"), F.coalesce("root", "comp").alias("comp")), instead_of=open_rows, compact=True)
+        hubs_now *= 4
+    for done in (nodes, prints, roots, met, open_rows, wanted, sets, keyed, meeting):
         remove(done)
     return component_labels(docs.sparkSession.createDataFrame([], "a string, b string") if links is None else links)
 
