@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -37,6 +38,26 @@ def in_parts(batches: Iterator[pa.RecordBatch], most: int = ROWS_AT_ONCE) -> Ite
             yield batch.slice(start, most)
 
 
+def give_back() -> None:
+    """Gives the system what this process has freed: Arrow's pool and malloc keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow(run, schema), whose tasks give back memory at their end: Python workers wait for further tasks beside an executor's heap."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Array]]], schema: str, text: str = "text", after: Callable[[], None] | None = None) -> DataFrame:
     """Runs a function over batches of texts and puts its columns after those of df (null: empty text).
 
@@ -65,7 +86,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[pa.Ar
             if after is not None:
                 after()
 
-    return source.mapInArrow(run, out)
+    return map_arrow(source, run, out)
 
 
 class Memo(dict):
@@ -189,4 +210,4 @@ def passing(df: DataFrame, key: Column, bits: np.ndarray) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).filter(held(batch.column(0), shared.value))
 
-    return df.select(F.xxhash64(key).alias(hashed), "*").mapInArrow(run, df.schema)
+    return map_arrow(df.select(F.xxhash64(key).alias(hashed), "*"), run, df.schema)

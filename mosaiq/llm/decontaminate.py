@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, bitmap, cut, free_name, in_parts, passing, row_keys
+from .common import Memo, bitmap, cut, free_name, in_parts, map_arrow, passing, row_keys
 
 WINDOW, MIN_WINDOW, MIN_COVER = 8, 4, 0.5
 ROWS_AT_ONCE = 20_000
@@ -185,7 +185,7 @@ def window_rows(texts: DataFrame, sizes: list[int] | None = None, bits: np.ndarr
     schema = texts.select(*keys).schema
     for field in texts.sparkSession.createDataFrame([], "size int, place int, hash long, slots array<struct<at:int,value:string>>").schema:
         schema = schema.add(field)
-    return texts.mapInArrow(run, schema)
+    return map_arrow(texts, run, schema)
 
 
 def agreeing(windows: list[tuple[int, int, list[tuple[int, str, str]]]], exact: bool) -> tuple[list[int], int | None]:
@@ -247,7 +247,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.list_(pa.int32())), pa.array(firsts, pa.int32())], names=["key1", "key2", "item_id", "places", "first_word"])
 
     kind = items.schema["item_id"].dataType.simpleString()
-    counted = aligned.select("key1", "key2", "item_id", "size", "windows").mapInArrow(run, f"key1 long, key2 long, item_id {kind}, places array<int>, first_word int")
+    counted = map_arrow(aligned.select("key1", "key2", "item_id", "size", "windows"), run, f"key1 long, key2 long, item_id {kind}, places array<int>, first_word int")
     covered = counted.groupBy("key1", "key2", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"), F.min("first_word").alias("first_word"))
     whole = theirs.groupBy("item_id").agg(F.count(F.lit(1)).alias("windows"))
     return covered.join(whole, "item_id").select("key1", "key2", "item_id", (F.col("found") / F.col("windows")).alias("cover"), "first_word")

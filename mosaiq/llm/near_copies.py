@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, bitmap, cut, free_name, held, in_parts, map_texts, remove
+from .common import Memo, bitmap, cut, free_name, held, in_parts, map_arrow, map_texts, remove
 from .simhash import component_labels, fingerprint, linked, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -92,7 +92,7 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                     sets.append((np.unique(h) if len(h) else np.zeros(1, np.uint64)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    sets = texts.select("node", "text", F.xxhash64("node").alias("hash")).mapInArrow(run, "node string, set array<long>")
+    sets = map_arrow(texts.select("node", "text", F.xxhash64("node").alias("hash")), run, "node string, set array<long>")
     return sets.groupBy("node").agg(F.first("set").alias("set")).join(wanted, "node")
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, in_parts, map_texts, text_of
+from .common import Memo, in_parts, map_arrow, map_texts, text_of
 
 BUCKETS, WORDS_KEPT = 1 << 16, 200_000
 FIT_MOST, FIT_WORDS, ROUNDS, KEEP = 8_000, 4_000_000, 80, 0.5
@@ -139,7 +139,7 @@ def toxic_terms(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
                 seen.update((x, toxic) for x in {"", *(x for w in set(t.split()) for x in memo[w])})
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.bool_()), pa.array(list(seen.values()), pa.int64())], names=["term", "toxic", "n"])
 
-    counted = met.mapInArrow(run, "term string, toxic boolean, n long").groupBy("term").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(name) for name, c in (("bad", F.col("toxic")), ("rest", ~F.col("toxic")))])
+    counted = map_arrow(met, run, "term string, toxic boolean, n long").groupBy("term").agg(*[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(name) for name, c in (("bad", F.col("toxic")), ("rest", ~F.col("toxic")))])
     counted = counted.where(F.col("bad") >= TERM_LEAST).persist()
     total = counted.where("term = ''").first()
     if total is None:
@@ -277,7 +277,7 @@ def train(docs: DataFrame, text: str = "text", fit_most: int = FIT_MOST, terms:
                 found.append(buckets_of(packed).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.int32()), pa.array(found, pa.binary())], names=["pattern", "features"])
 
-    rows = sample.mapInArrow(run, "pattern int, features binary").collect()
+    rows = map_arrow(sample, run, "pattern int, features binary").collect()
     features = [np.frombuffer(r["features"], dtype=np.uint16) for r in rows]
     weights, intercept = fit(features, np.array([good.get(r["pattern"], 0.5) for r in rows]))
     return weights, intercept, rates

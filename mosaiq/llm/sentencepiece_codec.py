@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, list_array, map_texts
+from .common import Memo, list_array, map_arrow, map_texts
 
 SPACE = "▁"
 LONGEST_KEPT = 64
@@ -224,7 +224,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded"
             texts = pa.array([c.decode(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*batch.schema.names[:-1], decoded])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def encode_decode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, map_texts, remove
+from .common import cut, free_name, map_arrow, map_texts, remove
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 PROBES_A_TASK = 16_384  # fingerprints that a task probes
@@ -95,7 +95,7 @@ def bit_groups(nodes: DataFrame, parts: int) -> list[list[int]]:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([ones.tolist()]), pa.array([both.ravel().tolist()])], names=["n", "ones", "both"])
 
     n, ones, both = 0, np.zeros(64), np.zeros(64 * 64)
-    sums = nodes.select("fp").mapInArrow(run, "n long, ones array<double>, both array<double>")
+    sums = map_arrow(nodes.select("fp"), run, "n long, ones array<double>, both array<double>")
     numbers = sums.select("n", F.posexplode(F.concat("ones", "both"))).groupBy("pos").agg(F.sum("n").alias("n"), F.sum("col").alias("sum"))
     for r in numbers.collect():
         n = r["n"]
@@ -136,7 +136,7 @@ def index_rows(nodes: DataFrame, groups: list[list[int]]) -> DataFrame:
             for k, group in enumerate(groups):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), k, np.int32)), pa.array(projected(bits, group)), pa.array(fps)], names=["part", "value", "fp"])
 
-    return nodes.select("fp").mapInArrow(run, "part int, value long, fp long")
+    return map_arrow(nodes.select("fp"), run, "part int, value long, fp long")
 
 
 def prefix_counts(index: DataFrame, groups: list[list[int]]) -> list[np.ndarray]:
@@ -212,7 +212,7 @@ def probe_rows(nodes: DataFrame, groups: list[list[int]], expected: list[np.ndar
                                 probes = (v[few, None] ^ mask[None, :]).ravel()
                                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(probes), p, np.int32)), pa.array(probes), pa.array(np.repeat(fps[few], len(mask))), pa.array(np.repeat(own[few], len(mask)))], names=["part", "value", "probe", "own"])
 
-    return nodes.select("fp", "comp").mapInArrow(run, "part int, value long, probe long, own long")
+    return map_arrow(nodes.select("fp", "comp"), run, "part int, value long, probe long, own long")
 
 
 def near(a: str, b: str, distance: int) -> Column:

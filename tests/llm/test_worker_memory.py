@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import pyarrow as pa
 
 from mosaiq.llm import sentencepiece_codec
@@ -54,3 +57,24 @@ def test_words_alone_and_among_others_have_the_library_s_ids():
             for b in parts:
                 text = a + sep + b
                 assert own.encode(text).tolist() == library.encode(text), repr(text)
+
+
+def test_workers_give_back_memory_after_a_task(spark):
+    def held(batches):
+        for _ in batches:
+            pass
+        kinds = re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(int, kinds)) / 1024])], names=["mb"])
+
+    def most():
+        return max(r["mb"] for r in spark.range(0, 64, 1, 4).mapInArrow(held, "mb double").collect())
+
+    def same(n):
+        docs = spark.range(0, n, 1, 4).selectExpr("repeat(concat(cast(id as string), ' '), 4000) as text")
+        copied = map_texts(docs, lambda: lambda texts: [pa.array([len(t) for t in texts], pa.int64()), pa.array(texts, pa.string())], "n long, same string")
+        return copied.where("same = text").count()
+
+    assert same(40) == 40  # what workers import stays
+    before = most()
+    assert same(16_000) == 16_000
+    assert most() < before + 25
