@@ -164,6 +164,18 @@ def remove(df: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+FEW_ROWS = 10_000
+
+
+def beside(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most so many rows, as a join's side: sent to all tasks by way of the driver where they are few, else both sides are dealt out and merged.
+
+    Spark itself goes by the bytes of compressed files, and takes what mapInArrow or an
+    explode makes for as many rows as it was given: tables of any size may go to the driver.
+    """
+    return df.hint("broadcast" if rows <= FEW_ROWS else "merge")
+
+
 def row_keys(doc_id: Column, text: Column) -> list[Column]:
     """Two 64-bit hashes that tell rows apart by id and text together; a null differs from any value.
 

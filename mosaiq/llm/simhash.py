@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, map_arrow, map_texts, remove
+from .common import beside, cut, free_name, map_arrow, map_texts, remove
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 PROBES_A_TASK = 16_384  # fingerprints that a task probes
@@ -225,20 +225,21 @@ def linked(nodes: DataFrame, distance: int = DISTANCE, parts: int | None = None)
     groups = bit_groups(nodes, parts or best_parts(n, distance))
     index = cut(index_rows(nodes, groups), compact=True)
     expected = expected_candidates(prefix_counts(index, groups), groups, distance)
-    hubs = index.join(nodes.select("fp", "n"), "fp").groupBy("part", "value").agg(F.max(F.struct("n", "fp"))["fp"].alias("hub"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
-    first = cut(component_labels(index.join(hubs, ["part", "value"]).where((F.col("fp") != F.col("hub")) & near("fp", "hub", distance)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))), compact=True)
+    hubs = index.join(beside(nodes.select("fp", "n"), n), "fp").groupBy("part", "value").agg(F.max(F.struct("n", "fp"))["fp"].alias("hub"), F.count(F.lit(1)).alias("of")).where("of > 1").drop("of")
+    first = cut(component_labels(index.join(beside(hubs, n * len(groups)), ["part", "value"]).where((F.col("fp") != F.col("hub")) & near("fp", "hub", distance)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))), compact=True)
+    n_first = first.count()
 
     def with_component(df: DataFrame) -> DataFrame:
-        return df.join(first, F.col("fp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "fp")).drop("node", "root")
+        return df.join(beside(first, n_first), F.col("fp") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "fp")).drop("node", "root")
 
     held = with_component(index)
     spans = held.groupBy("part", "value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     probes = probe_rows(with_component(nodes).repartition(max(1, n // PROBES_A_TASK), "fp"), groups, expected, distance)
-    foreign = probes.join(spans, ["part", "value"]).where((F.col("lo") != F.col("own")) | (F.col("hi") != F.col("own"))).drop("lo", "hi")
-    met = foreign.join(held, ["part", "value"]).where((F.col("probe") < F.col("fp")) & (F.col("own") != F.col("comp")) & near("probe", "fp", distance))
+    foreign = probes.join(beside(spans, n * len(groups)), ["part", "value"]).where((F.col("lo") != F.col("own")) | (F.col("hi") != F.col("own"))).drop("lo", "hi")
+    met = foreign.join(beside(held, n * len(groups)), ["part", "value"]).where((F.col("probe") < F.col("fp")) & (F.col("own") != F.col("comp")) & near("probe", "fp", distance))
     second = cut(component_labels(met.select(F.col("own").alias("a"), F.col("comp").alias("b")).distinct()), compact=True)
     both = first.withColumnsRenamed({"node": "fp", "root": "comp"}).unionByName(second.select(F.col("node").alias("fp"), F.col("node").alias("comp"))).distinct()
-    out = both.join(second, F.col("comp") == F.col("node"), "left").select("fp", F.coalesce("root", "comp").alias("root"))
+    out = both.join(beside(second, second.count()), F.col("comp") == F.col("node"), "left").select("fp", F.coalesce("root", "comp").alias("root"))
     remove(index)
     return out
 
@@ -251,19 +252,19 @@ def component_labels(edges: DataFrame) -> DataFrame:
     longest path. Every round is written to the shared folder, in place of the last.
     """
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("n"), F.least("a", "b").alias("m")).distinct(), compact=True)
-    before = None
+    before, rows = None, now.count()
     while True:
         both = now.union(now.select(F.col("m").alias("n"), F.col("n").alias("m")))
         least = both.groupBy("n").agg(F.min("m").alias("lo")).select("n", F.least("n", "lo").alias("lo"))
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("n"), F.col("lo").alias("m"))
+        large = both.join(beside(least, 2 * rows), "n").where("m > n").select(F.col("m").alias("n"), F.col("lo").alias("m"))
         large = large.where("n != m").distinct()
         lows = large.groupBy("n").agg(F.min("m").alias("lo"))
-        small = large.join(lows, "n").select(F.col("m").alias("n"), F.col("lo").alias("m")).where("n != m").union(lows.select("n", F.col("lo").alias("m")))
+        small = large.join(beside(lows, 2 * rows), "n").select(F.col("m").alias("n"), F.col("lo").alias("m")).where("n != m").union(lows.select("n", F.col("lo").alias("m")))
         now = cut(small.distinct(), instead_of=now, compact=True)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("n", "m").cast("decimal(20,0)"))).first()
         if state == before:
             return now.select(F.col("n").alias("node"), F.col("m").alias("root")).union(now.select(F.col("m").alias("node"), F.col("m").alias("root"))).distinct()
-        before = state
+        before, rows = state, state[0]
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, parts: int | None = None) -> DataFrame:
@@ -271,11 +272,12 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     printed = cut(fingerprints(docs.drop("fp", "component_id"), text).drop(text))
     nodes = cut(printed.groupBy("fp").agg(F.min(F.col(doc_id)).alias("first"), F.count(F.lit(1)).alias("n")), compact=True)
     roots = cut(linked(nodes, distance, parts).withColumnRenamed("fp", "of"), compact=True)
-    named = roots.join(nodes, F.col("of") == F.col("fp")).groupBy("root").agg(F.min("first").alias("least"))
-    members = roots.join(named, "root").select("of", "least")
+    n_roots, n_nodes = roots.count(), nodes.count()
+    named = beside(roots, n_roots).join(nodes, F.col("of") == F.col("fp")).groupBy("root").agg(F.min("first").alias("least"))
+    members = roots.join(beside(named, n_roots), "root").select("of", "least")
     id_of = free_name(printed, "__of")
-    classes = nodes.join(members, F.col("fp") == F.col("of"), "left").select(F.col("fp").alias(id_of), F.coalesce("least", "first").alias("component_id"))
-    return printed.join(classes, F.col("fp") == F.col(id_of)).drop(id_of)
+    classes = nodes.join(beside(members, n_roots), F.col("fp") == F.col("of"), "left").select(F.col("fp").alias(id_of), F.coalesce("least", "first").alias("component_id"))
+    return printed.join(beside(classes, n_nodes), F.col("fp") == F.col(id_of)).drop(id_of)
 
 
 def hex_digits(fp: str = "fp"):
