@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, bitmap, cut, free_name, held, in_parts, map_arrow, map_texts, remove
+from .common import Memo, beside, bitmap, cut, free_name, held, in_parts, map_arrow, map_texts, remove
 from .simhash import component_labels, fingerprint, linked, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -93,7 +93,7 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     sets = map_arrow(texts.select("node", "text", F.xxhash64("node").alias("hash")), run, "node string, set array<long>")
-    return sets.groupBy("node").agg(F.first("set").alias("set")).join(wanted, "node")
+    return sets.groupBy("node").agg(F.first("set").alias("set")).join(beside(wanted, wanted.count()), "node")
 
 
 def top_of_buckets(rows: DataFrame, most: int) -> DataFrame:
@@ -109,29 +109,30 @@ def with_main(rows: DataFrame) -> DataFrame:
     """The rows of buckets that have several components, with main, the one of most texts, and rest, how many texts are outside it."""
     sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     several = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp"))["comp"].alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
-    return rows.join(several.where("comps > 1").drop("comps"), "bucket")
+    return rows.join(beside(several.where("comps > 1").drop("comps"), rows.count()), "bucket")
 
 
 def by_rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
     """bucket, node and size: the shingles by which texts meet all that are similar enough and have least shingles or more; sets: id, node, set and least."""
     items = sets.select("id", F.explode("set").alias("item"))
-    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = items.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where("n > 1").hint("merge")  # many for each set
     shared = items.join(counts, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("shared"))
     sized = sets.select("id", "node", F.size("set").alias("size"), "least")
     other = F.greatest(F.col("least"), similarity * F.col("size"))
     first = F.floor(F.col("size") - similarity / (1 + similarity) * (F.col("size") + other) + 1e-6) + 1
     taken = (first - (F.col("size") - F.size("shared"))).cast("int")  # those that no other text has come first
-    met = shared.join(sized, "id").withColumn("taken", taken).where("taken > 0")
+    met = shared.join(beside(sized, sets.count()), "id").withColumn("taken", taken).where("taken > 0")
     return met.select(F.explode(F.expr("slice(shared.item, 1, taken)")).alias("bucket"), "node", "size")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of pairs (a, b, and more) whose sets are similar enough, without the sets."""
-    met = cut(pairs, compact=True)  # of known size, so that few pairs are sent to the sets and not the sets to them
+    met = cut(pairs, compact=True)
+    n = met.count()  # few pairs are sent to the sets, and the sets never to them
     asked = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = sets.join(asked, "node", "left_semi")
-    with_a = met.join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
-    with_b = with_a.join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}), "b")
+    sets = sets.join(beside(asked, 2 * n), "node", "left_semi")
+    with_a = beside(met, n).join(sets.withColumnsRenamed({"node": "a", "set": "set_a"}), "a")
+    with_b = with_a.join(sets.withColumnsRenamed({"node": "b", "set": "set_b"}).hint("merge"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return with_b.where(shared >= similarity * (F.size("set_a") + F.size("set_b") - shared)).select(*pairs.columns)
 
@@ -143,18 +144,19 @@ def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
     nodes = cut(sketched(texts, "text").select("node", "fp", "bands", "size").dropDuplicates(["node"]), compact=True)
     prints = cut(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), compact=True)
     roots = cut(linked(prints).withColumnRenamed("fp", "of"), compact=True)
-    by_print = nodes.join(roots, F.col("fp") == F.col("of"), "left").select("node", "size", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("bucket"))
+    n_nodes = nodes.count()
+    by_print = nodes.join(beside(roots, roots.count()), F.col("fp") == F.col("of"), "left").select("node", "size", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("bucket"))
     every = by_print.union(nodes.select("node", "size", F.explode("bands").alias("bucket")))
     crowded = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("of"), F.min("size").alias("least")).where("of > 1")
-    met = cut(every.join(crowded, "bucket"), compact=True)
+    met = cut(every.join(beside(crowded, n_nodes * (BANDS + 1)), "bucket"), compact=True)
     wanted = cut(met.groupBy("node").agg(F.min(F.when(F.col("of") > SMALL, F.col("least"))).alias("least")), compact=True)
     sets = cut(shingle_sets(texts, wanted).withColumn("id", F.monotonically_increasing_id()))
     small = met.where(F.col("of") <= SMALL).select("bucket", "node", "size")
     keyed = cut(small.union(by_rare_shingles(sets.where("least is not null"), similarity)), compact=True)
-    several = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where("of > 1")
-    meeting = cut(keyed.join(several, "bucket"), compact=True)
+    several, n_keyed = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("of")).where("of > 1"), keyed.count()
+    meeting = cut(keyed.join(beside(several, n_keyed), "bucket"), compact=True)
     weights = meeting.groupBy("node").agg(F.sum("of").alias("weight"))
-    rows = cut(meeting.join(weights, "node").select("bucket", "node", "size", "weight", F.col("node").alias("comp")), compact=True)
+    rows = cut(meeting.join(beside(weights, n_keyed), "node").select("bucket", "node", "size", "weight", F.col("node").alias("comp")), compact=True)
     links, hubs_now = None, HUBS
     while True:
         open_rows = cut(with_main(rows), instead_of=rows, compact=True)
@@ -162,17 +164,19 @@ def groups(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY)
         outside = open_rows.where(last & (F.col("comp") != F.col("main")) & (F.col("weight") > 0))
         hubs = outside.select("bucket", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"), F.col("size").alias("hub_size"))
         hubs = cut(hubs.union(top_of_buckets(open_rows.where(~last & (F.col("weight") > 0)), hubs_now)), compact=True)
-        if hubs.isEmpty():  # every bucket is one component, or all its texts outside of one were compared
+        n_hubs = hubs.count()
+        if not n_hubs:  # every bucket is one component, or all its texts outside of one were compared
             break
         alike = F.least("size", "hub_size") >= similarity * F.greatest("size", "hub_size")
-        met_hub = open_rows.join(hubs, "bucket").where((F.col("comp") != F.col("hub_comp")) & alike)
+        met_hub = open_rows.join(beside(hubs, n_hubs), "bucket").where((F.col("comp") != F.col("hub_comp")) & alike)
         pairs = met_hub.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.first(F.struct("comp", "hub_comp")).alias("of"))
         found = cut(verified(pairs.select("a", "b", F.col("of.comp").alias("u"), F.col("of.hub_comp").alias("v")), sets.select("node", "set"), similarity), compact=True)
         new = found.select("a", "b")
         links = cut(new if links is None else links.union(new), instead_of=links, compact=True)
         merged = cut(component_labels(found.select(F.col("u").alias("a"), F.col("v").alias("b"))), compact=True)  # of components, which carry the links of earlier rounds
         used = hubs.select("bucket", F.col("hub").alias("node"), F.lit(True).alias("used"))
-        going = open_rows.where(~last).join(used, ["bucket", "node"], "left").join(merged.withColumnRenamed("node", "of"), F.col("comp") == F.col("of"), "left")
+        going = open_rows.where(~last).join(beside(used, n_hubs), ["bucket", "node"], "left")
+        going = going.join(beside(merged.withColumnRenamed("node", "of"), merged.count()), F.col("comp") == F.col("of"), "left")
         rows = cut(going.select("bucket", "node", "size", F.when(F.col("used"), 0).otherwise(F.col("weight")).alias("weight"), F.coalesce("root", "comp").alias("comp")), instead_of=open_rows, compact=True)
         hubs_now *= 4
     for done in (nodes, prints, roots, met, open_rows, wanted, sets, keyed, meeting):
@@ -184,11 +188,12 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """The rows of docs that stay, with the columns of docs; see the module."""
     node, first = free_name(docs, "__node"), free_name(docs, "__first")
     labels = cut(groups(docs, text, similarity), compact=True)
+    n_labels = labels.count()
     order: list[Column] = [F.col(doc_id).isNull().alias("null"), F.col(doc_id).alias("id")]
     digest = F.md5(F.coalesce(F.col(text), F.lit("")))
-    members = docs.select(digest.alias("node"), F.struct(*order).alias("key")).join(labels, "node").groupBy("root", "node").agg(F.min("key").alias("key"))
+    members = docs.select(digest.alias("node"), F.struct(*order).alias("key")).join(beside(labels, n_labels), "node").groupBy("root", "node").agg(F.min("key").alias("key"))
     best = members.groupBy("root").agg(F.min(F.struct("key", "node"))["node"].alias("best"))
-    gone = cut(members.join(best, "root").where("node <> best").select(F.col("node").alias(node)), compact=True)
-    staying = docs.withColumn(first, digest).join(gone, F.col(first) == F.col(node), "left_anti")
+    gone = cut(members.join(beside(best, n_labels), "root").where("node <> best").select(F.col("node").alias(node)), compact=True)
+    staying = docs.withColumn(first, digest).join(beside(gone, gone.count()), F.col(first) == F.col(node), "left_anti")
     row = F.struct(*order, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).alias("x")
     return staying.select(F.col(first).alias("node"), row).groupBy("node").agg(F.min("x").alias("x")).select("x.row.*")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from mosaiq.llm import common, simhash
+from mosaiq.llm import common, near_copies, simhash
 
 FEW = 100
 
@@ -47,3 +48,22 @@ def test_edges_of_components_are_not_sent(spark, most_sent):
     labels = dict(simhash.component_labels(edges).collect())
     assert labels == {k: 0 if k <= 301 else k - k % 2 for k in range(1000)}
     assert most_sent() <= FEW
+
+
+def test_shingles_and_pairs_are_not_sent(spark, most_sent):
+    """Few texts with many shingles, and more pairs than texts."""
+    words = [[f"w{k}x{i}" for i in range(60)] for k in range(60)]
+    texts = [" ".join([*w[:i], f"own{c}", *w[i + 1 :]]) if c else " ".join(w) for w in words for c, i in ((0, 0), (1, 0), (2, 59))]
+    rows = near_copies.one_of_each_group(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in rows.collect()) == list(range(0, 180, 3))
+    assert 0 < most_sent() <= FEW
+
+
+def test_large_buckets_are_not_sent(spark, most_sent, monkeypatch):
+    """All texts share one bucket and meet by their shingles."""
+    given = near_copies.sketched
+    monkeypatch.setattr(near_copies, "sketched", lambda df, text: given(df, text).withColumn("bands", F.array(F.lit(7).cast("long"))))
+    texts = [" ".join(f"w{k}x{i}" for i in range(40)) + " more" * c for k in range(50) for c in (0, 1)]
+    labels = near_copies.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert labels.count() == 100 and labels.select("root").distinct().count() == 50
+    assert most_sent() <= FEW
