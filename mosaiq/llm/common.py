@@ -197,14 +197,19 @@ BITS_LEAST, BITS_MOST = 1 << 16, 1 << 27
 
 
 def bitmap(hashes: DataFrame, least: int = BITS_LEAST, most: int = BITS_MOST) -> np.ndarray:
-    """A bit for each hash, by its lowest bits: about 32 a row, within the bounds. Its words are put together by Spark."""
+    """A bit for each hash, by its lowest bits: about 32 a row, within the bounds. Its words are put together by Spark, and come to the driver thousands a row."""
     n = hashes.count()
     size = min(most, max(least, 1 << (32 * n).bit_length()))
     place = F.col("hash").bitwiseAND(F.lit(size - 1))
     words = hashes.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([column.to_numpy(zero_copy_only=False).astype("<i8").tobytes()]) for column in batch.columns], names=["words", "bits"])
+
     out = np.zeros(size // 64, np.uint64)
-    found = words.toPandas()  # at most size / 64 rows
-    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    for r in map_arrow(words, packed, "words binary, bits binary").collect():  # at most size / 64 words in all
+        out[np.frombuffer(r["words"], "<i8")] = np.frombuffer(r["bits"], "<u8")
     return out
 
 

@@ -67,3 +67,18 @@ def test_large_buckets_are_not_sent(spark, most_sent, monkeypatch):
     labels = near_copies.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert labels.count() == 100 and labels.select("root").distinct().count() == 50
     assert most_sent() <= FEW
+
+
+def test_bitmap_comes_in_few_rows(spark, monkeypatch):
+    got, frame = [], type(spark.range(0))
+    for name in ("collect", "toPandas"):
+        given = getattr(frame, name)
+        monkeypatch.setattr(frame, name, lambda df, given=given: got.append(given(df)) or got[-1])
+    hashes = np.random.default_rng(4).integers(-(1 << 63), (1 << 63) - 1, 20_000)
+    bits = common.bitmap(spark.createDataFrame([(int(h),) for h in hashes], "hash long"))
+    wanted = np.zeros(len(bits), np.uint64)
+    place = hashes.view(np.uint64) & np.uint64(64 * len(bits) - 1)
+    np.bitwise_or.at(wanted, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
+    assert (bits == wanted).all() and len(bits) > 10_000
+    assert sum(map(len, got)) <= FEW
+    assert not common.bitmap(spark.createDataFrame([], "hash long")).any()
